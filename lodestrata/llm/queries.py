@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact_lsm, packing
+from . import bpe, common, cotrain, exact_lsm, hyperlang, ivfpq, packing, secrets, seed_extend, suffix_dedup
 
 
 def _vocabulary_path() -> str:
@@ -15,6 +15,10 @@ def _vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(common.table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_lsm.exact_dedup(common.table(spark, sf_dir, "documents"), keep="largest")
 
@@ -23,13 +27,43 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), _vocabulary_path())
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed_extend.remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperlang.identify(common.table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(common.table(spark, sf_dir, "documents"), _vocabulary_path())
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.search(common.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_exact_dedup, op4_best_fit_packing, op8_bpe_round_trip)
+    for f in (
+        op1_secret_scan,
+        op3_exact_dedup,
+        op4_best_fit_packing,
+        op5_suffix_array_dedup,
+        op6_substring_dedup,
+        op7_language_id,
+        op8_bpe_round_trip,
+        op9_quality_classifier,
+        op10_nearest_neighbours,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -38,4 +72,26 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op5_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents WHERE doc_id IS NOT NULL),
+        p AS (SELECT doc_id, unnest(range(length(h) // 2)) AS i, h FROM d),
+        b AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x, CASE WHEN 2 * i + 100 <= length(h) THEN md5(substr(h, 2 * i + 1, 100)) END AS w FROM p),
+        m AS (SELECT doc_id, i, x, CASE WHEN w IS NOT NULL AND min(doc_id) OVER (PARTITION BY w) < doc_id THEN 1 ELSE 0 END AS hit FROM b),
+        c AS (SELECT doc_id, i, x, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m),
+        e AS (SELECT doc_id, i, x, gone, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS edge FROM c),
+        r AS (SELECT doc_id, sum(gone) AS n_removed, sum(edge) AS n_spans, coalesce(string_agg(CASE WHEN gone = 0 THEN x END, '' ORDER BY i), '') AS kept FROM e GROUP BY doc_id)
+        SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id)
+    """,
+    "op6_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL),
+        b AS (SELECT doc_id, i, ws[i + 1] AS x, CASE WHEN i + 13 <= len(ws) THEN md5(array_to_string(ws[i + 1 : i + 13], ' ')) END AS w
+              FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM d)),
+        m AS (SELECT doc_id, i, x, CASE WHEN w IS NOT NULL AND min(doc_id) OVER (PARTITION BY w) < doc_id THEN 1 ELSE 0 END AS hit FROM b),
+        c AS (SELECT doc_id, i, x, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM m),
+        r AS (SELECT doc_id, sum(gone) AS n_removed, coalesce(string_agg(CASE WHEN gone = 0 THEN x END, ' ' ORDER BY i), '') AS kept FROM c GROUP BY doc_id)
+        SELECT d.doc_id, len(ws) AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id)
+    """,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, cotrain, exact_lsm, hyperlang, ivfpq, packing, secrets, seed_extend, suffix_dedup
+from . import bpe, common, cotrain, exact_lsm, hyperlang, ivfpq, jaccard_forest, packing, secrets, seed_extend, suffix_dedup
 
 
 def _vocabulary_path() -> str:
@@ -19,6 +19,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(common.table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_forest.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_lsm.exact_dedup(common.table(spark, sf_dir, "documents"), keep="largest")
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan,
+        op2_ngram_jaccard_join,
         op3_exact_dedup,
         op4_best_fit_packing,
         op5_suffix_array_dedup,
@@ -67,6 +72,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL),
+        s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i + 1 : i + 5], ' ')) AS x FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 4, least(len(ws), 1)))) AS i FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c * 10 >= 8 * (x.n + y.n - c)),
+        r AS (SELECT a AS doc_id, a AS other FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other),
+        k AS (SELECT doc_id, min(other) AS root FROM r GROUP BY doc_id),
+        c AS (SELECT a AS doc_id, count(*) AS links, min(CASE WHEN same THEN b END) AS copy FROM l GROUP BY a)
+        SELECT d.doc_id, coalesce(k.root, d.doc_id) AS class_id, least(coalesce(c.copy, d.doc_id), d.doc_id) AS copy_of, coalesce(c.links, 0)::BIGINT AS n_links
+        FROM w d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+    """,
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

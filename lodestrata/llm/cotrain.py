@@ -192,7 +192,6 @@ def classify(df: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) ->
 
 def keep_good(df: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of df that classify keeps, with their own columns."""
-    columns = df.columns
-    scored = with_quality(df.select("*") if "quality" not in columns else df.withColumnRenamed("quality", "_own_quality"), fit(df, labels), keep_from)
-    kept = scored.where("quality.keep").drop("quality")
-    return (kept.withColumnRenamed("_own_quality", "quality") if "quality" in columns else kept).select(*columns)
+    own = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own")
+    scored = with_quality(df.select(own, "text", *_meta_columns(df)), fit(df, labels), keep_from)
+    return scored.where("quality.keep").select(*(F.col("own").getField(c).alias(c) for c in df.columns))

@@ -26,7 +26,7 @@ from .components import components
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 24, 6
-RECALL = 0.9999
+RECALL = 0.99999
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 1 << 21
 
 

@@ -151,7 +151,7 @@ def secret_digests(df: DataFrame) -> DataFrame:
 def redact_secrets(df: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The rows of df with every span of text replaced by a mark; overlapping spans become one. Columns stay as they are,
     but n_chars, if there is one, is counted anew on the rows that change. A null text stays null."""
-    found = find_secrets(df)
+    found = find_secrets(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own"), F.col("text")))
     spans = F.array_sort(F.concat("base", "extra"))
 
     def step(state: Column, s: Column) -> Column:
@@ -160,8 +160,8 @@ def redact_secrets(df: DataFrame, mark: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(cut, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
 
     walked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    found = found.withColumn("_changed", F.size(spans) > 0).withColumn("text", F.when(F.size(spans) > 0, walked).otherwise(F.col("text")))
-    if "n_chars" in df.columns:
-        kind = df.schema["n_chars"].dataType
-        found = found.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return found.select(*df.columns)
+    found = found.select("own", (F.size(spans) > 0).alias("changed"), F.when(F.size(spans) > 0, walked).otherwise(F.col("text")).alias("text"))
+    own = {c: F.col("own").getField(c) for c in df.columns} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("changed"), F.length("text").cast(df.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return found.select(*(column.alias(c) for c, column in own.items()))

@@ -3,16 +3,15 @@
 A window is W consecutive symbols of one document; its anchor is the gram of K symbols in it whose hash is least (the
 first of these). Equal windows have equal anchors at equal places, so whatever two documents share meets by anchor:
 
-1. every document's anchors go, packed and without repeats, to the anchor's bucket;
-2. buckets tell the documents' groups which anchors occur more than once;
-3. a group sends the contexts of those anchors (the symbols of all windows that have this anchor) to the bucket;
+1. documents are packed into chunks, a staged table; every chunk's anchors go, without repeats, to the anchors' buckets;
+2. buckets tell the chunks which anchors occur more than once;
+3. a chunk sends the contexts of those anchors (the symbols of all windows that have this anchor) to the bucket;
 4. buckets collapse equal contexts, compare different ones (the operator's own method), and send back the windows that a
    smaller doc_id has too;
-5. groups cover the windows' symbols.
+5. chunks cover the windows' symbols.
 
-Packed arrays of a bucket or a group are the rows that Spark shuffles; how many there are follows the input's size. An
-anchor that a third of all documents hold costs a bucket two entries a map task in (1) and one context for each copy in
-(3). Documents without repeated anchors are finished in (3).
+Packed arrays of a bucket and a chunk are the rows that Spark shuffles; how many there are follows the input's size. An
+anchor that a third of all documents hold costs its bucket two entries a chunk in (1) and one context for each copy in (3).
 """
 
 from __future__ import annotations
@@ -23,14 +22,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common
 
-GROUP_BYTES = 16 << 20
-BATCH = 1 << 22
-FLUSH = 8 << 20
+CHUNK = 8 << 20  # bytes of text
+BUCKET_BYTES = 2 << 20  # bytes of the table's files
+BATCH = 1 << 20
+SENT_BITS = np.uint64((1 << 40) - 1)  # of an anchor's hash; enough to find candidates, whose contexts carry all of it
 PLACE = np.uint64((1 << 24) - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,16 +136,18 @@ def batches_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(x.nbytes for x in arrays)], "<i8").tobytes()
-    return zstandard.compress(head + b"".join(np.ascontiguousarray(x).tobytes() for x in arrays), 1)
+    """Arrays as bytes: numbers by planes of like bytes, which compress."""
+    head = np.array([x.nbytes for x in arrays], "<i8").tobytes()
+    planes = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T for x in arrays)
+    return zstandard.compress(head + b"".join(x.tobytes() for x in planes), 1)
 
 
 def _unpack(held: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = zstandard.decompress(held)
-    sizes = np.frombuffer(raw, "<i8", len(kinds), 8)
-    out, at = [], 8 * (len(kinds) + 1)
-    for kind, size in zip(kinds, sizes.tolist(), strict=True):
-        out.append(np.frombuffer(raw[at : at + size], kind))
+    raw = np.frombuffer(zstandard.decompress(held), np.uint8)
+    out, at = [], 8 * len(kinds)
+    for kind, size in zip(kinds, raw[:at].view("<i8").tolist(), strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + size].reshape(width, -1).T).view(kind).reshape(-1))
         at += size
     return out
 
@@ -158,90 +160,121 @@ def _parts(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(keys[a]), slice(a, b)
 
 
-def _sent_anchors(units: Units, groups: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            key, anchor = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((anchor, key))
-            key, anchor = key[order], anchor[order]
-            third = np.zeros(len(key), bool)  # two of a kind say that there are more than one
-            third[2:] = (anchor[2:] == anchor[:-2]) & (key[2:] == key[:-2])
-            key, anchor = key[~third], anchor[~third]
-            rows = [(k // groups, k % groups, anchor[part].tobytes()) for k, part in _parts(key)]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "g", "anchors"])
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of at most CHUNK bytes (or one longer row), packed; g numbers them by task."""
+    task = TaskContext.get()
+    g = (task.partitionId() if task else 0) << 32
+    ids: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    texts: list[np.ndarray] = []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        row = _pack(np.concatenate(ids), np.concatenate(sizes), np.concatenate(texts))
+        ids.clear(), sizes.clear(), texts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([row], pa.binary())], names=["g", "packed"])
+
+    for batch in batches:
+        doc_id = batch["doc_id"].to_numpy(zero_copy_only=False).astype("<i8")
+        data, offsets = common.utf8(batch["text"])
+        at = 0
+        while at < len(doc_id):
+            to = int(np.searchsorted(offsets, offsets[at] + CHUNK - held, "right")) - 1
+            if to <= at and ids:
+                yield out()
+                g, held = g + 1, 0
+                continue
+            to = max(at + 1, to)
+            ids.append(doc_id[at:to])
+            sizes.append(np.diff(offsets[at : to + 1]).astype("<i8"))
+            texts.append(data[offsets[at] : offsets[to]].copy())
+            held += int(offsets[to] - offsets[at])
+            at = to
+    if ids:
+        yield out()
+
+
+def _rows(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, bytes and offsets of a chunk."""
+    ids, sizes, data = _unpack(packed, "<i8", "<i8", "u1")
+    return ids, data, np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+
 
+def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    return (anchor % np.uint64(buckets)).astype(np.int64)
+
+
+def _sent_anchors(units: Units, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g = batch["g"].to_numpy(zero_copy_only=False).astype(np.int64)
-            for at, data, offsets in batches_of(*common.utf8(batch["text"])):
-                values, _, places = units.cut(data, offsets)
-                row, _, _, _, anchor = seeds(values, places, units.window, units.gram)
-                if len(row):
-                    held.append(((anchor % np.uint64(groups)).astype(np.int64) * groups + g[at + row], anchor))
-                    size += len(row)
-                if size >= FLUSH:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
+            for g, packed in zip(batch["g"].to_pylist(), batch["packed"].to_pylist(), strict=True):
+                _, chunk, bounds = _rows(packed)
+                held = [np.zeros(0, np.uint64)]
+                for _, data, offsets in batches_of(chunk, bounds):
+                    values, _, places = units.cut(data, offsets)
+                    held.append(seeds(values, places, units.window, units.gram)[4] & SENT_BITS)
+                anchor = np.sort(np.concatenate(held))
+                third = np.zeros(len(anchor), bool)  # two of a kind say that there are more than one
+                third[2:] = anchor[2:] == anchor[:-2]
+                anchor = anchor[~third]
+                order = np.argsort(_bucket(anchor, buckets), kind="stable")
+                anchor = anchor[order]
+                rows = [(k, g, _pack(anchor[part])) for k, part in _parts(_bucket(anchor, buckets))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "g", "anchors"])
 
     return run
 
 
+KNOWN = pa.schema([("g", pa.int64()), ("anchors", pa.binary())])
+
+
 def _repeated(table: pa.Table) -> pa.Table:
-    """Of one bucket: the anchors that occur more than once, for each group that holds them."""
-    blobs = table["anchors"].to_pylist()
-    anchor = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs])
-    g = np.repeat(table["g"].to_numpy(), [len(x) // 8 for x in blobs])
+    """Of one bucket: the anchors that occur more than once, for each chunk that holds them."""
+    held = [_unpack(x, "<u8")[0] for x in table["anchors"].to_pylist()]
+    anchor, own = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
     order = np.argsort(anchor, kind="stable")
-    anchor, g = anchor[order], g[order]
+    anchor, own = anchor[order], own[order]
     same = anchor[1:] == anchor[:-1]
     more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    anchor, g = anchor[more], g[more]
-    order = np.lexsort((anchor, g))
-    anchor, g = anchor[order], g[order]
-    fresh = np.ones(len(g), bool)
-    fresh[1:] = (anchor[1:] != anchor[:-1]) | (g[1:] != g[:-1])
-    anchor, g = anchor[fresh], g[fresh]
-    rows = [(k, anchor[part].tobytes()) for k, part in _parts(g)]
-    return pa.table({"g": pa.array([k for k, _ in rows], pa.int32()), "anchors": pa.array([x for _, x in rows], pa.binary())})
+    anchor, own = anchor[more], own[more]
+    order = np.argsort(own, kind="stable")
+    anchor, own = anchor[order], own[order]
+    fresh = np.ones(len(own), bool)
+    fresh[1:] = (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])
+    anchor, own = anchor[fresh], own[fresh]
+    g = table["g"].to_pylist()
+    rows = [(g[k], _pack(anchor[part])) for k, part in _parts(own)]
+    return pa.table([pa.array([x[i] for x in rows], t) for i, t in enumerate(KNOWN.types)], schema=KNOWN)
 
 
-CONTEXTS = ("<u8", "<i8", "<u8", "<i4", "u1", "u1")
-SENT = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("text", pa.string())])
+CONTEXTS = ("<u8", "<i8", "<u4", "<u4", "u1", "u1")
+SENT = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("packed", pa.binary())])
 
 
-def _sent_contexts(units: Units, groups: int):
-    def run(docs: pa.Table, repeated: pa.Table) -> pa.Table:
+def _sent_contexts(units: Units, buckets: int):
+    def run(chunks: pa.Table, repeated: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if not docs.num_rows:
-            return pa.Table.from_pylist([], schema=SENT)
-        g = docs["g"][0].as_py()
-        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in repeated["anchors"].to_pylist())]))
-        ids, rows = docs["doc_id"].to_numpy(), docs["row"].to_numpy()
-        text = docs["text"].combine_chunks()
-        text = text if isinstance(text, pa.Array) else text.chunk(0)
-        unfinished = np.zeros(len(ids), bool)
-        parts: list[tuple[np.ndarray, ...]] = []
-        for at, data, offsets in batches_of(*common.utf8(text)):
-            values, symbols, places = units.cut(data, offsets)
-            row, anchor, start, number, found = seeds(values, places, units.window, units.gram)
-            if not len(row) or not len(known):
+        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unpack(x, "<u8")[0] for x in repeated["anchors"].to_pylist())]))
+        for g, packed in zip(chunks["g"].to_pylist(), chunks["packed"].to_pylist(), strict=True) if len(known) else ():
+            ids, chunk, bounds = _rows(packed)
+            parts: list[tuple[np.ndarray, ...]] = []
+            for at, data, offsets in batches_of(chunk, bounds):
+                values, symbols, places = units.cut(data, offsets)
+                row, anchor, start, number, found = seeds(values, places, units.window, units.gram)
+                if not len(row):
+                    continue
+                short = found & SENT_BITS
+                keep = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
+                row, anchor, start, number, found = row[keep], anchor[keep], start[keep], number[keep], found[keep]
+                size = number - 1 + units.window
+                ends = np.cumsum(size)
+                taken = symbols[np.repeat(start - ends + size, size) + np.arange(int(size.sum()))]
+                parts.append((found, ids[at + row], (at + row).astype("<u4"), (start - places[row]).astype("<u4"), (anchor - start).astype(np.uint8), number.astype(np.uint8), size, taken))
+            if not parts:
                 continue
-            spot = np.minimum(np.searchsorted(known, found), len(known) - 1)
-            keep = known[spot] == found
-            row, anchor, start, number, found = row[keep], anchor[keep], start[keep], number[keep], found[keep]
-            size = number - 1 + units.window
-            ends = np.cumsum(size)
-            taken = symbols[np.repeat(start - ends + size, size) + np.arange(int(size.sum()))]
-            unfinished[at + row] = True
-            parts.append((found, ids[at + row], rows[at + row].astype(np.uint64), (start - places[row]).astype("<i4"), (anchor - start).astype(np.uint8), number.astype(np.uint8), size, taken))
-        if parts:
             found, *columns, size, taken = (np.concatenate(c) for c in zip(*parts, strict=True))
-            bucket = (found % np.uint64(groups)).astype(np.int64)
+            bucket = _bucket(found & SENT_BITS, buckets)
             order = np.argsort(bucket, kind="stable")
             first = np.cumsum(size) - size
             for k, part in _parts(bucket[order]):
@@ -249,10 +282,8 @@ def _sent_contexts(units: Units, groups: int):
                 sizes = size[own]
                 ends = np.cumsum(sizes)
                 symbols = taken[np.repeat(first[own] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-                out.append((k, g, _pack(found[own], *(c[own] for c in columns), symbols), None, None, None))
-        said = text.to_pylist()
-        out += [(-2 if more else -1, g, None, int(i), int(r), t) for i, r, t, more in zip(ids, rows, said, unfinished, strict=True)]
-        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), SENT.types, strict=True)], schema=SENT)
+                out.append((k, g, _pack(found[own], *(c[own] for c in columns), symbols)))
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(SENT.types)], schema=SENT)
 
     return run
 
@@ -270,14 +301,14 @@ class Contexts:
     symbols: np.ndarray
 
 
-FLAGGED = pa.schema([("g", pa.int32()), ("packed", pa.binary())])
+FLAGGED = pa.schema([("g", pa.int64()), ("packed", pa.binary())])
 
 
 def _resolved(units: Units, smallest: Callable[[Contexts, Units], np.ndarray]):
     def run(table: pa.Table) -> pa.Table:
         held = [_unpack(x, *CONTEXTS, units.symbol) for x in table["packed"].to_pylist()]
         anchor, doc_id, row, start, lead, number, symbols = (np.concatenate(c) for c in zip(*held, strict=True))
-        g = np.repeat(table["g"].to_numpy(), [len(x[0]) for x in held])
+        start, g = start.astype(np.int64), np.repeat(table["g"].to_numpy(), [len(x[0]) for x in held])
         del held
         number = number.astype(np.int64)
         size = number - 1 + units.window
@@ -310,51 +341,43 @@ def _resolved(units: Units, smallest: Callable[[Contexts, Units], np.ndarray]):
         rows = context[a]
         start_at, stop_at = start[rows] + place[a], start[rows] + place[b] + units.window
         order = np.argsort(g[rows], kind="stable")
-        out = [(k, _pack(row[rows[order[part]]], start_at[order[part]].astype("<i4"), stop_at[order[part]].astype("<i4"))) for k, part in _parts(g[rows][order])]
-        return pa.table([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], schema=FLAGGED)
+        out = [(k, _pack(row[rows[order[part]]], start_at[order[part]].astype("<u4"), stop_at[order[part]].astype("<u4"))) for k, part in _parts(g[rows][order])]
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(FLAGGED.types)], schema=FLAGGED)
 
     return run
 
 
-def covered(ranges: dict[int, list[np.ndarray]], row: int, n: int) -> np.ndarray:
-    """Which of a row's n symbols lie in its ranges."""
-    found = ranges.get(row)
-    if found is None:
-        return np.zeros(n, bool)
-    steps = np.zeros(n + 1, np.int64)
-    np.add.at(steps, found[0], 1)
-    np.add.at(steps, found[1], -1)
-    return np.cumsum(steps[:-1]) > 0
-
-
-def repeats(df: DataFrame, units: Units, smallest: Callable[[Contexts, Units], np.ndarray], finish: Callable[[str, np.ndarray | None], tuple], schema: str, arrow: pa.Schema) -> DataFrame:
-    """For each row of df finish(text, covered symbols, None where there are none) under doc_id."""
+def repeats(df: DataFrame, units: Units, smallest: Callable[[Contexts, Units], np.ndarray], finish: Callable[[bytes, Callable[[int], np.ndarray]], tuple], schema: str, arrow: pa.Schema) -> DataFrame:
+    """For each row of df, under doc_id, finish(bytes of its text, a function that tells which of n symbols are covered)."""
     spark = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    groups = max(common.partitions(spark), min(1 << 16, 2 * size // GROUP_BYTES))
-    docs = common.documents(df).where("doc_id is not null").withColumn("row", F.xxhash64("doc_id", "text")).withColumn("g", F.pmod("row", F.lit(groups)).cast("int"))
-    sent = docs.select("g", "text").mapInArrow(_sent_anchors(units, groups), "bucket int, g int, anchors binary")
-    known = sent.groupBy("bucket").applyInArrow(_repeated, "g int, anchors binary")
-    contexts = docs.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(_sent_contexts(units, groups), "bucket int, g int, packed binary, doc_id long, row long, text string")
-    contexts = common.staged(contexts, "contexts")
-    flagged = contexts.where("bucket >= 0").select("bucket", "g", "packed").groupBy("bucket").applyInArrow(_resolved(units, smallest), "g int, packed binary")
-
-    def out(rows: list[tuple]) -> pa.Table:
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow) if rows else pa.Table.from_pylist([], schema=arrow)
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from out([(i, *finish(t, None)) for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)]).to_batches()
-
-    def cover(docs: pa.Table, flags: pa.Table) -> pa.Table:
-        ranges: dict[int, list[np.ndarray]] = {}
+    buckets = max(common.partitions(spark), min(1 << 16, size // BUCKET_BYTES))
+    docs = common.documents(df).where("doc_id is not null")
+    chunks = common.staged(docs.mapInArrow(_chunks, "g long, packed binary"), "chunks")
+    known = chunks.mapInArrow(_sent_anchors(units, buckets), "bucket int, g long, anchors binary").groupBy("bucket").applyInArrow(_repeated, "g long, anchors binary")
+    contexts = chunks.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(_sent_contexts(units, buckets), "bucket int, g long, packed binary")
+    flagged = contexts.groupBy("bucket").applyInArrow(_resolved(units, smallest), "g long, packed binary")
+
+    def cover(chunks: pa.Table, flags: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
+        row, start, stop = none, none, none
         if flags.num_rows:
-            row, start, stop = (np.concatenate(c) for c in zip(*(_unpack(x, "<u8", "<i4", "<i4") for x in flags["packed"].to_pylist()), strict=True))
+            row, start, stop = (np.concatenate(c).astype(np.int64) for c in zip(*(_unpack(x, "<u4", "<u4", "<u4") for x in flags["packed"].to_pylist()), strict=True))
             order = np.argsort(row, kind="stable")
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(row[order])) + 1, [len(row)]])
-            ranges = {int(row[order[a]].astype(np.int64)): [start[order[a:b]], stop[order[a:b]]] for a, b in zip(edges, edges[1:], strict=False) if b > a}
-        return out([(i, *finish(t, lambda n, r=r: covered(ranges, r, n))) for i, r, t in zip(docs["doc_id"].to_pylist(), docs["row"].to_pylist(), docs["text"].to_pylist(), strict=True)])
+            row, start, stop = row[order], start[order], stop[order]
+        out: list[tuple] = []
+        for packed in chunks["packed"].to_pylist():
+            ids, data, offsets = _rows(packed)
+            edges = np.searchsorted(row, np.arange(len(ids) + 1))
+            for i, doc_id in enumerate(ids.tolist()):
+                part = slice(edges[i], edges[i + 1])
+
+                def covered(n: int, part: slice = part) -> np.ndarray:
+                    if part.start == part.stop:
+                        return np.zeros(n, bool)
+                    return np.cumsum(np.bincount(start[part], minlength=n + 1) - np.bincount(stop[part], minlength=n + 1))[:n] > 0
+
+                out.append((doc_id, *finish(data[offsets[i] : offsets[i + 1]].tobytes(), covered)))
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(arrow.types)], schema=arrow)
 
-    finished = contexts.where("bucket = -1").select("doc_id", "text").mapInArrow(clean, schema)
-    rest = contexts.where("bucket = -2").select("g", "doc_id", "row", "text")
-    return finished.unionByName(rest.groupBy("g").cogroup(flagged.groupBy("g")).applyInArrow(cover, schema))
+    return chunks.groupBy("g").cogroup(flagged.groupBy("g")).applyInArrow(cover, schema)

@@ -79,11 +79,10 @@ def smallest_by_extension(contexts: anchors.Contexts, units: anchors.Units) -> n
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _finish(text: str, covered) -> tuple:
-    held = np.frombuffer(text.encode(), np.uint8)
+def _finish(raw: bytes, covered) -> tuple:
+    held = np.frombuffer(raw, np.uint8)
     start, stop, _ = anchors.word_places(held, np.array([0, len(held)]))
-    raw = held.tobytes()
-    gone = covered(len(start)) if covered is not None else np.zeros(len(start), bool)
+    gone = covered(len(start))
     words = [raw[a:b] for a, b in zip(start[~gone].tolist(), stop[~gone].tolist(), strict=True)]
     return len(start), int(gone.sum()), hashlib.sha256(b" ".join(words)).hexdigest()
 

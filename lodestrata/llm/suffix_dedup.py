@@ -147,10 +147,7 @@ def smallest_by_suffix_order(contexts: anchors.Contexts, units: anchors.Units) -
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _finish(text: str, covered) -> tuple:
-    held = text.encode()
-    if covered is None:
-        return len(held), 0, 0, hashlib.sha256(held).hexdigest()
+def _finish(held: bytes, covered) -> tuple:
     gone = covered(len(held))
     spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
     kept = np.frombuffer(held, np.uint8)[~gone].tobytes()

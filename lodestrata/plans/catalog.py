@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import catalog_text
+from . import catalog_tables, catalog_text
 from .catalog_text import flagship
 
 __all__ = ["QUERIES", "SQL", "flagship"]
 
-QUERIES = {**catalog_text.QUERIES}
-SQL = {**catalog_text.SQL}
+QUERIES = {**catalog_text.QUERIES, **catalog_tables.QUERIES}
+SQL = {**catalog_text.SQL, **catalog_tables.SQL}

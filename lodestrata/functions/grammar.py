@@ -40,7 +40,7 @@ def signature(text: Column | str) -> Column:
 
 
 def limitations(text: Column | str) -> Column:
-    return F.filter(F.transform(F.split(_col(text), "\n"), F.trim), lambda x: x.contains(LIMITATION))
+    return F.filter(F.transform(F.split(_col(text), "\n"), lambda x: F.trim(x)), lambda x: x.contains(LIMITATION))
 
 
 def member_name(line: Column) -> Column:
@@ -99,7 +99,7 @@ def example_prose(text: Column | str) -> Column:
 
 def lead_in(text: Column | str) -> Column:
     """The first sentence of the last paragraph before the marker."""
-    paragraphs = F.filter(F.transform(F.split(example_prose(text), r"\n\s*\n"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(example_prose(text), r"\n\s*\n"), lambda x: F.trim(x)), lambda p: p != "")
     last = F.when(F.size(paragraphs) > 0, F.element_at(paragraphs, -1)).otherwise("")
     return F.regexp_extract(last, r"(?s)\A(.*?[.!?:])(?:\s|\z)", 1)
 

@@ -55,7 +55,7 @@ def drift(ahead: Column, behind: Column) -> Column:
 def richness(body: Column | str) -> Column:
     """none, templated or detailed: detailed names a change, and code or a number that is no version."""
     b = _col(body)
-    lines = F.filter(F.transform(F.split(b, "\n"), F.trim), lambda x: (x != "") & ~F.regexp_like(x, F.lit(BOILERPLATE)))
+    lines = F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.regexp_like(x, F.lit(BOILERPLATE)))
     bare = F.regexp_replace(b, "(?s)```.*?```", " ")
     specific = F.regexp_like(bare, F.lit(SPECIFIC)) | F.regexp_like(F.regexp_replace(bare, r"\b\d+(?:\.\d+){1,3}\b", " "), F.lit(r"\b\d[\d,]+\b"))
     return F.when(F.trim(F.coalesce(b, F.lit(""))) == "", "none").when(F.size(lines) == 0, "templated").when(F.regexp_like(bare, F.lit(CHANGE)) & specific, "detailed").otherwise("templated")

@@ -145,9 +145,9 @@ def html_title(html: Column | str) -> Column:
 
 def sentences(text: Column | str) -> Column:
     t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.transform(F.split(t, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(t, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def table_cells(row: Column | str) -> Column:
     r = F.col(row) if isinstance(row, str) else row
-    return F.transform(F.split(F.regexp_replace(F.trim(r), r"^\||\|$", ""), r"\|"), F.trim)
+    return F.transform(F.split(F.regexp_replace(F.trim(r), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))

@@ -75,6 +75,6 @@ def stale_negatives(negatives: DataFrame, symbols: DataFrame) -> DataFrame:
 def support_clauses(text: Column | str, formats: tuple[str, ...]) -> Column:
     """Clauses that claim support of a known format: a verb, no negation, a format's word."""
     t = F.col(text) if isinstance(text, str) else text
-    clauses = F.filter(F.transform(F.split(t, r"[.;\n]|,\s*but\b"), F.trim), lambda c: c != "")
+    clauses = F.filter(F.transform(F.split(t, r"[.;\n]|,\s*but\b"), lambda x: F.trim(x)), lambda c: c != "")
     claims = lambda c: F.regexp_like(c, F.lit(r"(?i)\b(?:supports?|reads?|writes?|loads?|saves?|converts?|exports?|imports?)\b")) & ~F.regexp_like(c, F.lit(r"(?i)\b(?:not|no|never|cannot|without)\b|n't\b")) & F.regexp_like(c, F.lit(rf"(?i)\b(?:{'|'.join(formats)})\b"))
     return F.filter(clauses, claims)

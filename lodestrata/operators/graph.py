@@ -83,7 +83,7 @@ def c3_orders(classes: DataFrame, scope: str = "scope", name: str = "name", base
     """scope, name, order for classes (scope, name, bases) of each scope, which is one library."""
     kind = classes.schema[scope].dataType.simpleString()
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         known = {n: list(b) if b is not None else [] for n, b in zip(rows[name], rows[bases], strict=True)}
         return pd.DataFrame({scope: [key[0]] * len(known), name: list(known), "order": [c3(known, n) for n in known]})
 

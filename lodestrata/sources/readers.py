@@ -46,7 +46,7 @@ def embedding_caches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def whole_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def source_files(spark: SparkSession, path: str, glob: str, excluded: str = r"/(?:tests?|examples?|\.git|node_modules|build|dist)/") -> DataFrame:

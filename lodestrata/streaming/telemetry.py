@@ -62,7 +62,7 @@ def breaker_states(events: DataFrame, by: str = "user_id", failed: str = "error"
         def update(self, value) -> None:
             self.get, self.exists = value, True
 
-    def whole(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return next(walk(key, [rows.sort_values("ts")], Held()))
 
     return events.groupBy(by).applyInPandas(whole, f"{by} {kind}, ts timestamp")

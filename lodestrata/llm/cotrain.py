@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LABELLED = 20_000
-POOL = 20_000
+LABELLED = 10_000
+POOL = 10_000
 ROUNDS = 4
 SURE = 0.95
 KEEP_FROM = 0.5
@@ -143,7 +143,7 @@ def _meta_columns(df: DataFrame) -> list[Column]:
 def _features(df: DataFrame) -> DataFrame:
     @F.pandas_udf(T.StructType([T.StructField("text", T.BinaryType()), T.StructField("meta", T.BinaryType())]))
     def both(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"text": [text_features(t).tobytes() for t in text], "meta": [meta_features(*row).tobytes() for row in zip(source, lang, n_chars, strict=True)]})
+        return pd.DataFrame({"text": [text_features(t).astype("<f4").tobytes() for t in text], "meta": [meta_features(*row).astype("<f4").tobytes() for row in zip(source, lang, n_chars, strict=True)]})
 
     return df.select("doc_id", "quality", both("text", *_meta_columns(df)).alias("f"))
 
@@ -155,12 +155,12 @@ def fit(df: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int =
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("quality")).orderBy(digest, "doc_id").limit(labelled)
     other = df.where("doc_id is not null").select("doc_id", F.lit(None).cast("double").alias("quality")).orderBy(F.xxhash64(F.lit("pool"), "doc_id"), "doc_id").limit(pool)
     wanted = F.broadcast(known.unionByName(other))  # at most labelled + pool rows of two numbers
-    rows = _features(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *_meta_columns(df)).join(wanted, "doc_id")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"] is None))
-    array = lambda some, name, n: np.frombuffer(b"".join(bytes(r["f"][name]) for r in some)).reshape(-1, n)
-    first, rest = [r for r in rows if r["quality"] is not None], [r for r in rows if r["quality"] is None]
-    held = np.array([zlib.crc32(b"held %d" % r["doc_id"]) % 4 == 0 for r in first], bool)
-    y = np.array([r["quality"] for r in first])
+    found = _features(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *_meta_columns(df)).join(wanted, "doc_id")).select("doc_id", "quality", "f.*").toArrow().to_pydict()
+    order = sorted(range(len(found["doc_id"])), key=lambda i: (found["doc_id"][i], found["quality"][i] is None, found["text"][i]))
+    first, rest = [i for i in order if found["quality"][i] is not None], [i for i in order if found["quality"][i] is None]
+    array = lambda some, name, n: np.frombuffer(b"".join(found[name][i] for i in some), "<f4").reshape(-1, n).astype(np.float64)
+    held = np.array([zlib.crc32(b"held %d" % found["doc_id"][i]) % 4 == 0 for i in first], bool)
+    y = np.array([found["quality"][i] for i in first])
     return co_train(array(first, "text", TEXT_FEATURES), array(first, "meta", META_FEATURES), y, held, array(rest, "text", TEXT_FEATURES), array(rest, "meta", META_FEATURES), rounds)
 
 

@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-CHUNK = 8 << 20  # bytes of text
-BUCKET_BYTES = 2 << 20  # bytes of the table's files
-BATCH = 1 << 20
+CHUNK = 4 << 20  # bytes of text
+BUCKET_BYTES = 1 << 20  # bytes of the table's files
+BATCH = 1 << 19
+HELD = 6 << 20  # bytes of contexts that are packed together
 SENT_BITS = np.uint64((1 << 40) - 1)  # of an anchor's hash; enough to find candidates, whose contexts carry all of it
 PLACE = np.uint64((1 << 24) - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -55,6 +56,18 @@ class Roller:
             self.power, self.inverse = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, BATCH), x, np.uint64)])) for x in (self.base, pow(self.base, -1, 1 << 64)))
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.power[:n])])
 
+    def hashes(self, value_of: Callable[[np.ndarray], np.ndarray], symbols: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hashes of short runs that start in ascending order, a stretch of symbols at a time."""
+        out = np.empty(len(start), np.uint64)
+        at = 0
+        while at < len(start):
+            base = int(start[at])
+            to = max(at + 1, int(np.searchsorted(start, base + BATCH // 2)))
+            sums = self.sums(value_of(symbols[base : int(stop[at:to].max())]))
+            out[at:to] = self.runs(sums, start[at:to] - base, stop[at:to] - base)
+            at = to
+        return out
+
     def runs(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return _mix((sums[stop] - sums[start]) * self.inverse[start])
 
@@ -252,6 +265,21 @@ CONTEXTS = ("<u8", "<i8", "<u4", "<u4", "u1", "u1")
 SENT = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("packed", pa.binary())])
 
 
+def _by_bucket(parts: list[tuple[np.ndarray, ...]], g: int, buckets: int) -> list[tuple]:
+    found, *columns, size, taken = (np.concatenate(c) for c in zip(*parts, strict=True))
+    bucket = _bucket(found & SENT_BITS, buckets)
+    order = np.argsort(bucket, kind="stable")
+    first = np.cumsum(size) - size
+    out = []
+    for k, part in _parts(bucket[order]):
+        own = order[part]
+        sizes = size[own]
+        ends = np.cumsum(sizes)
+        symbols = taken[np.repeat(first[own] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+        out.append((k, g, _pack(found[own], *(c[own] for c in columns), symbols)))
+    return out
+
+
 def _sent_contexts(units: Units, buckets: int):
     def run(chunks: pa.Table, repeated: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -259,6 +287,7 @@ def _sent_contexts(units: Units, buckets: int):
         for g, packed in zip(chunks["g"].to_pylist(), chunks["packed"].to_pylist(), strict=True) if len(known) else ():
             ids, chunk, bounds = _rows(packed)
             parts: list[tuple[np.ndarray, ...]] = []
+            held = 0
             for at, data, offsets in batches_of(chunk, bounds):
                 values, symbols, places = units.cut(data, offsets)
                 row, anchor, start, number, found = seeds(values, places, units.window, units.gram)
@@ -271,18 +300,12 @@ def _sent_contexts(units: Units, buckets: int):
                 ends = np.cumsum(size)
                 taken = symbols[np.repeat(start - ends + size, size) + np.arange(int(size.sum()))]
                 parts.append((found, ids[at + row], (at + row).astype("<u4"), (start - places[row]).astype("<u4"), (anchor - start).astype(np.uint8), number.astype(np.uint8), size, taken))
-            if not parts:
-                continue
-            found, *columns, size, taken = (np.concatenate(c) for c in zip(*parts, strict=True))
-            bucket = _bucket(found & SENT_BITS, buckets)
-            order = np.argsort(bucket, kind="stable")
-            first = np.cumsum(size) - size
-            for k, part in _parts(bucket[order]):
-                own = order[part]
-                sizes = size[own]
-                ends = np.cumsum(sizes)
-                symbols = taken[np.repeat(first[own] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-                out.append((k, g, _pack(found[own], *(c[own] for c in columns), symbols)))
+                held += taken.nbytes
+                if held > HELD:
+                    out += _by_bucket(parts, g, buckets)
+                    parts, held = [], 0
+            if parts:
+                out += _by_bucket(parts, g, buckets)
         return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(SENT.types)], schema=SENT)
 
     return run
@@ -301,6 +324,10 @@ class Contexts:
     symbols: np.ndarray
 
 
+def value_of(symbols: np.ndarray) -> np.ndarray:
+    return ROLLER.byte[symbols] if symbols.dtype == np.uint8 else _mix(symbols.astype(np.uint64) * MIX + np.uint64(77))
+
+
 FLAGGED = pa.schema([("g", pa.int64()), ("packed", pa.binary())])
 
 
@@ -314,8 +341,7 @@ def _resolved(units: Units, smallest: Callable[[Contexts, Units], np.ndarray]):
         size = number - 1 + units.window
         stop = np.cumsum(size)
         offset = stop - size
-        values = ROLLER.byte[symbols] if symbols.dtype == np.uint8 else _mix(symbols.astype(np.uint64) * MIX + np.uint64(77))
-        content = ROLLER.runs(ROLLER.sums(values), offset, stop) ^ _mix(anchor + lead.astype(np.uint64) * np.uint64(257) + number.astype(np.uint64))
+        content = ROLLER.hashes(value_of, symbols, offset, stop) ^ _mix(anchor + lead.astype(np.uint64) * np.uint64(257) + number.astype(np.uint64))
         order = np.lexsort((doc_id, content, anchor))
         fresh = np.ones(len(order), bool)
         fresh[1:] = (content[order][1:] != content[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])

@@ -20,35 +20,41 @@ from pyspark.sql import DataFrame
 from . import anchors
 
 WINDOW = 50
-GRAM = 25
+GRAM = 20
+SHORT = 4
+
+
+def _shorten(jump: list[int], p: int, to: int) -> None:
+    """Searches that come this way again go straight to `to`."""
+    while p > to:
+        jump[p], p = to, jump[p]
 
 
 def suffix_array(text: list[int]) -> list[int]:
     """The suffixes of text in order. Its last symbol must be smaller than all others."""
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
-    place, group, size = [0] * n, [0] * n, [0] * n
-    start, before = 0, None
-    for i, s in enumerate(order):
-        place[s] = i
-        if text[s] != before:
-            start, before = i, text[s]
-        group[s] = start
-        size[start] += 1
+    symbols = np.array(text)
+    ranked = np.argsort(symbols, kind="stable")
+    fresh = np.ones(n, bool)
+    fresh[1:] = symbols[ranked][1:] != symbols[ranked][:-1]
+    heads = np.flatnonzero(fresh)
+    count = np.zeros(n, np.int64)
+    count[heads] = np.diff(np.append(heads, n))
+    where, own = np.empty(n, np.int64), np.empty(n, np.int64)
+    where[ranked], own[ranked] = np.arange(n), np.repeat(heads, count[heads])
+    order, place, group, size = ranked.tolist(), where.tolist(), own.tolist(), count.tolist()
     smaller, jump = [-1] * n, list(range(-1, n - 1))  # jump: where the search for a lower group goes on
     end = n - 1
     while end >= 0:
         start = group[order[end]]
         if start == end:  # one suffix: at most one is moved, and it needs no count
             s = order[end]
-            p = s - 1
-            if p >= 0 and group[p] >= start:
-                seen = [s]
-                while p >= 0 and group[p] >= start:
-                    seen.append(p)
-                    p = jump[p]
-                for q in seen:
-                    jump[q] = p
+            p, steps = s - 1, 0
+            while p >= 0 and group[p] >= start:
+                p = jump[p]
+                steps += 1
+            if steps > SHORT:
+                _shorten(jump, s - 1, p)
             smaller[s] = jump[s] = p
             if p >= 0:
                 h = group[p]
@@ -63,14 +69,13 @@ def suffix_array(text: list[int]) -> list[int]:
             continue
         counts: dict[int, int] = {}
         for s in sorted(order[start : end + 1]):
-            p = s - 1
-            seen = [s]
+            p, steps = s - 1, 0
             while p >= 0 and group[p] >= start:
-                seen.append(p)
                 p = jump[p]
-            for q in seen:
-                jump[q] = p
-            smaller[s] = p
+                steps += 1
+            if steps > SHORT:
+                _shorten(jump, s - 1, p)
+            smaller[s] = jump[s] = p
             if p >= 0:
                 counts[p] = counts.get(p, 0) + 1
         by_count: dict[int, list[int]] = {}
@@ -107,40 +112,82 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
+def _may_share(contexts: anchors.Contexts, units: anchors.Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts that may share a window with another of their anchor, and which of their windows, from and to. A window has
+    half of its symbols beside the gram, or more, on one side: so its context agrees with another one in as many there."""
+    spare = units.window - units.gram
+    half = spare // 2
+    at, stop = contexts.offset + contexts.lead, contexts.offset + contexts.number - 1 + units.window
+    agrees = []
+    for left, right in ((half, 0), (0, spare - half)):
+        found = np.zeros(len(at), bool)
+        ok = np.flatnonzero((at - left >= contexts.offset) & (at + units.gram + right <= stop))
+        _, back, n = np.unique(anchors.ROLLER.hashes(anchors.value_of, contexts.symbols, at[ok] - left, at[ok] + units.gram + right), return_inverse=True, return_counts=True)
+        found[ok] = n[back] > 1
+        agrees.append(found)
+    by_left, by_right = agrees
+    near = np.clip(contexts.lead - half + 1, 0, contexts.number)  # from here on windows have less than half on the left
+    first, last = np.where(by_left, 0, near), np.where(by_right, contexts.number, near)
+    same = contexts.anchor[1:] == contexts.anchor[:-1]
+    rows = np.flatnonzero((first < last) & (np.concatenate([same, [False]]) | np.concatenate([[False], same])))
+    return rows, first[rows], last[rows]
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each count, end to end."""
+    ends = np.cumsum(count)
+    return np.repeat(first - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def smallest_by_suffix_order(contexts: anchors.Contexts, units: anchors.Units) -> np.ndarray:
-    """For each window of each context the smallest doc_id of a context that holds it."""
-    number, total = contexts.number, int(contexts.number.sum())
+    """For each window of each context the smallest doc_id of a context that holds it.
+
+    What of two contexts may be shared is often the same text: it is sorted once, under the smaller doc_id."""
+    number = contexts.number
     first = np.cumsum(number) - number
-    context = np.repeat(np.arange(len(number)), number)
-    best = contexts.doc_id[context].copy()
-    same = contexts.anchor[1:] == contexts.anchor[:-1]
-    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    rows = np.flatnonzero(shared)
+    best = np.repeat(contexts.doc_id, number)
+    rows, begin, end = _may_share(contexts, units)
+    if not len(rows):
+        return best
+    start, count = contexts.offset[rows] + begin, end - begin
+    size = count - 1 + units.window
+    place = (contexts.lead[rows] - begin).astype(np.uint64) * np.uint64(257) + size.astype(np.uint64)
+    key = anchors.ROLLER.hashes(anchors.value_of, contexts.symbols, start, start + size) ^ anchors._mix(contexts.anchor[rows] + place)
+    order = np.lexsort((key, contexts.anchor[rows]))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (key[order][1:] != key[order][:-1]) | (contexts.anchor[rows[order]][1:] != contexts.anchor[rows[order]][:-1])
+    part = np.empty(len(order), np.int64)
+    part[order] = np.cumsum(fresh) - 1
+    head = order[fresh]
+    doc_id = np.full(len(head), np.iinfo(np.int64).max)
+    np.minimum.at(doc_id, part, contexts.doc_id[rows])
+    anchor, counts, sizes, starts = contexts.anchor[rows[head]], count[head], size[head], start[head]
+    firsts = np.cumsum(counts) - counts
+    least = np.repeat(doc_id, counts)
+    same = anchor[1:] == anchor[:-1]
+    many = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
     at = 0
-    while at < len(rows):  # some anchors together, whole
-        to = min(len(rows), at + 4096)
-        while to < len(rows) and contexts.anchor[rows[to]] == contexts.anchor[rows[to - 1]]:
+    while at < len(many):  # some anchors together, whole
+        to = min(len(many), at + 2048)
+        while to < len(many) and anchor[many[to]] == anchor[many[to - 1]]:
             to += 1
-        own = rows[at:to]
-        sizes = number[own] - 1 + units.window
-        ends = np.cumsum(sizes)
-        text = contexts.symbols[np.repeat(contexts.offset[own] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-        order = np.array(suffix_array([*(text.astype(np.int64) + 1).tolist(), 0]))
+        own = many[at:to]
+        text = contexts.symbols[_spread(starts[own], sizes[own])]
+        suffixes = np.array(suffix_array([*(text.astype(np.int64) + 1).tolist(), 0]))
         window = np.full(len(text) + 1, -1, np.int64)
-        count = number[own]
-        steps = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        window[np.repeat(ends - sizes, count) + steps] = np.repeat(first[own], count) + steps
-        order = order[window[order] >= 0]
+        window[_spread(np.cumsum(sizes[own]) - sizes[own], counts[own])] = _spread(firsts[own], counts[own])
+        suffixes = suffixes[window[suffixes] >= 0]
         views = np.lib.stride_tricks.sliding_window_view(text, units.window)
-        fresh = np.ones(len(order), bool)
-        for a in range(1, len(order), 1 << 16):
-            b = min(len(order), a + (1 << 16))
-            fresh[a:b] = (views[order[a:b]] != views[order[a - 1 : b - 1]]).any(1)
+        fresh = np.ones(len(suffixes), bool)
+        for a in range(1, len(suffixes), 1 << 16):
+            b = min(len(suffixes), a + (1 << 16))
+            fresh[a:b] = (views[suffixes[a:b]] != views[suffixes[a - 1 : b - 1]]).any(1)
         heads = np.flatnonzero(fresh)
-        least = np.minimum.reduceat(best[window[order]], heads)
-        best[window[order]] = np.repeat(least, np.diff(np.append(heads, len(order))))
+        smallest = np.minimum.reduceat(least[window[suffixes]], heads)
+        least[window[suffixes]] = np.repeat(smallest, np.diff(np.append(heads, len(suffixes))))
         at = to
-    assert len(best) == total
+    to = _spread(first[rows] + begin, count)
+    best[to] = np.minimum(best[to], least[_spread(firsts[part], count)])
     return best
 
 

@@ -96,23 +96,24 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit(df: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Prototypes from columns doc_id, text, lang (neither null). Of each language the rows with the smallest digests of
-    their ids are taken: first in every partition, then in all of them."""
+    their ids are taken: first in every partition, then of these; only then are texts read."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         for batch in batches:
-            for doc_id, text, lang in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "lang")), strict=True):
+            for doc_id, lang in zip(batch["doc_id"].to_pylist(), batch["lang"].to_pylist(), strict=True):
                 rows = held.setdefault(lang, [])
-                rows.append((zlib.crc32(b"fit %d" % doc_id), doc_id, text))
+                rows.append((zlib.crc32(b"fit %d" % doc_id), doc_id))
                 if len(rows) >= 2 * per_language:
                     rows.sort()
                     del rows[per_language:]
         out = [(lang, *row) for lang, rows in held.items() for row in sorted(rows)[:per_language]]
-        for at in range(0, len(out), 500):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out[at : at + 500], strict=True)], names=["lang", "place", "doc_id", "text"])
+        for at in range(0, len(out), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out[at : at + 10_000], strict=True)], names=["lang", "place", "doc_id"])
 
-    rows = df.select("doc_id", "text", "lang").mapInArrow(first, "lang string, place long, doc_id long, text string")
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).where(F.col("n") <= per_language)
+    picked = df.select("doc_id", "lang").mapInArrow(first, "lang string, place long, doc_id long")
+    picked = picked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).where(F.col("n") <= per_language).select("doc_id").distinct()
+    rows = df.join(F.broadcast(picked), "doc_id")  # at most per_language numbers of each language
 
     def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -27,7 +27,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 24, 6
 RECALL = 0.99999
-BLOCK_SETS, BLOCK_SHINGLES = 4096, 1 << 21
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 
 
 def prefix_length(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:

@@ -116,9 +116,13 @@ def guarded(covered: DataFrame, docs: DataFrame, required: DataFrame, query: str
     return joined.select(query, key, F.when(F.coalesce("needed", F.lit(0)) <= F.coalesce("has", F.lit(0)), F.col("coverage")).otherwise(F.lit(0.0)).alias("coverage"), "n_present")
 
 
-def best_passage(text: Column, terms: Column, weights: Column, title_terms: Column | None = None, lines: int = PASSAGE_LINES) -> Column:
-    """The best coverage of terms (with their weights) over all runs of `lines` lines; title terms count in each of them."""
-    own = F.transform(F.split(text, "\n"), lambda line: F.transform(T.tokens(line), T.stem))
+def passage_lines(text: Column) -> Column:
+    """The stems of each line; to be a column of its own, as best_passage reads it for every run of lines."""
+    return F.transform(F.split(text, "\n"), lambda line: F.transform(T.tokens(line), T.stem))
+
+
+def best_passage(own: Column, terms: Column, weights: Column, title_terms: Column | None = None, lines: int = PASSAGE_LINES) -> Column:
+    """The best coverage of terms (with their weights) over all runs of `lines` of the passage lines; title terms count in each."""
     title = title_terms if title_terms is not None else F.array().cast("array<string>")
     starts = F.sequence(F.lit(0), F.greatest(F.size(own) - lines, F.lit(0)))
 

@@ -191,7 +191,8 @@ def ubiquitous_stems(spark, d):
 def passage_windows(spark, d):
     terms = F.array(*map(F.lit, ("of", "hand", "tion", "ation", "onat", "ed")))
     docs = read(spark, d, "documents").where("length(text) < 4000")
-    return docs.select("doc_id", F.round(lexical.best_passage(F.coalesce("text", F.lit("")), terms, F.array_repeat(F.lit(1.0), 6)), 6).alias("coverage"))
+    lined = docs.select("doc_id", lexical.passage_lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    return lined.select("doc_id", F.round(lexical.best_passage(F.col("lines"), terms, F.array_repeat(F.lit(1.0), 6)), 6).alias("coverage"))
 
 
 @query(r"""

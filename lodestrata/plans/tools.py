@@ -41,17 +41,19 @@ def checked_page(top_k: int, offset: int = 0) -> tuple[int, int]:
 class Engine:
     def __init__(self, spark: SparkSession, family: str, platform: str, chunks: DataFrame):
         self.spark, self.family, self.platform = spark, family, platform
-        self.chunks = chunks.select("chunk_id", "ord", "text", predicates.chunk_kind("text").alias("kind"), grammar.fqn("text").alias("fqn"))
+        self.chunks = chunks.select("chunk_id", "ord", "text", predicates.chunk_kind("text").alias("kind"), grammar.fqn("text").alias("fqn"), predicates.category("text").alias("category")).cache()  # read by every stage
 
     def _miss(self, reason: str, schema: str) -> DataFrame:
         return self.spark.createDataFrame([(False, reason)], "found boolean, reason string").selectExpr("found", "reason", *(f"cast(null as {kind}) as {name}" for name, kind in (x.split(" ", 1) for x in schema.split(", "))))
 
     def _terms(self, query: str, pool: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         """Weighted and required terms of one query, and how many."""
-        asked = self.spark.createDataFrame([(0, query)], "q int, query string")
-        terms = asked.select("q", F.explode(T.query_terms("query", T.excluded_terms(self.family, self.platform))).alias("term"))
-        required = asked.select("q", F.explode(T.required_terms("query")).alias("term"))
-        return lexical.weighted_terms(pool, terms, "chunk_id"), required, terms.count()
+        asked = self.spark.createDataFrame([(query,)], "query string")
+        said = asked.select(T.stemmed_terms("query").alias("terms"), T.required_terms("query").alias("required")).first()  # one query's words
+        excluded = set(asked.select(T.excluded_terms(self.family, self.platform).alias("x")).first()["x"])
+        kept = [t for t in said["terms"] if t not in excluded] or said["terms"]
+        frame = lambda words: self.spark.createDataFrame([(0, w) for w in words], "q int, term string")
+        return lexical.weighted_terms(pool, frame(kept), "chunk_id").cache(), frame(said["required"]), len(kept)
 
     def search_docs(self, query: str, content_type: str | None = None, top_k: int = 10) -> DataFrame:
         """found, reason, match_quality, chunk_id, category, coverage, score: confident, else partial, else nearest vectors."""
@@ -59,7 +61,7 @@ class Engine:
         columns = "match_quality string, chunk_id string, category string, coverage double, score double"
         if content_type is not None and content_type not in predicates.CATEGORIES:
             raise ValueError(f"content_type is one of {', '.join(predicates.CATEGORIES)}")
-        pool = self.chunks.where("kind = 'documentation'").withColumn("category", predicates.category("text"))
+        pool = self.chunks.where("kind = 'documentation'")
         if content_type:
             pool = pool.where(F.col("category") == content_type)
         if not self.spark.createDataFrame([(query,)], "q string").select(T.has_minimum_evidence("q")).first()[0]:
@@ -67,8 +69,8 @@ class Engine:
         weighted, required, n = self._terms(query, pool)
         covered = lexical.guarded(lexical.coverage(pool, weighted, "q", "chunk_id"), pool, required, "q", "chunk_id")
         listed = weighted.agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
-        passage = lexical.best_passage(F.col("text"), F.col("terms"), F.col("weights"))
-        scored = covered.join(pool, "chunk_id").crossJoin(F.broadcast(listed)).where(~predicates.table_dominated("text") | (F.col("n_present") >= 2)).withColumn("passage", passage)
+        passage = lexical.best_passage(F.col("lines"), F.col("terms"), F.col("weights"))
+        scored = covered.where(F.col("coverage") >= PARTIAL).join(pool, "chunk_id").withColumn("lines", lexical.passage_lines(F.col("text"))).crossJoin(F.broadcast(listed)).where(~predicates.table_dominated("text") | (F.col("n_present") >= 2)).withColumn("passage", passage)
         bm = lexical.bm25(pool, self.spark.createDataFrame([(0, query)], "q int, query string"), "q", "query", "chunk_id").select("chunk_id", "score")
         scored = scored.join(bm, "chunk_id", "left").select("chunk_id", "category", F.round("coverage", 6).alias("coverage"), "passage", "n_present", F.coalesce(F.round("score", 6), F.lit(0.0)).alias("score")).cache()
         order = (F.desc("coverage"), F.desc("score"), "chunk_id")

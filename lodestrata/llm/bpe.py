@@ -183,7 +183,7 @@ class TextEncoder:
 
     MOST = 64  # bytes of a chunk that is looked up
 
-    def __init__(self, vocab: Vocabulary, kept: int = 2 * KEPT, size: int = 1 << 22):
+    def __init__(self, vocab: Vocabulary, kept: int = 2 * KEPT, size: int = 1 << 20):
         self.vocab, self.kept, self.size = vocab, kept, size
         draw = np.random.default_rng(50_257)
         self.value = draw.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)

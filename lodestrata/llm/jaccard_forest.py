@@ -113,8 +113,7 @@ def _planted(length: int):
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from who shares a prefix with the rows before it to the first of these, and to the last of them where that
-    shares more; rows come sorted by prefix and label."""
+    """Edges from who shares a prefix with rows before it to the first of these; rows come sorted by prefix and label."""
     prefix, head = None, 0
     for batch in batches:
         if not batch.num_rows:

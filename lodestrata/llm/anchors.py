@@ -33,6 +33,7 @@ BATCH = 1 << 19
 HELD = 6 << 20  # bytes of contexts that are packed together
 SENT_BITS = np.uint64((1 << 40) - 1)  # of an anchor's hash; enough to find candidates, whose contexts carry all of it
 PLACE = np.uint64((1 << 24) - 1)
+STRETCH = 1 << 20  # symbols of a long row that are hashed together; their places fit PLACE
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,12 +110,31 @@ def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, stop, at = word_places(data, offsets)
-    values = ROLLER.runs(ROLLER.sums(ROLLER.byte[data]), start, stop) + (stop - start).astype(np.uint64)
+    values = ROLLER.hashes(value_of, data, start, stop) + (stop - start).astype(np.uint64)
     return values, (values >> np.uint64(32)).astype("<u4"), at
 
 
 def seeds(values: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Anchors of all windows of all rows: row, place of the anchor, first window, number of windows, hash of the gram."""
+    """Anchors of all windows of all rows: row, place of the anchor, first window, number of windows, hash of the gram.
+
+    Stretches overlap by a window less one symbol, so that each window is in one of them; an anchor that goes on in the next
+    stretch stays one."""
+    n = len(values)
+    if n <= STRETCH:
+        return _stretch_seeds(values, offsets, window, gram)
+    held = []
+    for at in range(0, max(1, n - window + 1), STRETCH - window + 1):
+        to = min(n, at + STRETCH)
+        row, anchor, start, number, found = _stretch_seeds(values[at:to], np.clip(offsets, at, to) - at, window, gram)
+        held.append((row, anchor + at, start + at, number, found))
+    row, anchor, start, number, found = (np.concatenate(c) for c in zip(*held, strict=True))
+    if not len(row):
+        return row, anchor, start, number, found
+    fresh = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
+    return row[fresh], anchor[fresh], start[fresh], np.add.reduceat(number, fresh), found[fresh]
+
+
+def _stretch_seeds(values: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     n = len(values)
     none = np.zeros(0, np.int64)
     sizes = np.diff(offsets)

@@ -84,3 +84,40 @@ def test_every_window_has_one_anchor():
     row, anchor, start, number, _ = anchors.seeds(*anchors.cut_bytes(data, offsets)[::2], 50, 25)
     assert sum(number) == sum(max(0, b - a - 49) for a, b in zip(offsets, offsets[1:], strict=False))
     assert all(s <= a and a + 25 <= s + n - 1 + 50 for a, s, n in zip(anchor, start, number, strict=True))
+
+
+@pytest.mark.parametrize("stretch", [50, 51, 64, 333])
+def test_stretches_of_a_row_give_the_same_anchors(stretch, monkeypatch):
+    data = np.random.default_rng(2).integers(97, 99, 900).astype(np.uint8)
+    offsets = np.array([0, 10, 10, 59, 110, 900])
+    whole = anchors.seeds(*anchors.cut_bytes(data, offsets)[::2], 50, 25)
+    monkeypatch.setattr(anchors, "STRETCH", stretch)
+    for a, b in zip(whole, anchors.seeds(*anchors.cut_bytes(data, offsets)[::2], 50, 25), strict=True):
+        assert a.tolist() == b.tolist()
+
+
+@pytest.mark.parametrize(("cut", "window", "gram"), [(anchors.cut_bytes, 50, 25), (anchors.cut_words, 13, 5)])
+def test_anchors_beyond_24_bits_are_those_of_the_tail_alone(cut, window, gram):
+    draw = np.random.default_rng(3)
+    tail = draw.integers(97, 123, 4000).astype(np.uint8)
+    head = draw.integers(97, 123, (1 << 24) + 500).astype(np.uint8)
+    if cut is anchors.cut_words:
+        head, tail = (np.stack([x, np.full(len(x), 32, np.uint8)], 1).ravel() for x in (head, tail))
+    whole = np.concatenate([head, tail])
+    values, _, at = cut(whole, np.array([0, len(whole)]))
+    _, anchor, start, number, found = anchors.seeds(values, at, window, gram)
+    assert number.sum() == at[-1] - window + 1 and (anchor >= start).all() and (anchor - start <= window - gram).all()
+    values, _, at = cut(tail, np.array([0, len(tail)]))
+    _, own_anchor, own_start, own_number, own_found = anchors.seeds(values, at, window, gram)
+    n, shift = len(own_anchor) - 1, (1 << 24) + 500
+    assert (anchor[-n:] - shift).tolist() == own_anchor[1:].tolist() and (start[-n:] - shift).tolist() == own_start[1:].tolist()
+    assert number[-n:].tolist() == own_number[1:].tolist() and found[-n:].tolist() == own_found[1:].tolist()
+
+
+def test_a_repeat_behind_16_mib_goes(spark):
+    tail = " ".join(hashlib.md5(b"tail %d" % i).hexdigest() for i in range(30))
+    filler = "concat_ws(' ', transform(sequence(1, 520000), i -> md5(cast(i as string))))"
+    long = spark.sql(f"SELECT 1L AS doc_id, concat({filler}, ' {tail} ', md5('between'), ' {tail}') AS text UNION ALL SELECT 2L, '{tail}' UNION ALL SELECT 0L, '{tail[:400]}'")
+    found = {r.doc_id: r for r in suffix_dedup.remove_repeats(long).collect()}
+    assert found[1].n_bytes > 1 << 24
+    assert (found[0].n_removed, found[1].n_removed, found[2].n_removed) == (0, 800, len(tail))

@@ -2,8 +2,9 @@
 
 Coarse centroids and codebooks are fitted on a bounded sample of unit vectors; every row is then indexed under its
 centroid with the codes of its residual. A query scans the lists of its nearest centroids: a table of inner products with
-all codewords gives each code's approximate cosine (asymmetric: the query itself is not quantised), and the best of each
-block are reranked by the exact cosine of the original vectors. How many lists are scanned is calibrated against brute
+all codewords gives each code's approximate cosine (asymmetric: the query itself is not quantised). It is off by the length
+of the row's quantisation error at most, so every row that may be among a block's k best by that bound is reranked by the
+exact cosine of the original vectors. How many lists are scanned is calibrated against brute
 force within the sample. Lists are cut into blocks of rows and of queries, so that a list of very many rows is many tasks.
 """
 
@@ -24,7 +25,8 @@ MOST_LISTS = 1024
 CODEWORDS = 256
 SUBSPACE = 4
 RECALL = 0.98
-RERANK = 64
+RERANK_ROWS = 4_096  # rows that are reranked at a time
+SLACK = 1e-9  # what rounding may change
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2_048
 
 
@@ -64,6 +66,11 @@ class Index:
         rest = self.padded(unit - self.centres[own])
         return own, np.stack([_nearest(rest[:, SUBSPACE * s : SUBSPACE * (s + 1)], book) for s, book in enumerate(self.books)], 1).astype(np.uint8)
 
+    def errors(self, unit: np.ndarray, codes: np.ndarray, centre: int) -> np.ndarray:
+        """Lengths of what the codes of one list's rows leave out; no approximate cosine is off by more."""
+        rest = self.padded(unit - self.centres[centre])
+        return np.sqrt(sum(((rest[:, SUBSPACE * s : SUBSPACE * (s + 1)] - book[codes[:, s]]) ** 2).sum(1) for s, book in enumerate(self.books)))
+
     def lists_of(self, unit: np.ndarray) -> np.ndarray:
         return np.argsort(-(unit @ self.centres.T), axis=1, kind="stable")[:, : self.probes]
 
@@ -159,6 +166,7 @@ def search(df: DataFrame, every: int = 50, k: int = 5, recall: float = RECALL) -
             ids, vectors = rows["vec_id"].to_numpy(), _matrix(rows["vector"])
             codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
             norms, centre = np.sqrt((vectors * vectors).sum(1)), int(rows["list"].iloc[0])
+            off = index.errors(vectors / norms[:, None], codes, centre) + SLACK
             for at in range(0, len(queries), 64):
                 part = queries.iloc[at : at + 64]
                 asked_ids, own = part["query_id"].to_numpy(), _matrix(part["query"])
@@ -167,10 +175,11 @@ def search(df: DataFrame, every: int = 50, k: int = 5, recall: float = RECALL) -
                 scores[asked_ids[:, None] == ids[None, :]] = -np.inf
                 for q, row in enumerate(scores):
                     best = np.flatnonzero(row > -np.inf)
-                    if len(best) > RERANK:
-                        least = np.partition(row, -RERANK)[-RERANK]
-                        above = np.flatnonzero(row > least)
-                        best = np.concatenate([above, np.flatnonzero(row == least)[: RERANK - len(above)]])
+                    if len(best) > k:
+                        best = best[(row + off)[best] >= np.partition((row - off)[best], -k)[-k]]
+                    if len(best) > k:
+                        near = np.concatenate([vectors[best[a : a + RERANK_ROWS]] @ own[q] for a in range(0, len(best), RERANK_ROWS)]) / (norms[best] * scale[q])
+                        best = best[near >= np.partition(near, -k)[-k] - SLACK]
                     exact = (vectors[best] * own[q]).sum(1) / (norms[best] * scale[q])
                     order = np.lexsort((ids[best], -exact))[:k]
                     out.append((np.full(len(order), asked_ids[q]), ids[best][order], exact[order]))

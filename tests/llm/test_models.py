@@ -96,3 +96,18 @@ def test_ties_and_unfit_vectors(spark):
     assert ivfpq.search(df.where("false")).count() == 0
     assert ivfpq.search(df.where("vec_id in (0, 100)")).count() == 2
     assert ivfpq.search(df.where("vec_id = 0")).count() == 0
+
+
+def test_recall_among_near_copies(spark):
+    """A third of the rows are near copies of one vector: their codes are equal, their neighbours are not."""
+    draw = np.random.default_rng(5)
+    vectors = draw.normal(size=(6000, 16))
+    copies = draw.permutation(6000)[:2000]
+    vectors[copies] = vectors[0] + 1e-3 * draw.normal(size=(2000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    want = exact(np.arange(6000), vectors, 50, 5)
+    found = {}
+    for r in ivfpq.search(rows).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    for some in (set(copies.tolist()) & set(want), set(want) - set(copies.tolist())):
+        assert np.mean([len(set(found[q]) & set(want[q])) / 5 for q in some]) > 0.9

@@ -22,13 +22,15 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
+#: A long upper-case hex number is a candidate of its own, whatever token characters stand beside it; these make one too if
+#: there are enough of them.
+CANDIDATE = r"[0-9A-F]{24,}|(?=[A-Za-z0-9+/_=-]{24})(?![A-Za-z0-9+/_=-]{1,23}?(?<![0-9A-F])[0-9A-F]{24})[A-Za-z0-9+/_=-]{24,}?(?=(?<![0-9A-F])[0-9A-F]{24}|(?![A-Za-z0-9+/_=-]))"
 #: What marks a candidate as a sample, a name or a path.
 ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|your[_-]",
     r"^[A-Za-z]+$",
     r"^[0-9]+$",
-    r"^[=_/+-]+|(.)\1{7,}",
+    r"^[=_/+-]+$|(.)\1{7,}",
     r"(?i)abcdefgh|01234567|12345678|qwerty",
     r"^/?[A-Za-z]{2,}(?:[/_=-]+[A-Za-z]{2,}|[/_=-]+[0-9]{1,4})+[/=_-]*$",
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",

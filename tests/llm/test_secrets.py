@@ -100,3 +100,25 @@ def test_entropy_of_a_window(spark):
     for r in rows:
         want = entropy(r.x, letters)
         assert (r.e is None) == (want is None) and (want is None or abs(r.e - want) < 1e-9)
+
+
+def test_planted_secrets_behind_signs_and_names_are_found(spark):
+    number, random_ = "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B2B0B822C", "q7Rz2LmX9vKd4TnB8wYcJ5hGf3PsQ6Ua"
+    planted = {
+        f"use --auth={random_} here": f"--auth={random_}",
+        f"cfg[0]={random_}": f"={random_}",
+        f"+{random_}==": f"+{random_}==",
+        f"/{random_}": f"/{random_}",
+        f"SIGNING_KEY={number}": number,
+        f"{number}-x": number,
+        f"a_rather_long_name_of_a_key_={number}=": number,
+        number: number,
+    }
+    plain_ = ["=_-+/=_-+/=_-+/=_-+/=_-+/=_-+/", "=" * 60]
+    rows = list(enumerate([*planted, *plain_]))
+    found = {r.doc_id: r for r in secrets.secret_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc_id, text in rows:
+        want = planted.get(text)
+        assert found[doc_id].spans == ("" if want is None else f"entropy:{text.index(want)}:{text.index(want) + len(want)}"), text
+    hidden = secrets.redact_secrets(spark.createDataFrame(rows[: len(planted)], "doc_id long, text string")).collect()
+    assert not any(random_ in r.text or number in r.text for r in hidden)

@@ -183,13 +183,14 @@ def _verified(threshold: float):
         cluster, side, rep, copies = (table[c].to_numpy() for c in ("cluster", "side", "rep", "copies"))
         many = table["many"].to_numpy()
         blobs = table["shingles"].to_pylist()
+        apart = bool((table["i"].to_numpy() != table["j"].to_numpy()).any())  # two blocks, not one with itself; only where a cluster has blocks
         order = np.lexsort((rep, side, cluster))
         out: list[list[np.ndarray]] = []
         for _, part in anchors._parts(cluster[order]):
             own = order[part]
             sets = [np.frombuffer(blobs[i], np.uint64) for i in own]
-            split = int((side[own] == 0).sum()) if (side[own] == 1).any() else len(own)
-            if split == 0:
+            split = int((side[own] == 0).sum())
+            if apart and split in (0, len(own)):  # one of the blocks is empty
                 continue
             linked = _linked(sets, split, threshold)
             reps, n = rep[own], copies[own]

@@ -93,3 +93,16 @@ def test_components(spark):
     own = {x for a, b in edges if a != b for x in (a, b)}
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {x: find(x) for x in own}
+
+
+@pytest.mark.parametrize("copies", [2, 3])
+def test_empty_blocks_count_nothing(spark, copies, monkeypatch):
+    monkeypatch.setattr(jaccard_forest, "BLOCK_SHINGLES", 40)
+    draw = random.Random(copies)
+    rows = []
+    for _ in range(12):
+        text = [f"w{draw.randint(0, 4000)}" for _ in range(90)]
+        rows += [(len(rows) + n, " ".join([*text, *["end"] * n])) for n in range(copies)]
+    found = jaccard_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, found)) == brute(rows)
+    assert {r.n_links for r in found} == {copies - 1}

@@ -43,3 +43,11 @@ def test_runs_are_merged_within_a_task():
     rows = list(index.drain())
     assert sorted((doc, ident) for doc, _, ident, _ in rows) == [(0, -4), (1, -5), (2, -4), (3, -5), (4, -4), (5, -5)]
     assert sorted(n for *_, n in rows if n) == [3, 3]
+
+
+def test_two_texts_of_one_id_do_not_clash(spark):
+    rows = [(1, "a"), (1, "b"), (2, "a"), (3, "b"), (4, "c"), (1, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    size, best = Counter(t for _, t in rows), {"a": 2, "b": 3, "c": 4}
+    want = sorted((i, best[t], size[t], i == best[t], hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+    assert sorted(map(tuple, exact_lsm.exact_dedup(df, "largest").collect())) == want

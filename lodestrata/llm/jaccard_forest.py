@@ -1,22 +1,30 @@
 """Near-duplicate join over word shingles by a MinHash LSH forest with exact verification.
 
-A document is the set of its runs of five words. Equal sets become one representative. The forest has TREES tries; in each
-a representative's label is DEPTH minhashes, 16 bits of each. Labels are sorted; who shares a prefix stands together. The
-prefix starts at full depth and is shortened until the share of pairs at the threshold that meet in some trie reaches the
-target recall. Representatives that meet are linked in stars, and the components of these are the candidates' clusters.
-
-Within a cluster every pair is compared by its exact Jaccard similarity, whether it met in a trie or not, and counted, not
-written out. Clusters of much text or many sets are cut into blocks, and each pair of blocks is a task. What leaves a task
-is one row a representative and block pair: its number of links there and the root of its component there.
+A document is the set of its runs of five words. Equal sets become one representative, with a number of its own (doc_ids
+may be shared by different texts). The forest has TREES prefix tries; a representative's label in each is DEPTH minhashes,
+16 bits of each. Labels are sorted, so who shares a prefix stands together, and every trie is walked from full depth up:
+
+1. among those that share the whole label one leads, and those whose signatures agree with its closely enough to stand for
+   it are led: they leave the walk. Leaders go on to the next shorter prefix, down to the floor, the length at which pairs at
+   the threshold meet in some trie with the target recall. Each task walks its own labels first, so that only leaders are
+   shuffled: a group of near copies, however large, is a few rows of each task;
+2. an edge is a leader and who meets it with a signature that may still belong to a linked pair; pairs that meet by chance
+   give none, and of pairs that other edges connect none is needed. Of all pairs that met and agree as linked ones do, the share that meets at each depth is measured over all
+   data: prefixes are shortened only until that share reaches the target recall;
+3. components of the edges are the clusters. Within a cluster pairs are compared by the exact Jaccard similarity of their
+   sets and counted, not written out. Clusters of many shingles are cut into blocks, and each pair of blocks is a task. What
+   leaves a task is one row a representative and block pair: its number of links there and the root of its component there.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +35,14 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 24, 6
 RECALL = 0.99999
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+SPREAD = 0.15  # what a signature's estimate may be below the similarity, about four standard deviations
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
+PLANTED = 4_096  # representatives whose labels are walked together before the shuffle
+GROUP_SHINGLES = 1 << 18  # of small clusters that are verified together
 
 
-def prefix_length(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which pairs at the threshold meet in some trie with the target recall."""
+def floor_length(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
+    """The longest prefix at which pairs at the threshold meet in some trie with the target recall: none shorter is needed."""
     length = depth
     while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
         length -= 1
@@ -73,7 +84,7 @@ class MinHash:
         return out
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("n", pa.int64()), ("labels", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("same", pa.binary()), ("n", pa.int64()), ("labels", pa.binary())])
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,44 +100,192 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same: list = [None] * len(sizes)
             for row, label in zip(some.tolist(), labels, strict=True):
                 held[row] = label.astype(">u2").tobytes()
-                same[row] = hashlib.blake2b(found[at[row] : at[row + 1]].tobytes(), digest_size=16).digest()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(sizes)]), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], schema=SIGNED)
+                same[row] = _digest(found[at[row] : at[row + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(sizes)]), batch["text_sha256"].slice(first, len(sizes)), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], schema=SIGNED)
+
+
+def _binary(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes."""
+    n, width = matrix.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, np.int32)), pa.py_buffer(np.ascontiguousarray(matrix))])
+
+
+def _sketches(labels: np.ndarray) -> np.ndarray:
+    """Two bits of each minhash, 32 to a word."""
+    n, number = labels.shape
+    bits = np.zeros((n, -(-number // 32) * 32), np.uint64)
+    bits[:, :number] = labels & np.uint16(3)
+    return np.bitwise_or.reduce(bits.reshape(n, -1, 32) << np.arange(0, 64, 2, dtype=np.uint64), axis=2)
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the minhashes of each pair agree by two bits."""
+    differ = a ^ b
+    return TREES * DEPTH - np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1).astype(np.int64)
+
+
+def agreement(similarity: float) -> float:
+    """How many minhashes are expected to agree by two bits: unequal ones do so once in four."""
+    return TREES * DEPTH * (0.25 + 0.75 * max(0.0, similarity))
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """From which agreement one leads another, and from which they share an edge. If a and b are linked and each is led by
+    another, these two leaders differ by no more than the three distances between them together."""
+
+    lead: float
+    edge: float
+
+    @staticmethod
+    def of(threshold: float) -> Bounds:
+        lead = (1 + threshold) / 2
+        return Bounds(agreement(lead), agreement(1 - 2 * (1 - lead) - (1 - threshold) - SPREAD))
+
+
+@dataclass
+class Labels:
+    """Places in the forest, sorted: the hash of a trie and its floor prefix, the levels below that, who stands there, and
+    the signature."""
+
+    prefix: np.ndarray
+    levels: np.ndarray
+    rep: np.ndarray
+    sketch: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Labels:
+        return Labels(self.prefix[rows], self.levels[rows], self.rep[rows], self.sketch[rows])
+
+    def sorted(self) -> Labels:
+        return self.take(np.lexsort((self.rep, *self.levels.T[::-1], self.prefix)))
+
+    def walk(self, floor: int, bounds: Bounds) -> tuple[np.ndarray, np.ndarray]:
+        """Edges (rep, leader, depth, agreement) and the places of those that nobody leads. Of the pairs that share a prefix and
+        an edge, those are left out that other edges connect: edges are fewer than places. Smaller reps lead larger ones, so
+        that tries agree on leaders."""
+        alive, parent, edges = np.arange(len(self.rep)), np.arange(len(self.rep)), [np.zeros((0, 4), np.int64)]
+
+        def root(x: np.ndarray) -> np.ndarray:
+            while (parent[x] != x).any():
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for depth in range(floor + self.levels.shape[1], floor - 1, -1):
+            fresh = np.ones(len(alive), bool)
+            own = self.levels[alive, : depth - floor]
+            fresh[1:] = (self.prefix[alive[1:]] != self.prefix[alive[:-1]]) | (own[1:] != own[:-1]).any(1)
+            run, led = np.cumsum(fresh), np.zeros(len(alive), bool)
+            left = np.lexsort((self.rep[alive], run))
+            while len(left):
+                first = np.concatenate([[True], run[left[1:]] != run[left[:-1]]])
+                head, rest = left[first][np.cumsum(first) - 1][~first], left[~first]
+                a, h = alive[rest], alive[head]
+                agree = _agreeing(self.sketch[a], self.sketch[h])
+                near = np.flatnonzero(agree >= bounds.edge)
+                of_a, of_h = root(a[near]), root(h[near])
+                one = np.unique(of_a, return_index=True)[1]
+                one = one[of_a[one] != of_h[one]]
+                parent[of_a[one]] = of_h[one]
+                some = near[one]
+                edges.append(np.stack([self.rep[a[some]], self.rep[h[some]], np.full(len(some), depth), agree[some]], 1))
+                led[rest[agree >= bounds.lead]] = True
+                left = rest[agree < bounds.lead]
+            alive = alive[~led]
+        found = np.concatenate(edges)
+        found[:, :2] = np.sort(found[:, :2], axis=1)
+        found = found[np.lexsort((-found[:, 2], found[:, 1], found[:, 0]))]
+        fresh = np.ones(len(found), bool)
+        fresh[1:] = (found[1:, :2] != found[:-1, :2]).any(1)
+        return found[fresh & (found[:, 0] != found[:, 1])], alive
+
+
+FOREST = pa.schema([("prefix", pa.int64()), ("levels", pa.binary()), ("rep", pa.int64()), ("sketch", pa.binary()), ("other", pa.int64()), ("depth", pa.int32()), ("agree", pa.int32())])
+
+
+def _forest(places: Labels, edges: np.ndarray) -> pa.RecordBatch:
+    """Rows of places, and of edges, which go to the task of any prefix."""
+    n, m = len(places.rep), len(edges)
+    none = lambda kind, k: pa.nulls(k, kind)
+    join = lambda x, y: pa.concat_arrays([x, y])
+    return pa.RecordBatch.from_arrays(
+        [
+            join(pa.array(places.prefix.view(np.int64)), pa.array(edges[:, 0])), join(_binary(places.levels.astype(">u2").view(np.uint8).reshape(n, -1)), none(pa.binary(), m)),
+            join(pa.array(places.rep), pa.array(edges[:, 0])), join(_binary(places.sketch.view(np.uint8).reshape(n, -1)), none(pa.binary(), m)),
+            join(none(pa.int64(), n), pa.array(edges[:, 1])), join(none(pa.int32(), n), pa.array(edges[:, 2], pa.int32())), join(none(pa.int32(), n), pa.array(edges[:, 3], pa.int32())),
+        ],
+        schema=FOREST,
+    )
+
+
+def _planted(floor: int, bounds: Bounds):
+    """The places of representatives in all tries, walked within the batch: leaders and edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PLANTED):
+                part = batch.slice(at, PLANTED)
+                n = part.num_rows
+                flat = np.frombuffer(b"".join(part["labels"].to_pylist()), ">u2").astype(np.uint16)
+                labels = flat.reshape(n, TREES, DEPTH)
+                key = np.arange(TREES, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+                for level in range(floor):
+                    key = (key ^ labels[:, :, level].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+                    key ^= key >> np.uint64(32)
+                reps = np.repeat(part["rep"].to_numpy(zero_copy_only=False), TREES)
+                places = Labels(key.ravel(), labels[:, :, floor:].reshape(n * TREES, DEPTH - floor), reps, np.repeat(_sketches(flat.reshape(n, -1)), TREES, 0)).sorted()
+                edges, leaders = places.walk(floor, bounds)
+                yield _forest(places.take(leaders), edges)
+
+    return run
 
 
-def _planted(length: int):
-    """A row for each representative and trie: the hash of its prefix, its label, itself."""
+EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("depth", pa.int32()), ("agree", pa.int32())])
+
+
+def _walked(floor: int, bounds: Bounds):
+    """Edges among the places that come sorted by prefix; a prefix may go on in the next batch. Edges go through."""
+
+    def out(edges: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(edges[:, i], t) for i, t in enumerate(EDGES.types)], schema=EDGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = -(-TREES * DEPTH // 32)
+        held: list[Labels] = []
         for batch in batches:
-            if not batch.num_rows:
+            place = pc.is_null(batch["other"])
+            found = batch.filter(pc.invert(place))
+            if found.num_rows:
+                yield pa.RecordBatch.from_arrays([found[c] for c in ("rep", "other", "depth", "agree")], schema=EDGES)
+            some = batch.filter(place)
+            n = some.num_rows
+            if not n:
+                continue
+            levels = np.frombuffer(b"".join(some["levels"].to_pylist()), ">u2").astype(np.uint16).reshape(n, DEPTH - floor)
+            sketch = np.frombuffer(b"".join(some["sketch"].to_pylist()), np.uint64).reshape(n, words)
+            held.append(Labels(some["prefix"].to_numpy().view(np.uint64), levels, some["rep"].to_numpy(), sketch))
+            last = held[-1].prefix[-1]
+            if held[0].prefix[0] == last:
                 continue
-            labels = np.frombuffer(b"".join(batch["labels"].to_pylist()), ">u2").reshape(batch.num_rows, TREES, DEPTH)
-            key = np.arange(TREES, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-            for level in range(length):
-                key = (key ^ labels[:, :, level].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-                key ^= key >> np.uint64(32)
-            reps = np.repeat(batch["rep"].to_numpy(zero_copy_only=False), TREES)
-            held = [labels[i, t].tobytes() for i in range(len(labels)) for t in range(TREES)]
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(held, pa.binary()), pa.array(reps)], names=["prefix", "label", "rep"])
+            now = Labels(*(np.concatenate([getattr(x, c) for x in held]) for c in ("prefix", "levels", "rep", "sketch")))
+            whole = now.prefix != last
+            held = [now.take(~whole)]
+            yield out(now.take(whole).sorted().walk(floor, bounds)[0])
+        if held:
+            now = Labels(*(np.concatenate([getattr(x, c) for x in held]) for c in ("prefix", "levels", "rep", "sketch")))
+            yield out(now.sorted().walk(floor, bounds)[0])
 
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from who shares a prefix with rows before it to the first of these; rows come sorted by prefix and label."""
-    prefix, head = None, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        prefixes, reps = batch["prefix"].to_numpy(zero_copy_only=False), batch["rep"].to_numpy(zero_copy_only=False)
-        new = np.ones(len(prefixes), bool)
-        new[1:] = prefixes[1:] != prefixes[:-1]
-        new[0] = prefix is None or prefixes[0] != prefix
-        place = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-        heads = np.where(place >= 0, reps[np.maximum(place, 0)], head)
-        u, v = reps[~new], heads[~new]
-        prefix, head = prefixes[-1], int(heads[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+def reached(edges: DataFrame, threshold: float, recall: float, floor: int) -> int:
+    """The longest prefix at which the target share of the pairs that agree like linked ones has met in some trie."""
+    met = {r["depth"]: r["n"] for r in edges.where(F.col("agree") >= agreement(threshold)).groupBy("depth").agg(F.count("*").alias("n")).collect()}  # at most DEPTH rows
+    total, depth, n = sum(met.values()), DEPTH, met.get(DEPTH, 0)
+    while depth > floor and n < recall * total:
+        depth -= 1
+        n += met.get(depth, 0)
+    return depth if total else floor
 
 
 def _intersections(sets: list[np.ndarray], split: int) -> np.ndarray:
@@ -188,6 +347,8 @@ def _verified(threshold: float):
         out: list[list[np.ndarray]] = []
         for _, part in anchors._parts(cluster[order]):
             own = order[part]
+            again = (rep[own][1:] == rep[own][:-1]) & (side[own][1:] == side[own][:-1])  # a row that repeats its id and text
+            own = own[np.concatenate([[True], ~again])]
             sets = [np.frombuffer(blobs[i], np.uint64) for i in own]
             split = int((side[own] == 0).sum())
             if apart and split in (0, len(own)):  # one of the blocks is empty
@@ -202,39 +363,55 @@ def _verified(threshold: float):
     return run
 
 
+def _digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of representatives; another text may have the doc_id of one, but not its digest."""
     for batch in batches:
+        same = batch["same"].to_pylist()
         for first, data, offsets in anchors.batches_of(*common.utf8(batch["text"])):
             found, at = shingles(data, offsets)
-            blobs = [found[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch["rep"].slice(first, len(blobs)), pa.array(blobs, pa.binary())], names=["rep", "shingles"])
+            own = [i for i in range(len(at) - 1) if _digest(found[at[i] : at[i + 1]]) == same[first + i]]
+            if own:
+                part = batch.take(pa.array([first + i for i in own]))
+                sets = pa.array([found[at[i] : at[i + 1]].tobytes() for i in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("rep", "cluster", "blocks", "copies")), sets], names=["rep", "cluster", "blocks", "copies", "shingles"])
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per row of df: doc_id, class_id, copy_of, n_links.
+    """One row per row of df: doc_id, class_id, copy_of, n_links, text_sha256, stays.
 
     n_links is the number of other rows whose sets of five-word shingles have a Jaccard similarity of at least `threshold`
     with this one's; class_id is the smallest doc_id of the component that these links make, copy_of the smallest doc_id
-    with the same set. Words are runs of anything but space and 0x09 to 0x0D, unchanged. A text of one to four words has
+    with the same set. stays is true on one row of each class, and on rows that repeat it. Words are runs of anything but space and 0x09 to 0x0D, unchanged. A text of one to four words has
     one shingle, all of it; a text without words, or null, is linked to nothing and a class of its own. Rows that share a
-    doc_id are different rows with one id. Rows without an id go. Other columns are ignored; an empty table gives no rows."""
-    docs = common.documents(df).where("doc_id is not null")
-    signed = common.staged(docs.mapInArrow(_signed, "doc_id long, same binary, n long, labels binary"), "signed")
-    reps = signed.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels"))
-    reps = common.staged(reps, "reps")
-
-    planted = reps.select("rep", "labels").mapInArrow(_planted(prefix_length(threshold, recall)), "prefix long, label binary, rep long")
-    edges = planted.repartition("prefix").sortWithinPartitions("prefix", "label", "rep").mapInArrow(_met, "u long, v long")
+    doc_id are different rows with one id, whether their texts are equal or not. A row without an id takes no part: it comes
+    back with null ids and no links. Texts count whole, however long. Other columns are ignored; an empty table gives no
+    rows."""
+    docs, bare = common.documents(df).where("doc_id is not null"), common.documents(df).where("doc_id is null")
+    signed = docs.withColumn("text_sha256", F.sha2("text", 256)).mapInArrow(_signed, "doc_id long, text_sha256 string, same binary, n long, labels binary")
+    signed = common.staged(signed, "signed")
+    reps = signed.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.min(F.struct("doc_id", "text_sha256"))["text_sha256"].alias("first_text"))
+    reps = common.staged(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
+
+    floor, bounds = floor_length(threshold, recall), Bounds.of(threshold)
+    forest = reps.select("rep", "labels").mapInArrow(_planted(floor, bounds), "prefix long, levels binary, rep long, sketch binary, other long, depth int, agree int")
+    walked = forest.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_walked(floor, bounds), "u long, v long, depth int, agree int")
+    edges = common.staged(walked.groupBy("u", "v").agg(F.max("depth").alias("depth"), F.max("agree").alias("agree")), "met")
+    edges = edges.where(F.col("depth") >= reached(edges, threshold, recall, floor)).select("u", "v")
     clusters = common.staged(components(edges).withColumnRenamed("node", "rep").withColumnRenamed("root", "cluster"), "clusters")
 
-    members = clusters.join(reps.select("rep", "copies", "n", "same"), "rep")
+    members = clusters.join(reps.select("rep", "doc_id", "copies", "n", "same"), "rep")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    blocks = sizes.select("cluster", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.select("rep", "cluster", "copies", "same").join(blocks, "cluster")
-    held = docs.select(F.col("doc_id").alias("rep"), "text").join(members.select("rep"), "rep").mapInArrow(_sets, "rep long, shingles binary").where("octet_length(shingles) > 0").dropDuplicates(["rep"])
-    slots = F.lit(8 * common.partitions(df.sparkSession))
+    sizes = common.staged(sizes.withColumn("blocks", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")), "sizes")
+    total = sizes.where("blocks = 1").agg(F.sum("shingles")).first()[0] or 0
+    slots = F.lit(max(common.partitions(df.sparkSession), -(-total // GROUP_SHINGLES)))
+    members = members.select("rep", "doc_id", "cluster", "copies", "same").join(sizes.select("cluster", "blocks"), "cluster")
+    held = docs.join(members, "doc_id").mapInArrow(_sets, "rep long, cluster long, blocks int, copies long, shingles binary")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = held.join(members, "rep").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
         F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("cluster"), slots)).otherwise(F.col("cluster")).alias("slot"),
         F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cluster",
@@ -246,11 +423,17 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, recall: float =
     if not across.isEmpty():
         joined = components(across).withColumnRenamed("node", "rep").withColumnRenamed("root", "wide")
         linked = linked.join(joined, "rep", "left").select("rep", "links", F.least("root", F.coalesce("wide", "root")).alias("root"))
-    full = reps.select("same", "rep", "copies").join(linked, "rep", "left")
-    out = signed.select("doc_id", "same").join(full, "same", "left")
-    return out.select(
+    known = reps.select("same", "rep", F.col("doc_id").alias("copy_of"), "copies", "first_text").join(linked, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    known = common.staged(known, "known")
+    least = known.groupBy("root").agg(F.min(F.struct("copy_of", "rep")).alias("least"))
+    full = known.join(least, "root").select("same", "copy_of", "copies", "links", "least", F.when(F.col("rep") == F.col("least.rep"), F.col("first_text")).alias("first_text"))
+    out = signed.select("doc_id", "text_sha256", "same").join(full, "same", "left").select(
         "doc_id",
-        F.coalesce("root", "rep", "doc_id").alias("class_id"),
-        F.coalesce("rep", "doc_id").alias("copy_of"),
+        F.coalesce("least.copy_of", "doc_id").alias("class_id"),
+        F.coalesce("copy_of", "doc_id").alias("copy_of"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
-    )
+        "text_sha256",
+        (F.col("same").isNull() | F.coalesce((F.col("doc_id") == F.col("copy_of")) & (F.col("text_sha256") == F.col("first_text")), F.lit(False))).alias("stays"),
+    )
+    null = F.lit(None).cast("long")
+    return out.unionByName(bare.select("doc_id", null.alias("class_id"), null.alias("copy_of"), F.lit(0).cast("long").alias("n_links"), F.sha2("text", 256).alias("text_sha256"), F.lit(True).alias("stays")))

@@ -20,7 +20,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_forest.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return jaccard_forest.near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of", "n_links")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,8 +40,7 @@ def case_parts(run: Column | str) -> Column:
 
 def without_stopwords(tokens: Column | str) -> Column:
     """Tokens that are no function words; order and repeats stay."""
-    stop = F.lit(list(STOPWORDS))
-    return F.filter(_col(tokens), lambda t: ~F.array_contains(stop, t))
+    return F.filter(_col(tokens), lambda t: ~t.isin(*STOPWORDS))
 
 
 def tokens(text: Column | str) -> Column:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import cut
+
 
 def centrality(references: DataFrame, names: DataFrame, owner: str = "owner", text: str = "text", name: str = "name") -> DataFrame:
     """name, score: how many other owners' reference texts hold the name as a whole word. Texts are cut into words once and
@@ -16,14 +18,16 @@ def centrality(references: DataFrame, names: DataFrame, owner: str = "owner", te
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", hops: int = 8) -> DataFrame:
-    """child, ancestor, depth (the least) over at most `hops` steps; cycles end, and nothing is its own ancestor."""
-    step = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where("child <> ancestor").distinct()
-    found = step.withColumn("depth", F.lit(1))
-    front = found
+    """child, ancestor, depth (the least) over at most `hops` steps; cycles end, and nothing is its own ancestor. Each step is
+    worked out once, from the pairs that the step before it found, and the walk ends with the first that finds none."""
+    step = cut(edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where("child <> ancestor").distinct())
+    found = front = step.withColumn("depth", F.lit(1))
     links = step.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next"))
     for depth in range(2, hops + 1):
-        front = front.join(links, "ancestor").select("child", F.col("next").alias("ancestor")).where("child <> ancestor").distinct().withColumn("depth", F.lit(depth))
-        front = front.join(found.select("child", "ancestor"), ["child", "ancestor"], "left_anti")
+        after = front.join(links, "ancestor").select("child", F.col("next").alias("ancestor")).where("child <> ancestor").distinct()
+        front = cut(after.join(found.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
         found = found.unionByName(front)
     return found
 
@@ -56,27 +60,36 @@ def promoted(members: DataFrame, embedding: DataFrame) -> DataFrame:
     return best.withColumn("n", F.count("*").over(level)).where("n = 1").select("owner", "member", F.col("ancestor").alias("promoted_from"))
 
 
-def c3(bases: dict[str, list[str]], name: str) -> list[str] | None:
-    """The C3 order of a class, or null where there is none. Unknown bases stand for themselves."""
+def c3(bases: dict[str, list[str]], name: str, known: dict[str, list[str]] | None = None) -> list[str]:
+    """The C3 order of a class. Unknown bases stand for themselves. Where there is no such order, on a cycle or where bases
+    disagree, the walk goes on with the first class that is left, so that every class is named once. `known` keeps the
+    orders of classes that are worked out, so that each is merged once."""
+    known = {} if known is None else known
 
-    def order(x: str, open_: tuple[str, ...]) -> list[str] | None:
-        if x in open_:
-            return None
-        own = bases.get(x, [])
-        lists = [order(b, (*open_, x)) for b in own]
-        if any(one is None for one in lists):
-            return None
-        rest = [list(one) for one in [*lists, own] if one]
+    def merged(x: str) -> list[str]:
+        own = [b for b in bases.get(x, []) if b != x]
+        rest = [[z for z in known.get(b, [b]) if z != x] for b in own] + [own]
         out = [x]
-        while rest:
-            head = next((one[0] for one in rest if not any(one[0] in other[1:] for other in rest)), None)
-            if head is None:
-                return None
+        while rest := [one for one in rest if one]:
+            behind = {z for one in rest for z in one[1:]}
+            head = next((one[0] for one in rest if one[0] not in behind), rest[0][0])
             out.append(head)
-            rest = [y for y in ([z for z in one if z != head] if one[0] == head else one for one in rest) if y]
+            rest = [[z for z in one if z != head] for one in rest]
         return out
 
-    return order(name, ())
+    todo, open_ = [name], set()
+    while todo:  # bases first, without recursion
+        x = todo[-1]
+        missing = [b for b in bases.get(x, []) if b != x and b not in known and b not in open_] if x not in known else []
+        if missing:
+            open_.add(x)
+            todo.append(missing[0])
+            continue
+        todo.pop()
+        open_.discard(x)
+        if x not in known:
+            known[x] = merged(x)
+    return known[name]
 
 
 def c3_orders(classes: DataFrame, scope: str = "scope", name: str = "name", bases: str = "bases") -> DataFrame:
@@ -84,8 +97,9 @@ def c3_orders(classes: DataFrame, scope: str = "scope", name: str = "name", base
     kind = classes.schema[scope].dataType.simpleString()
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        known = {n: list(b) if b is not None else [] for n, b in zip(rows[name], rows[bases], strict=True)}
-        return pd.DataFrame({scope: [key[0]] * len(known), name: list(known), "order": [c3(known, n) for n in known]})
+        held = {n: list(b) if b is not None else [] for n, b in zip(rows[name], rows[bases], strict=True)}
+        done: dict[str, list[str]] = {}
+        return pd.DataFrame({scope: [key[0]] * len(held), name: list(held), "order": [c3(held, n, done) for n in held]})
 
     return classes.groupBy(scope).applyInPandas(run, f"{scope} {kind}, {name} string, `order` array<string>")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
+from lodestrata.functions.binding import let
 
 
 def doubles(v: Column | str) -> Column:
@@ -48,10 +49,9 @@ def quantised(v: Column, digits: int) -> Column:
 def hash_embedding(tokens: Column, dimension: int = 64) -> Column:
     """Token counts by the first eight bytes of their sha256 modulo the dimension, at unit length."""
     bucket = lambda t: (F.conv(F.substring(F.sha2(t, 256), 1, 16), 16, 10).cast("decimal(20,0)") % dimension).cast("int")
-    buckets = F.transform(tokens, bucket)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    length = norm(counts)
-    return F.when(length > 0, F.transform(counts, lambda c: c / length)).otherwise(counts)
+    counted = lambda buckets: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+    scaled = lambda counts: let(norm(counts), lambda length: F.when(length > 0, F.transform(counts, lambda c: c / length)).otherwise(counts))
+    return let(F.transform(tokens, bucket), lambda buckets: let(counted(buckets), scaled))
 
 
 def embedded(chunks: DataFrame, include: Column | None = None, text: str = "text", dimension: int = 64, decimals: int | None = None) -> DataFrame:

@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import grammar
+from .binding import let
 
-#: Title and word patterns of the four documentation categories.
-TROUBLE_TITLE = r"(?i)troubleshoot|known issue|limitation|error|exception"
+#: Title and word patterns of the four documentation categories, in the order in which they are tried; question
+#: words; titles that name no task.
+TROUBLE_TITLE = r"(?i)troubleshoot|known issue|limitation|unsupported|error|problem"
 START_TITLE = r"(?i)install|quick ?start|getting started|prerequisite|\bsetup\s*$|dependenc|requirement"
-HINTS = {"getting_started": ("getting started", "quick start", "install"), "troubleshooting": ("troubleshoot", "known issue", "workaround"), "faq": ("faq", "frequently asked")}
+HINTS = {
+    "getting_started": ("getting started", "quickstart", "quick start", "installation", "install ", "prerequisites"),
+    "troubleshooting": ("troubleshoot", "known issue", "common error", "debugging"),
+    "faq": ("faq", "frequently asked"),
+}
 CATEGORIES = ("faq", "troubleshooting", "getting_started", "developer_guide")
 TABLE_LINE = r"^\s*(?:\||- +`[^`]+`\s*[-:–—])"
-QUESTION_WORDS = ("how", "what", "where", "when", "which", "why", "can", "does", "is", "do")
+QUESTION_WORDS = ("how", "what", "why", "can", "could", "does", "do", "did", "is", "are", "was", "were", "should", "would", "will", "where", "when", "who", "which", "shall")
+TASK_WORDS = 3
+GENERIC_TITLES = ("quick start", "getting started", "additional examples", "more examples", "basic usage", "installation, dependencies, and quick start")
+GENERIC_SUFFIX = r"(?i)\s*\((?:part\s*)?\d+\)\s*$"
+
+#: Phrases of licence texts, lower-case with single blanks.
+MIT = (
+    "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+)
+APACHE = ("apache license", "version 2.0, january 2004")
+BSD = "redistribution and use in source and binary forms, with or without modification, are permitted"
+BSD_NEITHER = "neither the name of"
 
 
 def _col(x: Column | str) -> Column:
@@ -33,12 +53,7 @@ def category(text: Column | str) -> Column:
     body = F.regexp_extract(t, r"\A[^\n]*\n([^\n]*)", 1)
     title = F.when(first.startswith("FQN: Doc: "), F.substring(first, 11, 1 << 30))
     low = F.lower(t)
-    hinted = F.lit("developer_guide")
-    for name in ("faq", "troubleshooting", "getting_started"):
-        held = F.lit(False)
-        for hint in HINTS[name]:
-            held = held | low.contains(hint)
-        hinted = F.when(held, name).otherwise(hinted)
+    hinted = functools.reduce(lambda held, name: F.when(functools.reduce(lambda a, hint: a | low.contains(hint), HINTS[name], F.lit(False)), name).otherwise(held), reversed(HINTS), F.lit("developer_guide"))
     by_title = F.when(body.startswith("FAQ:"), "faq").when(F.regexp_like(title, F.lit(TROUBLE_TITLE)), "troubleshooting").when(F.regexp_like(title, F.lit(START_TITLE)), "getting_started").otherwise("developer_guide")
     return F.when(title.isNotNull(), by_title).otherwise(hinted)
 
@@ -51,9 +66,10 @@ def table_dominated(text: Column | str, share: float = 0.5, most: int = 8000) ->
 
 
 def task_question(query: Column | str) -> Column:
-    """Three words or more, or a question word first."""
-    words = F.regexp_extract_all(F.lower(_col(query)), F.lit(r"[a-z0-9]+"), F.lit(0))
-    return (F.size(words) >= 3) | F.coalesce(F.get(words, 0).isin(*QUESTION_WORDS), F.lit(False))
+    """Three words or more, cut at blanks, or a question word first."""
+    words = F.filter(F.split(_col(query), r"\s+"), lambda w: w != "")
+    first = F.lower(F.regexp_replace(F.get(words, 0), r"^\p{Punct}+|\p{Punct}+$", ""))
+    return (F.size(words) >= TASK_WORDS) | F.coalesce(first.isin(*QUESTION_WORDS), F.lit(False))
 
 
 def not_available(text: Column | str) -> Column:
@@ -62,16 +78,20 @@ def not_available(text: Column | str) -> Column:
 
 
 def generic_title(title: Column | str) -> Column:
-    bare = F.trim(F.regexp_replace(F.lower(_col(title)), r"\s*\(\d+\)\s*$", ""))
-    return bare.isin("example", "usage", "basic usage", "quick start", "getting started", "overview", "features", "key features")
+    """Whether a title names no task, whatever number stands behind it."""
+    return F.lower(F.trim(F.regexp_replace(_col(title), GENERIC_SUFFIX, ""))).isin(*GENERIC_TITLES)
 
 
 def licence(text: Column | str) -> Column:
-    """The SPDX name where exactly one of four licences' phrases is in the text."""
-    marks = {"MIT": "permission is hereby granted, free of charge", "Apache-2.0": "apache license", "BSD-3-Clause": "redistribution and use in source and binary forms", "GPL-3.0": "gnu general public license"}
-    low = F.lower(_col(text))
-    hits = F.filter(F.array(*[F.when(low.contains(mark), F.lit(name)) for name, mark in marks.items()]), lambda x: x.isNotNull())
-    return F.when(F.size(hits) == 1, F.get(hits, 0))
+    """The SPDX name where exactly one licence's phrases are all in the text; null otherwise."""
+
+    def named(low: Column) -> Column:
+        all_of = lambda phrases: functools.reduce(lambda a, p: a & low.contains(p), phrases, F.lit(True))
+        bsd = F.when(low.contains(BSD), F.when(low.contains(BSD_NEITHER), "BSD-3-Clause").otherwise("BSD-2-Clause"))
+        hits = F.array_compact(F.array(F.when(all_of(MIT), "MIT"), F.when(all_of(APACHE), "Apache-2.0"), bsd))
+        return F.when(F.size(hits) == 1, F.get(hits, 0))
+
+    return let(F.regexp_replace(F.lower(_col(text)), r"\s+", " "), named)
 
 
 def test_source(path: Column | str) -> Column:

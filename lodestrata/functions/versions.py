@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Verbs of change and lines that say nothing.
-CHANGE = r"(?i)\b(?:fix(?:ed|es|ing)?|add(?:ed|s|ing)?|remov(?:ed|es|al)?|improv(?:ed|es|ement)?|resolv(?:ed|es)?|deprecat(?:ed|es|ion)?|introduc(?:ed|es)?|support(?:ed|s|ing)?|chang(?:ed|es)?|updat(?:ed|es)?|refactor(?:ed|s)?|optimiz(?:ed|es)?|preserv(?:ed|es)?|avoid(?:ed|s)?|correct(?:ed|s)?|prevent(?:ed|s)?|broke|break(?:ing|s)?)\b"
-BOILERPLATE = r"(?i)^(?:#+\s*what's changed|\*\*full changelog\*\*.*|full changelog.*|#+\s*new contributors)\s*$"
+from .binding import let
+
+#: Verbs of change, lines that say nothing, spans of code.
+CHANGE = (
+    r"(?i)\b(fix(?:ed|es|ing)?|add(?:ed|s|ing)?|remov(?:ed|es|al)?|improv(?:ed|es|ement)?|"
+    r"resolv(?:ed|es)?|deprecat(?:ed|es|ion)?|introduc(?:ed|es)?|support(?:ed|s|ing)?|"
+    r"chang(?:ed|es)?|updat(?:ed|es)?|refactor(?:ed|s)?|optimiz(?:ed|es)?|"
+    r"preserv(?:ed|es)?|avoid(?:ed|s)?|synchroniz(?:ed|es)?|correct(?:ed|s)?|"
+    r"prevent(?:ed|s)?|broke|break(?:ing|s)?|regress(?:ed|ion)?|reproduc(?:ed|es)?)\b"
+)
+BOILERPLATE = (
+    r"(?i)^#+\s*what.?s changed",
+    r"(?i)^\*\s+.*\bby\s+@[\w-]+\s+in\s+(https?://\S+|#\d+)",
+    r"(?i)^\*\*full changelog\*\*",
+    r"(?i)^#+\s*new contributors",
+    r"(?i)^\*\s+@[\w-]+ made (their|his|her) first contribution",
+)
 SPECIFIC = r"`[^`\n]+`"
 
 
@@ -42,9 +58,9 @@ def alignment(tag: Column | str, commit: Column, indexed_commit: Column, indexed
 
 
 def drift(ahead: Column, behind: Column) -> Column:
-    """Five states; a missing count is unknown, never in sync."""
+    """Five states; a missing or negative count is unknown, never in sync."""
     return (
-        F.when(ahead.isNull() | behind.isNull(), "unknown")
+        F.when(ahead.isNull() | behind.isNull() | (ahead < 0) | (behind < 0), "unknown")
         .when((ahead > 0) & (behind > 0), "diverged")
         .when(ahead > 0, "index_ahead_of_package")
         .when(behind > 0, "package_ahead_of_index")
@@ -53,12 +69,19 @@ def drift(ahead: Column, behind: Column) -> Column:
 
 
 def richness(body: Column | str) -> Column:
-    """none, templated or detailed: detailed names a change, and code or a number that is no version."""
+    """none, templated or detailed: detailed names a change, and code or a number that is no version, outside of fences."""
     b = _col(body)
-    lines = F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.regexp_like(x, F.lit(BOILERPLATE)))
+    says = F.lit(False)
+    lines = F.filter(F.transform(F.split(b, r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    empty = lambda x: functools.reduce(lambda a, p: a | F.regexp_like(x, F.lit(p)), BOILERPLATE, says)
     bare = F.regexp_replace(b, "(?s)```.*?```", " ")
     specific = F.regexp_like(bare, F.lit(SPECIFIC)) | F.regexp_like(F.regexp_replace(bare, r"\b\d+(?:\.\d+){1,3}\b", " "), F.lit(r"\b\d[\d,]+\b"))
-    return F.when(F.trim(F.coalesce(b, F.lit(""))) == "", "none").when(F.size(lines) == 0, "templated").when(F.regexp_like(bare, F.lit(CHANGE)) & specific, "detailed").otherwise("templated")
+    return (
+        F.when(~F.regexp_like(F.coalesce(b, F.lit("")), F.lit(r"\S")), "none")
+        .when(~F.exists(lines, lambda x: ~empty(x)), "templated")
+        .when(F.regexp_like(bare, F.lit(CHANGE)) & specific, "detailed")
+        .otherwise("templated")
+    )
 
 
 def indexed_at(generation_id: Column | str) -> Column:
@@ -67,6 +90,18 @@ def indexed_at(generation_id: Column | str) -> Column:
 
 
 def negotiated(requested: Column, supported: Column) -> Column:
-    """The newest supported date that is not after the requested one, else the oldest."""
-    fit = F.filter(supported, lambda s: s <= requested)
-    return F.coalesce(F.array_max(fit), F.array_min(supported))
+    """A struct (revision, fallback, error): the requested date where it is supported, else the newest supported one that is
+    not after it (fallback unknown_revision), else the oldest (below_min_supported). A missing date and one that is none are
+    errors (missing, malformed), and there is no revision then."""
+    asked = F.trim(requested)
+    day = lambda x: F.try_to_date(F.regexp_extract(x, r"^\s*(\d{1,4}-\d{1,2}-\d{1,2})\s*$", 1), "y-M-d")
+    dated = F.array_sort(F.filter(F.transform(supported, lambda x: F.struct(day(x).alias("day"), F.trim(x).alias("revision"))), lambda x: x["day"].isNotNull()))
+
+    def chosen(dates: Column) -> Column:
+        fit = F.filter(dates, lambda x: x["day"] <= day(asked))
+        error = F.when(F.coalesce(asked, F.lit("")) == "", "missing").when(day(asked).isNull(), "malformed")
+        fallback = F.when(F.exists(dates, lambda x: x["revision"] == asked), "none").when(F.size(fit) == 0, "below_min_supported").otherwise("unknown_revision")
+        revision = F.when(fallback == "none", asked).when(F.size(fit) > 0, F.element_at(fit, -1)["revision"]).otherwise(F.get(dates, 0)["revision"])
+        return F.struct(F.when(error.isNull(), revision).alias("revision"), F.when(error.isNull(), fallback).alias("fallback"), error.alias("error"))
+
+    return let(dated, chosen)

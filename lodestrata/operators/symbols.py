@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import heapq
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +14,7 @@ from lodestrata.functions import grammar
 from lodestrata.functions import text as T
 
 PREFIX_LEAST = 3
+ASKED_MOST = 1000
 
 
 def match_tier(query: Column, name: Column) -> Column:
@@ -67,16 +70,39 @@ def member_index(members: DataFrame, owner: str = "owner", member: str = "member
     return members.groupBy(F.lower(member).alias("name")).agg(F.array_sort(F.collect_set(F.concat_ws(".", owner, member))).alias("owners"))
 
 
-def suggestions(queries: DataFrame, names: list[str], query: str = "query", n: int = 5, cutoff: float = 0.6) -> DataFrame:
-    """query, suggestions: close matches by the sequence matcher's ratio, which no edit distance replaces. names: one
-    scope's list, held by every task."""
-    folded = {x.casefold(): x for x in reversed(sorted(names))}
-
-    @F.pandas_udf("array<string>")
-    def close(asked: pd.Series) -> pd.Series:
-        return asked.map(lambda q: [folded[x] for x in difflib.get_close_matches((q or "").casefold(), list(folded), n, cutoff)])
-
-    return queries.select(query, close(query).alias("suggestions"))
+def suggestions(queries: DataFrame, names: DataFrame, query: str = "query", name: str = "fqn", n: int = 5, cutoff: float = 0.6) -> DataFrame:
+    """query, suggestions: the n closest names by the sequence matcher's ratio, which no edit distance replaces; of equally close
+    ones the last in order. Every name is compared, where it is; each task sends the n best of each query. queries: a stated
+    set of at most ASKED_MOST."""
+    asked = [r[0] for r in queries.select(query).distinct().limit(ASKED_MOST + 1).collect()]
+    if len(asked) > ASKED_MOST:
+        raise ValueError(f"ask for at most {ASKED_MOST} queries at a time")
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[str, list[tuple[float, str, str]]] = {q: [] for q in asked if q}
+        for batch in batches:
+            known: dict[str, str] = {}
+            for x in batch[name]:
+                known[x.casefold()] = min(x, known.get(x.casefold(), x))
+            for q, held in best.items():
+                matcher = difflib.SequenceMatcher()
+                matcher.set_seq2(q.casefold())
+                for folded, own in known.items():
+                    matcher.set_seq1(folded)
+                    if matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff and matcher.ratio() >= cutoff:
+                        held.append((matcher.ratio(), folded, own))
+                merged: dict[str, tuple[float, str, str]] = {}
+                for hit in held:
+                    merged[hit[1]] = min(hit, merged.get(hit[1], hit))
+                best[q] = heapq.nlargest(n, merged.values(), key=lambda hit: hit[:2])
+        rows = [(q, *hit) for q, held in best.items() for hit in held]
+        yield pd.DataFrame(rows, columns=["asked", "ratio", "folded", "own"])
+
+    hits = names.select(name).where(F.col(name).isNotNull()).distinct().mapInPandas(close, "asked string, ratio double, folded string, own string")
+    once = hits.groupBy("asked", "folded").agg(F.max("ratio").alias("ratio"), F.min("own").alias("own"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("ratio"), F.desc("folded")))).where(F.col("rank") <= n)
+    listed = ranked.groupBy(F.col("asked").alias(query)).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "own"))), lambda x: x["own"]).alias("suggestions"))
+    return queries.select(query).join(listed, query, "left").select(query, F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))
 
 
 def evidence(entries: DataFrame, concepts: DataFrame) -> DataFrame:

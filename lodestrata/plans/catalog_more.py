@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.functions import grammar
+from lodestrata.functions import grammar, predicates
 from lodestrata.functions import text as T
 from lodestrata.operators import extract, lexical, releases, symbols, vectors
 from lodestrata.sources import sidecars
@@ -51,15 +51,28 @@ def tool_index_freshness(spark, d):
     return engine(spark, d).report_index_freshness().select("found", "indexed_commit", "n_chunks", "fresh", "basis")
 
 
-@query("SELECT true AS found, 'v1.' || p_partkey AS tag_name, 'templated' AS richness, p_partkey <= 150 AS in_index FROM part WHERE p_partkey < 190 ORDER BY p_partkey DESC LIMIT 10")
+@query("""
+    SELECT true AS found, 'v1.' || p_partkey AS tag_name, CASE WHEN p_size % 2 = 0 THEN 'detailed' ELSE 'templated' END AS richness, p_partkey <= 150 AS in_index
+    FROM part ORDER BY p_partkey DESC LIMIT 10
+""")
 def tool_recent_changes(spark, d):
-    r = read(spark, d, "part").where("p_partkey < 190").select(F.concat(F.lit("v1."), F.col("p_partkey").cast("string")).alias("tag_name"), F.lit("A new release.").alias("body"), F.lit(None).cast("string").alias("target_commitish"), F.col("p_partkey").alias("ord"))
+    body = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Fixed `"), "p_name", F.lit("`."))).otherwise("A new release.")
+    r = read(spark, d, "part").select(F.concat(F.lit("v1."), F.col("p_partkey").cast("string")).alias("tag_name"), body.alias("body"), F.lit(None).cast("string").alias("target_commitish"), F.col("p_partkey").alias("ord"))
     return engine(spark, d).list_recent_changes(r, "abc1234", "1.150").select("found", "tag_name", "richness", "in_index")
 
 
-@query("SELECT true AS found, 'license' AS section, 'MIT' AS text")
+@query("""
+    SELECT true AS found, 'license' AS section, 'MIT' AS text
+    UNION ALL SELECT true, 'support', text FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)
+    UNION ALL SELECT false, NULL, NULL
+""")
 def tool_product_reference(spark, d):
-    return engine(spark, d).get_product_reference("license", {"license": "Permission is hereby granted, free of charge, to any person"}).select("found", "section", "text")
+    """A licence by its text, a section as it is staged, and one that is not there."""
+    first = read(spark, d, "benchmark").orderBy("item_id").first()["text"]
+    inputs = {"license_text": "MIT License\n\n" + "\n\n".join(predicates.MIT), "support": first}
+    e = engine(spark, d)
+    answers = [e.get_product_reference(section, inputs).select("found", "section", "text") for section in ("license", "support", "formats")]
+    return answers[0].unionByName(answers[1]).unionByName(answers[2])
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'not_compiled' WHEN p_size % 3 = 0 THEN 'not_run' WHEN p_partkey % 4 = 0 THEN 'failed' WHEN p_partkey % 7 = 0 THEN 'no_output' ELSE 'ran' END AS verdict FROM part")
@@ -68,10 +81,10 @@ def run_verdict(spark, d):
     return read(spark, d, "part").select("p_partkey", v.alias("verdict"))
 
 
-@query("WITH w AS (SELECT unnest(regexp_extract_all(text, '[a-zA-Z0-9_]+')) AS name FROM documents WHERE lang = 'en') SELECT name, count(*) AS n FROM w WHERE name IN (SELECT unnest(regexp_extract_all(text, '[a-zA-Z0-9_]+')) FROM benchmark) GROUP BY name")
+@query("WITH w AS (SELECT unnest(regexp_extract_all(text, '[a-zA-Z0-9_]+')) AS name FROM documents) SELECT name, count(*) AS n FROM w WHERE name IN (SELECT unnest(regexp_extract_all(text, '[a-zA-Z0-9_]+')) FROM benchmark) GROUP BY name")
 def mention_counts(spark, d):
     names = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0))).alias("name"))
-    return extract.mentions(read(spark, d, "documents").where("lang = 'en'"), names)
+    return extract.mentions(read(spark, d, "documents"), names)
 
 
 @query("SELECT c_mktsegment AS section, coalesce(min(c_name) FILTER (WHERE c_custkey % 5 = 0 AND c_mktsegment <> 'MACHINERY'), max(c_name)) AS text FROM customer GROUP BY 1")
@@ -81,20 +94,27 @@ def merged_sections(spark, d):
     return releases.merged_sections(p, c.groupBy(F.col("c_mktsegment").alias("section")).agg(F.max("c_name").alias("text"))).select("section", "text")
 
 
-@query("WITH r AS (SELECT p_partkey AS minor FROM part WHERE p_partkey % 10 = 0 AND p_partkey <= 100), t AS (SELECT p_partkey AS minor FROM part WHERE p_partkey % 7 = 0 AND p_partkey <= 150) SELECT 'v3.' || minor AS tag_name, 'release' AS source FROM r WHERE minor > 0 UNION ALL SELECT '3.' || minor, 'tag' FROM t WHERE minor > 100")
+def _tags(spark, d, every: int, prefix: str):
+    """Every so many parts are a release or a tag, with its number."""
+    p = read(spark, d, "part").where(F.pmod("p_partkey", F.lit(every)) == 0)
+    return p.select(F.concat(F.lit(prefix), F.col("p_partkey").cast("string")).alias("tag_name"), F.col("p_partkey").alias("ord"))
+
+
+@query("""
+    WITH r AS (SELECT p_partkey AS minor FROM part WHERE p_partkey % 10 = 0), t AS (SELECT p_partkey AS minor FROM part WHERE p_partkey % 7 = 0)
+    SELECT 'v3.' || minor AS tag_name, 'release' AS source FROM r UNION ALL SELECT '3.' || minor, 'tag' FROM t WHERE minor > (SELECT max(minor) FROM r)
+""")
 def newer_tags(spark, d):
-    p = read(spark, d, "part")
-    r = p.where("p_partkey % 10 = 0 and p_partkey <= 100 and p_partkey > 0").select(F.concat(F.lit("v3."), F.col("p_partkey").cast("string")).alias("tag_name"), F.col("p_partkey").alias("ord"))
-    t = p.where("p_partkey % 7 = 0 and p_partkey <= 150").select(F.concat(F.lit("3."), F.col("p_partkey").cast("string")).alias("tag_name"), F.col("p_partkey").alias("ord"))
-    return releases.merge_newer_tags(r, t).select("tag_name", "source")
+    return releases.merge_newer_tags(_tags(spark, d, 10, "v3."), _tags(spark, d, 7, "3.")).select("tag_name", "source")
 
 
-@query("WITH r AS (SELECT p_partkey AS minor FROM part WHERE p_partkey % 10 = 0 AND p_partkey BETWEEN 10 AND 100), t AS (SELECT p_partkey AS minor FROM part WHERE p_partkey % 7 = 0 AND p_partkey BETWEEN 7 AND 150) SELECT 'v3.' || minor AS tag_name, 'release' AS source FROM r UNION ALL (SELECT '3.' || minor, 'tag' FROM t WHERE minor NOT IN (SELECT minor FROM r) ORDER BY minor DESC LIMIT 5)")
+@query("""
+    WITH r AS (SELECT p_partkey AS minor FROM part WHERE p_partkey % 10 = 0), t AS (SELECT p_partkey AS minor FROM part WHERE p_partkey % 7 = 0)
+    SELECT 'v3.' || minor AS tag_name, 'release' AS source FROM r
+    UNION ALL (SELECT '3.' || minor, 'tag' FROM t WHERE minor NOT IN (SELECT minor FROM r) ORDER BY minor DESC LIMIT greatest(0, 1000 - (SELECT count(*) FROM r)))
+""")
 def older_tags(spark, d):
-    p = read(spark, d, "part")
-    r = p.where("p_partkey % 10 = 0 and p_partkey between 10 and 100").select(F.concat(F.lit("v3."), F.col("p_partkey").cast("string")).alias("tag_name"), F.col("p_partkey").alias("ord"))
-    t = p.where("p_partkey % 7 = 0 and p_partkey between 7 and 150").select(F.concat(F.lit("3."), F.col("p_partkey").cast("string")).alias("tag_name"), F.col("p_partkey").alias("ord"))
-    return releases.pad_with_older_tags(r, t, 15)
+    return releases.pad_with_older_tags(_tags(spark, d, 10, "v3."), _tags(spark, d, 7, "3."), 1000)
 
 
 @query("SELECT doc_id, 'the digest is not the code''s' AS problem FROM documents WHERE doc_id % 2 = 1 AND trim(coalesce(text, '')) <> ''")
@@ -116,10 +136,15 @@ def called_members(spark, d):
     return symbols.called_members(read(spark, d, "benchmark").select(F.col("item_id").alias("example_id"), code.alias("code")), m)
 
 
-@query("SELECT item_id, text_md5 FROM (SELECT item_id, md5('it has ' || CASE WHEN item_id % 2 = 0 THEN '`Known`' ELSE 'Other' END) AS text_md5 FROM benchmark)")
+@query("""
+    WITH w AS (SELECT item_id, string_split(regexp_replace(text, '[`\\n]', ' ', 'g'), ' ') AS ws FROM benchmark)
+    SELECT item_id, md5(array_to_string(list_transform(ws, lambda w: CASE WHEN w IN ('hand', 'of', 'the') THEN '`' || w || '`' ELSE w END), ' ')) AS text_md5 FROM w
+""")
 def neutralised_anchors(spark, d):
-    said = F.concat(F.lit("it has `"), F.when(F.col("item_id") % 2 == 0, "Known").otherwise("Other"), F.lit("`"))
-    return read(spark, d, "benchmark").select("item_id", F.md5(T.neutralised(said, F.array(F.lit("Known")))).alias("text_md5"))
+    """Every word as an anchor; those that are not known lose their marks."""
+    words = F.split(F.regexp_replace("text", "[`\\n]", " "), " ")
+    said = F.array_join(F.transform(words, lambda w: F.concat(F.lit("`"), w, F.lit("`"))), " ")
+    return read(spark, d, "benchmark").select("item_id", F.md5(T.neutralised(said, F.array(*map(F.lit, ("hand", "of", "the"))))).alias("text_md5"))
 
 
 @query("SELECT vec_id FROM embeddings WHERE label = 1")
@@ -147,7 +172,11 @@ def distinctive_terms(spark, d):
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.size(terms).cast("long").alias("n")).where("n > 0")
 
 
-@query()
+@query(f"""
+    WITH t AS (SELECT item_id AS query_id, unnest({O.stemmed_terms('text')}) AS term FROM benchmark), e AS (SELECT * FROM documents WHERE lang = 'en'),
+    f AS (SELECT {O.stem('token')} AS term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({O.tokens("coalesce(text, '')")}) AS token FROM e) GROUP BY 1)
+    SELECT query_id, term, round(CASE WHEN f.df IS NULL THEN 2.0 ELSE greatest(0.5, least(1.0, ln(1 + (SELECT count(*) FROM e) / (1 + f.df)))) END, 6) AS weight FROM t LEFT JOIN f USING (term)
+""")
 def scoped_weights(spark, d):
     """Weights over the documents of one kind only."""
     terms = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.stemmed_terms("text")).alias("term"))

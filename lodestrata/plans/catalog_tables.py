@@ -3,6 +3,8 @@ publish log, events the telemetry."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -307,22 +309,51 @@ def version_compare(spark, d):
     return read(spark, d, "part").select("p_partkey", versions.compared(versions.parsed(_tag()), versions.parsed(F.lit("2.6"))).alias("compared"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'unknown' WHEN p_size % 3 > 0 AND p_partkey % 3 > 0 THEN 'diverged' WHEN p_size % 3 > 0 THEN 'index_ahead_of_package' WHEN p_partkey % 3 > 0 THEN 'package_ahead_of_index' ELSE 'in_sync' END AS drift FROM part")
+@query("""
+    SELECT p_partkey, CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN 'unknown' WHEN p_size % 3 > 0 AND p_partkey % 3 > 0 THEN 'diverged'
+        WHEN p_size % 3 > 0 THEN 'index_ahead_of_package' WHEN p_partkey % 3 > 0 THEN 'package_ahead_of_index' ELSE 'in_sync' END AS drift FROM part
+""")
 def drift_verdict(spark, d):
-    ahead = F.when(F.col("p_size") % 5 != 0, F.col("p_size") % 3)
+    """A count is missing on some parts and negative on others."""
+    ahead = F.when(F.col("p_size") % 5 != 0, F.when(F.col("p_size") % 7 == 0, -1).otherwise(F.col("p_size") % 3))
     return read(spark, d, "part").select("p_partkey", versions.drift(ahead, F.col("p_partkey") % 3).alias("drift"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'none' WHEN p_size % 4 = 1 THEN 'templated' WHEN p_size % 4 = 2 THEN 'detailed' ELSE 'templated' END AS richness FROM part")
+#: Release notes, one for each remainder of p_size, with their verdicts; {} is the part's name.
+NOTES = (
+    ("  \n", "none"),
+    ("**Full Changelog**: https://x/compare/v1...v2\n", "templated"),
+    ("## What's Changed\n- Fixed `{}` for release 1.2.3", "detailed"),
+    ("This release publishes version 1.2.3.", "templated"),
+    ("## What’s changed\n* Fix `{}` by @dev-1 in https://x/pull/12\n* @dev-1 made their first contribution in #12\n## New Contributors", "templated"),
+    ("Regressed `{}.bar` since the last one.", "detailed"),
+    ("The indexes of {} synchronized: 1,204 rows.", "detailed"),
+    ("Adds {} in 1.2 and 3.4.5.\n```\npip install `x` 1234\n```", "templated"),
+)
+
+
+@query("SELECT p_partkey, CASE p_size % 8 " + " ".join(f"WHEN {i} THEN '{verdict}'" for i, (_, verdict) in enumerate(NOTES)) + " END AS richness FROM part")
 def richness(spark, d):
-    body = F.when(F.col("p_size") % 4 == 0, "  ").when(F.col("p_size") % 4 == 1, "**Full Changelog** v1...v2\n").when(F.col("p_size") % 4 == 2, F.concat(F.lit("## What's changed\n- Fixed `"), "p_name", F.lit("` for release 1.2.3"))).otherwise("This release publishes version 1.2.3.")
+    """The verdict of a template follows from what it says; only the part's name in it differs."""
+    body = functools.reduce(lambda a, x: F.when(F.col("p_size") % len(NOTES) == x[0], F.replace(F.lit(x[1][0]), F.lit("{}"), F.col("p_name"))).otherwise(a), enumerate(NOTES), F.lit(None).cast("string"))
     return read(spark, d, "part").select("p_partkey", versions.richness(body).alias("richness"))
 
 
-@query("SELECT o_orderkey, coalesce(max(r) FILTER (WHERE r <= strftime(o_orderdate, '%Y-%m-%d')), min(r)) AS revision FROM orders, (SELECT unnest(['1995-06-01', '1996-03-15', '1998-01-01', '2000-12-31']) AS r) GROUP BY o_orderkey, o_orderdate")
+@query("""
+    WITH o AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 3 THEN '1996-03-15' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS asked,
+                      CASE WHEN o_orderkey % 9 > 2 THEN CASE WHEN o_orderkey % 9 = 3 THEN '1996-03-15' ELSE strftime(o_orderdate, '%Y-%m-%d') END END AS day FROM orders),
+    r AS (SELECT unnest(['1995-06-01', '1996-03-15', '1998-01-01', '2000-12-31']) AS r),
+    m AS (SELECT o_orderkey, any_value(asked) AS asked, any_value(day) AS day, max(r) FILTER (WHERE r <= day) AS fit, min(r) AS least, bool_or(r = day) AS exact FROM o, r GROUP BY o_orderkey)
+    SELECT o_orderkey, CASE WHEN day IS NOT NULL THEN coalesce(fit, least) END AS revision,
+           CASE WHEN day IS NULL THEN NULL WHEN exact THEN 'none' WHEN fit IS NULL THEN 'below_min_supported' ELSE 'unknown_revision' END AS fallback,
+           CASE WHEN coalesce(trim(asked), '') = '' THEN 'missing' WHEN day IS NULL THEN 'malformed' END AS error FROM m
+""")
 def revision_negotiation(spark, d):
+    """Some orders ask for no date, some for one that is none."""
+    kind, day = F.col("o_orderkey") % 9, F.date_format("o_orderdate", "yyyy-MM-dd")
+    asked = F.when(kind == 0, None).when(kind == 1, "  ").when(kind == 2, F.date_format("o_orderdate", "dd.MM.yyyy")).when(kind == 3, "1996-03-15").otherwise(day)
     supported = F.array(*map(F.lit, ("1995-06-01", "1996-03-15", "1998-01-01", "2000-12-31")))
-    return read(spark, d, "orders").select("o_orderkey", versions.negotiated(F.date_format("o_orderdate", "yyyy-MM-dd"), supported).alias("revision"))
+    return read(spark, d, "orders").select("o_orderkey", versions.negotiated(asked, supported).alias("n")).select("o_orderkey", "n.revision", "n.fallback", "n.error")
 
 
 @query("SELECT event_type, le, count(CASE WHEN value <= le THEN 1 END) AS n FROM events, (SELECT unnest([0.5, 1.0, 2.5, 5.0, 10.0, 100.0])::DOUBLE AS le) GROUP BY ALL UNION ALL SELECT event_type, NULL, count(*) FROM events GROUP BY ALL")
@@ -437,10 +468,10 @@ def full_join(spark, d):
     return c.join(s, "nationkey", "full_outer")
 
 
-@query("SELECT o_orderkey, arg_max(e.event_id, (e.ts, e.event_id)) AS event_id FROM (SELECT o_orderkey, TIMESTAMP '2024-01-01' + (o_orderkey % 40000) * INTERVAL 1 MINUTE AS pt, o_orderkey % 150 AS u FROM orders WHERE o_orderkey < 3000) o JOIN events e ON e.user_id = u AND e.ts <= pt GROUP BY o_orderkey")
+@query("SELECT o_orderkey, arg_max(e.event_id, (e.ts, e.event_id)) AS event_id FROM (SELECT o_orderkey, TIMESTAMP '2024-01-01' + (o_orderkey % 40000) * INTERVAL 1 MINUTE AS pt, o_orderkey % 150 AS u FROM orders) o JOIN events e ON e.user_id = u AND e.ts <= pt GROUP BY o_orderkey")
 def as_of_join(spark, d):
     """The last event of a user at or before a time: both sides in one sorted walk, no pairs."""
-    o = read(spark, d, "orders").where("o_orderkey < 3000").select("o_orderkey", (F.col("o_orderkey") % 150).alias("user_id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, cast(o_orderkey % 40000 as int), 0)").alias("ts"), F.lit(None).cast("long").alias("event_id"), F.lit(1).alias("side"))
+    o = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 150).alias("user_id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, cast(o_orderkey % 40000 as int), 0)").alias("ts"), F.lit(None).cast("long").alias("event_id"), F.lit(1).alias("side"))
     e = read(spark, d, "events").select(F.lit(None).cast("long").alias("o_orderkey"), "user_id", "ts", "event_id", F.lit(0).alias("side"))
     order = Window.partitionBy("user_id").orderBy("ts", "side", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return o.unionByName(e).withColumn("event_id", F.last("event_id", ignorenulls=True).over(order)).where("side = 1 and event_id is not null").select("o_orderkey", "event_id")
@@ -476,7 +507,7 @@ def evidence_ranking(spark, d):
 
 @query()
 def suggest_fuzzy(spark, d):
-    names = [r["p_name"] for r in read(spark, d, "part").select("p_name").distinct().collect()]
+    names = read(spark, d, "part").select(F.col("p_name").alias("fqn"))
     asked = spark.createDataFrame([("small rong",), ("red wdget",), ("zzzz",)], "query string")
     return symbols.suggestions(asked, names).select("query", F.array_join("suggestions", "|").alias("suggestions"))
 
@@ -487,7 +518,7 @@ def member_index(spark, d):
     return symbols.member_index(m).select("name", F.array_join("owners", "|").alias("owners"))
 
 
-@query("SELECT p_type, approx_ok FROM (SELECT p_type, true AS approx_ok FROM part GROUP BY p_type)")
+@query("SELECT p_type, count(DISTINCT p_partkey) AS n, true AS approx_ok FROM part GROUP BY p_type")
 def approximate_distinct(spark, d):
     a = read(spark, d, "part").groupBy("p_type").agg(F.approx_count_distinct("p_partkey", 0.02).alias("a"), F.countDistinct("p_partkey").alias("n"))
-    return a.select("p_type", (F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("approx_ok"))
+    return a.select("p_type", "n", (F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("approx_ok"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import grammar, predicates
 from lodestrata.functions import text as T
-from lodestrata.operators import budget, chunking, lexical, vectors
+from lodestrata.operators import budget, chunking, index, lexical, vectors
 
 from . import oracle as O
 
@@ -40,7 +40,7 @@ ASKED = "thentherea ofthouerre whed the onation onation reheat"
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """BM25 top ten of one query over all documents."""
     asked = spark.createDataFrame([(0, ASKED)], "query_id int, query string")
-    return lexical.top_k(lexical.bm25(read(spark, d, "documents"), asked, "query_id", "query"), "query_id", 10).select("doc_id", "score", "rank")
+    return lexical.top_k(index.of_generation(read(spark, d, "documents")).bm25(asked, "query_id", "query"), "query_id", 10).select("doc_id", "score", "rank")
 
 
 BM25_SQL = """
@@ -62,7 +62,7 @@ def bm25_topk(spark, d):
 @query(BM25_SQL.format(tokens=O.tokens(TEXT), asked=O.tokens("text"), source="SELECT item_id AS query_id, text FROM benchmark", k=5))
 def bm25_batch(spark, d):
     asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return lexical.top_k(lexical.bm25(read(spark, d, "documents"), asked, "query_id", "query"), "query_id", 5).select("query_id", "doc_id", "score", "rank")
+    return lexical.top_k(index.of_generation(read(spark, d, "documents")).bm25(asked, "query_id", "query"), "query_id", 5).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"""
@@ -75,7 +75,7 @@ def bm25_batch(spark, d):
 """)
 def tfidf_topk(spark, d):
     asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return lexical.top_k(lexical.tf_idf(read(spark, d, "documents"), asked, "query_id", "query"), "query_id", 5).select("query_id", "doc_id", "score", "rank")
+    return lexical.top_k(index.of_generation(read(spark, d, "documents"), tokeniser="plain").tf_idf(asked, "query_id", "query"), "query_id", 5).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"SELECT doc_id, len(ts) AS n_tokens, len(list_distinct(ts)) AS n_distinct, md5(array_to_string(ts, ' ')) AS tokens_md5 FROM (SELECT doc_id, {O.tokens(TEXT)} AS ts FROM documents)")
@@ -110,17 +110,17 @@ def stem_counts(spark, d):
 
 @query(f"SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({O.tokens(TEXT)}) AS token FROM documents) GROUP BY token HAVING count(*) >= 5")
 def doc_freq(spark, d):
-    return lexical.doc_freq(lexical.postings(read(spark, d, "documents"))).where("df >= 5")
+    return index.of_generation(read(spark, d, "documents")).dictionary.where("df >= 5").select("token", "df")
 
 
 @query(f"SELECT count(*) AS n_docs, round(avg(len({O.tokens(TEXT)})), 6) AS avgdl FROM documents")
 def corpus_stats(spark, d):
-    return lexical.corpus_stats(read(spark, d, "documents")).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return index.of_generation(read(spark, d, "documents")).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({O.tokens(TEXT)}) AS token FROM documents) GROUP BY ALL HAVING count(*) >= 8")
 def term_freq(spark, d):
-    return lexical.postings(read(spark, d, "documents")).where("tf >= 8").select("doc_id", "token", "tf")
+    return index.of_generation(read(spark, d, "documents")).postings.where("tf >= 8").select("doc_id", "token", "tf")
 
 
 TERMS = f"t AS (SELECT item_id AS query_id, unnest({O.stemmed_terms('text')}) AS term FROM benchmark)"
@@ -128,10 +128,10 @@ STEMS = f"s AS (SELECT DISTINCT doc_id, {O.stem('token')} AS term FROM (SELECT d
 WEIGHTS = f"f AS (SELECT {O.stem('token')} AS term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({O.tokens(TEXT)}) AS token FROM documents) GROUP BY 1), w AS (SELECT query_id, term, CASE WHEN f.df IS NULL THEN 2.0 ELSE greatest(0.5, least(1.0, ln(1 + (SELECT count(*) FROM documents) / (1 + f.df)))) END AS weight FROM t LEFT JOIN f USING (term))"
 
 
-def weighted(spark, d) -> tuple[DataFrame, DataFrame]:
-    docs = read(spark, d, "documents")
+def weighted(spark, d) -> tuple[index.KeywordIndex, DataFrame]:
+    held = index.of_generation(read(spark, d, "documents"))
     terms = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.stemmed_terms("text")).alias("term"))
-    return docs, lexical.weighted_terms(docs, terms)
+    return held, held.weights(terms)
 
 
 @query(f"WITH {TERMS}, {WEIGHTS} SELECT query_id, term, round(weight, 6) AS weight FROM w")
@@ -144,14 +144,14 @@ COVERED = f"WITH {TERMS}, {WEIGHTS}, {STEMS}, z AS (SELECT query_id, sum(weight)
 
 @query(COVERED + " SELECT * FROM c WHERE coverage >= 0.5")
 def weighted_coverage(spark, d):
-    docs, w = weighted(spark, d)
-    return lexical.coverage(docs, w, "query_id").withColumn("coverage", F.round("coverage", 6)).where("coverage >= 0.5")
+    held, w = weighted(spark, d)
+    return held.coverage(w, "query_id").withColumn("coverage", F.round("coverage", 6)).where("coverage >= 0.5")
 
 
-@query(COVERED + " SELECT query_id, doc_id, coverage, n_present FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, doc_id) AS r FROM c WHERE coverage >= 0.41 AND coverage < 0.6 AND n_present >= 2) WHERE r <= 3")
+@query(COVERED + " SELECT query_id, doc_id, coverage, n_present FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, doc_id) AS r FROM c WHERE coverage >= 0.41 AND coverage < 0.6 AND n_present >= 6) WHERE r <= 3")
 def partial_tier(spark, d):
-    docs, w = weighted(spark, d)
-    c = lexical.coverage(docs, w, "query_id").withColumn("coverage", F.round("coverage", 6)).where("coverage >= 0.41 and coverage < 0.6 and n_present >= 2")
+    held, w = weighted(spark, d)
+    c = held.coverage(w, "query_id").withColumn("coverage", F.round("coverage", 6)).where("coverage >= 0.41 and coverage < 0.6 and n_present >= 6")
     best = Window.partitionBy("query_id").orderBy(F.desc("coverage"), "doc_id")
     return c.withColumn("r", F.row_number().over(best)).where("r <= 3").drop("r")
 
@@ -164,12 +164,24 @@ def required_terms(spark, d):
     return parts(spark, d).select("p_partkey", F.explode(T.required_terms("name")).alias("term"))
 
 
-@query(COVERED + f", q AS (SELECT item_id AS query_id, unnest(list_distinct(list_transform(list_filter(regexp_extract_all(text || ' doc2vec', '[A-Za-z0-9_]+'), lambda r: regexp_matches(r, '[a-z][A-Z]|_') OR (regexp_matches(r, '[a-z]') AND regexp_matches(r, '[0-9]'))), lambda r: lower(r)))) AS term FROM benchmark WHERE item_id % 2 = 0), m AS (SELECT query_id, doc_id FROM c, (SELECT DISTINCT query_id AS qid FROM q) y WHERE qid = query_id AND EXISTS (SELECT 1 FROM q WHERE q.query_id = c.query_id AND NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = c.doc_id AND s.term = q.term))) SELECT query_id, doc_id, CASE WHEN m.doc_id IS NULL THEN coverage ELSE 0.0 END AS coverage FROM c LEFT JOIN m USING (query_id, doc_id) WHERE coverage >= 0.5")
+REQUIRED = """
+    , q AS (SELECT item_id AS query_id, unnest(list_distinct(list_transform(
+        list_filter(regexp_extract_all(text || ' doc2vec', '[A-Za-z0-9_]+'),
+                    lambda r: regexp_matches(r, '[a-z][A-Z]|_') OR (regexp_matches(r, '[a-z]') AND regexp_matches(r, '[0-9]'))),
+        lambda r: lower(r)))) AS term FROM benchmark),
+    m AS (SELECT c.query_id, c.doc_id FROM c JOIN q USING (query_id)
+          WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = c.doc_id AND s.term = q.term) GROUP BY ALL)
+    SELECT query_id, doc_id, CASE WHEN m.doc_id IS NULL THEN coverage ELSE 0.0 END AS coverage
+    FROM c LEFT JOIN m USING (query_id, doc_id) WHERE coverage >= 0.5
+"""
+
+
+@query(COVERED + REQUIRED)
 def guarded_coverage(spark, d):
-    docs, w = weighted(spark, d)
-    required = read(spark, d, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").alias("query_id"), F.explode(T.required_terms(F.concat("text", F.lit(" doc2vec")))).alias("term"))
-    c = lexical.coverage(docs, w, "query_id").withColumn("coverage", F.round("coverage", 6)).where("coverage >= 0.5")
-    return lexical.guarded(c, docs, required, "query_id").select("query_id", "doc_id", "coverage")
+    held, w = weighted(spark, d)
+    required = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.required_terms(F.concat("text", F.lit(" doc2vec")))).alias("term"))
+    c = held.coverage(w, "query_id").withColumn("coverage", F.round("coverage", 6)).where("coverage >= 0.5")
+    return held.guarded(c, required, "query_id").select("query_id", "doc_id", "coverage")
 
 
 @query(f"""
@@ -178,19 +190,18 @@ def guarded_coverage(spark, d):
     SELECT stem, count(*) AS df FROM x GROUP BY stem HAVING count(*) / (SELECT count(*) FROM documents) >= 0.12 AND (SELECT count(*) FROM documents) >= 20
 """)
 def ubiquitous_stems(spark, d):
-    docs = read(spark, d, "documents")
-    return lexical.ubiquitous(lexical.postings(docs), docs.count())
+    return index.of_generation(read(spark, d, "documents")).ubiquitous()
 
 
 @query(f"""
-    WITH l AS (SELECT doc_id, i, {O.tokens("line")} AS ts FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents WHERE length(text) < 4000)),
+    WITH l AS (SELECT doc_id, i, {O.tokens("line")} AS ts FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
     n AS (SELECT doc_id, max(i) AS n FROM l GROUP BY doc_id), a AS (SELECT doc_id, unnest(range(1, greatest(n - 9, 1) + 1)) AS start FROM n),
     h AS (SELECT a.doc_id, a.start, count(DISTINCT t) AS hit FROM a JOIN l ON l.doc_id = a.doc_id AND l.i BETWEEN a.start AND a.start + 9, (SELECT unnest(['of', 'hand', 'tion', 'ation', 'onat', 'ed']) AS t) q WHERE list_contains(list_transform(l.ts, lambda x: {O.stem('x')}), t) GROUP BY ALL)
     SELECT n.doc_id, coalesce(round(max(hit) / 6.0, 6), 0.0) AS coverage FROM n LEFT JOIN h USING (doc_id) GROUP BY n.doc_id
 """)
 def passage_windows(spark, d):
     terms = F.array(*map(F.lit, ("of", "hand", "tion", "ation", "onat", "ed")))
-    docs = read(spark, d, "documents").where("length(text) < 4000")
+    docs = read(spark, d, "documents")
     lined = docs.select("doc_id", lexical.passage_lines(F.coalesce("text", F.lit(""))).alias("lines"))
     return lined.select("doc_id", F.round(lexical.best_passage(F.col("lines"), terms, F.array_repeat(F.lit(1.0), 6)), 6).alias("coverage"))
 
@@ -210,13 +221,17 @@ def paragraph_sections(spark, d):
     return chunking.paragraphs(read(spark, d, "documents"))
 
 
-@query(r"""
-    WITH b AS (SELECT doc_id, trim('# ' || left(text, 40) || E'\n' || coalesce(text, ''), E' \t\n\r') AS body FROM documents WHERE text NOT LIKE '%#%' AND text NOT LIKE '%```%' AND strpos(left(text, 40), chr(10)) = 0 AND length(text) > 45 AND left(text, 40) = trim(left(text, 40)))
-    SELECT doc_id, 0 AS part, left(trim(substr(body, 3), E' \t\n\r'), 40) AS title, trim(substr(body, 43), E' \t\n\r') AS text FROM b
-""")
+def with_headings(docs: DataFrame) -> DataFrame:
+    """doc_id, text: every document under a heading, before a fence that holds none, and before a last section."""
+    tail = F.concat(F.lit("\n````py\n# no heading\n```\n````\n## Last ##\nin "), F.coalesce("lang", F.lit("none")))
+    return docs.select("doc_id", F.concat(F.lit("# Document "), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")), tail).alias("text"))
+
+
+@query()
 def heading_sections(spark, d):
-    docs = read(spark, d, "documents").where("text not like '%#%' and text not like '%```%' and instr(substring(text, 1, 40), '\n') = 0 and length(text) > 45 and substring(text, 1, 40) = trim(substring(text, 1, 40))")
-    return chunking.sections(docs.select("doc_id", F.concat(F.lit("# "), F.substring("text", 1, 40), F.lit("\n"), "text").alias("text")))
+    """Checked against a plain version in the tests: SQL has no fold over lines."""
+    found = chunking.sections(with_headings(read(spark, d, "documents")))
+    return found.select("doc_id", "part", "title", F.md5("text").alias("text_md5"))
 
 
 @query()
@@ -248,16 +263,27 @@ def sanitize_text(spark, d):
 
 
 @query("""
-    SELECT doc_id, CASE WHEN lower(text) LIKE '%getting started%' OR lower(text) LIKE '%quick start%' OR lower(text) LIKE '%install%' THEN 'getting_started' WHEN lower(text) LIKE '%troubleshoot%' OR lower(text) LIKE '%known issue%' OR lower(text) LIKE '%workaround%' THEN 'troubleshooting'
-      WHEN lower(text) LIKE '%faq%' OR lower(text) LIKE '%frequently asked%' THEN 'faq' ELSE 'developer_guide' END AS category FROM documents
+    WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN coalesce(text, '')
+        ELSE 'FQN: Doc: ' || coalesce(lang, '') || CASE doc_id % 4 WHEN 1 THEN ' Environment setup' WHEN 2 THEN ' Unsupported input' ELSE ' Page Setup and more' END
+             || chr(10) || CASE WHEN doc_id % 5 = 0 THEN 'FAQ: ' ELSE '' END || coalesce(text, '') END AS t FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'faq' WHEN doc_id % 4 = 2 THEN 'troubleshooting' WHEN doc_id % 4 = 1 THEN 'getting_started' ELSE 'developer_guide' END
+        WHEN regexp_matches(lower(t), 'getting started|quickstart|quick start|installation|install |prerequisites') THEN 'getting_started'
+        WHEN regexp_matches(lower(t), 'troubleshoot|known issue|common error|debugging') THEN 'troubleshooting'
+        WHEN regexp_matches(lower(t), 'faq|frequently asked') THEN 'faq' ELSE 'developer_guide' END AS category FROM c
 """)
 def classify_category(spark, d):
-    return read(spark, d, "documents").select("doc_id", predicates.category("text").alias("category"))
+    kind = F.col("doc_id") % 4
+    title = F.when(kind == 1, " Environment setup").when(kind == 2, " Unsupported input").otherwise(" Page Setup and more")
+    text = F.coalesce("text", F.lit(""))
+    titled = F.concat(F.lit("FQN: Doc: "), F.coalesce("lang", F.lit("")), title, F.lit("\n"), F.when(F.col("doc_id") % 5 == 0, "FAQ: ").otherwise(""), text)
+    return read(spark, d, "documents").select("doc_id", predicates.category(F.when(kind == 0, text).otherwise(titled)).alias("category"))
 
 
 @query("""
-    SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN trim(text) LIKE '% %' THEN 'phrase' WHEN trim(text) LIKE '%.%' OR regexp_matches(trim(text), '^\\p{Lu}') THEN 'exact_fqn' ELSE 'keyword' END AS shape,
-      len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) >= 3 OR coalesce(regexp_extract(lower(text), '[a-z0-9]+') IN ('how', 'what', 'where', 'when', 'which', 'why', 'can', 'does', 'is', 'do'), false) AS task FROM conversations
+    WITH q AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '') AS ws FROM conversations)
+    SELECT conv_id, turn, CASE WHEN t = '' THEN 'empty' WHEN t LIKE '% %' THEN 'phrase' WHEN t LIKE '%.%' OR regexp_matches(t, '^\\p{Lu}') THEN 'exact_fqn' ELSE 'keyword' END AS shape,
+      len(ws) >= 3 OR coalesce(lower(regexp_replace(ws[1], '^[[:punct:]]+|[[:punct:]]+$', '', 'g')) IN ('how', 'what', 'why', 'can', 'could', 'does', 'do', 'did', 'is', 'are', 'was', 'were',
+        'should', 'would', 'will', 'where', 'when', 'who', 'which', 'shall'), false) AS task FROM q
 """)
 def query_shape(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", T.query_shape("text").alias("shape"), predicates.task_question(F.coalesce("text", F.lit(""))).alias("task"))
@@ -364,12 +390,24 @@ def sentence_split(spark, d):
     return read(spark, d, "documents").where("text is not null").select("doc_id", F.size(chunking.sentences("text")).alias("n_sentences"))
 
 
+LICENCE_PARTS = (
+    "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "Apache License\n  Version 2.0, January 2004",
+    "redistribution and use in source and binary forms, with or without  modification, are permitted",
+    "Neither the name of",
+)
+
+
 @query("""
-    SELECT source, license, count(*) AS n FROM (SELECT source, CASE WHEN (a + b + c + e) = 1 THEN CASE WHEN a = 1 THEN 'MIT' WHEN b = 1 THEN 'Apache-2.0' WHEN c = 1 THEN 'BSD-3-Clause' ELSE 'GPL-3.0' END END AS license
-      FROM (SELECT source, (lower(text) LIKE '%permission is hereby granted, free of charge%')::INT AS a, (lower(text) LIKE '%apache license%')::INT AS b, (lower(text) LIKE '%redistribution and use in source and binary forms%')::INT AS c, (lower(text) LIKE '%gnu general public license%')::INT AS e FROM documents)) GROUP BY ALL
+    WITH t AS (SELECT doc_id, list_filter(range(5), lambda i: (doc_id >> i) % 2 = 1) AS p FROM documents)
+    SELECT doc_id, CASE WHEN m + a + b = 1 THEN CASE WHEN m = 1 THEN 'MIT' WHEN a = 1 THEN 'Apache-2.0' WHEN list_contains(p, 4) THEN 'BSD-3-Clause' ELSE 'BSD-2-Clause' END END AS license
+    FROM (SELECT doc_id, p, (list_contains(p, 0) AND list_contains(p, 1))::INT AS m, list_contains(p, 2)::INT AS a, list_contains(p, 3)::INT AS b FROM t)
 """)
 def licence_fingerprint(spark, d):
-    return read(spark, d, "documents").groupBy("source", predicates.licence("text").alias("license")).agg(F.count("*").alias("n"))
+    """Every document with the phrases behind it that its number's bits name."""
+    parts = F.concat(*[F.when(F.shiftright("doc_id", i) % 2 == 1, F.lit(f"\n{part}")).otherwise("") for i, part in enumerate(LICENCE_PARTS)])
+    return read(spark, d, "documents").select("doc_id", predicates.licence(F.concat(F.coalesce("text", F.lit("")), parts)).alias("license"))
 
 
 @query()

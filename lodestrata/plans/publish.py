@@ -1,24 +1,26 @@
 """Immutable generations, the active pointer, and the rules of publishing.
 
 A generation is a folder of Parquet that is written once. The pointer is one small file beside it, swapped by an atomic
-rename under a lock; a fencing token keeps a writer whose lease has passed from swapping. All of it is driver code over a
-few rows; what it checks are aggregates of DataFrames.
+rename under a lock, as is the lease, whose fencing token keeps a writer whose lease has passed from swapping. All of them
+lie in the shared folder, so that writers may run on any machine. The log has a file for each entry.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-import os
 import re
 import time
+import uuid
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import predicates
 
+from .shared_files import Folder
+
 COMPONENT = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]{0,63}")
 
 
@@ -97,70 +99,61 @@ class Store:
     """Generations below one folder that the driver and the executors share."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.root = spark, root.rstrip("/")
 
-    def _folder(self, scope: Scope) -> Path:
-        folder = self.root / scope.folder
-        folder.mkdir(parents=True, exist_ok=True)
-        return folder
+    def _folder(self, scope: Scope) -> Folder:
+        return Folder(self.spark, f"{self.root}/{scope.folder}")
 
     def lease(self, scope: Scope, seconds: float = 300) -> int:
         """A new fencing token; the one before it is void."""
-        path = self._folder(scope) / "lease.json"
-        token = (json.loads(path.read_text())["token"] if path.exists() else 0) + 1
-        self._swap(path, {"token": token, "until": time.time() + seconds})
+        folder = self._folder(scope)
+        with folder.locked("lock", Conflict("another writer holds the lock")):
+            token = json.loads(folder.read("lease.json") or '{"token": 0}')["token"] + 1
+            folder.swap("lease.json", json.dumps({"token": token, "until": time.time() + seconds}))
         return token
 
     def active(self, scope: Scope) -> str | None:
-        path = self._folder(scope) / "active.json"
-        if not path.exists():
-            return None
-        if path.stat().st_size > 64 << 10:
-            raise ValueError("the pointer file is too large")
-        return json.loads(path.read_text())["generation_id"]
+        held = self._folder(scope).read("active.json")
+        return json.loads(held)["generation_id"] if held else None
 
     def write(self, scope: Scope, version: str, chunks: DataFrame) -> str:
-        """Writes a generation once; the same content again is nothing new, other content an error."""
+        """Writes a generation once; the same content again is nothing new, other content an error. Contents are compared by
+        the number of rows and sums over their digests, in whatever order rows come."""
         generation = f"{scope.folder}__{version}"
-        path = self._folder(scope) / generation
-        digest = chunks.agg(F.sha2(F.concat_ws("\x1f", F.array_sort(F.collect_list(F.sha2(F.to_json(F.struct(*sorted(chunks.columns))), 256)))), 256)).first()[0]
-        mark = self._folder(scope) / f"{generation}.sha256"
-        if mark.exists():
-            if mark.read_text() != digest:
+        folder = self._folder(scope)
+        row = F.sha2(F.to_json(F.struct(*sorted(chunks.columns)), {"ignoreNullFields": "false"}), 256)
+        part = lambda at: F.sum(F.conv(F.substring("row", at, 15), 16, 10).cast("decimal(38,0)"))
+        sums = chunks.select(row.alias("row")).agg(F.count("*"), *(part(1 + 15 * i) for i in range(4))).first()
+        digest = hashlib.sha256(repr(tuple(map(str, sums))).encode()).hexdigest()
+        held = folder.read(f"{generation}.sha256")
+        if held is not None:
+            if held != digest:
                 raise Conflict(f"{generation} exists with other content")
             return generation
-        chunks.write.mode("overwrite").parquet(str(path))
-        mark.write_text(digest)
+        chunks.write.mode("overwrite").parquet(f"{folder.path}/{generation}")
+        folder.swap(f"{generation}.sha256", digest)
         return generation
 
     def read(self, scope: Scope, generation: str | None = None) -> DataFrame:
         generation = generation or self.active(scope)
         if generation is None:
             raise LookupError("no active generation")
-        return self.spark.read.parquet(str(self._folder(scope) / generation))
+        return self.spark.read.parquet(f"{self._folder(scope).path}/{generation}")
 
     def generations(self, scope: Scope) -> list[str]:
-        return sorted((p.name.removesuffix(".sha256") for p in self._folder(scope).glob("*.sha256")), reverse=True)
+        return sorted((n.removesuffix(".sha256") for n in self._folder(scope).names() if n.endswith(".sha256")), reverse=True)
 
     def activate(self, scope: Scope, generation: str, expected: str | None, token: int) -> None:
         """Compare and swap, under a lock file and the current token."""
         folder = self._folder(scope)
-        lock = folder / "lock"
-        try:
-            handle = os.open(lock, os.O_CREAT | os.O_EXCL)
-        except FileExistsError:
-            raise Conflict("another writer holds the lock") from None
-        try:
-            if token != json.loads((folder / "lease.json").read_text())["token"]:
+        with folder.locked("lock", Conflict("another writer holds the lock")):
+            if token != json.loads(folder.read("lease.json") or '{"token": 0}')["token"]:
                 raise Conflict("the lease has passed to another writer")
             if self.active(scope) != expected:
                 raise Conflict(f"the active generation is {self.active(scope)}, not {expected}")
             if generation not in self.generations(scope):
                 raise LookupError(f"no such generation: {generation}")
-            self._swap(folder / "active.json", {"generation_id": generation})
-        finally:
-            os.close(handle)
-            lock.unlink()
+            folder.swap("active.json", json.dumps({"generation_id": generation}))
 
     def publish(self, scope: Scope, version: str, chunks: DataFrame, policy: Policy = Policy(), accepted: tuple[str, ...] = ()) -> str:
         """Checks, writes, activates and logs; a refusal is logged too."""
@@ -199,20 +192,10 @@ class Store:
     def discard(self, scope: Scope, generation: str) -> None:
         if generation == self.active(scope):
             raise Conflict("the active generation stays")
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(str(self._folder(scope) / generation))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        (self._folder(scope) / f"{generation}.sha256").unlink(missing_ok=True)
+        folder = self._folder(scope)
+        folder.delete(generation)
+        folder.delete(f"{generation}.sha256")
 
     def log(self, scope: Scope, entry: dict) -> None:
         line = json.dumps({"ts": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "scope": str(scope), **entry}, sort_keys=True)
-        with (self._folder(scope) / "publish_log.jsonl").open("a") as file:
-            file.write(line + "\n")
-            file.flush()
-            os.fsync(file.fileno())
-
-    @staticmethod
-    def _swap(path: Path, value: dict) -> None:
-        other = path.with_suffix(".new")
-        other.write_text(json.dumps(value, sort_keys=True))
-        os.replace(other, path)
+        Folder(self.spark, f"{self._folder(scope).path}/publish_log").swap(f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.jsonl", line + "\n")

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions import grammar, predicates, versions
+from lodestrata.functions import grammar, predicates, relevance, versions
 from lodestrata.functions import text as T
 from lodestrata.operators import lexical, symbols, vectors
 
@@ -43,6 +43,10 @@ class Engine:
         self.spark, self.family, self.platform = spark, family, platform
         self.chunks = chunks.select("chunk_id", "ord", "text", predicates.chunk_kind("text").alias("kind"), grammar.fqn("text").alias("fqn"), predicates.category("text").alias("category")).cache()  # read by every stage
 
+    def close(self) -> None:
+        """Lets go of the chunks that are held for the next stage or call."""
+        self.chunks.unpersist()
+
     def _miss(self, reason: str, schema: str) -> DataFrame:
         return self.spark.createDataFrame([(False, reason)], "found boolean, reason string").selectExpr("found", "reason", *(f"cast(null as {kind}) as {name}" for name, kind in (x.split(" ", 1) for x in schema.split(", "))))
 
@@ -53,7 +57,7 @@ class Engine:
         excluded = set(asked.select(T.excluded_terms(self.family, self.platform).alias("x")).first()["x"])
         kept = [t for t in said["terms"] if t not in excluded] or said["terms"]
         frame = lambda words: self.spark.createDataFrame([(0, w) for w in words], "q int, term string")
-        return lexical.weighted_terms(pool, frame(kept), "chunk_id").cache(), frame(said["required"]), len(kept)
+        return lexical.weighted_terms(pool, frame(kept), "chunk_id"), frame(said["required"]), len(kept)
 
     def search_docs(self, query: str, content_type: str | None = None, top_k: int = 10) -> DataFrame:
         """found, reason, match_quality, chunk_id, category, coverage, score: confident, else partial, else nearest vectors."""
@@ -72,7 +76,7 @@ class Engine:
         passage = lexical.best_passage(F.col("lines"), F.col("terms"), F.col("weights"))
         scored = covered.where(F.col("coverage") >= PARTIAL).join(pool, "chunk_id").withColumn("lines", lexical.passage_lines(F.col("text"))).crossJoin(F.broadcast(listed)).where(~predicates.table_dominated("text") | (F.col("n_present") >= 2)).withColumn("passage", passage)
         bm = lexical.bm25(pool, self.spark.createDataFrame([(0, query)], "q int, query string"), "q", "query", "chunk_id").select("chunk_id", "score")
-        scored = scored.join(bm, "chunk_id", "left").select("chunk_id", "category", F.round("coverage", 6).alias("coverage"), "passage", "n_present", F.coalesce(F.round("score", 6), F.lit(0.0)).alias("score")).cache()
+        scored = scored.join(bm, "chunk_id", "left").select("chunk_id", "category", F.round("coverage", 6).alias("coverage"), "passage", "n_present", F.coalesce(F.round("score", 6), F.lit(0.0)).alias("score"))
         order = (F.desc("coverage"), F.desc("score"), "chunk_id")
         confident = scored.where((F.col("coverage") >= RELEVANT) & (F.col("passage") >= RELEVANT)).orderBy(*order).limit(top_k)
         partial = scored.where((F.col("coverage") >= PARTIAL) & (F.col("n_present") >= 2)).orderBy(*order).limit(min(top_k, PARTIAL_ROWS))
@@ -107,8 +111,7 @@ class Engine:
             return found.orderBy("rank")
         if offset and not hits.isEmpty():
             return self._miss("past_the_end", columns)
-        names = [r["fqn"] for r in pool.select("fqn").distinct().orderBy("fqn").limit(20_000).collect()]  # one scope's names
-        close = symbols.suggestions(asked, names).first()["suggestions"]
+        close = symbols.suggestions(asked, pool.select("fqn")).first()["suggestions"]
         return self._miss("no_symbol", columns).withColumn("suggestions", F.lit(close).cast("array<string>"))
 
     def get_symbol(self, fqn: str) -> DataFrame:
@@ -194,8 +197,7 @@ class Engine:
         if section == "license":
             rows = rows.withColumn("text", F.coalesce(predicates.licence("text"), "text"))
         if section == "agent_guidance":
-            agent = lambda line: F.regexp_like(line, F.lit(r"(?i)\bskills?\b")) & F.regexp_like(line, F.lit(r"(?i)\b(?:must|always|run|use|follow)\b"))
-            rows = rows.withColumn("text", F.array_join(F.transform(F.split("text", "\n"), lambda line: F.when(agent(line), "[line removed]").otherwise(line)), "\n"))
+            rows = rows.withColumn("text", relevance.without_agent_lines("text"))
         return rows.select(F.lit(True).alias("found"), F.lit(None).cast("string").alias("reason"), "section", "text")
 
     def list_recent_changes(self, releases: DataFrame, indexed_commit: str, indexed_version: str, limit: int = 10) -> DataFrame:

@@ -33,6 +33,14 @@ def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append
     return df.sparkSession.table(name)
 
 
+def run_to_table(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Appends a stream's results to a Parquet table: what a watermark has closed, each row once, however often the run is
+    started again. checkpoint lies in the shared folder."""
+    query = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.parquet(path)
+
+
 def breaker_states(events: DataFrame, by: str = "user_id", failed: str = "error", failures: int = 3, open_for: float = 60.0) -> DataFrame:
     """by, ts, opened: where a breaker opens, after so many failures in a row while it is closed. A stateful walk for each key;
     the state is two numbers, carried from batch to batch when `events` is a stream."""

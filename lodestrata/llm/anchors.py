@@ -10,8 +10,10 @@ first of these). Equal windows have equal anchors at equal places, so whatever t
    smaller doc_id has too;
 5. chunks cover the windows' symbols.
 
-Packed arrays of a bucket and a chunk are the rows that Spark shuffles; how many there are follows the input's size. An
-anchor that a third of all documents hold costs its bucket two entries a chunk in (1) and one context for each copy in (3).
+Equal contexts of a chunk are one before they are sent: a copy with a larger doc_id is covered by the one that is sent.
+Contexts are equal when all their symbols are; hashes only say which to compare. Packed arrays of a bucket and a chunk are
+the rows that Spark shuffles; how many buckets there are follows the input's size. An anchor that a third of all documents
+hold costs its bucket two entries a chunk in (1), and one for each different context of each chunk in (3).
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ CHUNK = 4 << 20  # bytes of text
 BUCKET_BYTES = 1 << 20  # bytes of the table's files
 BATCH = 1 << 19
 HELD = 6 << 20  # bytes of contexts that are packed together
+WIDEST = (1 << 16) - 1  # symbols of a window
 SENT_BITS = np.uint64((1 << 40) - 1)  # of an anchor's hash; enough to find candidates, whose contexts carry all of it
 PLACE = np.uint64((1 << 24) - 1)
 STRETCH = 1 << 20  # symbols of a long row that are hashed together; their places fit PLACE
@@ -111,7 +114,40 @@ def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, stop, at = word_places(data, offsets)
     values = ROLLER.hashes(value_of, data, start, stop) + (stop - start).astype(np.uint64)
-    return values, (values >> np.uint64(32)).astype("<u4"), at
+    return values, values, at
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each count, end to end."""
+    ends = np.cumsum(count)
+    return np.repeat(first - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def classes(key: np.ndarray, doc_id: np.ndarray, content: np.ndarray, offset: np.ndarray, size: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups runs of symbols of one key that are equal, symbol by symbol: of each group the first by doc_id, in the order of
+    keys, and the group of every run. content: hashes of the runs."""
+    content = content.copy()
+    group = np.empty(len(key), np.int64)
+    while True:
+        order = np.lexsort((doc_id, content, key))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (content[order][1:] != content[order][:-1]) | (key[order][1:] != key[order][:-1])
+        heads = order[fresh]
+        group[order] = np.cumsum(fresh) - 1
+        head = heads[group]
+        wrong = size != size[head]
+        rows = np.flatnonzero(~wrong & (head != np.arange(len(head))))
+        at, ends = 0, np.cumsum(size[rows])
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + BATCH)))
+            some = rows[at:to]
+            differ = symbols[spread(offset[some], size[some])] != symbols[spread(offset[head[some]], size[some])]
+            if differ.any():
+                wrong[some[np.searchsorted(ends[at:to] - ends[at] + size[rows[at]], np.flatnonzero(differ), "right")]] = True
+            at = to
+        if not wrong.any():
+            return heads, group
+        content[wrong] = _mix(content[wrong] + np.uint64(1))  # two contents with one hash
 
 
 def seeds(values: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -281,22 +317,31 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([x[i] for x in rows], t) for i, t in enumerate(KNOWN.types)], schema=KNOWN)
 
 
-CONTEXTS = ("<u8", "<i8", "<u4", "<u4", "u1", "u1")
+CONTEXTS = ("<u8", "<i8", "<u4", "<u4", "<u2", "<u2")
+SPANS = ("<u4", "<u4", "<u4")
 SENT = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("packed", pa.binary())])
 
 
+def _content(anchor: np.ndarray, lead: np.ndarray, offset: np.ndarray, size: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    return ROLLER.hashes(value_of, symbols, offset, offset + size) ^ _mix(anchor + lead.astype(np.uint64) * np.uint64(65537) + size.astype(np.uint64))
+
+
 def _by_bucket(parts: list[tuple[np.ndarray, ...]], g: int, buckets: int) -> list[tuple]:
-    found, *columns, size, taken = (np.concatenate(c) for c in zip(*parts, strict=True))
-    bucket = _bucket(found & SENT_BITS, buckets)
-    order = np.argsort(bucket, kind="stable")
+    """Contexts for the buckets, and for a bucket of none what a chunk knows itself: copies with a larger doc_id are covered."""
+    found, doc_id, row, start, lead, number, size, taken = (np.concatenate(c) for c in zip(*parts, strict=True))
     first = np.cumsum(size) - size
+    heads, group = classes(found, doc_id, _content(found, lead, first, size, taken), first, size, taken)
+    covered = doc_id > doc_id[heads[group]]
     out = []
+    if covered.any():
+        out.append((-1 - g % buckets, g, _pack(row[covered], start[covered], start[covered] + size[covered].astype("<u4"))))
+    sent = np.flatnonzero(~covered)
+    bucket = _bucket(found[sent] & SENT_BITS, buckets)
+    order = np.argsort(bucket, kind="stable")
     for k, part in _parts(bucket[order]):
-        own = order[part]
-        sizes = size[own]
-        ends = np.cumsum(sizes)
-        symbols = taken[np.repeat(first[own] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-        out.append((k, g, _pack(found[own], *(c[own] for c in columns), symbols)))
+        own = sent[order[part]]
+        symbols = taken[spread(first[own], size[own])]
+        out.append((k, g, _pack(found[own], doc_id[own], row[own], start[own], lead[own], number[own], symbols)))
     return out
 
 
@@ -317,9 +362,8 @@ def _sent_contexts(units: Units, buckets: int):
                 keep = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
                 row, anchor, start, number, found = row[keep], anchor[keep], start[keep], number[keep], found[keep]
                 size = number - 1 + units.window
-                ends = np.cumsum(size)
-                taken = symbols[np.repeat(start - ends + size, size) + np.arange(int(size.sum()))]
-                parts.append((found, ids[at + row], (at + row).astype("<u4"), (start - places[row]).astype("<u4"), (anchor - start).astype(np.uint8), number.astype(np.uint8), size, taken))
+                taken = symbols[spread(start, size)]
+                parts.append((found, ids[at + row], (at + row).astype("<u4"), (start - places[row]).astype("<u4"), (anchor - start).astype("<u2"), number.astype("<u2"), size, taken))
                 held += taken.nbytes
                 if held > HELD:
                     out += _by_bucket(parts, g, buckets)
@@ -353,25 +397,18 @@ FLAGGED = pa.schema([("g", pa.int64()), ("packed", pa.binary())])
 
 def _resolved(units: Units, smallest: Callable[[Contexts, Units], np.ndarray]):
     def run(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() < 0:
+            return table.select(["g", "packed"])
         held = [_unpack(x, *CONTEXTS, units.symbol) for x in table["packed"].to_pylist()]
         anchor, doc_id, row, start, lead, number, symbols = (np.concatenate(c) for c in zip(*held, strict=True))
         start, g = start.astype(np.int64), np.repeat(table["g"].to_numpy(), [len(x[0]) for x in held])
         del held
-        number = number.astype(np.int64)
+        lead, number = lead.astype(np.int64), number.astype(np.int64)
         size = number - 1 + units.window
-        stop = np.cumsum(size)
-        offset = stop - size
-        content = ROLLER.hashes(value_of, symbols, offset, stop) ^ _mix(anchor + lead.astype(np.uint64) * np.uint64(257) + number.astype(np.uint64))
-        order = np.lexsort((doc_id, content, anchor))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (content[order][1:] != content[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])
-        heads = order[fresh]  # of each different context the one of the smallest doc_id
-        class_of = np.empty(len(order), np.int64)
-        class_of[order] = np.cumsum(fresh) - 1
+        offset = np.cumsum(size) - size
+        heads, class_of = classes(anchor, doc_id, _content(anchor, lead, offset, size, symbols), offset, size, symbols)
         sizes = size[heads]
-        ends = np.cumsum(sizes)
-        own = symbols[np.repeat(offset[heads] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-        contexts = Contexts(anchor[heads], doc_id[heads], lead[heads].astype(np.int64), number[heads], ends - sizes, own)
+        contexts = Contexts(anchor[heads], doc_id[heads], lead[heads], number[heads], np.cumsum(sizes) - sizes, symbols[spread(offset[heads], sizes)])
         best = smallest(contexts, units)  # for each window of each different context, end to end, the smallest doc_id that has it
         first = np.cumsum(contexts.number) - contexts.number
         # windows of every context, copies included
@@ -396,8 +433,10 @@ def _resolved(units: Units, smallest: Callable[[Contexts, Units], np.ndarray]):
 def repeats(df: DataFrame, units: Units, smallest: Callable[[Contexts, Units], np.ndarray], finish: Callable[[bytes, Callable[[int], np.ndarray]], tuple], schema: str, arrow: pa.Schema) -> DataFrame:
     """For each row of df, under doc_id, finish(bytes of its text, a function that tells which of n symbols are covered)."""
     spark = df.sparkSession
+    if units.window > WIDEST:
+        raise ValueError(f"a window is at most {WIDEST} symbols")
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = max(common.partitions(spark), min(1 << 16, size // BUCKET_BYTES))
+    buckets = min(2**31 - 1, max(common.partitions(spark), size // BUCKET_BYTES))
     docs = common.documents(df).where("doc_id is not null")
     chunks = common.staged(docs.mapInArrow(_chunks, "g long, packed binary"), "chunks")
     known = chunks.mapInArrow(_sent_anchors(units, buckets), "bucket int, g long, anchors binary").groupBy("bucket").applyInArrow(_repeated, "g long, anchors binary")
@@ -408,7 +447,7 @@ def repeats(df: DataFrame, units: Units, smallest: Callable[[Contexts, Units], n
         none = np.zeros(0, np.int64)
         row, start, stop = none, none, none
         if flags.num_rows:
-            row, start, stop = (np.concatenate(c).astype(np.int64) for c in zip(*(_unpack(x, "<u4", "<u4", "<u4") for x in flags["packed"].to_pylist()), strict=True))
+            row, start, stop = (np.concatenate(c).astype(np.int64) for c in zip(*(_unpack(x, *SPANS) for x in flags["packed"].to_pylist()), strict=True))
             order = np.argsort(row, kind="stable")
             row, start, stop = row[order], start[order], stop[order]
         out: list[tuple] = []

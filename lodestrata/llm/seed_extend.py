@@ -13,8 +13,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from . import anchors
+from . import anchors, common
 
 WINDOW = 13
 GRAM = 5
@@ -91,7 +92,12 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     """One row per row of df: doc_id, n_words, n_removed, kept_sha256 (the words that stay, joined by one space).
 
     Words are runs of anything but space and 0x09 to 0x0D. A word goes if `window` consecutive words that cover it also start
-    in a row with a smaller doc_id; windows are judged on the input. A null text has no words. Rows that share a doc_id do
-    not remove from each other; rows without one go. Other columns are ignored, and an empty table gives no rows."""
-    units = anchors.Units(window, gram, "<u4", anchors.cut_words)
-    return anchors.repeats(df, units, smallest_by_extension, _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", OUT)
+    in a row with a smaller doc_id; windows are judged on the input. Words count as equal when 64-bit digests of their bytes
+    and lengths are. Texts count whole, however long; a null text has no words. Rows that share a doc_id do not remove
+    from each other; a row without one neither loses words nor takes any. Other columns are ignored, and an empty table
+    gives no rows."""
+    units = anchors.Units(window, gram, "<u8", anchors.cut_words)
+    out = anchors.repeats(df, units, smallest_by_extension, _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", OUT)
+    words = F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    bare = common.documents(df).where("doc_id is null").withColumn("words", words)
+    return out.unionByName(bare.select("doc_id", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2(F.array_join("words", " "), 256).alias("kept_sha256")))

@@ -16,12 +16,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from . import anchors
+from . import anchors, common
 
 WINDOW = 50
 GRAM = 20
 SHORT = 4
+SORTED = 4096  # bytes that are sorted together, or one anchor's: short texts stay in the cache
 
 
 def _shorten(jump: list[int], p: int, to: int) -> None:
@@ -112,70 +114,54 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def _may_share(contexts: anchors.Contexts, units: anchors.Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts that may share a window with another of their anchor, and which of their windows, from and to. A window has
-    half of its symbols beside the gram, or more, on one side: so its context agrees with another one in as many there."""
-    spare = units.window - units.gram
-    half = spare // 2
-    at, stop = contexts.offset + contexts.lead, contexts.offset + contexts.number - 1 + units.window
-    agrees = []
-    for left, right in ((half, 0), (0, spare - half)):
-        found = np.zeros(len(at), bool)
-        ok = np.flatnonzero((at - left >= contexts.offset) & (at + units.gram + right <= stop))
-        _, back, n = np.unique(anchors.ROLLER.hashes(anchors.value_of, contexts.symbols, at[ok] - left, at[ok] + units.gram + right), return_inverse=True, return_counts=True)
-        found[ok] = n[back] > 1
-        agrees.append(found)
-    by_left, by_right = agrees
-    near = np.clip(contexts.lead - half + 1, 0, contexts.number)  # from here on windows have less than half on the left
-    first, last = np.where(by_left, 0, near), np.where(by_right, contexts.number, near)
+def _shared(contexts: anchors.Contexts, units: anchors.Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts that may share a window with another of their anchor, and which of their windows, from and to, by hashes."""
     same = contexts.anchor[1:] == contexts.anchor[:-1]
-    rows = np.flatnonzero((first < last) & (np.concatenate([same, [False]]) | np.concatenate([[False], same])))
-    return rows, first[rows], last[rows]
-
-
-def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... for each count, end to end."""
-    ends = np.cumsum(count)
-    return np.repeat(first - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)
+    rows = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+    count = contexts.number[rows]
+    first = np.cumsum(count) - count
+    start = anchors.spread(contexts.offset[rows], count)
+    found = anchors.ROLLER.hashes(anchors.value_of, contexts.symbols, start, start + units.window) ^ np.repeat(contexts.anchor[rows], count)
+    order = np.argsort(found, kind="stable")
+    equal = found[order][1:] == found[order][:-1]
+    again = np.zeros(len(found), bool)
+    again[order[1:][equal]] = again[order[:-1][equal]] = True
+    places = np.flatnonzero(again)
+    own = np.repeat(np.arange(len(rows)), count)[places]
+    some, at = np.unique(own, return_index=True)
+    last = np.append(at, len(own))[1:] - 1
+    return rows[some], places[at] - first[some], places[last] - first[some] + 1
 
 
 def smallest_by_suffix_order(contexts: anchors.Contexts, units: anchors.Units) -> np.ndarray:
     """For each window of each context the smallest doc_id of a context that holds it.
 
-    What of two contexts may be shared is often the same text: it is sorted once, under the smaller doc_id."""
+    What of two contexts is the same text, byte for byte, is sorted once, under the smaller doc_id."""
     number = contexts.number
     first = np.cumsum(number) - number
     best = np.repeat(contexts.doc_id, number)
-    rows, begin, end = _may_share(contexts, units)
+    rows, begin, end = _shared(contexts, units)
     if not len(rows):
         return best
     start, count = contexts.offset[rows] + begin, end - begin
     size = count - 1 + units.window
-    place = (contexts.lead[rows] - begin).astype(np.uint64) * np.uint64(257) + size.astype(np.uint64)
-    key = anchors.ROLLER.hashes(anchors.value_of, contexts.symbols, start, start + size) ^ anchors._mix(contexts.anchor[rows] + place)
-    order = np.lexsort((key, contexts.anchor[rows]))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (key[order][1:] != key[order][:-1]) | (contexts.anchor[rows[order]][1:] != contexts.anchor[rows[order]][:-1])
-    part = np.empty(len(order), np.int64)
-    part[order] = np.cumsum(fresh) - 1
-    head = order[fresh]
-    doc_id = np.full(len(head), np.iinfo(np.int64).max)
-    np.minimum.at(doc_id, part, contexts.doc_id[rows])
+    content = anchors.ROLLER.hashes(anchors.value_of, contexts.symbols, start, start + size)
+    head, part = anchors.classes(contexts.anchor[rows], contexts.doc_id[rows], content, start, size, contexts.symbols)
+    doc_id = contexts.doc_id[rows[head]]
     anchor, counts, sizes, starts = contexts.anchor[rows[head]], count[head], size[head], start[head]
     firsts = np.cumsum(counts) - counts
     least = np.repeat(doc_id, counts)
-    same = anchor[1:] == anchor[:-1]
-    many = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+    ends = np.cumsum(sizes)
     at = 0
-    while at < len(many):  # some anchors together, whole
-        to = min(len(many), at + 2048)
-        while to < len(many) and anchor[many[to]] == anchor[many[to - 1]]:
+    while at < len(head):  # some anchors together, whole
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SORTED)))
+        while to < len(head) and anchor[to] == anchor[to - 1]:
             to += 1
-        own = many[at:to]
-        text = contexts.symbols[_spread(starts[own], sizes[own])]
+        own = np.arange(at, to)
+        text = contexts.symbols[anchors.spread(starts[own], sizes[own])]
         suffixes = np.array(suffix_array([*(text.astype(np.int64) + 1).tolist(), 0]))
         window = np.full(len(text) + 1, -1, np.int64)
-        window[_spread(np.cumsum(sizes[own]) - sizes[own], counts[own])] = _spread(firsts[own], counts[own])
+        window[anchors.spread(np.cumsum(sizes[own]) - sizes[own], counts[own])] = anchors.spread(firsts[own], counts[own])
         suffixes = suffixes[window[suffixes] >= 0]
         views = np.lib.stride_tricks.sliding_window_view(text, units.window)
         fresh = np.ones(len(suffixes), bool)
@@ -186,8 +172,8 @@ def smallest_by_suffix_order(contexts: anchors.Contexts, units: anchors.Units) -
         smallest = np.minimum.reduceat(least[window[suffixes]], heads)
         least[window[suffixes]] = np.repeat(smallest, np.diff(np.append(heads, len(suffixes))))
         at = to
-    to = _spread(first[rows] + begin, count)
-    best[to] = np.minimum(best[to], least[_spread(firsts[part], count)])
+    to = anchors.spread(first[rows] + begin, count)
+    best[to] = np.minimum(best[to], least[anchors.spread(firsts[part], count)])
     return best
 
 
@@ -205,7 +191,11 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     """One row per row of df: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a string of `window` bytes that covers it also starts in a row with a smaller doc_id; strings never cross
-    rows, may overlap, and are judged on the input. A null text counts as empty. Rows that share a doc_id do not remove
-    from each other; rows without one go. Other columns are ignored, and an empty table gives no rows."""
+    rows, may overlap, and are judged on the input. Texts count whole, however long. A null text counts as empty. Rows that
+    share a doc_id do not remove from each other; a row without one neither loses bytes nor takes any. Other columns are
+    ignored, and an empty table gives no rows."""
     units = anchors.Units(window, gram, "u1", anchors.cut_bytes)
-    return anchors.repeats(df, units, smallest_by_suffix_order, _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", OUT)
+    out = anchors.repeats(df, units, smallest_by_suffix_order, _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", OUT)
+    none = F.lit(0).cast("long")
+    bare = common.documents(df).where("doc_id is null")
+    return out.unionByName(bare.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")))

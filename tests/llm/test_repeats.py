@@ -65,6 +65,9 @@ def test_words(spark, seed, monkeypatch):
 @pytest.mark.parametrize("remove", [suffix_dedup.remove_repeats, seed_extend.remove_repeats])
 def test_odd_rows(spark, remove):
     found = remove(cases.odd(spark)).collect()
+    bare = [r for r in found if r.doc_id is None]
+    found = [r for r in found if r.doc_id is not None]
+    assert [(r[1] in (2, 5), r.n_removed, r.kept_sha256) for r in bare] == [(True, 0, hashlib.sha256(b"no id").hexdigest())]
     assert sorted(r.doc_id for r in found) == sorted(r[0] for r in cases.rows() if r[0] is not None)
     assert {r.doc_id: r.n_removed > 0 for r in found} == {i: i in (5, 6, 8, 11, 12) for i in cases.texts()}
     assert remove(cases.empty(spark)).count() == 0
@@ -121,3 +124,35 @@ def test_a_repeat_behind_16_mib_goes(spark):
     found = {r.doc_id: r for r in suffix_dedup.remove_repeats(long).collect()}
     assert found[1].n_bytes > 1 << 24
     assert (found[0].n_removed, found[1].n_removed, found[2].n_removed) == (0, 800, len(tail))
+
+
+def test_classes_are_of_equal_symbols_whatever_the_hashes():
+    draw = np.random.default_rng(9)
+    size = draw.integers(1, 4, 500)
+    offset = np.cumsum(size) - size
+    symbols = draw.integers(0, 2, int(size.sum())).astype(np.uint8)
+    key, doc_id = draw.integers(0, 3, 500).astype(np.uint64), draw.integers(0, 50, 500)
+    heads, group = anchors.classes(key, doc_id, np.zeros(500, np.uint64), offset, size, symbols)
+    own = [(int(k), symbols[a : a + n].tobytes()) for k, a, n in zip(key, offset, size, strict=True)]
+    assert all(own[heads[g]] == x for g, x in zip(group, own, strict=True)) and len({own[h] for h in heads}) == len(heads)
+    assert all(doc_id[heads[g]] <= d for g, d in zip(group, doc_id, strict=True)) and (np.diff(key[heads].astype(int)) >= 0).all()
+
+
+def test_a_line_in_every_document(spark):
+    """One line that all documents hold, between texts of their own: its anchors are hot."""
+    line = " ".join(hashlib.md5(b"line %d" % i).hexdigest() for i in range(5))
+    rows = [(i, f"{hashlib.sha512(b'a%d' % i).hexdigest()} {line} {hashlib.sha512(b'b%d' % i).hexdigest()}") for i in range(800)]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = {d: sum(g) for d, g in brute([(i, t.encode()) for i, t in rows], 50, None)}
+    assert {r.doc_id: r.n_removed for r in found} == want
+
+
+def test_a_window_that_is_too_wide_is_an_error(spark):
+    with pytest.raises(ValueError, match="window"):
+        suffix_dedup.remove_repeats(cases.odd(spark), window=1 << 16)
+
+
+def test_wide_windows(spark):
+    rows = [(0, "x" * 300 + "abc" * 200), (1, "abc" * 200 + "y" * 10), (2, "abc" * 100)]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=400).collect()}
+    assert got == {d: sum(g) for d, g in brute([(i, t.encode()) for i, t in rows], 400, None)}

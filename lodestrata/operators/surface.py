@@ -60,3 +60,28 @@ def python_symbols(source: str) -> list[tuple]:
                 elif enum and isinstance(x, ast.Assign):
                     out += [(t.id, "member", node.name, x.lineno, "", False, False) for t in x.targets if isinstance(t, ast.Name) and not t.id.startswith("_")]
     return out
+
+
+def enum_members(source: str, name: str, line: int | None = None) -> list[tuple[str, str]] | None:
+    """(name, value) of an enum class in source order: the text of a literal, `auto()`, or empty. Of several classes of one name
+    the one at the line; null where that says nothing."""
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError):
+        return None
+    found = [x for x in ast.walk(tree) if isinstance(x, ast.ClassDef) and x.name == name]
+    own = next((x for x in found if x.lineno == line), found[0] if len(found) == 1 else None)
+    if own is None:
+        return None
+
+    def value(node: ast.expr) -> str:
+        if isinstance(node, ast.Call) and getattr(node.func, "id", getattr(node.func, "attr", "")) == "auto":
+            return "auto()"
+        try:
+            ast.literal_eval(node)
+        except (ValueError, TypeError, SyntaxError):
+            return ""
+        return ast.get_source_segment(source, node) or ""
+
+    plain = [x for x in own.body if isinstance(x, ast.Assign) and len(x.targets) == 1 and isinstance(x.targets[0], ast.Name)]
+    return [(x.targets[0].id, value(x.value)) for x in plain if not x.targets[0].id.startswith("_")]

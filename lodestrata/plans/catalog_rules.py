@@ -10,6 +10,7 @@ from lodestrata.functions import text as T
 from lodestrata.operators import selection
 
 from . import oracle as O
+from . import reference
 from .catalog_text import parts, read
 
 QUERIES: dict = {}
@@ -308,3 +309,43 @@ def generic_titles(spark, d):
     title = F.when(kind == 0, F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Quick Start (part "), F.col("p_size").cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("Quick Start "), "p_name")))
     title = F.when(kind == 1, F.concat(F.lit("MORE EXAMPLES ("), F.col("p_partkey").cast("string"), F.lit(")"))).when(kind == 2, F.col("p_name")).otherwise(title)
     return read(spark, d, "part").select("p_partkey", predicates.generic_title(title).alias("generic"))
+
+
+@query("""
+    WITH v AS (SELECT p_partkey, '>=3.' || p_size || ',<4' AS manifest, 'Needs Python 3.' || (p_size + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END) || '.2 here' AS readme, CASE WHEN p_partkey % 7 = 0 THEN 'Python 2.7 only' END AS guidance FROM part)
+    SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN 'Sources disagree: the packaging manifest says ' || manifest || '; the README says ' || regexp_extract(readme, 'Python (\\S+)', 1)
+        || CASE WHEN p_partkey % 7 = 0 THEN '; the repository''s AGENTS.md (untrusted) says 2.7' ELSE '' END || '.' END AS notice FROM v
+""")
+def minimum_versions(spark, d):
+    manifest = F.concat(F.lit(">=3."), F.col("p_size").cast("string"), F.lit(",<4"))
+    readme = F.concat(F.lit("Needs Python 3."), (F.col("p_size") + F.when(F.col("p_partkey") % 5 == 0, 1).otherwise(0)).cast("string"), F.lit(".2 here"))
+    guidance = F.when(F.col("p_partkey") % 7 == 0, "Python 2.7 only")
+    return read(spark, d, "part").select("p_partkey", reference.disagreement("python", manifest, readme, guidance).alias("notice"))
+
+
+@query(f"""
+    SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || chr(10) || chr(10) || '{reference.HAZARD_LEAD}, 2026-01-02: ' || p_type ELSE '{reference.HAZARD_LEAD}: ' || p_type || chr(10) || chr(10) || '{reference.HAZARD_LEAD}: ' || p_brand END AS said,
+      p_size % 3 < 2 AS untrusted, CASE p_size % 3 WHEN 0 THEN 'n' WHEN 1 THEN 'n {reference.HAZARD_NOTICE.replace("'", "''")} {reference.MIXED_NOTICE.replace("'", "''")}' ELSE '{reference.HAZARD_NOTICE.replace("'", "''")}' END AS notice FROM part
+""")
+def disclosed_hazards(spark, d):
+    """Upstream text without a hazard, with one, and none of it with two."""
+    kind = F.col("p_size") % 3
+    one = lambda text, at: F.struct(text.alias("text"), F.lit(at).cast("string").alias("verified_at"))
+    hazards = F.when(kind == 1, F.array(one(F.col("p_type"), "2026-01-02"))).when(kind == 2, F.array(one(F.col("p_type"), None), one(F.col("p_brand"), "")))
+    said = reference.with_hazards(F.when(kind < 2, F.col("p_name")), kind < 2, F.when(kind < 2, F.lit("n")), F.coalesce(hazards, F.array().cast("array<struct<text:string,verified_at:string>>")))
+    return read(spark, d, "part").select("p_partkey", said.alias("s")).select("p_partkey", F.col("s.text").alias("said"), "s.untrusted", "s.notice")
+
+
+@query("""
+    WITH m AS (SELECT p_brand, list(DISTINCT w) AS members FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1)
+    SELECT 'x::' || p_brand AS fqn, list_contains(members, 'widget')::INT + list_contains(members, 'red')::INT + 0 AS matched, 0 AS named FROM m WHERE list_contains(members, 'widget')::INT + list_contains(members, 'red')::INT >= 2
+""")
+def token_fallback(spark, d):
+    """Two of three words are to be members."""
+    s = read(spark, d, "part").select("p_brand", F.explode(F.split("p_name", " ")).alias("w")).groupBy(F.concat(F.lit("x::"), "p_brand").alias("fqn")).agg(F.collect_set("w").alias("members"))
+    return reference.token_fallback(s, F.array(F.lit("widgets"), F.lit("red"), F.lit("nowhere")))
+
+
+@query("SELECT '{\"event_id\":' || event_id || ',\"outcome\":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '\"' || event_type || '\"' END || '}' AS value FROM events")
+def call_log(spark, d):
+    return reference.call_log(read(spark, d, "events").select(F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("outcome"), "event_id"))

@@ -307,3 +307,62 @@ def test_readme_sections(spark):
     r = read("install")
     assert (r.title, r.text, r.commit, r.parts, r.all_faq) == ("Installation; How to install", "pip install x\n\nbuild it", None, 2, False)
     assert read("capabilities") is None
+
+
+def test_minimums(spark):
+    from lodestrata.plans import reference
+
+    own = lambda kind, v: one(spark, reference.manifest_minimum(kind, F.col("v")), v=v)
+    assert [own("python", ">=3.10,<3.13"), own("java", "1.8"), own("java", "17"), own("dotnet", "net10.0;net8.0"), own("dotnet", "netstandard"), own("go", "")] == ["3.10", "8", "17", "8", None, None]
+    said = lambda kind, t: one(spark, reference.text_minimum(kind, F.col("t")), t=t)
+    assert [said("java", "Java 1.8 or later"), said("js", "Node.js 18 or later"), said("cpp", "CMake 3.20"), said("rust", "none")] == ["8", "18", "3.20", None]
+    assert [one(spark, reference.minimums_agree(F.col("a"), F.col("b")), a=a, b=b) for a, b in (("1.24", "1.24.5"), ("1.2", "1.24"), ("3", "3"))] == [True, False, True]
+
+
+def test_errors_that_clients_may_read():
+    from lodestrata.plans import reference
+
+    kept = []
+    safe = [ValueError("the query is empty")]
+    unsafe = [KeyError("text"), TypeError("x"), ValueError("a\nb"), ValueError("x" * 301), OSError("no file /usr/lib/x"), OSError(r"C:\temp\x"), ValueError("in site-packages"), ValueError("<A object at 0x7f>")]
+    assert [reference.public_error(e, "failed") for e in safe] == ["the query is empty"]
+    assert [reference.public_error(e, "failed", kept.append) for e in unsafe] == ["failed"] * len(unsafe) and len(kept) == len(unsafe)
+
+
+def test_tool_schemas():
+    from lodestrata.plans import reference, tools
+
+    schema = reference.tool_schema(tools.Engine.search_docs)
+    assert schema == {"type": "object", "properties": {"query": {"type": "string"}, "content_type": {"type": "string"}, "top_k": {"type": "integer", "default": 10}}, "additionalProperties": False, "required": ["query"]}
+    for name in ("lookup", "search_symbols", "get_symbol", "list_members", "find_examples", "get_product_reference", "list_recent_changes", "report_index_freshness"):
+        assert set(reference.tool_schema(getattr(tools.Engine, name))) >= {"type", "properties"}
+
+
+def test_parts_of_a_text():
+    import json
+
+    from lodestrata.plans import reference
+
+    draw = random.Random(2)
+    for _ in range(200):
+        text = "".join(draw.choice(["word ", "é\n", "\n", "```\n", '"quoted"\n', "x" * draw.randint(1, 60)]) for _ in range(draw.randint(1, 40)))
+        lines = text.split("\n")
+        inside = [a and b for a, b in zip(plain_fenced(lines), [*plain_fenced(lines)[1:], False], strict=True)]
+        at, pieces = 0, []
+        while at is not None and at < len(text):
+            piece, after = reference.part_from(text, at, inside, 40)
+            assert piece and len(json.dumps(piece).encode()) - 2 <= 40 and (after is None or after == at + len(piece))
+            assert after is None or piece.endswith("\n") or len(json.dumps(text[at:].split("\n")[0]).encode()) - 2 > 38
+            pieces.append(piece)
+            at = after
+        assert "".join(pieces) == text
+    with pytest.raises(ValueError, match="offset"):
+        reference.part_from("abc", 3, [False])
+
+
+def test_enum_members():
+    from lodestrata.operators import surface
+
+    source = "class A(Enum):\n    X = 1\n    Y = 'png'\n    Z = auto()\n    W = make()\n    _v = 2\n    a, b = 1, 2\n    T: int = 3\nclass B: pass\nclass B: pass\n"
+    assert surface.enum_members(source, "A") == [("X", "1"), ("Y", "'png'"), ("Z", "auto()"), ("W", "")]
+    assert surface.enum_members(source, "B") is None and surface.enum_members(source, "B", 10) == [] and surface.enum_members("class (", "A") is None

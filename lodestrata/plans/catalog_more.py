@@ -41,12 +41,18 @@ def tool_get_symbol(spark, d):
     return engine(spark, d).get_symbol("P7").select("found", "fqn", F.size("signature.methods").alias("n_methods"))
 
 
-@query("SELECT true AS found, 0 AS place, 'methods' AS header, 'open_' || replace(p_name, ' ', '_') AS name FROM part WHERE p_partkey = 7 UNION ALL SELECT true, 1, 'methods', 'size'")
+@query("""
+    SELECT true AS found, 0 AS place, 'methods' AS header, 'open_' || replace(p_name, ' ', '_') AS name FROM part WHERE p_partkey = 7
+    UNION ALL SELECT true, 1, 'methods', 'size'
+""")
 def tool_list_members(spark, d):
     return engine(spark, d).list_members("P7").select("found", "place", "header", "name")
 
 
-@query("SELECT true AS found, md5(p_brand) AS indexed_commit, count(*) AS n_chunks, CAST(NULL AS BOOLEAN) AS fresh, 'unknown' AS basis FROM part GROUP BY p_brand ORDER BY count(*) DESC, md5(p_brand) LIMIT 1")
+@query("""
+    SELECT true AS found, md5(p_brand) AS indexed_commit, count(*) AS n_chunks, CAST(NULL AS BOOLEAN) AS fresh, 'unknown' AS basis
+    FROM part GROUP BY p_brand ORDER BY count(*) DESC, md5(p_brand) LIMIT 1
+""")
 def tool_index_freshness(spark, d):
     return engine(spark, d).report_index_freshness().select("found", "indexed_commit", "n_chunks", "fresh", "basis")
 
@@ -75,19 +81,28 @@ def tool_product_reference(spark, d):
     return answers[0].unionByName(answers[1]).unionByName(answers[2])
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'not_compiled' WHEN p_size % 3 = 0 THEN 'not_run' WHEN p_partkey % 4 = 0 THEN 'failed' WHEN p_partkey % 7 = 0 THEN 'no_output' ELSE 'ran' END AS verdict FROM part")
+@query("""
+    SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'not_compiled' WHEN p_size % 3 = 0 THEN 'not_run'
+    WHEN p_partkey % 4 = 0 THEN 'failed' WHEN p_partkey % 7 = 0 THEN 'no_output' ELSE 'ran' END AS verdict FROM part
+""")
 def run_verdict(spark, d):
     v = extract.run_verdict(F.col("p_size") % 5 != 0, F.col("p_size") % 3 != 0, (F.col("p_partkey") % 4 == 0).cast("int"), F.col("p_partkey") % 7)
     return read(spark, d, "part").select("p_partkey", v.alias("verdict"))
 
 
-@query("WITH w AS (SELECT unnest(regexp_extract_all(text, '[a-zA-Z0-9_]+')) AS name FROM documents) SELECT name, count(*) AS n FROM w WHERE name IN (SELECT unnest(regexp_extract_all(text, '[a-zA-Z0-9_]+')) FROM benchmark) GROUP BY name")
+@query("""
+    WITH w AS (SELECT unnest(regexp_extract_all(text, '[a-zA-Z0-9_]+')) AS name FROM documents) SELECT name, count(*) AS n FROM w
+    WHERE name IN (SELECT unnest(regexp_extract_all(text, '[a-zA-Z0-9_]+')) FROM benchmark) GROUP BY name
+""")
 def mention_counts(spark, d):
     names = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0))).alias("name"))
     return extract.mentions(read(spark, d, "documents"), names)
 
 
-@query("SELECT c_mktsegment AS section, coalesce(min(c_name) FILTER (WHERE c_custkey % 5 = 0 AND c_mktsegment <> 'MACHINERY'), max(c_name)) AS text FROM customer GROUP BY 1")
+@query("""
+    SELECT c_mktsegment AS section, coalesce(min(c_name) FILTER (WHERE c_custkey % 5 = 0 AND c_mktsegment <> 'MACHINERY'),
+    max(c_name)) AS text FROM customer GROUP BY 1
+""")
 def merged_sections(spark, d):
     c = read(spark, d, "customer")
     p = c.where("c_custkey % 5 = 0 and c_mktsegment <> 'MACHINERY'").groupBy(F.col("c_mktsegment").alias("section")).agg(F.min("c_name").alias("text")).withColumn("faq_only", F.lit(False))
@@ -129,7 +144,12 @@ def merged_candidates(spark, d):
     return sidecars.merged_candidates(p.where("code % 2 = 0 and p_size < 10"), p.where("code % 2 = 1")).withColumnRenamed("code", "p_partkey")
 
 
-@query("SELECT e.item_id AS example_id, m.w AS member, m.p_brand AS owner FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all('x.ring() y.' || CASE WHEN item_id % 2 = 0 THEN 'widget' ELSE 'red' END || ' z::small', '(?:\\.|->|::)\\s*([A-Za-z_]\\w*)', 1))) AS c FROM benchmark) e JOIN (SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part) m ON m.w = e.c")
+@query("""
+    SELECT e.item_id AS example_id, m.w AS member, m.p_brand AS owner
+    FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all('x.ring() y.' || CASE WHEN item_id % 2 = 0 THEN 'widget'
+    ELSE 'red' END || ' z::small', '(?:\\.|->|::)\\s*([A-Za-z_]\\w*)', 1))) AS c FROM benchmark) e
+    JOIN (SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part) m ON m.w = e.c
+""")
 def called_members(spark, d):
     m = read(spark, d, "part").select(F.col("p_brand").alias("owner"), F.explode(F.split("p_name", " ")).alias("member"))
     code = F.concat(F.lit("x.ring() y."), F.when(F.col("item_id") % 2 == 0, "widget").otherwise("red"), F.lit(" z::small"))
@@ -160,13 +180,23 @@ def coverage_note(spark, d):
     return read(spark, d, "part").where("p_size = 1").select("p_partkey", c["kept_types"].cast("int").alias("kept_types"), c["types"].cast("int").alias("types"), grammar.coverage_note(t).alias("note"))
 
 
-@query(f"SELECT word, len(forms) AS n_forms FROM (SELECT DISTINCT token AS word, list_distinct(list_concat([token, token || 's'], CASE WHEN token LIKE '%ies' AND length(token) > 3 THEN [left(token, -3) || 'y'] ELSE [] END, CASE WHEN token LIKE '%es' AND length(token) > 3 THEN [left(token, -2), left(token, -1)] WHEN token LIKE '%s' AND length(token) > 2 THEN [left(token, -1)] ELSE [] END, CASE WHEN token LIKE '%ing' AND length(token) > 5 THEN [left(token, -3), left(token, -3) || 'e'] ELSE [] END, CASE WHEN token LIKE '%ed' AND length(token) > 4 THEN [left(token, -2), left(token, -1)] ELSE [] END)) AS forms FROM (SELECT unnest({O.plain_tokens('text')}) AS token FROM benchmark))")
+@query(f"""
+    SELECT word, len(forms) AS n_forms FROM (SELECT DISTINCT token AS word, list_distinct(list_concat([token, token || 's'], CASE
+    WHEN token LIKE '%ies' AND length(token) > 3 THEN [left(token, -3) || 'y'] ELSE [] END, CASE WHEN token LIKE '%es'
+    AND length(token) > 3 THEN [left(token, -2), left(token, -1)] WHEN token LIKE '%s' AND length(token) > 2 THEN [left(token, -1)]
+    ELSE [] END, CASE WHEN token LIKE '%ing' AND length(token) > 5 THEN [left(token, -3), left(token, -3) || 'e'] ELSE [] END, CASE
+    WHEN token LIKE '%ed' AND length(token) > 4 THEN [left(token, -2), left(token, -1)] ELSE [] END)) AS forms
+    FROM (SELECT unnest({O.plain_tokens('text')}) AS token FROM benchmark))
+""")
 def inflected_forms(spark, d):
     words = read(spark, d, "benchmark").select(F.explode(T.plain_tokens("text")).alias("word")).distinct()
     return words.select("word", F.size(T.inflections("word")).cast("long").alias("n_forms"))
 
 
-@query(f"SELECT query_id, count(*) AS n FROM (SELECT item_id AS query_id, unnest({O.stemmed_terms('text')}) AS term FROM benchmark) WHERE term NOT IN (SELECT unnest(['library', 'api', 'example', 'sample', 'use', 'how', 'of', 'hand'])) GROUP BY 1")
+@query(f"""
+    SELECT query_id, count(*) AS n FROM (SELECT item_id AS query_id, unnest({O.stemmed_terms('text')}) AS term FROM benchmark)
+    WHERE term NOT IN (SELECT unnest(['library', 'api', 'example', 'sample', 'use', 'how', 'of', 'hand'])) GROUP BY 1
+""")
 def distinctive_terms(spark, d):
     terms = T.distinctive_terms("text", T.excluded_terms("of", "hand"))
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.size(terms).cast("long").alias("n")).where("n > 0")

@@ -42,14 +42,22 @@ def symbol_words(spark, d):
 TIER = """CASE WHEN lower(q) = lower(name) THEN 0 WHEN lower(q) = lower(regexp_extract(name, '[^.]+$')) THEN 1 WHEN concat(' ', array_to_string({w}, ' '), ' ') LIKE concat('% ', array_to_string({qw}, ' '), ' %') THEN 2 {more} END"""
 
 
-@query(f"WITH {NAMED} SELECT p_partkey, q AS query, tier FROM (SELECT p_partkey, q, {TIER.format(w=O.symbol_words('name'), qw=O.symbol_words('q'), more='')} AS tier FROM p, (SELECT unnest(['Economy.SmallRing.B2', 'b17', 'small ring', 'RedWidget']) AS q)) WHERE tier IS NOT NULL")
+@query(f"""
+    WITH {NAMED} SELECT p_partkey, q AS query, tier
+    FROM (SELECT p_partkey, q, {TIER.format(w=O.symbol_words('name'), qw=O.symbol_words('q'), more='')} AS tier
+    FROM p, (SELECT unnest(['Economy.SmallRing.B2', 'b17', 'small ring', 'RedWidget']) AS q)) WHERE tier IS NOT NULL
+""")
 def match_tier(spark, d):
     asked = spark.createDataFrame([(q,) for q in ("Economy.SmallRing.B2", "b17", "small ring", "RedWidget")], "query string")
     tiers = parts(spark, d).select("p_partkey", "name").crossJoin(F.broadcast(asked)).withColumn("tier", symbols.match_tier(F.col("query"), F.col("name")))
     return tiers.where("tier <= 2").select("p_partkey", "query", "tier")
 
 
-@query(f"WITH {NAMED}, w AS (SELECT p_partkey, {O.symbol_words('name')} AS ws FROM p) SELECT p_partkey, true AS hit FROM w WHERE len(list_filter(range(1, len(ws)), lambda i: ws[i] LIKE 'wid%' AND ws[i + 1] LIKE 'b1%' OR ws[i] LIKE 'wid%' AND ws[i + 1] = 'b1')) > 0 OR false")
+@query(f"""
+    WITH {NAMED}, w AS (SELECT p_partkey, {O.symbol_words('name')} AS ws FROM p) SELECT p_partkey, true AS hit FROM w
+    WHERE len(list_filter(range(1, len(ws)), lambda i: ws[i] LIKE 'wid%' AND ws[i + 1] LIKE 'b1%' OR ws[i] LIKE 'wid%'
+    AND ws[i + 1] = 'b1')) > 0 OR false
+""")
 def prefix_tier(spark, d):
     tiers = parts(spark, d).select("p_partkey", symbols.match_tier(F.lit("wid B1x"), F.col("name")).alias("none"), F.exists(F.sequence(F.lit(1), F.size(T.symbol_words("name")) - 1), lambda i: F.startswith(F.get(T.symbol_words("name"), i - 1), F.lit("wid")) & F.startswith(F.get(T.symbol_words("name"), i), F.lit("b1"))).alias("hit"))
     return tiers.where("hit").select("p_partkey", "hit")
@@ -187,17 +195,31 @@ def _family(spark, d):
     return part.select(F.col("p_partkey").alias("owner"), F.explode(F.split("p_name", " ")).alias("member")).distinct(), ancestry
 
 
-@query(f"WITH RECURSIVE {MEMBERS} SELECT owner, member, inherited_from FROM (SELECT child AS owner, m.member, ancestor AS inherited_from, row_number() OVER (PARTITION BY child, m.member ORDER BY depth, ancestor) AS n FROM a JOIN m ON m.owner = ancestor WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.owner = child AND o.member = m.member)) WHERE n = 1")
+@query(f"""
+    WITH RECURSIVE {MEMBERS} SELECT owner, member, inherited_from
+    FROM (SELECT child AS owner, m.member, ancestor AS inherited_from, row_number() OVER (PARTITION BY child, m.member
+    ORDER BY depth, ancestor) AS n FROM a JOIN m ON m.owner = ancestor WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.owner = child
+    AND o.member = m.member)) WHERE n = 1
+""")
 def inheritance(spark, d):
     return graph.inherited(*_family(spark, d))
 
 
-@query(f"WITH RECURSIVE {MEMBERS}, x AS (SELECT child AS owner, m.member, ancestor, depth, min(depth) OVER (PARTITION BY child, m.member) AS least FROM a JOIN m ON m.owner = ancestor WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.owner = child AND o.member = m.member)) SELECT owner, member, min(ancestor) AS promoted_from FROM x WHERE depth = least GROUP BY ALL HAVING count(*) = 1")
+@query(f"""
+    WITH RECURSIVE {MEMBERS}, x AS (SELECT child AS owner, m.member, ancestor, depth, min(depth) OVER (PARTITION BY child, m.member) AS least
+    FROM a JOIN m ON m.owner = ancestor WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.owner = child AND o.member = m.member))
+    SELECT owner, member, min(ancestor) AS promoted_from FROM x WHERE depth = least GROUP BY ALL HAVING count(*) = 1
+""")
 def promotion(spark, d):
     return graph.promoted(*_family(spark, d))
 
 
-@query("WITH RECURSIVE s AS (SELECT p_partkey AS name, p_partkey // 2 AS defined_in FROM part WHERE p_partkey % 4 <> 1 AND p_partkey > 0), r AS (SELECT name, defined_in AS pt, 1 AS hop FROM s UNION ALL SELECT r.name, s.defined_in, hop + 1 FROM r JOIN s ON s.name = r.pt WHERE hop < 8) SELECT name, CASE WHEN arg_max(pt, hop) IN (SELECT name FROM s) THEN NULL ELSE arg_max(pt, hop) END AS definition FROM r GROUP BY name")
+@query("""
+    WITH RECURSIVE s AS (SELECT p_partkey AS name, p_partkey // 2 AS defined_in FROM part WHERE p_partkey % 4 <> 1 AND p_partkey > 0),
+    r AS (SELECT name, defined_in AS pt, 1 AS hop FROM s UNION ALL SELECT r.name, s.defined_in, hop + 1 FROM r JOIN s ON s.name = r.pt
+    WHERE hop < 8) SELECT name, CASE WHEN arg_max(pt, hop) IN (SELECT name FROM s) THEN NULL ELSE arg_max(pt, hop) END AS definition
+    FROM r GROUP BY name
+""")
 def definition_chain(spark, d):
     s = read(spark, d, "part").where("p_partkey % 4 <> 1 and p_partkey > 0").select(F.col("p_partkey").alias("name"), F.floor(F.col("p_partkey") / 2).alias("defined_in"))
     return graph.definitions(s)
@@ -227,34 +249,53 @@ def _old_new(spark, d):
     return part.where("p_partkey % 10 <> 1").select("p_partkey", F.col("p_name").alias("v")), part.where("p_partkey % 10 <> 2").select("p_partkey", F.when(F.col("p_size") % 9 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("v"))
 
 
-@query(f"WITH {OLD_NEW} SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey, CASE WHEN o.p_partkey IS NULL THEN 'added' WHEN n.p_partkey IS NULL THEN 'removed' WHEN o.v IS NOT DISTINCT FROM n.v THEN 'identical' ELSE 'changed' END AS status FROM o FULL JOIN n USING (p_partkey)")
+@query(f"""
+    WITH {OLD_NEW} SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey, CASE WHEN o.p_partkey IS NULL THEN 'added'
+    WHEN n.p_partkey IS NULL THEN 'removed' WHEN o.v IS NOT DISTINCT FROM n.v THEN 'identical' ELSE 'changed' END AS status
+    FROM o FULL JOIN n USING (p_partkey)
+""")
 def generation_diff(spark, d):
     return diff.diff(*_old_new(spark, d), ["p_partkey"], "v")
 
 
-@query(f"WITH {OLD_NEW} SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey, CASE WHEN o.v IS NOT DISTINCT FROM n.v THEN 'identical' WHEN n.v IS NULL THEN 'lost' WHEN o.v IS NULL THEN 'new' ELSE 'changed' END AS status FROM o FULL JOIN n USING (p_partkey)")
+@query(f"""
+    WITH {OLD_NEW} SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey, CASE WHEN o.v IS NOT DISTINCT FROM n.v THEN 'identical'
+    WHEN n.v IS NULL THEN 'lost' WHEN o.v IS NULL THEN 'new' ELSE 'changed' END AS status FROM o FULL JOIN n USING (p_partkey)
+""")
 def answer_diff(spark, d):
     old, new = _old_new(spark, d)
     return diff.answer_diff(old.withColumnRenamed("v", "answer"), new.withColumnRenamed("v", "answer"), "p_partkey")
 
 
-@query(f"WITH {OLD_NEW} SELECT v, 'old' AS side FROM (SELECT v FROM o EXCEPT ALL SELECT v FROM n) UNION ALL SELECT v, 'new' FROM (SELECT v FROM n EXCEPT ALL SELECT v FROM o)")
+@query(f"""
+    WITH {OLD_NEW} SELECT v, 'old' AS side FROM (SELECT v FROM o EXCEPT ALL SELECT v FROM n) UNION ALL SELECT v, 'new' FROM (SELECT v
+    FROM n EXCEPT ALL SELECT v FROM o)
+""")
 def multiset_diff(spark, d):
     old, new = _old_new(spark, d)
     return diff.multiset_difference(old.select("v"), new.select("v"))
 
 
-@query(f"WITH {NAMED} SELECT p_type, count(*) AS n, count(*) - count(DISTINCT name) AS duplicates, count(CASE WHEN trim(p_name) = '' THEN 1 END) AS empty FROM p GROUP BY p_type")
+@query(f"""
+    WITH {NAMED} SELECT p_type, count(*) AS n, count(*) - count(DISTINCT name) AS duplicates, count(CASE
+    WHEN trim(p_name) = '' THEN 1 END) AS empty FROM p GROUP BY p_type
+""")
 def kind_counts(spark, d):
     return parts(spark, d).groupBy("p_type").agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("name")).alias("duplicates"), F.count(F.when(F.trim("p_name") == "", 1)).alias("empty"))
 
 
-@query("SELECT o_orderpriority, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS F, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS O, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS P FROM orders GROUP BY 1")
+@query("""
+    SELECT o_orderpriority, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS F, count(CASE
+    WHEN o_orderstatus = 'O' THEN 1 END) AS O, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS P FROM orders GROUP BY 1
+""")
 def commit_counts_pivot(spark, d):
     return read(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0)
 
 
-@query("SELECT kind, count(p_partkey) AS n FROM (SELECT unnest(['ECONOMY', 'PROMO', 'STANDARD', 'NONE']) AS kind) LEFT JOIN part ON p_type = kind GROUP BY kind")
+@query("""
+    SELECT kind, count(p_partkey) AS n FROM (SELECT unnest(['ECONOMY', 'PROMO', 'STANDARD', 'NONE']) AS kind) LEFT
+    JOIN part ON p_type = kind GROUP BY kind
+""")
 def zero_filled_counts(spark, d):
     counts = read(spark, d, "part").groupBy(F.col("p_type").alias("kind")).agg(F.count("*").alias("n"))
     return quality.zero_filled(counts, spark, ("ECONOMY", "PROMO", "STANDARD", "NONE"))
@@ -263,26 +304,42 @@ def zero_filled_counts(spark, d):
 LOG = "l AS (SELECT o_custkey::VARCHAR AS scope, strftime(o_orderdate, '%Y-%m-%d') AS ts, o_orderkey AS generation_id, o_orderkey % 11 = 0 AS override, o_orderkey % 100 AS symbols, o_custkey % 50 AS docs, o_orderkey % 7 AS examples FROM orders)"
 
 
-@query(f"WITH {LOG}, w AS (SELECT *, row_number() OVER x AS n, coalesce(sum(override::INT) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l WINDOW x AS (PARTITION BY scope ORDER BY ts DESC, generation_id DESC)) SELECT scope, max(symbols) AS symbols, max(docs) AS docs, max(examples) AS examples FROM w WHERE n <= 3 AND before = 0 GROUP BY scope")
+@query(f"""
+    WITH {LOG}, w AS (SELECT *, row_number() OVER x AS n, coalesce(sum(override::INT) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING
+    AND 1 PRECEDING), 0) AS before FROM l WINDOW x AS (PARTITION BY scope ORDER BY ts DESC, generation_id DESC))
+    SELECT scope, max(symbols) AS symbols, max(docs) AS docs, max(examples) AS examples FROM w WHERE n <= 3 AND before = 0
+    GROUP BY scope
+""")
 def regression_baseline(spark, d):
     o = read(spark, d, "orders")
     log = o.select(F.col("o_custkey").cast("string").alias("scope"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ts"), F.col("o_orderkey").alias("generation_id"), (F.col("o_orderkey") % 11 == 0).alias("override"), (F.col("o_orderkey") % 100).alias("symbols"), (F.col("o_custkey") % 50).alias("docs"), (F.col("o_orderkey") % 7).alias("examples"), F.lit("published").alias("event"))
     return publish.baseline(log)
 
 
-@query("WITH m AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1997-01-01') AS old, count(*) AS now FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1) SELECT o_custkey, old, now - old AS now, old > 0 AND now - old < old * 0.8 AS refused FROM m")
+@query("""
+    WITH m AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1997-01-01') AS old, count(*) AS now FROM orders
+    WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1) SELECT o_custkey, old, now - old AS now, old > 0
+    AND now - old < old * 0.8 AS refused FROM m
+""")
 def publish_policy(spark, d):
     o = read(spark, d, "orders").where("o_orderdate < timestamp_ntz'1998-01-01'").groupBy("o_custkey").agg(F.count(F.when(F.col("o_orderdate") < F.expr("timestamp_ntz'1997-01-01'"), 1)).alias("old"), F.count("*").alias("all"))
     return o.select("o_custkey", "old", (F.col("all") - F.col("old")).alias("now"), predicates.drops(F.col("old"), F.col("all") - F.col("old"), 0.2).alias("refused"))
 
 
-@query("SELECT scope, generation_id, n <= 3 OR active OR protected AS kept FROM (SELECT o_custkey AS scope, o_orderkey AS generation_id, o_orderkey % 50 = 0 AS active, o_orderpriority = '1-URGENT' AS protected, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)")
+@query("""
+    SELECT scope, generation_id, n <= 3 OR active OR protected AS kept
+    FROM (SELECT o_custkey AS scope, o_orderkey AS generation_id, o_orderkey % 50 = 0 AS active, o_orderpriority = '1-URGENT' AS protected, row_number() OVER (PARTITION BY o_custkey
+    ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
+""")
 def retention_keep_last(spark, d):
     g = read(spark, d, "orders").select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("generation_id"), F.col("o_orderdate").alias("version"), (F.col("o_orderkey") % 50 == 0).alias("active"), (F.col("o_orderpriority") == "1-URGENT").alias("protected"))
     return publish.retained(g).select("scope", "generation_id", "kept")
 
 
-@query("SELECT o_custkey, max(o_orderkey) FILTER (WHERE r = 1) AS latest FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) GROUP BY 1")
+@query("""
+    SELECT o_custkey, max(o_orderkey) FILTER (WHERE r = 1) AS latest FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
+    ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) GROUP BY 1
+""")
 def pointer_latest(spark, d):
     return read(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
 
@@ -304,7 +361,11 @@ def release_alignment(spark, d):
     return read(spark, d, "part").withColumn("tag", _tag()).select("p_partkey", "tag", a.alias("a")).select("p_partkey", "tag", "a.basis", "a.in_index")
 
 
-@query(f"SELECT p_partkey, CASE WHEN (a, b, c) < (2, 6, 0) THEN -1 WHEN (a, b, c) > (2, 6, 0) THEN 1 ELSE 0 END AS compared FROM (SELECT p_partkey, p_size % 4 + 1 AS a, p_partkey % 13 AS b, CASE WHEN p_size % 2 = 0 THEN p_partkey % 5 ELSE 0 END AS c FROM part)")
+@query(f"""
+    SELECT p_partkey, CASE WHEN (a, b, c) < (2, 6, 0) THEN -1 WHEN (a, b, c) > (2, 6, 0) THEN 1 ELSE 0 END AS compared
+    FROM (SELECT p_partkey, p_size % 4 + 1 AS a, p_partkey % 13 AS b, CASE WHEN p_size % 2 = 0 THEN p_partkey % 5 ELSE 0 END AS c
+    FROM part)
+""")
 def version_compare(spark, d):
     return read(spark, d, "part").select("p_partkey", versions.compared(versions.parsed(_tag()), versions.parsed(F.lit("2.6"))).alias("compared"))
 
@@ -356,7 +417,11 @@ def revision_negotiation(spark, d):
     return read(spark, d, "orders").select("o_orderkey", versions.negotiated(asked, supported).alias("n")).select("o_orderkey", "n.revision", "n.fallback", "n.error")
 
 
-@query("SELECT event_type, le, count(CASE WHEN value <= le THEN 1 END) AS n FROM events, (SELECT unnest([0.5, 1.0, 2.5, 5.0, 10.0, 100.0])::DOUBLE AS le) GROUP BY ALL UNION ALL SELECT event_type, NULL, count(*) FROM events GROUP BY ALL")
+@query("""
+    SELECT event_type, le, count(CASE WHEN value <= le THEN 1 END) AS n
+    FROM events, (SELECT unnest([0.5, 1.0, 2.5, 5.0, 10.0, 100.0])::DOUBLE AS le) GROUP BY ALL UNION ALL
+    SELECT event_type, NULL, count(*) FROM events GROUP BY ALL
+""")
 def latency_histogram(spark, d):
     return quality.histogram(read(spark, d, "events"), ["event_type"], F.col("value"), (0.5, 1.0, 2.5, 5.0, 10.0, 100.0)).select("event_type", "le", "n")
 
@@ -366,7 +431,10 @@ def percentile_nearest_rank(spark, d):
     return quality.nearest_rank(read(spark, d, "events"), ["event_type"], "value", 0.95)
 
 
-@query("SELECT event_type, json_extract_string(props, '$.k')::INT % 10 AS code, count(*) AS n, count(*) FILTER (WHERE value > 100) AS misses FROM events GROUP BY ALL")
+@query("""
+    SELECT event_type, json_extract_string(props, '$.k')::INT % 10 AS code, count(*) AS n, count(*) FILTER (WHERE value > 100) AS misses
+    FROM events GROUP BY ALL
+""")
 def miss_counters(spark, d):
     return read(spark, d, "events").groupBy("event_type", (F.get_json_object("props", "$.k").cast("int") % 10).alias("code")).agg(F.count("*").alias("n"), F.count(F.when(F.col("value") > 100, 1)).alias("misses"))
 
@@ -386,13 +454,19 @@ def sessions(spark, d):
     return s.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("stop").alias("stop"), "n")
 
 
-@query("SELECT event_type, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+@query("""
+    SELECT event_type, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, count(*) AS n, round(sum(value), 6) AS total FROM events
+    GROUP BY ALL
+""")
 def tumbling(spark, d):
     w = telemetry.windowed(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 hour")
     return w.select("event_type", F.unix_micros("start").alias("start"), "n", "total")
 
 
-@query("SELECT event_type, epoch_us(time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR) AS start, count(*) AS n, round(sum(value), 6) AS total FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL")
+@query("""
+    SELECT event_type, epoch_us(time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR) AS start, count(*) AS n, round(sum(value),
+    6) AS total FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL
+""")
 def sliding(spark, d):
     w = telemetry.windowed(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "12 hours", "6 hours")
     return w.select("event_type", F.unix_micros("start").alias("start"), "n", "total")
@@ -403,14 +477,22 @@ def breaker_states(spark, d):
     return telemetry.breaker_states(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), failures=2, open_for=86_400.0).select("user_id", F.unix_micros("ts").alias("ts"))
 
 
-@query("SELECT coalesce(c_mktsegment, 'ALL') AS family, count(*) AS n, round(avg(CASE WHEN r BETWEEN 1 AND 3 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_k, round(avg(CASE WHEN r >= 1 THEN 1.0 / r ELSE 0.0 END), 6) AS mrr, round(avg(CASE WHEN r = 0 THEN 1.0 ELSE 0.0 END), 6) AS wrong_rate FROM (SELECT c_mktsegment, CASE WHEN c_custkey % 7 < 6 THEN c_custkey % 6 END AS r FROM customer) GROUP BY GROUPING SETS ((c_mktsegment), ())")
+@query("""
+    SELECT coalesce(c_mktsegment, 'ALL') AS family, count(*) AS n, round(avg(CASE WHEN r BETWEEN 1 AND 3 THEN 1.0 ELSE 0.0 END),
+    6) AS hit_at_k, round(avg(CASE WHEN r >= 1 THEN 1.0 / r ELSE 0.0 END), 6) AS mrr, round(avg(CASE WHEN r = 0 THEN 1.0
+    ELSE 0.0 END), 6) AS wrong_rate FROM (SELECT c_mktsegment, CASE WHEN c_custkey % 7 < 6 THEN c_custkey % 6 END AS r FROM customer)
+    GROUP BY GROUPING SETS ((c_mktsegment), ())
+""")
 def mrr_rollup(spark, d):
     answers = read(spark, d, "customer").select(F.col("c_mktsegment").alias("family"), F.when(F.col("c_custkey") % 7 < 6, F.col("c_custkey") % 6).alias("r"))
     q = quality.retrieval_quality(answers, "family", "r")
     return q.select("family", "n", *(F.round(c, 6).alias(c) for c in ("hit_at_k", "mrr", "wrong_rate")))
 
 
-@query("SELECT n_regionkey, n_name, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_name)")
+@query("""
+    SELECT n_regionkey, n_name, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer
+    JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_name)
+""")
 def ledger_totals(spark, d):
     j = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.rollup("n_regionkey", "n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
@@ -426,19 +508,31 @@ def grouping_sets(spark, d):
     return read(spark, d, "lineitem").groupingSets([["l_returnflag"], ["l_linestatus"], []], "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_custkey, o_orderkey, r AS rank, total_matches, CASE WHEN total_matches > 6 THEN 6 END AS next_offset FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS total_matches FROM orders) WHERE r BETWEEN 4 AND 6")
+@query("""
+    SELECT o_custkey, o_orderkey, r AS rank, total_matches, CASE WHEN total_matches > 6 THEN 6 END AS next_offset
+    FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey
+    ORDER BY o_totalprice DESC, o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS total_matches FROM orders)
+    WHERE r BETWEEN 4 AND 6
+""")
 def topk_paging(spark, d):
     ranked = read(spark, d, "orders").withColumn("rank", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")))
     return budget.page(ranked, "o_custkey", "rank", 3, 3).select("o_custkey", "o_orderkey", "rank", "total_matches", "next_offset")
 
 
-@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY ALL")
+@query("""
+    SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice),
+    2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount),
+    6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY ALL
+""")
 def pricing_summary(spark, d):
     line = read(spark, d, "lineitem").where("l_shipdate <= timestamp_ntz'2000-09-02'")
     return line.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
 
 
-@query("SELECT n_name, round(sum(o_totalprice), 2) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_name")
+@query("""
+    SELECT n_name, round(sum(o_totalprice), 2) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey
+    JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_name
+""")
 def inner_joins(spark, d):
     t = lambda n: read(spark, d, n)
     j = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -461,14 +555,22 @@ def anti_join(spark, d):
     return read(spark, d, "customer").join(read(spark, d, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("SELECT coalesce(c_nationkey, s_nationkey) AS nationkey, n_customers, n_suppliers FROM (SELECT c_nationkey, count(*) AS n_customers FROM customer WHERE c_acctbal > 9000 GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS n_suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) ON c_nationkey = s_nationkey")
+@query("""
+    SELECT coalesce(c_nationkey, s_nationkey) AS nationkey, n_customers, n_suppliers FROM (SELECT c_nationkey, count(*) AS n_customers
+    FROM customer WHERE c_acctbal > 9000 GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS n_suppliers FROM supplier
+    WHERE s_acctbal > 5000 GROUP BY 1) ON c_nationkey = s_nationkey
+""")
 def full_join(spark, d):
     c = read(spark, d, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count("*").alias("n_customers"))
     s = read(spark, d, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.count("*").alias("n_suppliers"))
     return c.join(s, "nationkey", "full_outer")
 
 
-@query("SELECT o_orderkey, arg_max(e.event_id, (e.ts, e.event_id)) AS event_id FROM (SELECT o_orderkey, TIMESTAMP '2024-01-01' + (o_orderkey % 40000) * INTERVAL 1 MINUTE AS pt, o_orderkey % 150 AS u FROM orders) o JOIN events e ON e.user_id = u AND e.ts <= pt GROUP BY o_orderkey")
+@query("""
+    SELECT o_orderkey, arg_max(e.event_id, (e.ts, e.event_id)) AS event_id
+    FROM (SELECT o_orderkey, TIMESTAMP '2024-01-01' + (o_orderkey % 40000) * INTERVAL 1 MINUTE AS pt, o_orderkey % 150 AS u
+    FROM orders) o JOIN events e ON e.user_id = u AND e.ts <= pt GROUP BY o_orderkey
+""")
 def as_of_join(spark, d):
     """The last event of a user at or before a time: both sides in one sorted walk, no pairs."""
     o = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 150).alias("user_id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, cast(o_orderkey % 40000 as int), 0)").alias("ts"), F.lit(None).cast("long").alias("event_id"), F.lit(1).alias("side"))
@@ -477,7 +579,10 @@ def as_of_join(spark, d):
     return o.unionByName(e).withColumn("event_id", F.last("event_id", ignorenulls=True).over(order)).where("side = 1 and event_id is not null").select("o_orderkey", "event_id")
 
 
-@query("SELECT a.event_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 2 HOUR GROUP BY a.event_id")
+@query("""
+    SELECT a.event_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts
+    AND b.ts <= a.ts + INTERVAL 2 HOUR GROUP BY a.event_id
+""")
 def range_join(spark, d):
     """Later events of a user within two hours: a range frame instead of a join."""
     frame = Window.partitionBy("user_id").orderBy("at").rangeBetween(1, 7_200_000_000)
@@ -485,20 +590,33 @@ def range_join(spark, d):
     return e.withColumn("n", F.count("*").over(frame)).where("n > 0").select("event_id", "n")
 
 
-@query("SELECT o_custkey, o_orderkey, rank() OVER w AS rank, dense_rank() OVER w AS dense, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS tile, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate)")
+@query("""
+    SELECT o_custkey, o_orderkey, rank() OVER w AS rank, dense_rank() OVER w AS dense, ntile(4) OVER (PARTITION BY o_custkey
+    ORDER BY o_orderdate, o_orderkey) AS tile, lag(o_orderkey) OVER (PARTITION BY o_custkey
+    ORDER BY o_orderdate, o_orderkey) AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate)
+""")
 def window_rank(spark, d):
     w, v = Window.partitionBy("o_custkey").orderBy("o_orderdate"), Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return read(spark, d, "orders").select("o_custkey", "o_orderkey", F.rank().over(w).alias("rank"), F.dense_rank().over(w).alias("dense"), F.ntile(4).over(v).alias("tile"), F.lag("o_orderkey").over(v).alias("before"))
 
 
-@query("(SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1 INTERSECT SELECT n_nationkey FROM nation")
+@query("""
+    (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation
+    WHERE n_regionkey = 1 INTERSECT SELECT n_nationkey FROM nation
+""")
 def set_operations(spark, d):
     t = lambda n, c: read(spark, d, n).select(F.col(c).alias("k"))
     one = read(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("k"))
     return t("customer", "c_nationkey").union(t("supplier", "s_nationkey")).distinct().subtract(one.intersect(t("nation", "n_nationkey")))
 
 
-@query(f"WITH {NAMED}, w AS (SELECT p_partkey, unnest({O.symbol_words('name')}) AS word, generate_subscripts({O.symbol_words('name')}, 1) AS i FROM p), h AS (SELECT p_partkey, word, max((i = 1)::INT) AS t, max((i > 1)::INT) AS m FROM w WHERE word IN ('economy', 'ring', 'red') GROUP BY ALL) SELECT p_partkey AS entry, round(sum(CASE word WHEN 'red' THEN 0.5 ELSE CASE WHEN t = 1 THEN 2.0 ELSE 1.5 END + CASE WHEN t = 1 AND m = 1 THEN 0.5 ELSE 0.0 END END), 6) AS score FROM h GROUP BY p_partkey HAVING count(*) >= 1.8")
+@query(f"""
+    WITH {NAMED}, w AS (SELECT p_partkey, unnest({O.symbol_words('name')}) AS word, generate_subscripts({O.symbol_words('name')}, 1) AS i
+    FROM p), h AS (SELECT p_partkey, word, max((i = 1)::INT) AS t, max((i > 1)::INT) AS m FROM w
+    WHERE word IN ('economy', 'ring', 'red') GROUP BY ALL) SELECT p_partkey AS entry, round(sum(CASE word WHEN 'red' THEN 0.5 ELSE
+    CASE WHEN t = 1 THEN 2.0 ELSE 1.5 END + CASE WHEN t = 1 AND m = 1 THEN 0.5 ELSE 0.0 END END), 6) AS score FROM h
+    GROUP BY p_partkey HAVING count(*) >= 1.8
+""")
 def evidence_ranking(spark, d):
     words = parts(spark, d).select(F.col("p_partkey").alias("entry"), F.posexplode(T.symbol_words("name")).alias("i", "word")).select("entry", "word", F.when(F.col("i") == 0, "type").otherwise("member").alias("place"))
     concepts = spark.createDataFrame([("a", "economy", 1.0, False), ("b", "ring", 1.0, False), ("c", "red", 1.0, True)], "concept string, word string, weight double, light boolean")
@@ -512,7 +630,10 @@ def suggest_fuzzy(spark, d):
     return symbols.suggestions(asked, names).select("query", F.array_join("suggestions", "|").alias("suggestions"))
 
 
-@query("SELECT lower(w) AS name, list_aggregate(list_sort(list_distinct(list(p_brand || '.' || w))), 'string_agg', '|') AS owners FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1")
+@query("""
+    SELECT lower(w) AS name, list_aggregate(list_sort(list_distinct(list(p_brand || '.' || w))), 'string_agg', '|') AS owners
+    FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1
+""")
 def member_index(spark, d):
     m = read(spark, d, "part").select(F.col("p_brand").alias("owner"), F.explode(F.split("p_name", " ")).alias("member"))
     return symbols.member_index(m).select("name", F.array_join("owners", "|").alias("owners"))

@@ -78,13 +78,19 @@ def tfidf_topk(spark, d):
     return lexical.top_k(index.of_generation(read(spark, d, "documents"), tokeniser="plain").tf_idf(asked, "query_id", "query"), "query_id", 5).select("query_id", "doc_id", "score", "rank")
 
 
-@query(f"SELECT doc_id, len(ts) AS n_tokens, len(list_distinct(ts)) AS n_distinct, md5(array_to_string(ts, ' ')) AS tokens_md5 FROM (SELECT doc_id, {O.tokens(TEXT)} AS ts FROM documents)")
+@query(f"""
+    SELECT doc_id, len(ts) AS n_tokens, len(list_distinct(ts)) AS n_distinct, md5(array_to_string(ts, ' ')) AS tokens_md5
+    FROM (SELECT doc_id, {O.tokens(TEXT)} AS ts FROM documents)
+""")
 def tokenize_counts(spark, d):
     ts = read(spark, d, "documents").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("ts"))
     return ts.select("doc_id", F.size("ts").alias("n_tokens"), F.size(F.array_distinct("ts")).alias("n_distinct"), F.md5(F.array_join("ts", " ")).alias("tokens_md5"))
 
 
-@query(f"SELECT lang, sum(len({O.plain_tokens(TEXT)}))::BIGINT AS n_all, sum(len(list_filter({O.plain_tokens(TEXT)}, lambda t: t NOT IN ({O.STOP}))))::BIGINT AS n_kept FROM documents GROUP BY lang")
+@query(f"""
+    SELECT lang, sum(len({O.plain_tokens(TEXT)}))::BIGINT AS n_all, sum(len(list_filter({O.plain_tokens(TEXT)}, lambda t: t NOT IN ({O.STOP}))))::BIGINT AS n_kept
+    FROM documents GROUP BY lang
+""")
 def stopword_filter(spark, d):
     plain = T.plain_tokens(F.coalesce("text", F.lit("")))
     return read(spark, d, "documents").groupBy("lang").agg(F.sum(F.size(plain)).alias("n_all"), F.sum(F.size(T.without_stopwords(plain))).alias("n_kept"))
@@ -97,18 +103,27 @@ def parts(spark, d) -> DataFrame:
     return read(spark, d, "part").withColumn("name", F.concat_ws(".", kind, words, F.concat(F.lit("B"), F.regexp_extract("p_brand", "[0-9]+", 0))))
 
 
-@query(f"SELECT name, array_to_string({O.case_parts('replace(name, ' + chr(39) + '.' + chr(39) + ', ' + chr(39) + chr(39) + ')')}, ' ') AS parts, count(*) AS n FROM (SELECT {O.PART_NAME} AS name FROM part) GROUP BY ALL")
+@query(f"""
+    SELECT name, array_to_string({O.case_parts('replace(name, ' + chr(39) + '.' + chr(39) + ', ' + chr(39) + chr(39) + ')')}, ' ') AS parts, count(*) AS n
+    FROM (SELECT {O.PART_NAME} AS name FROM part) GROUP BY ALL
+""")
 def camel_split(spark, d):
     return parts(spark, d).groupBy("name").agg(F.count("*").alias("n")).select("name", F.array_join(T.case_parts(F.replace(F.col("name"), F.lit("."), F.lit(""))), " ").alias("parts"), "n")
 
 
-@query(f"SELECT {O.stem('token')} AS stem, count(*) AS n, count(DISTINCT token) AS n_forms FROM (SELECT unnest({O.tokens(TEXT)}) AS token FROM documents) GROUP BY 1 HAVING count(*) >= 20")
+@query(f"""
+    SELECT {O.stem('token')} AS stem, count(*) AS n, count(DISTINCT token) AS n_forms FROM (SELECT unnest({O.tokens(TEXT)}) AS token
+    FROM documents) GROUP BY 1 HAVING count(*) >= 20
+""")
 def stem_counts(spark, d):
     ts = read(spark, d, "documents").select(F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     return ts.groupBy(T.stem("token").alias("stem")).agg(F.sum("n").alias("n"), F.count("*").alias("n_forms")).where("n >= 20")
 
 
-@query(f"SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({O.tokens(TEXT)}) AS token FROM documents) GROUP BY token HAVING count(*) >= 5")
+@query(f"""
+    SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({O.tokens(TEXT)}) AS token FROM documents) GROUP BY token
+    HAVING count(*) >= 5
+""")
 def doc_freq(spark, d):
     return index.of_generation(read(spark, d, "documents")).dictionary.where("df >= 5").select("token", "df")
 
@@ -118,7 +133,10 @@ def corpus_stats(spark, d):
     return index.of_generation(read(spark, d, "documents")).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({O.tokens(TEXT)}) AS token FROM documents) GROUP BY ALL HAVING count(*) >= 8")
+@query(f"""
+    SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({O.tokens(TEXT)}) AS token FROM documents) GROUP BY ALL
+    HAVING count(*) >= 8
+""")
 def term_freq(spark, d):
     return index.of_generation(read(spark, d, "documents")).postings.where("tf >= 8").select("doc_id", "token", "tf")
 
@@ -251,13 +269,21 @@ def part_numbering(spark, d):
     return chunking.chunks(read(spark, d, "documents")).select("doc_id", "part", "parts", F.md5("text").alias("text_md5"))
 
 
-@query("SELECT doc_id, left(sha256(coalesce(source, '') || chr(31) || coalesce(text, '')), 16) AS chunk_id, concat_ws('::', 'g1', 'doc', left(sha256(coalesce(source, '') || chr(31) || coalesce(text, '')), 16)) AS doc_key FROM documents")
+@query("""
+    SELECT doc_id, left(sha256(coalesce(source, '') || chr(31) || coalesce(text, '')),
+    16) AS chunk_id, concat_ws('::', 'g1', 'doc', left(sha256(coalesce(source, '') || chr(31) || coalesce(text, '')), 16)) AS doc_key
+    FROM documents
+""")
 def content_chunk_id(spark, d):
     key = T.content_id("source", "text")
     return read(spark, d, "documents").select("doc_id", key.alias("chunk_id"), F.concat_ws("::", F.lit("g1"), F.lit("doc"), key).alias("doc_key"))
 
 
-@query("SELECT doc_id, md5(CASE WHEN length(text) <= 3000 THEN text ELSE (CASE WHEN strpos(left(text, 3000), chr(10)) > 0 THEN regexp_replace(left(text, 3000), '(?s)\\n[^\\n]*$', '') ELSE left(text, 3000) END) || chr(10) || '[truncated]' END) AS text_md5 FROM documents WHERE text IS NOT NULL")
+@query("""
+    SELECT doc_id, md5(CASE WHEN length(text) <= 3000 THEN text ELSE (CASE WHEN strpos(left(text, 3000),
+    chr(10)) > 0 THEN regexp_replace(left(text, 3000), '(?s)\\n[^\\n]*$', '')
+    ELSE left(text, 3000) END) || chr(10) || '[truncated]' END) AS text_md5 FROM documents WHERE text IS NOT NULL
+""")
 def sanitize_text(spark, d):
     return read(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.sanitized("text", 3000)).alias("text_md5"))
 
@@ -322,14 +348,20 @@ def cosine_topk(spark, d):
     return vectors.cosine_top_k(read(spark, d, "embeddings"), _first_vector(spark, d), 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT vec_id, CASE WHEN s >= 0.3 THEN 'confident' ELSE 'weak' END AS label FROM (SELECT vec_id, round({COSINE}, 6) AS s FROM embeddings) WHERE s >= 0.2")
+@query(f"""
+    SELECT vec_id, CASE WHEN s >= 0.3 THEN 'confident' ELSE 'weak' END AS label FROM (SELECT vec_id, round({COSINE}, 6) AS s
+    FROM embeddings) WHERE s >= 0.2
+""")
 def cosine_floor(spark, d):
     q = F.lit([float(x) for x in _first_vector(spark, d)])
     s = vectors.indexed(read(spark, d, "embeddings"), "vec_id", "embedding").select("vec_id", F.round(vectors.cosine(F.col("v"), q, F.col("norm")), 6).alias("s"))
     return s.where("s >= 0.2").select("vec_id", predicates.cosine_label("s", 0.2, 0.3).alias("label"))
 
 
-@query("SELECT label, count(*) AS n, round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS mean_norm FROM embeddings GROUP BY label")
+@query("""
+    SELECT label, count(*) AS n, round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS mean_norm
+    FROM embeddings GROUP BY label
+""")
 def vector_norms(spark, d):
     return vectors.indexed(read(spark, d, "embeddings").withColumn("key", F.struct("vec_id", "label")), "key", "embedding").groupBy(F.col("key.label").alias("label")).agg(F.count("*").alias("n"), F.round(F.avg("norm"), 6).alias("mean_norm"))
 
@@ -340,7 +372,11 @@ def embedding_cache_last_wins(spark, d):
     return vectors.merged_cache(docs).select("text_sha", F.col("file_ord").alias("doc_id"))
 
 
-@query("SELECT (SELECT count(*) FROM documents WHERE doc_id % 3 <> 0 AND sha256(coalesce(text, '')) IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE doc_id % 3 = 0)) AS hits, (SELECT count(*) FROM documents WHERE doc_id % 3 <> 0 AND sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE doc_id % 3 = 0)) AS misses")
+@query("""
+    SELECT (SELECT count(*) FROM documents WHERE doc_id % 3 <> 0 AND sha256(coalesce(text, '')) IN (SELECT sha256(coalesce(text, ''))
+    FROM documents WHERE doc_id % 3 = 0)) AS hits, (SELECT count(*) FROM documents WHERE doc_id % 3 <> 0
+    AND sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE doc_id % 3 = 0)) AS misses
+""")
 def embedding_cache_lookup(spark, d):
     docs = read(spark, d, "documents")
     cache = docs.where("doc_id % 3 = 0").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha"), F.array(F.lit(1.0)).alias("vector")).distinct()
@@ -353,7 +389,10 @@ def html_title(spark, d):
     return read(spark, d, "pages").select("page_id", chunking.html_title("html").alias("title"))
 
 
-@query(r"SELECT page_id, len(regexp_extract_all(html, '(?is)<p\b[^>]*>')) AS n_paragraphs, len(regexp_extract_all(html, '(?is)<a\b[^>]*href=')) AS n_links, regexp_matches(html, '(?is)<!--.*?-->') AS has_comment FROM pages")
+@query(r"""
+    SELECT page_id, len(regexp_extract_all(html, '(?is)<p\b[^>]*>')) AS n_paragraphs, len(regexp_extract_all(html, '(?is)<a\b[^>]*href=')) AS n_links, regexp_matches(html, '(?is)<!--.*?-->') AS has_comment
+    FROM pages
+""")
 def html_paragraphs(spark, d):
     n = lambda p: F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0)))
     return read(spark, d, "pages").select("page_id", n(r"(?is)<p\b[^>]*>").alias("n_paragraphs"), n(r"(?is)<a\b[^>]*href=").alias("n_links"), F.regexp_like("html", F.lit("(?is)<!--.*?-->")).alias("has_comment"))
@@ -364,28 +403,44 @@ def html_text(spark, d):
     return read(spark, d, "pages").select("page_id", F.md5(chunking.html_text("html")).alias("text_md5"), F.length(chunking.html_text("html")).alias("n_chars"))
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page FROM pages")
+@query(r"""
+    SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1),
+    '') AS page FROM pages
+""")
 def url_parts(spark, d):
     return read(spark, d, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path"), F.parse_url("url", F.lit("QUERY"), F.lit("page")).alias("page"))
 
 
-@query("SELECT source, text, doc_id FROM (SELECT source, text, doc_id, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+@query("""
+    SELECT source, text, doc_id FROM (SELECT source, text, doc_id, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS r
+    FROM documents) WHERE r = 1
+""")
 def dedupe_first(spark, d):
     return budget.first_of_each(read(spark, d, "documents").select("source", "text", "doc_id"), ["source", "text"], ["doc_id"])
 
 
-@query("SELECT source, doc_id, used FROM (SELECT source, doc_id, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents WHERE text IS NOT NULL) WHERE used <= 24576")
+@query("""
+    SELECT source, doc_id, used FROM (SELECT source, doc_id, sum(strlen(text)) OVER (PARTITION BY source
+    ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents WHERE text IS NOT NULL) WHERE used <= 24576
+""")
 def byte_budget_prefix(spark, d):
     docs = read(spark, d, "documents").where("text is not null")
     return budget.byte_prefix(docs.withColumn("size", F.octet_length("text")), ["source"], "doc_id", F.col("size"), 24_576).select("source", "doc_id", "used")
 
 
-@query("SELECT doc_id, md5(CASE WHEN length(text) <= 1500 THEN text WHEN strpos(left(text, 1500), chr(10)) > 0 THEN regexp_replace(left(text, 1500), '(?s)\\n[^\\n]*$', '') ELSE left(text, 1500) END) AS cut_md5 FROM documents WHERE text IS NOT NULL")
+@query("""
+    SELECT doc_id, md5(CASE WHEN length(text) <= 1500 THEN text WHEN strpos(left(text, 1500),
+    chr(10)) > 0 THEN regexp_replace(left(text, 1500), '(?s)\\n[^\\n]*$', '') ELSE left(text, 1500) END) AS cut_md5 FROM documents
+    WHERE text IS NOT NULL
+""")
 def cut_at_line(spark, d):
     return read(spark, d, "documents").where("text is not null").select("doc_id", F.md5(budget.cut_at_line("text", 1500)).alias("cut_md5"))
 
 
-@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', E'\\1\x01', 'g'), E'\x01'), lambda s: trim(s) <> '')) AS n_sentences FROM documents WHERE text IS NOT NULL")
+@query(r"""
+    SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', E'\\1\x01', 'g'), E'\x01'),
+    lambda s: trim(s) <> '')) AS n_sentences FROM documents WHERE text IS NOT NULL
+""")
 def sentence_split(spark, d):
     return read(spark, d, "documents").where("text is not null").select("doc_id", F.size(chunking.sentences("text")).alias("n_sentences"))
 
@@ -419,7 +474,11 @@ def nfkc_fold(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(T.strip_zero_width(nfkc("text"))).alias("text_md5"))
 
 
-@query("SELECT doc_id, kind, name, n_methods, commit FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'symbol' WHEN 1 THEN 'example' ELSE 'documentation' END AS kind, (CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Example: ' ELSE 'Doc: ' END) || source || '.T' || doc_id AS name, 2 AS n_methods, lang AS commit FROM documents)")
+@query("""
+    SELECT doc_id, kind, name, n_methods, commit FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'symbol' WHEN 1 THEN 'example'
+    ELSE 'documentation' END AS kind, (CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Example: '
+    ELSE 'Doc: ' END) || source || '.T' || doc_id AS name, 2 AS n_methods, lang AS commit FROM documents)
+""")
 def chunk_grammar(spark, d):
     kind = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "Example: ").otherwise("Doc: ")
     chunk = F.concat(F.lit("FQN: "), kind, F.col("source"), F.lit(".T"), F.col("doc_id").cast("string"), F.lit("\nKind: class\nMethods:\n  - open(path: str)\n  - close() [inherited from Base]\nSource-Commit: "), F.col("lang"))

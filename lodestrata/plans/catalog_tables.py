@@ -556,13 +556,13 @@ def anti_join(spark, d):
 
 
 @query("""
-    SELECT coalesce(c_nationkey, s_nationkey) AS nationkey, n_customers, n_suppliers FROM (SELECT c_nationkey, count(*) AS n_customers
-    FROM customer WHERE c_acctbal > 9000 GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS n_suppliers FROM supplier
-    WHERE s_acctbal > 5000 GROUP BY 1) ON c_nationkey = s_nationkey
+    SELECT coalesce(c.k, s.k) AS nationkey, n_customers, n_suppliers FROM (SELECT c_nationkey AS k, count(*) AS n_customers FROM customer GROUP BY 1) c
+    FULL JOIN (SELECT s_nationkey + 3 AS k, count(*) AS n_suppliers FROM supplier GROUP BY 1) s ON c.k = s.k
 """)
 def full_join(spark, d):
-    c = read(spark, d, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count("*").alias("n_customers"))
-    s = read(spark, d, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.count("*").alias("n_suppliers"))
+    """Suppliers under another nation's key, so that either side has keys of its own."""
+    c = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count("*").alias("n_customers"))
+    s = read(spark, d, "supplier").groupBy((F.col("s_nationkey") + 3).alias("nationkey")).agg(F.count("*").alias("n_suppliers"))
     return c.join(s, "nationkey", "full_outer")
 
 

@@ -41,10 +41,21 @@ def checked_page(top_k: int, offset: int = 0) -> tuple[int, int]:
 class Engine:
     def __init__(self, spark: SparkSession, family: str, platform: str, chunks: DataFrame):
         self.spark, self.family, self.platform = spark, family, platform
+        self._held: list[DataFrame] = []
         self.chunks = chunks.select("chunk_id", "ord", "text", predicates.chunk_kind("text").alias("kind"), grammar.fqn("text").alias("fqn"), predicates.category("text").alias("category")).cache()  # read by every stage
 
+    def _hold(self, df: DataFrame) -> DataFrame:
+        """df, kept for the stages of this call and let go by the next one."""
+        self._held.append(df.cache())
+        return self._held[-1]
+
+    def _release(self) -> None:
+        while self._held:
+            self._held.pop().unpersist()
+
     def close(self) -> None:
-        """Lets go of the chunks that are held for the next stage or call."""
+        """Lets go of all that is held for the next stage or call."""
+        self._release()
         self.chunks.unpersist()
 
     def _miss(self, reason: str, schema: str) -> DataFrame:
@@ -57,11 +68,12 @@ class Engine:
         excluded = set(asked.select(T.excluded_terms(self.family, self.platform).alias("x")).first()["x"])
         kept = [t for t in said["terms"] if t not in excluded] or said["terms"]
         frame = lambda words: self.spark.createDataFrame([(0, w) for w in words], "q int, term string")
-        return lexical.weighted_terms(pool, frame(kept), "chunk_id"), frame(said["required"]), len(kept)
+        return self._hold(lexical.weighted_terms(pool, frame(kept), "chunk_id")), frame(said["required"]), len(kept)
 
     def search_docs(self, query: str, content_type: str | None = None, top_k: int = 10) -> DataFrame:
         """found, reason, match_quality, chunk_id, category, coverage, score: confident, else partial, else nearest vectors."""
         checked(query), checked_page(top_k)
+        self._release()
         columns = "match_quality string, chunk_id string, category string, coverage double, score double"
         if content_type is not None and content_type not in predicates.CATEGORIES:
             raise ValueError(f"content_type is one of {', '.join(predicates.CATEGORIES)}")
@@ -76,7 +88,7 @@ class Engine:
         passage = lexical.best_passage(F.col("lines"), F.col("terms"), F.col("weights"))
         scored = covered.where(F.col("coverage") >= PARTIAL).join(pool, "chunk_id").withColumn("lines", lexical.passage_lines(F.col("text"))).crossJoin(F.broadcast(listed)).where(~predicates.table_dominated("text") | (F.col("n_present") >= 2)).withColumn("passage", passage)
         bm = lexical.bm25(pool, self.spark.createDataFrame([(0, query)], "q int, query string"), "q", "query", "chunk_id").select("chunk_id", "score")
-        scored = scored.join(bm, "chunk_id", "left").select("chunk_id", "category", F.round("coverage", 6).alias("coverage"), "passage", "n_present", F.coalesce(F.round("score", 6), F.lit(0.0)).alias("score"))
+        scored = self._hold(scored.join(bm, "chunk_id", "left").select("chunk_id", "category", F.round("coverage", 6).alias("coverage"), "passage", "n_present", F.coalesce(F.round("score", 6), F.lit(0.0)).alias("score")))
         order = (F.desc("coverage"), F.desc("score"), "chunk_id")
         confident = scored.where((F.col("coverage") >= RELEVANT) & (F.col("passage") >= RELEVANT)).orderBy(*order).limit(top_k)
         partial = scored.where((F.col("coverage") >= PARTIAL) & (F.col("n_present") >= 2)).orderBy(*order).limit(min(top_k, PARTIAL_ROWS))
@@ -103,12 +115,17 @@ class Engine:
         tier = symbols.match_tier(F.lit(query), F.col("fqn"))
         own = F.array_contains(members, query.strip().split(".")[-1].lower()) & (F.lit("." not in query) | F.lower("fqn").endswith(query.rsplit(".", 1)[0].lower()))
         hits = pool.withColumn("tier", F.when(tier <= 1, tier).when(own, 2).when(tier.isNotNull(), tier + 1)).where("tier is not null").join(bm, "chunk_id", "left")
-        order = Window.orderBy("tier", F.size(members) == 0, F.desc(F.round("score", 6)), "ord")
-        ranked = hits.withColumn("rank", F.row_number().over(order)).withColumn("total_matches", F.count("*").over(Window.partitionBy()))
-        page = ranked.where(F.col("rank").between(offset + 1, offset + top_k))
-        found = page.select(F.lit(True).alias("found"), F.lit(None).cast("string").alias("reason"), "fqn", "tier", F.coalesce("score", F.lit(0.0)).alias("score"), "total_matches", F.when(F.col("total_matches") > offset + top_k, F.lit(offset + top_k)).alias("next_offset"), F.lit(None).cast("array<string>").alias("suggestions"))
+        hits = hits.withColumn("empty", F.size(members) == 0).withColumn("score", F.coalesce("score", F.lit(0.0)))
+        order = ("tier", "empty", F.desc(F.round("score", 6)), "ord")
+        first = hits.orderBy(*order).limit(offset + top_k)  # so few rows are numbered in one task
+        page = first.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") > offset)
+        page = page.crossJoin(F.broadcast(hits.agg(F.count("*").alias("total_matches"))))  # one row
+        found = page.select(
+            F.lit(True).alias("found"), F.lit(None).cast("string").alias("reason"), "fqn", "tier", "score", "total_matches", F.when(F.col("total_matches") > offset + top_k, F.lit(offset + top_k)).alias("next_offset"),
+            F.lit(None).cast("array<string>").alias("suggestions"), "rank",
+        )
         if not found.isEmpty():
-            return found.orderBy("rank")
+            return found.orderBy("rank").drop("rank")
         if offset and not hits.isEmpty():
             return self._miss("past_the_end", columns)
         close = symbols.suggestions(asked, pool.select("fqn")).first()["suggestions"]

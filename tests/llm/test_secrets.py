@@ -122,3 +122,23 @@ def test_planted_secrets_behind_signs_and_names_are_found(spark):
         assert found[doc_id].spans == ("" if want is None else f"entropy:{text.index(want)}:{text.index(want) + len(want)}"), text
     hidden = secrets.redact_secrets(spark.createDataFrame(rows[: len(planted)], "doc_id long, text string")).collect()
     assert not any(random_ in r.text or number in r.text for r in hidden)
+
+
+def test_many_matches_in_one_text(spark):
+    """Thousands of spans, places behind many blocks, and pieces cut across them; in time that grows with the text."""
+    draw = random.Random(7)
+    key = lambda n: "".join(draw.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", k=n))
+    parts = [lambda: "token=abcdefgh", lambda: key(32), lambda: "AKIA" + "A1B2" * 4, lambda: f"{draw.randrange(16**30):030x}", lambda: "é" * draw.randint(1, 300), lambda: "word"]
+    text = " ".join(draw.choice(parts)() for _ in range(12_000))
+    df = spark.createDataFrame([(1, text), (2, text[:5000] + "\U0001F600" * 5000 + "password=abcdefg")], "doc_id long, text string")
+    found = {r.doc_id: r for r in secrets.secret_digests(df).collect()}
+    hidden = {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()}
+    for doc_id, said_text in ((r.doc_id, r.text) for r in df.collect()):
+        spans = sorted(base(said_text) + extra(said_text, base(said_text)))
+        assert found[doc_id].spans == said(spans)
+        at, want = 0, ""
+        for a, _, b in spans:
+            if a >= at:
+                want += said_text[at:a] + "[secret]"
+            at = max(at, b)
+        assert hidden[doc_id] == want + said_text[at:]

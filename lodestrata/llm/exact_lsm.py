@@ -2,7 +2,8 @@
 
 Every task fills a memtable (digest -> smallest identifier, copies) and flushes it as a run sorted by digest with
 a Bloom filter; a task's runs are compacted when there are `fanout` of them. Runs of all tasks then meet by digest and
-are compacted into one level, which again keeps the smallest identifier. An identifier is the document id
+are compacted into one level, which again keeps the smallest identifier. Rows ask the level by digest and run, so that a
+digest that very many rows hold is dealt over the runs. An identifier is the document id
 (keep="smallest") or its negation (keep="largest"). Each hit is verified by bytes: inside a memtable at once, between
 runs by grouping the texts of the runs' representatives. Two texts with one digest stop the job.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MEMTABLE_BYTES = 32 << 20
+MEMTABLE_BYTES = 8 << 20
 FANOUT = 8
 
 
@@ -40,8 +41,8 @@ class Bloom:
 
 
 class MergeIndex:
-    """One task's index. Rows leave as (doc_id, digest, ident, copies): ident is the smallest identifier of the digest in
-    its run; copies is set on the row that holds it and null on the others."""
+    """One task's index. Rows leave as (doc_id, digest, ident, copies, head): ident is the smallest identifier of the digest
+    in its run, copies their number there, and head marks one row that holds ident."""
 
     def __init__(self, memtable_bytes: int = MEMTABLE_BYTES, fanout: int = FANOUT):
         self.memtable_bytes, self.fanout = memtable_bytes, fanout
@@ -69,7 +70,7 @@ class MergeIndex:
             self.runs.append((Bloom(list(run)), run))
             self.memtable, self.size = {}, 0
 
-    def drain(self) -> Iterator[tuple[int, bytes, int, int | None]]:
+    def drain(self) -> Iterator[tuple[int, bytes, int, int, bool]]:
         """Compacts the runs and empties the index."""
         self.flush()
         runs, self.runs = self.runs, []
@@ -89,10 +90,10 @@ class MergeIndex:
                 for ident, doc_id in entry[1]:
                     holds = first and ident == entry[0]
                     first = first and not holds
-                    yield doc_id, digest, entry[0], len(entry[1]) if holds else None
+                    yield doc_id, digest, entry[0], len(entry[1]), holds
 
 
-ROW = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("ident", pa.int64()), ("copies", pa.int64()), ("run", pa.int64())])
+ROW = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("ident", pa.int64()), ("copies", pa.int64()), ("head", pa.bool_()), ("run", pa.int64())])
 
 
 def _runs(sign: int, memtable_bytes: int, fanout: int):
@@ -104,8 +105,8 @@ def _runs(sign: int, memtable_bytes: int, fanout: int):
         def out():
             rows = list(index.drain())
             if rows:
-                doc, digest, ident, copies = map(list, zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(digest, pa.binary()), pa.array(ident, pa.int64()), pa.array(copies, pa.int64()), pa.array([part << 24 | level] * len(rows), pa.int64())], schema=ROW)
+                columns = [*zip(*rows, strict=True), [part << 24 | level] * len(rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ROW.types, strict=True)], schema=ROW)
 
         for batch in batches:
             for doc_id, digest, text in zip(batch["doc_id"].to_pylist(), batch["digest"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
@@ -144,27 +145,30 @@ def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_dedup(df: DataFrame, keep: str = "smallest", memtable_bytes: int = MEMTABLE_BYTES, fanout: int = FANOUT) -> DataFrame:
     """One row per row of df: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when their bytes are; null counts as empty, and all empty texts form one group. Columns besides
-    doc_id and text are ignored. Rows that repeat a doc_id stay as many rows; of rows with the kept id all count as kept.
-    An empty table gives no rows. A null doc_id is not an identifier: such rows go.
+    Texts are equal when their bytes are, however long they are; null counts as empty, and all empty texts form one group.
+    Columns besides doc_id and text are ignored. Rows that repeat a doc_id stay as many rows, whether their texts are equal
+    or not; of rows with the kept id all count as kept. An empty table gives no rows. A row without a doc_id is compared
+    with nothing: it stays, as a group of its own, and its keep_id is null.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
     sign = 1 if keep == "smallest" else -1
-    docs = common.documents(df).where("doc_id is not null")
+    rows = common.documents(df)
+    docs, bare = rows.where("doc_id is not null"), rows.where("doc_id is null")
     digested = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
-    runs = common.staged(digested.mapInArrow(_runs(sign, memtable_bytes, fanout), "doc_id long, digest binary, ident long, copies long, run long"), "lsm-runs")
-    heads = runs.where("copies is not null")
+    runs = common.staged(digested.mapInArrow(_runs(sign, memtable_bytes, fanout), "doc_id long, digest binary, ident long, copies long, head boolean, run long"), "lsm-runs")
+    heads = runs.where("head")
     level = heads.select("digest", "ident", "copies").repartition("digest").sortWithinPartitions("digest").mapInArrow(_compact, "digest binary, ident long, copies long, runs long")
-    level = common.staged(level, "lsm-level")
+    hits = heads.select("doc_id", "digest", "run").join(level.where("runs > 1").select("digest", F.col("ident").alias("least"), F.col("copies").alias("all")), "digest")
+    hits = common.staged(hits, "lsm-hits")
 
-    hits = heads.join(level.where("runs > 1").select("digest"), "digest").select("doc_id", "digest").distinct()
     own = F.unhex(F.sha2("text", 256)) == F.col("digest")  # another text may have the same doc_id
-    texts = docs.join(hits, "doc_id").where(own).groupBy("digest", "text").agg(F.lit(1).alias("one"))
+    texts = docs.join(hits.select("doc_id", "digest").distinct().hint("merge"), "doc_id").where(own).groupBy("digest", "text").agg(F.lit(1).alias("one"))
     clashes = texts.groupBy("digest").count().where("count > 1").limit(1).collect()
     if clashes:
         raise ValueError(f"two texts share the digest {bytes(clashes[0][0]).hex()}")
 
-    found = runs.select("doc_id", "digest").join(level.select("digest", "ident", "copies"), "digest")
-    keep_id = F.col("ident") * sign
-    return found.select("doc_id", keep_id.alias("keep_id"), F.col("copies").alias("group_size"), (F.col("doc_id") == keep_id).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    found = runs.join(hits.drop("doc_id"), ["digest", "run"], "left")
+    keep_id, size = F.coalesce("least", "ident") * sign, F.coalesce("all", "copies")
+    found = found.select("doc_id", keep_id.alias("keep_id"), size.alias("group_size"), (F.col("doc_id") == keep_id).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return found.unionByName(bare.select("doc_id", F.lit(None).cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.sha2("text", 256).alias("text_sha256")))

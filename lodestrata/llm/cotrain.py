@@ -1,38 +1,86 @@
 """Quality classification by co-training of two views.
 
-One classifier sees the text, the other the page's metadata (source, lang, n_chars). Both start from labelled rows; over
-several rounds each gives the unlabelled documents that it is surest of, with their pseudo-labels, to the other. Their
-log-odds are calibrated and combined on labelled rows that neither has seen, and all documents are scored.
-
-Fitting uses bounded samples (parameters `labelled` and `pool`); scoring covers every row and its whole text.
+One classifier sees the text (hashed words, pairs of words and runs of four bytes, shares of printable bytes, how words and
+lines repeat), the other the page's metadata (source, lang, n_chars). Both start from labelled rows. Over several rounds
+every document outside these of which one view is sure teaches the other view, with its pseudo-label: executors add up
+gradients and curvatures over all documents, and the driver takes a damped Newton step a round for each view. The pseudo-labelled
+documents of a round weigh as much as the labelled ones together at most, and their classes as among these, however many
+there are. A view's log-odds are calibrated, before it teaches and at last, on labelled rows that neither view has seen;
+calibrated views are combined, and all documents are scored.
+
+Labelled rows are a bounded sample (parameter `labelled`); all else covers every row and its whole text. Features are held
+in half precision, a staged table that each round reads once.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LABELLED = 10_000
-POOL = 10_000
+from . import anchors, common
+
+LABELLED = 20_000
 ROUNDS = 4
 SURE = 0.95
+RIDGE = {"text": 3.0, "meta": 1.0}
+CALM = 0.1  # ridge of what calibrates and combines
 KEEP_FROM = 0.5
 WORD_FEATURES = 9
-TEXT_FEATURES = 97 + WORD_FEATURES
+SHARES = 97 + WORD_FEATURES
+WORD_SLOTS, RUN_SLOTS, RUN = 256, 128, 4
+TEXT_FEATURES = SHARES + WORD_SLOTS + RUN_SLOTS
+MOST = 10.0  # standard deviations that a feature counts at most
+BLOCKS = 32  # partial sums that are added up before the last one
+PIECE = 2048
 SOURCES, LANGS, SIZES = 64, 16, 24
 META_FEATURES = SOURCES + LANGS + SIZES + 1
 
 
-def text_features(text: str | None) -> np.ndarray:
+def _slots(hashes: np.ndarray, row: np.ndarray, rows: int, slots: int) -> np.ndarray:
+    """Signed sums of hashes in slots, for each row, and beside them how many there are."""
+    slot = (hashes >> np.uint64(32)) % np.uint64(slots)
+    sign = ((hashes >> np.uint64(20)) & np.uint64(1)).astype(np.float64) * 2 - 1
+    total = np.bincount(row * slots + slot.astype(np.int64), sign, rows * slots).reshape(rows, slots)
+    return np.hstack([total, np.bincount(row, minlength=rows)[:, None]])
+
+
+def _gram_sums(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    rows = len(offsets) - 1
+    words, _, at = anchors.cut_words(data, offsets)
+    own = np.repeat(np.arange(rows), np.diff(at))
+    pair = np.flatnonzero(own[1:] == own[:-1])
+    pairs = anchors._mix(words[pair] * anchors.MIX + words[pair + 1])
+    said = _slots(np.concatenate([words, pairs]), np.concatenate([own, own[pair]]), rows, WORD_SLOTS)
+    byte = np.repeat(np.arange(rows), np.diff(offsets))
+    start = np.flatnonzero(byte[RUN - 1 :] == byte[: max(0, len(byte) - RUN + 1)])
+    runs = anchors.ROLLER.runs(anchors.ROLLER.sums(anchors.ROLLER.byte[data]), start, start + RUN)
+    return np.hstack([said, _slots(runs, byte[start], rows, RUN_SLOTS)])
+
+
+def hashed_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of every row the words and pairs of words, and the runs of RUN bytes, each kind in slots of its own, over the root of
+    their number. A row longer than a batch is added up by pieces of that length."""
+    if len(offsets) == 2 and offsets[1] > anchors.BATCH:
+        pieces = [data[at : at + anchors.BATCH] for at in range(0, len(data), anchors.BATCH)]
+        total = sum(_gram_sums(piece, np.array([0, len(piece)])) for piece in pieces)
+    else:
+        total = _gram_sums(data, offsets)
+    said, runs = total[:, : WORD_SLOTS + 1], total[:, WORD_SLOTS + 1 :]
+    return np.hstack([x[:, :-1] / np.sqrt(np.maximum(x[:, -1:], 1)) for x in (said, runs)])
+
+
+def text_shares(text: str | None) -> np.ndarray:
     """Shares of printable bytes, and how words and lines repeat."""
-    out = np.zeros(TEXT_FEATURES)
+    out = np.zeros(SHARES)
     if not text:
         return out
     counts = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
@@ -48,6 +96,16 @@ def text_features(text: str | None) -> np.ndarray:
     return out
 
 
+def text_matrix(column: pa.Array) -> np.ndarray:
+    """The text view of a string column without nulls, in half precision."""
+    out = np.zeros((len(column), TEXT_FEATURES), np.float16)
+    for first, data, offsets in anchors.batches_of(*common.utf8(column)):
+        out[first : first + len(offsets) - 1, SHARES:] = hashed_grams(data, offsets)
+    for i, text in enumerate(column.to_pylist()):
+        out[i, :SHARES] = text_shares(text)
+    return out
+
+
 def meta_features(source: str | None, lang: str | None, n_chars: float | None) -> np.ndarray:
     out = np.zeros(META_FEATURES)
     out[zlib.crc32(str(source).encode()) % SOURCES] = 1
@@ -58,31 +116,82 @@ def meta_features(source: str | None, lang: str | None, n_chars: float | None) -
     return out
 
 
+def meta_matrix(source: list, lang: list, n_chars: list) -> np.ndarray:
+    return np.array([meta_features(*row) for row in zip(source, lang, n_chars, strict=True)], np.float16).reshape(-1, META_FEATURES)
+
+
 @dataclass
 class Logistic:
-    """Ridge logistic regression by Newton steps over standardised features."""
+    """Ridge logistic regression over standardised features, by Newton steps from sums over rows."""
 
     ridge: float = 1.0
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        """Features by their mean and deviation, and a one."""
+        return np.hstack([np.clip((x.astype(np.float64) - self.mean) / self.scale, -MOST, MOST), np.ones((len(x), 1))])
+
+    def sums(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the log-likelihood."""
+        gradient, curvature = np.zeros(len(self.weights)), np.zeros((len(self.weights), len(self.weights)))
+        for part in _pieces(x):
+            z = self.standard(x[part])
+            p = _chance(z @ self.weights)
+            gradient += z.T @ (y[part] - p)
+            curvature += (z * (p * (1 - p))[:, None]).T @ z
+        return gradient, curvature
+
+    def step(self, gradient: np.ndarray, curvature: np.ndarray) -> np.ndarray:
+        """One Newton step."""
+        penalty = self._penalty()
+        move = np.linalg.solve(curvature + np.diag(penalty), gradient - penalty * self.weights)
+        self.weights = self.weights + move
+        return move
+
+    def _penalty(self) -> np.ndarray:
+        return np.r_[np.full(len(self.weights) - 1, self.ridge), 1e-6]
+
+    def _likelihood(self, x: np.ndarray, y: np.ndarray) -> float:
+        p = np.clip(_chance(self.odds(x)), 1e-13, 1 - 1e-13)
+        return float(np.log(np.where(y > 0.5, p, 1 - p)).sum() - self._penalty() @ self.weights**2 / 2)
+
+    def learn(self, x: np.ndarray, y: np.ndarray, gradient: np.ndarray, curvature: np.ndarray) -> None:
+        """One Newton step with other rows' sums beside the rows at hand. It is halved until the rows at hand, with what the
+        sums promise, gain."""
+        now = self._likelihood(x, y)
+        own = self.sums(x, y)
+        move = self.step(own[0] + gradient, own[1] + curvature)
+        while np.abs(move).max() > 1e-6 and self._likelihood(x, y) + gradient @ move - move @ curvature @ move / 2 < now:
+            move = move / 2
+            self.weights = self.weights - move
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
-        self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-        z = np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))])
-        w, penalty = np.zeros(z.shape[1]), np.r_[np.full(z.shape[1] - 1, self.ridge), 1e-6]
+        """Newton steps, each halved until it gains: where the classes are apart, whole ones leap too far."""
+        self.mean = sum(x[part].astype(np.float64).sum(0) for part in _pieces(x)) / len(x)
+        self.scale = np.maximum(np.sqrt(sum(((x[part].astype(np.float64) - self.mean) ** 2).sum(0) for part in _pieces(x)) / len(x)), 1e-6)
+        self.weights = np.zeros(x.shape[1] + 1)
+        now = self._likelihood(x, y)
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
-            w += step
-            if np.abs(step).max() < 1e-6:
+            move = self.step(*self.sums(x, y))
+            after = self._likelihood(x, y)
+            while after < now and np.abs(move).max() > 1e-6:
+                move = move / 2
+                self.weights = self.weights - move
+                after = self._likelihood(x, y)
+            now = after
+            if np.abs(move).max() < 1e-4:
                 break
-        self.weights = w
         return self
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -20, 20)
-        return z @ self.weights[:-1] + self.weights[-1]
+        return np.concatenate([np.zeros(0), *(self.standard(x[part]) @ self.weights for part in _pieces(x))])
+
+
+def _pieces(x: np.ndarray) -> list[slice]:
+    """Rows that are widened to double precision together."""
+    return [slice(at, at + PIECE) for at in range(0, len(x), PIECE)]
 
 
 def _chance(odds: np.ndarray) -> np.ndarray:
@@ -94,10 +203,8 @@ class CoTrained:
     """Both views and their combination; prior is the share of good rows, all there is to say where nothing was fitted."""
 
     prior: float
-    text: Logistic | None = None
-    meta: Logistic | None = None
-    text_scale: Logistic | None = None
-    meta_scale: Logistic | None = None
+    text: View | None = None
+    meta: View | None = None
     both: Logistic | None = None
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,34 +212,60 @@ class CoTrained:
         if self.both is None:
             same = np.full(len(text), self.prior)
             return same, same.copy(), same.copy()
-        t, m = self.text_scale.odds(self.text.odds(text)[:, None]), self.meta_scale.odds(self.meta.odds(meta)[:, None])
+        t, m = self.text.odds(text), self.meta.odds(meta)
         return _chance(t), _chance(m), _chance(self.both.odds(np.c_[t, m]))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> CoTrained:
-    """held marks the labelled rows that only calibrate."""
+#: For each view and pseudo-label: rows, gradient and curvature.
+Taught = dict[tuple[str, int], tuple[float, np.ndarray, np.ndarray]]
+
+
+@dataclass
+class View:
+    """A view's classifier and, on its log-odds, the one that calibrates them."""
+
+    model: Logistic
+    scale: Logistic = field(default_factory=lambda: Logistic(ridge=CALM))
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.scale.fit(self.model.odds(x)[:, None], y)
+
+    def odds(self, x: np.ndarray) -> np.ndarray:
+        return self.scale.odds(self.model.odds(x)[:, None])
+
+
+def taught(views: dict[str, View], rows: dict[str, np.ndarray]) -> Taught:
+    """What the rows of which one view is sure add to the other's sums."""
+    out: Taught = {}
+    for giver, taker in (("text", "meta"), ("meta", "text")):
+        chance = _chance(views[giver].odds(rows[giver]))
+        for label, sure in ((1, chance >= SURE), (0, chance <= 1 - SURE)):
+            if sure.any():
+                out[taker, label] = (float(sure.sum()), *views[taker].model.sums(rows[taker][sure], np.full(int(sure.sum()), float(label))))
+    return out
+
+
+def co_train(rows: dict[str, np.ndarray], y: np.ndarray, held: np.ndarray, teach: Callable[[dict[str, View]], Taught], rounds: int = ROUNDS) -> CoTrained:
+    """rows: the labelled rows by each view; held marks those that only calibrate. teach gives the sums of `taught` over all
+    unlabelled documents."""
     prior = float(y.mean()) if len(y) else 0.5
     if any(len(set(y[side].tolist())) < 2 for side in (held, ~held)):
-        return CoTrained(prior if len(y) else 0.5)
-    sets = {v: (x[~held], y[~held]) for v, x in (("text", text), ("meta", meta))}
-    pools, free = {"text": pool_text, "meta": pool_meta}, np.ones(len(pool_text), bool)
-    models = {v: Logistic().fit(*sets[v]) for v in sets}
-    for _ in range(rounds):
-        if not free.any():
+        return CoTrained(prior)
+    known = y[~held]
+    views = {v: View(Logistic(ridge=RIDGE[v]).fit(x[~held], known)) for v, x in rows.items()}
+    for turn in range(rounds + 1):
+        for v, view in views.items():
+            view.calibrate(rows[v][held], y[held])
+        if turn == rounds:
             break
-        for giver, taker in (("text", "meta"), ("meta", "text")):
-            chance = _chance(models[giver].odds(pools[giver]))
-            share = max(1, len(pool_text) // (4 * rounds))
-            for label, sure, most in ((1, chance, int(share * prior)), (0, 1 - chance, int(share * (1 - prior)))):
-                rows = np.flatnonzero(free & (sure >= SURE))
-                rows = rows[np.argsort(-sure[rows], kind="stable")][: max(1, most)]
-                free[rows] = False
-                x, old = sets[taker]
-                sets[taker] = np.vstack([x, pools[taker][rows]]), np.r_[old, np.full(len(rows), label)]
-        models = {v: Logistic().fit(*sets[v]) for v in sets}
-    scales = {v: Logistic(ridge=1e-3).fit(models[v].odds(x[held])[:, None], y[held]) for v, x in (("text", text), ("meta", meta))}
-    views = np.c_[scales["text"].odds(models["text"].odds(text[held])[:, None]), scales["meta"].odds(models["meta"].odds(meta[held])[:, None])]
-    return CoTrained(prior, models["text"], models["meta"], scales["text"], scales["meta"], Logistic(ridge=1e-3).fit(views, y[held]))
+        sums = teach(views)
+        for v, view in views.items():
+            classes = [(prior, sums.get((v, 1))), (1 - prior, sums.get((v, 0)))]
+            if all(x for _, x in classes):  # of one class alone only the share would be learned
+                total = min(float(len(known)), *(n / part for part, (n, _, _) in classes))
+                view.model.learn(rows[v][~held], known, *(sum(total * part / n * x[i] for part, (n, *x) in classes) for i in range(2)))
+    both = np.stack([views[v].odds(rows[v][held]) for v in ("text", "meta")], 1)
+    return CoTrained(prior, views["text"], views["meta"], Logistic(ridge=CALM).fit(both, y[held]))
 
 
 def _meta_columns(df: DataFrame) -> list[Column]:
@@ -140,58 +273,118 @@ def _meta_columns(df: DataFrame) -> list[Column]:
     return [(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
 
 
-def _features(df: DataFrame) -> DataFrame:
-    @F.pandas_udf(T.StructType([T.StructField("text", T.BinaryType()), T.StructField("meta", T.BinaryType())]))
-    def both(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"text": [text_features(t).astype("<f4").tobytes() for t in text], "meta": [meta_features(*row).astype("<f4").tobytes() for row in zip(source, lang, n_chars, strict=True)]})
+FEATURES = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("meta", pa.binary())])
 
-    return df.select("doc_id", "quality", both("text", *_meta_columns(df)).alias("f"))
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text, meta = text_matrix(batch["text"]), meta_matrix(*(batch[c].to_pylist() for c in ("source", "lang", "n_chars")))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array([row.tobytes() for row in x], pa.binary()) for x in (text, meta))], schema=FEATURES)
 
-def fit(df: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained:
-    """labels: doc_id and quality (0 or 1; rows with a null go, several of one document are averaged). The rows with the
-    smallest digests of their ids are taken, at most `labelled` and `pool`."""
-    digest = F.xxhash64(F.lit("quality"), "doc_id")
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("quality")).orderBy(digest, "doc_id").limit(labelled)
-    other = df.where("doc_id is not null").select("doc_id", F.lit(None).cast("double").alias("quality")).orderBy(F.xxhash64(F.lit("pool"), "doc_id"), "doc_id").limit(pool)
-    wanted = F.broadcast(known.unionByName(other))  # at most labelled + pool rows of two numbers
-    found = _features(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *_meta_columns(df)).join(wanted, "doc_id")).select("doc_id", "quality", "f.*").toArrow().to_pydict()
-    order = sorted(range(len(found["doc_id"])), key=lambda i: (found["doc_id"][i], found["quality"][i] is None, found["text"][i]))
-    first, rest = [i for i in order if found["quality"][i] is not None], [i for i in order if found["quality"][i] is None]
-    array = lambda some, name, n: np.frombuffer(b"".join(found[name][i] for i in some), "<f4").reshape(-1, n).astype(np.float64)
-    held = np.array([zlib.crc32(b"held %d" % found["doc_id"][i]) % 4 == 0 for i in first], bool)
-    y = np.array([found["quality"][i] for i in first])
-    return co_train(array(first, "text", TEXT_FEATURES), array(first, "meta", META_FEATURES), y, held, array(rest, "text", TEXT_FEATURES), array(rest, "meta", META_FEATURES), rounds)
+
+def features(df: DataFrame) -> DataFrame:
+    """A staged table with doc_id and both views of every row of df."""
+    common.bounded(df.sparkSession)
+    slim = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *_meta_columns(df))
+    return common.staged(slim.mapInArrow(_featured, "doc_id long, text binary, meta binary"), "features")
+
+
+def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(b"".join(batch[c].to_pylist()), np.float16).reshape(-1, n) for c, n in (("text", TEXT_FEATURES), ("meta", META_FEATURES)))
+
+
+def _added(parts: Iterator[tuple[str, int, float, bytes, bytes]]) -> Taught:
+    out: Taught = {}
+    for view, label, rows, gradient, curvature in parts:
+        n, g, c = out.get((view, label), (0.0, 0.0, 0.0))
+        g = g + np.frombuffer(gradient)
+        out[view, label] = (n + rows, g, c + np.frombuffer(curvature).reshape(len(g), len(g)))
+    return out
+
+
+SUMS = pa.schema([("view", pa.string()), ("label", pa.int32()), ("rows", pa.float64()), ("gradient", pa.binary()), ("curvature", pa.binary())])
+
+
+def _sums(found: Taught, schema: pa.Schema, *block: int) -> pa.RecordBatch:
+    rows = [(*block, view, label, n, g.tobytes(), c.tobytes()) for (view, label), (n, g, c) in found.items()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
 
 
-def with_quality(df: DataFrame, model: CoTrained, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of df with a struct quality (score_text, score_meta, score, keep)."""
-    kind = T.StructType([*(T.StructField(n, T.DoubleType()) for n in ("score_text", "score_meta", "score")), T.StructField("keep", T.BooleanType())])
+def _teaching(rows: DataFrame) -> Callable[[dict[str, View]], Taught]:
+    """The sums of `taught` over a table of features: in each task, in BLOCKS groups of tasks, and of these."""
+    schema = "view string, label int, rows double, gradient binary, curvature binary"
+    wide = pa.schema([("block", pa.int32()), *SUMS])
 
-    @F.pandas_udf(kind)
-    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for text, source, lang, n_chars in batches:
-            t = np.array([text_features(x) for x in text]).reshape(-1, TEXT_FEATURES)
-            m = np.array([meta_features(*row) for row in zip(source, lang, n_chars, strict=True)]).reshape(-1, META_FEATURES)
-            by_text, by_meta, both = model.score(t, m)
-            yield pd.DataFrame({"score_text": by_text, "score_meta": by_meta, "score": both, "keep": (both >= keep_from) | (model.both is None)})
+    def teach(views: dict[str, View]) -> Taught:
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task, total = TaskContext.get(), {}
+            for batch in batches:
+                for part in (batch.slice(at, PIECE) for at in range(0, batch.num_rows, PIECE)):
+                    for key, (n, g, c) in taught(views, dict(zip(("text", "meta"), _views(part), strict=True))).items():
+                        m, h, d = total.get(key, (0.0, 0.0, 0.0))
+                        total[key] = (n + m, g + h, c + d)
+            if total:
+                yield _sums(total, wide, (task.partitionId() if task else 0) % BLOCKS)
 
-    return df.withColumn("quality", score(F.coalesce("text", F.lit("")), *_meta_columns(df)))
+        def together(table: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([_sums(_added(zip(*(table[c].to_pylist() for c in SUMS.names), strict=True)), SUMS)])
+
+        blocks = rows.mapInArrow(own, f"block int, {schema}").groupBy("block", "view").applyInArrow(together, schema)
+        return _added(tuple(r) for r in blocks.groupBy("view").applyInArrow(together, schema).collect())  # four rows at most
+
+    return teach
+
+
+def fit(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> CoTrained:
+    """rows: what `features` makes. labels: doc_id and quality (0 or 1; rows with a null go, several of one document are
+    averaged). Of the labelled rows those with the smallest digests of their ids are taken, at most `labelled`."""
+    digest = F.xxhash64(F.lit("quality"), "doc_id")
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("quality"))
+    number = known.count()
+    few = known.where(F.pmod(digest, F.lit(1 << 30)) < F.lit(min(1 << 30, int((1 << 30) * 1.2 * labelled / max(number, 1)))))  # so that few rows go to the task of the limit
+    few = few.orderBy(F.pmod(digest, F.lit(1 << 30)), "doc_id").limit(labelled)
+    found = rows.join(F.broadcast(few), "doc_id").orderBy("doc_id", "text", "meta").toArrow()  # at most `labelled` rows of two numbers are broadcast
+    if not found.num_rows:
+        return CoTrained(0.5)
+    ids, y = found["doc_id"].to_pylist(), found["quality"].to_numpy()
+    held = np.array([zlib.crc32(b"held %d" % i) % 4 == 0 for i in ids], bool)
+    text, meta = _views(found.combine_chunks().to_batches()[0])
+    sample = F.broadcast(rows.sparkSession.createDataFrame(pa.table({"doc_id": sorted(set(ids))})))  # at most `labelled` numbers
+    return co_train({"text": text, "meta": meta}, y, held, _teaching(rows.join(sample, "doc_id", "left_anti")), rounds)
+
+
+def _scored(model: CoTrained, text: np.ndarray, meta: np.ndarray, keep_from: float) -> dict[str, np.ndarray]:
+    by_text, by_meta, both = model.score(text, meta)
+    return {"score_text": by_text, "score_meta": by_meta, "score": both, "keep": (both >= keep_from) | (model.both is None)}
 
 
 def classify(df: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """One row per row of df: doc_id, score_text, score_meta, score (chance of good quality), keep.
 
-    A null text counts as empty, null or missing metadata as a value of its own. Where the labels are empty or hold one
-    class only, every row gets their share of good rows (0.5 without labels) and stays. Other columns are ignored, rows
-    that repeat stay, and an empty table gives no rows."""
-    model = fit(df, labels)
-    slim = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *_meta_columns(df))
-    return with_quality(slim, model, keep_from).select("doc_id", "quality.*")
+    A null text counts as empty, null or missing metadata as a value of its own. Texts count whole, however long. Where the
+    labels are empty or hold one class only, every row gets their share of good rows (0.5 without labels) and stays. Other
+    columns are ignored, rows that repeat or have no doc_id stay, and an empty table gives no rows."""
+    rows = features(df)
+    model = fit(rows, labels)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, PIECE) for at in range(0, batch.num_rows, PIECE)):
+                scored = _scored(model, *_views(part), keep_from)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *map(pa.array, scored.values())], names=["doc_id", *scored])
+
+    return rows.mapInArrow(score, "doc_id long, score_text double, score_meta double, score double, keep boolean")
 
 
 def keep_good(df: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of df that classify keeps, with their own columns."""
+    model = fit(features(df), labels)
+
+    @F.pandas_udf(T.BooleanType())
+    def keep(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for text, *meta in batches:
+            yield pd.Series(_scored(model, text_matrix(pa.array(text, pa.string())), meta_matrix(*(x.where(x.notna(), None).tolist() for x in meta)), keep_from)["keep"])
+
     own = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own")
-    scored = with_quality(df.select(own, "text", *_meta_columns(df)), fit(df, labels), keep_from)
-    return scored.where("quality.keep").select(*(F.col("own").getField(c).alias(c) for c in df.columns))
+    scored = df.select(own, keep(F.coalesce("text", F.lit("")), *_meta_columns(df)).alias("kept"))
+    return scored.where("kept").select(*(F.col("own").getField(c).alias(c) for c in df.columns))

@@ -39,7 +39,7 @@ SHARES = 97 + WORD_FEATURES
 WORD_SLOTS, RUN_SLOTS, RUN = 256, 128, 4
 TEXT_FEATURES = SHARES + WORD_SLOTS + RUN_SLOTS
 MOST = 10.0  # standard deviations that a feature counts at most
-BLOCKS = 32  # partial sums that are added up before the last one
+FAN = 16  # sums that are added up together
 PIECE = 2048
 SOURCES, LANGS, SIZES = 64, 16, 24
 META_FEATURES = SOURCES + LANGS + SIZES + 1
@@ -310,10 +310,10 @@ def _sums(found: Taught, schema: pa.Schema, *block: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
 
 
-def _teaching(rows: DataFrame) -> Callable[[dict[str, View]], Taught]:
-    """The sums of `taught` over a table of features: in each task, in BLOCKS groups of tasks, and of these."""
-    schema = "view string, label int, rows double, gradient binary, curvature binary"
-    wide = pa.schema([("block", pa.int32()), *SUMS])
+def _teaching(rows: DataFrame, tasks: int) -> Callable[[dict[str, View]], Taught]:
+    """The sums of `taught` over a table of features that so many tasks read: in each task, then of FAN sums at a time."""
+    schema = pa.schema([("block", pa.int32()), *SUMS])
+    kinds = "block int, view string, label int, rows double, gradient binary, curvature binary"
 
     def teach(views: dict[str, View]) -> Taught:
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,13 +324,17 @@ def _teaching(rows: DataFrame) -> Callable[[dict[str, View]], Taught]:
                         m, h, d = total.get(key, (0.0, 0.0, 0.0))
                         total[key] = (n + m, g + h, c + d)
             if total:
-                yield _sums(total, wide, (task.partitionId() if task else 0) % BLOCKS)
+                yield _sums(total, schema, (task.partitionId() if task else 0) // FAN)
 
         def together(table: pa.Table) -> pa.Table:
-            return pa.Table.from_batches([_sums(_added(zip(*(table[c].to_pylist() for c in SUMS.names), strict=True)), SUMS)])
+            found = _added(zip(*(table[c].to_pylist() for c in SUMS.names), strict=True))
+            return pa.Table.from_batches([_sums(found, schema, table["block"][0].as_py() // FAN)])
 
-        blocks = rows.mapInArrow(own, f"block int, {schema}").groupBy("block", "view").applyInArrow(together, schema)
-        return _added(tuple(r) for r in blocks.groupBy("view").applyInArrow(together, schema).collect())  # four rows at most
+        found, left = rows.mapInArrow(own, kinds), tasks
+        while left > 0:
+            found = found.groupBy("block", "view").applyInArrow(together, kinds)
+            left = -(-left // FAN) if left > FAN else 0
+        return _added(tuple(r)[1:] for r in found.collect())  # four rows
 
     return teach
 
@@ -350,7 +354,7 @@ def fit(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     held = np.array([zlib.crc32(b"held %d" % i) % 4 == 0 for i in ids], bool)
     text, meta = _views(found.combine_chunks().to_batches()[0])
     sample = F.broadcast(rows.sparkSession.createDataFrame(pa.table({"doc_id": sorted(set(ids))})))  # at most `labelled` numbers
-    return co_train({"text": text, "meta": meta}, y, held, _teaching(rows.join(sample, "doc_id", "left_anti")), rounds)
+    return co_train({"text": text, "meta": meta}, y, held, _teaching(rows.join(sample, "doc_id", "left_anti"), rows.rdd.getNumPartitions()), rounds)
 
 
 def _scored(model: CoTrained, text: np.ndarray, meta: np.ndarray, keep_from: float) -> dict[str, np.ndarray]:

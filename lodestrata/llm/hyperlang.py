@@ -1,83 +1,96 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. An n-gram's vector binds (multiplies) its letters' vectors, each rotated
-(permuted) by its place; a document's vector bundles (adds) those of its n-grams; a language's prototype bundles its
-documents, each at unit length. A document gets the language whose prototype has the largest cosine with it.
+Every letter, of whatever script, has a random vector of +1 and -1. An n-gram's vector binds (multiplies) its letters'
+vectors, each rotated (permuted) by its place; a document's vector bundles (adds) those of its n-grams; a language's
+prototype bundles its documents, each at unit length. A document gets the language whose prototype has the largest cosine
+with it.
 
-Letters are the lower-case letters of the text, folded into SLOTS codes by code point; whatever is no letter is a space,
-and runs of spaces are one. Vectors of n-grams are looked up in a bounded table.
+Letters are the lower-case letters of the text; whatever is no letter is a space, which has a vector too, and runs of
+spaces are one. Vectors of n-grams are kept in a table of bounded size.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 DIMENSION = 512
 GRAM = 3
-SLOTS = 64
-#: Documents of each language that the prototypes are fitted on: a bounded sample.
+SEED = 7
+LETTER_BITS = 21
+KEPT = 1 << 16  # n-grams in the table; it is emptied when it is full
+#: Documents of each language, as expected, that the prototypes are fitted on: a bounded sample.
 PER_LANGUAGE = 2000
 UNKNOWN = "und"
 
 
+@cache
+def _alphabetic() -> np.ndarray:
+    """Which code points are letters."""
+    return np.array([not 0xD800 <= code < 0xE000 and chr(code).isalpha() for code in range(0x110000)])
+
+
+def letter_vector(code: int, dimension: int = DIMENSION, seed: int = SEED) -> np.ndarray:
+    """The random vector of a letter; the code of a space is 0."""
+    return np.random.default_rng([seed, code]).choice(np.array([-1, 1], np.int8), dimension)
+
+
 class Hypervectors:
-    """Vectors of n-grams, made on demand; n-grams are numbers in base SLOTS."""
-
-    def __init__(self, dimension: int = DIMENSION, gram: int = GRAM, seed: int = 7):
-        self.dimension, self.gram = dimension, gram
-        letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (SLOTS, dimension))
-        self.rotated = [np.roll(letters, gram - 1 - place, axis=1) for place in range(gram)]
-        self.row = np.full(SLOTS**gram, -1, np.int32)
-        self.table = np.zeros((0, dimension), np.float32)
-        self.used = 0
-        self.slot = np.zeros(0x110000, np.uint8)
-        for code in range(0x110000):
-            if not 0xD800 <= code < 0xE000 and chr(code).isalpha():
-                self.slot[code] = code - 96 if 97 <= code <= 122 else 27 + code % (SLOTS - 27)
+    """Vectors of n-grams, made on demand; an n-gram is the number that its letters' code points make."""
+
+    def __init__(self, dimension: int = DIMENSION, gram: int = GRAM, kept: int = KEPT):
+        self.dimension, self.gram, self.kept = dimension, gram, kept
+        self.letters: dict[int, np.ndarray] = {}
+        self.row: dict[int, int] = {}
+        self.table = np.zeros((kept, dimension), np.int8)
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams of a text and their counts."""
-        code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        slot = np.concatenate([[0], self.slot[code], [0]]).astype(np.int32)
-        slot = slot[np.concatenate([[True], (slot[1:] != 0) | (slot[:-1] != 0)])]
-        if len(slot) < self.gram:
+        code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        code = np.concatenate([[0], code * _alphabetic()[code], [0]])
+        code = code[np.concatenate([[True], (code[1:] != 0) | (code[:-1] != 0)])]
+        n = len(code) - self.gram + 1
+        if n < 1 or not code.any():
             return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        number = slot[: len(slot) - self.gram + 1]
+        number = code[:n]
         for place in range(1, self.gram):
-            number = number * SLOTS + slot[place : len(slot) - self.gram + 1 + place]
-        one, n = np.unique(number, return_counts=True)
-        return one, n.astype(np.float32)
-
-    def rows(self, grams: np.ndarray) -> np.ndarray:
-        new = grams[self.row[grams] < 0]
-        if len(new):
-            bound = np.ones((len(new), self.dimension), np.int8)
-            rest = new
-            for place in range(self.gram - 1, -1, -1):
-                bound *= self.rotated[place][rest % SLOTS]
-                rest = rest // SLOTS
-            if self.used + len(new) > len(self.table):
-                self.table = np.concatenate([self.table[: self.used], np.zeros((max(4096, len(self.table), len(new)), self.dimension), np.float32)])
-            self.table[self.used : self.used + len(new)] = bound
-            self.row[new] = np.arange(self.used, self.used + len(new))
-            self.used += len(new)
-        return self.row[grams]
+            number = number << LETTER_BITS | code[place : n + place]
+        one, counts = np.unique(number, return_counts=True)
+        return one, counts.astype(np.float32)
+
+    def bound(self, number: int) -> np.ndarray:
+        """The vector of an n-gram."""
+        out = np.ones(self.dimension, np.int8)
+        for turns in range(self.gram):  # the last letter is not rotated
+            code = number >> LETTER_BITS * turns & (1 << LETTER_BITS) - 1
+            if code not in self.letters:
+                self.letters[code] = letter_vector(code, self.dimension)
+            out *= np.roll(self.letters[code], turns)
+        return out
+
+    def rows(self, grams: list[int]) -> np.ndarray:
+        if len(self.row) + len(grams) > self.kept:
+            self.row.clear()
+        for number in grams:
+            if number not in self.row:
+                self.table[len(self.row)] = self.bound(number)
+                self.row[number] = len(self.row)
+        return self.table[[self.row[x] for x in grams]]
 
     def bundle(self, text: str) -> np.ndarray | None:
         """The document's vector; None if it has no letter."""
         grams, counts = self.grams(text)
         if not len(grams):
             return None
-        rows = self.rows(grams)
-        return counts @ self.table[rows]
+        step = min(4096, self.kept)
+        return sum(counts[at : at + step] @ self.rows(grams[at : at + step].tolist()).astype(np.float32) for at in range(0, len(grams), step))
 
 
 _held: dict[tuple[int, int], Hypervectors] = {}
@@ -95,25 +108,11 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(df: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Prototypes from columns doc_id, text, lang (neither null). Of each language the rows with the smallest digests of
-    their ids are taken: first in every partition, then of these; only then are texts read."""
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        for batch in batches:
-            for doc_id, lang in zip(batch["doc_id"].to_pylist(), batch["lang"].to_pylist(), strict=True):
-                rows = held.setdefault(lang, [])
-                rows.append((zlib.crc32(b"fit %d" % doc_id), doc_id))
-                if len(rows) >= 2 * per_language:
-                    rows.sort()
-                    del rows[per_language:]
-        out = [(lang, *row) for lang, rows in held.items() for row in sorted(rows)[:per_language]]
-        for at in range(0, len(out), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out[at : at + 10_000], strict=True)], names=["lang", "place", "doc_id"])
-
-    picked = df.select("doc_id", "lang").mapInArrow(first, "lang string, place long, doc_id long")
-    picked = picked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).where(F.col("n") <= per_language).select("doc_id").distinct()
-    rows = df.join(F.broadcast(picked), "doc_id")  # at most per_language numbers of each language
+    """Prototypes from columns doc_id, text, lang (none of them null). Of a language with more rows a share is taken, by
+    digests of their ids, that makes `per_language` rows as expected."""
+    counts = df.groupBy("lang").agg(F.count("*").alias("rows"))
+    place = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30))
+    sample = df.join(counts, "lang").where(place * F.col("rows") < F.lit(per_language << 30))
 
     def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -125,9 +124,10 @@ def fit(df: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["lang", "total"])
 
+    parts = sample.select("lang", "text").mapInArrow(bundled, "lang string, total array<double>").select("lang", F.posexplode("total").alias("place", "value"))
     totals: dict[str, np.ndarray] = {}
-    for row in rows.select("lang", "text").mapInArrow(bundled, "lang string, total array<double>").collect():  # a few rows a language
-        totals[row["lang"]] = totals.get(row["lang"], 0) + np.array(row["total"])
+    for row in parts.groupBy("lang", "place").agg(F.sum("value").alias("value")).collect():  # one number for each language and dimension
+        totals.setdefault(row["lang"], np.zeros(DIMENSION))[row["place"]] = row["value"]
     names = sorted(totals)
     if not names:
         return [], np.zeros((0, DIMENSION), np.float32)
@@ -144,6 +144,7 @@ def identify(df: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     Learns from text and lang of rows that are not held out and have a lang. A text that is null or has no letter gets
     `und` and score 0, as does every text where nothing can be learned. Ties go to the language that sorts first. Other
     columns are ignored, rows that repeat stay, an empty table gives no rows, and whole texts count, however long."""
+    common.bounded(df.sparkSession)
     known = df.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     names, prototypes = fit(known, per_language)
 

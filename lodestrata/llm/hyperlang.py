@@ -28,6 +28,7 @@ LETTER_BITS = 21
 KEPT = 1 << 16  # n-grams in the table; it is emptied when it is full
 #: Documents of each language, as expected, that the prototypes are fitted on: a bounded sample.
 PER_LANGUAGE = 2000
+LANGUAGES = 100_000  # rows of counts that are broadcast at most
 UNKNOWN = "und"
 
 
@@ -110,7 +111,9 @@ def held_out(doc_id: str = "doc_id"):
 def fit(df: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Prototypes from columns doc_id, text, lang (none of them null). Of a language with more rows a share is taken, by
     digests of their ids, that makes `per_language` rows as expected."""
-    counts = df.groupBy("lang").agg(F.count("*").alias("rows"))
+    counts = common.staged(df.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    if counts.count() <= LANGUAGES:  # so that texts need not be shuffled by language
+        counts = F.broadcast(counts)
     place = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30))
     sample = df.join(counts, "lang").where(place * F.col("rows") < F.lit(per_language << 30))
 

@@ -1,11 +1,12 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Coarse centroids and codebooks are fitted on a bounded sample of unit vectors; every row is then indexed under its
-centroid with the codes of its residual. A query scans the lists of its nearest centroids: a table of inner products with
+centroid with the codes of its residual. A query scans the lists of its nearest centroids, and more of them until they
+hold k candidates: a table of inner products with
 all codewords gives each code's approximate cosine (asymmetric: the query itself is not quantised). It is off by the length
 of the row's quantisation error at most, so every row that may be among a block's k best by that bound is reranked by the
-exact cosine of the original vectors. How many lists are scanned is calibrated against brute
-force within the sample. Lists are cut into blocks of rows and of queries, so that a list of very many rows is many tasks.
+exact cosine of the original vectors: the quantiser loses nothing. How many lists are scanned is calibrated against brute
+force within the sample. Vectors are scaled by a power of two, which changes no cosine and keeps squares finite. Lists are cut into blocks of rows and of queries, so that a list of very many rows is many tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 SAMPLE = 20_000
 LIST_ROWS = 400
 MOST_LISTS = 1024
@@ -71,8 +74,12 @@ class Index:
         rest = self.padded(unit - self.centres[centre])
         return np.sqrt(sum(((rest[:, SUBSPACE * s : SUBSPACE * (s + 1)] - book[codes[:, s]]) ** 2).sum(1) for s, book in enumerate(self.books)))
 
-    def lists_of(self, unit: np.ndarray) -> np.ndarray:
-        return np.argsort(-(unit @ self.centres.T), axis=1, kind="stable")[:, : self.probes]
+    def lists_of(self, unit: np.ndarray, sizes: np.ndarray, enough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and the lists that each scans: the nearest `probes`, and more until they hold `enough` rows."""
+        order = np.argsort(-(unit @ self.centres.T), axis=1, kind="stable")
+        before = np.cumsum(sizes[order], axis=1) - sizes[order]
+        query, place = np.nonzero((np.arange(order.shape[1])[None, :] < self.probes) | (before < enough[:, None]))
+        return query, order[query, place]
 
     def approximate(self, unit: np.ndarray, codes: np.ndarray, centre: int) -> np.ndarray:
         """Cosines of queries (rows) with coded vectors of one list (columns)."""
@@ -112,9 +119,9 @@ def search(df: DataFrame, every: int = 50, k: int = 5, recall: float = RECALL) -
     """Rows (query_id, rank, vec_id, score): for each vec_id divisible by `every` its k nearest of all other rows.
 
     df: vec_id and embedding. Vectors that are null, zero, of another length than most, or that hold a null or non-finite
-    number take no part, nor do rows without a vec_id; rows that share a query's vec_id are not its neighbours. score is
-    the cosine in double precision; ties go to the smaller vec_id. Other columns are ignored. An empty table gives no
-    rows; with fewer than k candidates all of them are found."""
+    number take no part, nor do rows without a vec_id; rows that share a query's vec_id are not its neighbours, and of
+    several such query vectors the smallest is asked. score is the cosine in double precision; ties go to the smaller
+    vec_id. Other columns are ignored. An empty table gives no rows; with fewer than k candidates all of them are found."""
     spark = df.sparkSession
     x = F.col("embedding").cast("array<double>")
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
@@ -125,35 +132,40 @@ def search(df: DataFrame, every: int = 50, k: int = 5, recall: float = RECALL) -
         return empty
     size, rows = lengths[0]["size"], lengths[0]["count"]
     held = held.where(F.size("embedding") == size)
-    sample = held.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
-    raw = sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-    index = fit(raw / np.linalg.norm(raw, axis=1, keepdims=True), rows, k, recall)
+    place = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 30))
+    few = held.where(place < F.lit(min(1 << 30, int((1 << 30) * 1.2 * SAMPLE / rows))))  # so that few rows go to the task of the limit
+    sample = few.orderBy(place, "vec_id").limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
 
-    def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        vectors = batch["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-        scale = np.abs(vectors).max(1, keepdims=True)
-        return vectors, (vectors / scale) / np.linalg.norm(vectors / scale, axis=1, keepdims=True)
+    def scaled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors whose largest component is near one, and at unit length."""
+        vectors = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
+        return vectors, vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
+    index = fit(scaled(sample)[1], rows, k, recall)
     blob = lambda matrix: pa.array([row.tobytes() for row in np.ascontiguousarray(matrix)], pa.binary())
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                vectors, unit = arrays(batch)
+                vectors, unit = scaled(batch["embedding"])
                 own, codes = index.encode(unit)
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch["vec_id"], blob(codes), blob(vectors)], names=["list", "vec_id", "codes", "vector"])
 
+    base = common.staged(held.mapInArrow(coded, "list int, vec_id long, codes binary, vector binary"), "lists")
+    counts = {r[0]: r[1] for r in base.groupBy("list").count().collect()}  # at most MOST_LISTS rows, as below
+    sizes = np.array([counts.get(i, 0) for i in range(len(index.centres))])
+
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                vectors, unit = arrays(batch)
-                lists = index.lists_of(unit)
-                row = np.repeat(np.arange(len(unit)), lists.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel(), pa.int32()), batch["vec_id"].take(pa.array(row)), blob(vectors[row])], names=["list", "query_id", "query"])
-
-    base = held.mapInArrow(coded, "list int, vec_id long, codes binary, vector binary")
-    asked = held.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(probing, "list int, query_id long, query binary")
-    blocks = {r[0]: -(-r[1] // BLOCK_ROWS) for r in base.groupBy("list").count().collect()}  # at most MOST_LISTS rows, as below
+            for part in (batch.slice(at, 1024) for at in range(0, batch.num_rows, 1024)):
+                vectors, unit = scaled(part["embedding"])
+                row, lists = index.lists_of(unit, sizes, part["own"].to_numpy() + k)
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), part["vec_id"].take(pa.array(row)), blob(vectors[row])], names=["list", "query_id", "query"])
+
+    queries = held.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.count("*").alias("own"))
+    asked = queries.mapInArrow(probing, "list int, query_id long, query binary")
+    blocks = {i: -(-n // BLOCK_ROWS) for i, n in counts.items()}
     shifts = {r[0]: -(-r[1] // BLOCK_QUERIES) for r in asked.groupBy("list").count().collect()}
     of = lambda numbers: F.coalesce(F.get(F.array(*[F.lit(int(numbers.get(i, 1))) for i in range(len(index.centres))]), "list"), F.lit(1))
     base = base.withColumn("block", F.pmod(F.xxhash64("vec_id"), of(blocks)).cast("int")).withColumn("shift", F.explode(F.sequence(F.lit(0), of(shifts) - 1)))

@@ -35,6 +35,7 @@ BATCH = 1 << 19
 HELD = 6 << 20  # bytes of contexts that are packed together
 WIDEST = (1 << 16) - 1  # symbols of a window
 SENT_BITS = np.uint64((1 << 40) - 1)  # of an anchor's hash; enough to find candidates, whose contexts carry all of it
+WORD_BITS = np.uint64((1 << 56) - 1)  # of a word's hash, sent for each word of a context
 PLACE = np.uint64((1 << 24) - 1)
 STRETCH = 1 << 20  # symbols of a long row that are hashed together; their places fit PLACE
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -114,7 +115,7 @@ def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, stop, at = word_places(data, offsets)
     values = ROLLER.hashes(value_of, data, start, stop) + (stop - start).astype(np.uint64)
-    return values, values, at
+    return values, values & WORD_BITS, at
 
 
 def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:

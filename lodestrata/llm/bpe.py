@@ -179,12 +179,14 @@ def vocabulary(path: str) -> Vocabulary:
 class TextEncoder:
     """Encodes many texts at once. Texts are cut into chunks where the pre-tokenizer always starts a word: before a space
     that a non-space follows, and around a single line feed between non-spaces. Chunks are looked up by a 64-bit hash in
-    a bounded table; new ones are encoded together, one array for each length."""
+    a bounded table; new ones are encoded together, one array for each length. What the ids spell is compared with the
+    texts byte by byte: texts in which two chunks share a hash are encoded without the table."""
 
     MOST = 64  # bytes of a chunk that is looked up
 
     def __init__(self, vocab: Vocabulary, kept: int = 2 * KEPT, size: int = 1 << 20):
         self.vocab, self.kept, self.size = vocab, kept, size
+        self.spelling = Spelling([vocab.bytes_of.get(i, b"") for i in range(max(vocab.bytes_of) + 1)])
         draw = np.random.default_rng(50_257)
         self.value = draw.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
         self.base = int(draw.integers(2**62, 2**63)) | 1
@@ -202,26 +204,32 @@ class TextEncoder:
         self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 20, np.int32), 0
 
-    def batch(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For groups of rows of a string column: their ids end to end, and the offsets of the rows in them."""
+    def batch(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bytes, list[int]]]:
+        """For groups of rows of a string column: their ids end to end and the offsets of the rows in them, and the same of
+        the bytes that the ids spell."""
         at, rows = 0, len(offsets) - 1
         while at < rows:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + self.size, "right")) - 1)
             yield self._group(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
             at = to
 
-    def _group(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _group(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes, list[int]]:
         if not len(data):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        if any(data.tobytes().find(token.encode()) >= 0 for token in self.vocab.added):
-            found = [np.array(self.vocab.encode(data[a:b].tobytes().decode()), np.int32) for a, b in zip(offsets, offsets[1:], strict=False)]
-            return np.concatenate(found), np.cumsum([0, *map(len, found)])
-        starts = self._starts(data, offsets)
-        keys, sizes = self._hash(data, starts)
-        entry, counts = self._entries(data, starts, sizes, keys)
-        ends = np.cumsum(counts)
-        ids = self.pool[np.repeat(entry - ends + counts, counts) + np.arange(ends[-1])]
-        return ids, np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64), b"", [0] * len(offsets)
+        raw = data.tobytes()
+        if not any(token.encode() in raw for token in self.vocab.added):
+            starts = self._starts(data, offsets)
+            keys, sizes = self._hash(data, starts)
+            entry, counts = self._entries(data, starts, sizes, keys)
+            ends = np.cumsum(counts)
+            ids = self.pool[np.repeat(entry - ends + counts, counts) + np.arange(ends[-1])]
+            places = np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
+            said, at = self.spelling.spell(ids, places)
+            if said == raw and at == offsets.tolist():
+                return ids, places, said, at
+        found = [np.array(self.vocab.encode(raw[a:b].decode()), np.int32) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+        ids, places = np.concatenate(found), np.cumsum([0, *map(len, found)])
+        return ids, places, *self.spelling.spell(ids, places)
 
     def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         start = np.zeros(len(data) + 1, bool)
@@ -329,15 +337,14 @@ def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         encoder, sha256 = TextEncoder(vocab), hashlib.sha256
-        decimal, token = Spelling([b"%d," % i for i in range(max(vocab.bytes_of) + 1)]), Spelling([vocab.bytes_of.get(i, b"") for i in range(max(vocab.bytes_of) + 1)])
+        decimal = Spelling([b"%d," % i for i in range(max(vocab.bytes_of) + 1)])
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for ids, offsets in encoder.batch(*common.utf8(batch["text"])):
+            for ids, offsets, decoded, places in encoder.batch(*common.utf8(batch["text"])):
                 n += np.diff(offsets).tolist()
                 said, at = decimal.spell(ids, offsets)
                 ids_sha += [sha256(said[a : max(a, b - 1)]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
-                said, at = token.spell(ids, offsets)
-                text_sha += [sha256(said[a:b].decode("utf-8", "replace").encode()).hexdigest() for a, b in zip(at, at[1:], strict=False)]
+                text_sha += [sha256(decoded[a:b].decode("utf-8", "replace").encode()).hexdigest() for a, b in zip(places, places[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema=OUT)
 
     return run
@@ -363,7 +370,7 @@ class Spelling:
 def encode_decode(df: DataFrame, path: str) -> DataFrame:
     """One row per row of df: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256.
 
-    A null text counts as empty: no tokens, digests of the empty string. Other columns are ignored; an empty table gives
+    A null text counts as empty: no tokens, digests of the empty string. Texts count whole, however long. Other columns are ignored; an empty table gives
     no rows; rows that repeat stay. path: the vocabulary file, the same on every machine.
     """
     return common.documents(df).mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

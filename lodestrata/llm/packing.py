@@ -157,7 +157,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         for batch in batches:
             rows: list[tuple] = []
             ids_of = iter(batch["doc_id"].to_pylist())
-            for ids, offsets in encoder.batch(*common.utf8(batch["text"])):
+            for ids, offsets, *_ in encoder.batch(*common.utf8(batch["text"])):
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     doc_id, n, at, piece = next(ids_of), b - a + 1, 0, 0
                     held = ids[a:b].astype("<u4", copy=False).tobytes() + end

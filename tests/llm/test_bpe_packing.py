@@ -26,10 +26,18 @@ def texts() -> list[str]:
     return ["", *cases.texts().values(), *("".join(draw.choices(PIECES, k=draw.randint(1, 16))) for _ in range(1500))]
 
 
+def test_chunks_that_share_a_hash_are_encoded_apart(reference, monkeypatch):
+    said = ["the cat sat", "a dog ran off", "", "é 日本"]
+    monkeypatch.setattr(bpe.TextEncoder, "_hash", lambda self, data, starts: (np.zeros(len(starts), np.uint64), np.diff(np.append(starts, len(data)))))
+    encoder = bpe.TextEncoder(bpe.vocabulary(PATH))
+    found = [ids[a:b].tolist() for ids, at, *_ in encoder.batch(*common.utf8(pa.array(said))) for a, b in zip(at, at[1:], strict=False)]
+    assert found == [reference.encode(t, add_special_tokens=False).ids for t in said]
+
+
 def test_ids_and_text_are_the_librarys(reference):
     said = texts()
     encoder = bpe.TextEncoder(bpe.vocabulary(PATH), kept=500, size=4000)
-    found = [ids[a:b].tolist() for ids, at in encoder.batch(*common.utf8(pa.array(said))) for a, b in zip(at, at[1:], strict=False)]
+    found = [ids[a:b].tolist() for ids, at, *_ in encoder.batch(*common.utf8(pa.array(said))) for a, b in zip(at, at[1:], strict=False)]
     for text, ids in zip(said, found, strict=True):
         want = reference.encode(text, add_special_tokens=False).ids
         assert ids == want == bpe.vocabulary(PATH).encode(text), repr(text[:60])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -84,3 +87,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2]
     held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return held[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def give_back() -> None:
+    """Returns memory that is freed, but still held by allocators, to the system; where that cannot be done, nothing."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -353,8 +353,13 @@ def fit(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     ids, y = found["doc_id"].to_pylist(), found["quality"].to_numpy()
     held = np.array([zlib.crc32(b"held %d" % i) % 4 == 0 for i in ids], bool)
     text, meta = _views(found.combine_chunks().to_batches()[0])
+    del found
+    common.give_back()
     sample = F.broadcast(rows.sparkSession.createDataFrame(pa.table({"doc_id": sorted(set(ids))})))  # at most `labelled` numbers
-    return co_train({"text": text, "meta": meta}, y, held, _teaching(rows.join(sample, "doc_id", "left_anti"), rows.rdd.getNumPartitions()), rounds)
+    model = co_train({"text": text, "meta": meta}, y, held, _teaching(rows.join(sample, "doc_id", "left_anti"), rows.rdd.getNumPartitions()), rounds)
+    del text, meta
+    common.give_back()
+    return model
 
 
 def _scored(model: CoTrained, text: np.ndarray, meta: np.ndarray, keep_from: float) -> dict[str, np.ndarray]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, cotrain, exact_lsm, hyperlang, ivfpq, jaccard_forest, packing, secrets, seed_extend, suffix_dedup
+from . import bpe, centroids, common, cotrain, exact_lsm, hyperlang, ivfpq, jaccard_forest, packing, secrets, seed_extend, suffix_dedup
 
 
 def _vocabulary_path() -> str:
@@ -55,6 +55,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.search(common.table(spark, sf_dir, "embeddings"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(common.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,9 +72,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe_round_trip,
         op9_quality_classifier,
         op10_nearest_neighbours,
+        op13_centroid_clustering,
     )
 }
 
+def _lloyd_sql(clusters: int, rounds: int) -> str:
+    """DuckDB's SQL for the clustering: each round's assignments (a) and centroids (c) are tables of their own."""
+    parts = [
+        "k AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE) OR abs(x::DOUBLE) * 64 >= 134217728)) = 0)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM k ORDER BY h NULLS LAST, v LIMIT {clusters}))",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS (SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS best FROM (SELECT k.*, c.c, list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM k, c{n} c) GROUP BY row)")
+        if n < rounds:
+            parts.append(f"s{n} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT best.c AS c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{n}) GROUP BY c, i)")
+            parts.append(f"c{n + 1} AS (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{n} GROUP BY c) m USING (c))")
+    return (
+        "WITH " + ",\n        ".join(parts) + f"""
+        SELECT vec_id, best.c::INTEGER AS cluster, best.d::BIGINT AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia,
+               sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} f ON f.c = a.best.c"""
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": r"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL),
@@ -111,4 +135,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, len(ws) AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN r USING (doc_id)
     """,
+    "op13_centroid_clustering": _lloyd_sql(16, 3),
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, centroids, common, cotrain, exact_lsm, hyperlang, ivfpq, jaccard_forest, packing, secrets, seed_extend, suffix_dedup
+from . import bpe, centroids, common, cotrain, exact_lsm, hyperlang, ivfpq, jaccard_forest, packing, pieces, secrets, seed_extend, suffix_dedup
 
 
 def _vocabulary_path() -> str:
@@ -15,6 +15,12 @@ def _vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(common.table(spark, sf_dir, "documents"))
 
@@ -55,6 +61,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.search(common.table(spark, sf_dir, "embeddings"))
 
 
+def op12_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(common.table(spark, sf_dir, "documents"), _model_path())
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(common.table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe_round_trip,
         op9_quality_classifier,
         op10_nearest_neighbours,
+        op12_sentencepiece_round_trip,
         op13_centroid_clustering,
     )
 }

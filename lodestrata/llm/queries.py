@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, centroids, common, cotrain, exact_lsm, hyperlang, ivfpq, jaccard_forest, packing, pieces, secrets, seed_extend, suffix_dedup
+from . import bpe, centroids, common, cotrain, exact_lsm, hyperlang, ivfpq, jaccard_forest, packing, pieces, secrets, seed_extend, suffix_dedup, tandem
 
 
 def _vocabulary_path() -> str:
@@ -61,6 +61,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.search(common.table(spark, sf_dir, "embeddings"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tandem.run_digests(common.table(spark, sf_dir, "documents"), tandem.planted)
+
+
 def op12_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(common.table(spark, sf_dir, "documents"), _model_path())
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe_round_trip,
         op9_quality_classifier,
         op10_nearest_neighbours,
+        op11_periodic_runs,
         op12_sentencepiece_round_trip,
         op13_centroid_clustering,
     )

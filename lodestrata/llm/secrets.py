@@ -36,11 +36,15 @@ ALLOWED = (
     r"^[0-9]+$",
     r"^[=_/+-]+$|(.)\1{7,}",
     r"(?i)abcdefgh|01234567|12345678|qwerty",
-    r"^/?[A-Za-z]{2,}(?:[/_=-]+[A-Za-z]{2,}|[/_=-]+[0-9]{1,4})+[/=_-]*$",
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
 )
 
 
+#: What parts a path or a name, and its first and its other parts. No pattern repeats a group: such a loop
+#: recurses, and a long candidate would exhaust the stack.
+PARTED, FIRST, OTHER = r"[/_=-]+", r"^[A-Za-z]{2,}$", r"^(?:[A-Za-z]{2,}|[0-9]{1,4})$"
+
+
 @dataclass(frozen=True)
 class CharacterClass:
     """A class's letters, the length of its window, and the entropy in bits from which a window counts."""
@@ -134,11 +138,18 @@ def _high_entropy(candidate: Column) -> Column:
     return held
 
 
+def _named(candidate: Column) -> Column:
+    """Whether a candidate is a path or a name: words and short numbers between signs, which may end it."""
+    plain = lambda part: (part == "") | F.regexp_like(part, F.lit(OTHER))
+    parts = F.split(F.regexp_replace(candidate, "^/", ""), PARTED)  # only the first and the last can be empty
+    return _let(parts, lambda x: F.regexp_like(F.get(x, F.lit(0)), F.lit(FIRST)) & (F.size(x) > 1) & (F.get(x, F.lit(1)) != "") & F.forall(x, plain))
+
+
 def _allowed(candidate: Column) -> Column:
     held = F.lit(False)
     for pattern in ALLOWED:
         held = held | F.regexp_like(candidate, F.lit(pattern))
-    return held
+    return held | _named(candidate)
 
 
 def _apart(base: Column, runs: Column) -> Column:

@@ -12,6 +12,28 @@ from . import cases
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
+#: The rules, written out once more: what suppresses a candidate, and the classes with window and bits.
+ALLOWED = [re.compile(p) for p in (
+    "(?i)example|sample|dummy|placeholder|changeme|redacted|your[_-]", "^[A-Za-z]+$", "^[0-9]+$", "^[=_/+-]+$", r"(.)\1\1\1\1\1\1\1", "(?i)abcdefgh|01234567|12345678|qwerty",
+    "^/?[A-Za-z]{2,}([/_=-]+([A-Za-z]{2,}|[0-9]{1,4}))+[/_=-]*$", "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
+)]
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+RULES = [("0123456789ABCDEF", 24, 3.0), (UPPER + UPPER.lower() + "0123456789+/_=-", 24, 4.0)]
+
+
+def candidates(text):
+    """Runs of 24 or more token characters; an upper-case hex number of 24 or more characters in one is a candidate of its
+    own, and so are 24 or more characters before the first and between such numbers."""
+    for run in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        at = run.start()
+        for m in re.finditer("(?<![0-9A-F])[0-9A-F]{24,}|$", run[0]):
+            if run.start() + m.start() - at >= 24:
+                yield at, run.start() + m.start()
+            if m[0]:
+                yield run.start() + m.start(), run.start() + m.end()
+                at = run.start() + m.end()
+
+
 def base(text):
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
@@ -23,25 +45,26 @@ def said(spans):
     return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def entropy(candidate, letters):
-    kept = [c for c in candidate if c in letters.letters]
+def entropy(candidate, letters, size):
+    kept = [c for c in candidate if c in letters]
     best = None
-    for i in range(len(kept) - letters.window + 1):
-        window = kept[i : i + letters.window]
-        value = -sum(p * math.log2(p) for p in (window.count(c) / letters.window for c in set(window)))
+    for i in range(len(kept) - size + 1):
+        window = kept[i : i + size]
+        value = -sum(p * math.log2(p) for p in (window.count(c) / size for c in set(window)))
         best = value if best is None else max(best, value)
     return best
 
 
 def extra(text, spans):
     out = []
-    for m in re.finditer(secrets.CANDIDATE, text):
-        if any(a < m.end() and m.start() < b for a, _, b in spans) or any(re.search(p, m[0]) for p in secrets.ALLOWED):
+    for start, end in candidates(text):
+        found = text[start:end]
+        if any(a < end and start < b for a, _, b in spans) or any(p.search(found) for p in ALLOWED):
             continue
-        for letters in secrets.CLASSES:
-            value = entropy(m[0], letters) if len(letters.letters) > 16 or re.fullmatch("[0-9A-F]+", m[0]) else None
-            if value is not None and value >= letters.bits:
-                out.append((m.start(), 3, m.end()))
+        for letters, size, bits in RULES:
+            value = entropy(found, letters, size) if len(letters) > 16 or re.fullmatch("[0-9A-F]+", found) else None
+            if value is not None and value >= bits:
+                out.append((start, 3, end))
                 break
     return out
 
@@ -98,7 +121,7 @@ def test_entropy_of_a_window(spark):
     said_ = ["abcdefghijklmnopqrstuvwxyz", "a" * 30, "short", "Zz09+/" * 8]
     rows = spark.createDataFrame([(x,) for x in said_], "x string").select("x", secrets.windowed_entropy(F.col("x"), letters).alias("e")).collect()
     for r in rows:
-        want = entropy(r.x, letters)
+        want = entropy(r.x, letters.letters, letters.window)
         assert (r.e is None) == (want is None) and (want is None or abs(r.e - want) < 1e-9)
 
 
@@ -142,3 +165,23 @@ def test_many_matches_in_one_text(spark):
                 want += said_text[at:a] + "[secret]"
             at = max(at, b)
         assert hidden[doc_id] == want + said_text[at:]
+
+
+def test_long_runs_of_token_characters(spark):
+    """Candidates of a million characters neither exhaust the stack nor take more than their share of time."""
+    draw = random.Random(11)
+    random_ = "".join(draw.choices(UPPER + UPPER.lower() + "23456789", k=60))
+    long = {"ab-": "", "a1/": "", "x": "", "aB3=": "", "abc/1234_": "", "-": "", "word=": ""}
+    rows = [(f"{unit}{size}", unit * (size // len(unit))) for unit in long for size in (1_000, 6_000, 100_000, 1_000_000)]
+    rows += [("key", ("ab-" * 40_000) + random_), ("path", "/" + "folder/" * 30_000 + "2024"), ("bad", "//" + "folder/" * 3_000), ("digits", "folder/" * 3_000 + "20245")]
+    df = spark.createDataFrame([(i, t, n) for i, (n, t) in enumerate(rows)], "doc_id long, text string, name string")
+    found = {r.doc_id: r.spans for r in secrets.secret_digests(df).collect()}
+    hidden = {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()}
+    for i, (name, text) in enumerate(rows):
+        spans = [] if len(text) > 100_000 and name != "key" else extra(text, base(text)) if len(text) <= 6_000 else None
+        if name == "key":
+            assert found[i] == f"entropy:0:{len(text)}" and hidden[i] == "[secret]"
+        elif name == "path":
+            assert found[i] == ""
+        elif spans is not None and len(text) <= 6_000:
+            assert found[i] == said(spans), name

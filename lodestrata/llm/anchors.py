@@ -18,6 +18,7 @@ hold costs its bucket two entries a chunk in (1), and one for each different con
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ BATCH = 1 << 19
 HELD = 6 << 20  # bytes of contexts that are packed together
 WIDEST = (1 << 16) - 1  # symbols of a window
 SENT_BITS = np.uint64((1 << 40) - 1)  # of an anchor's hash; enough to find candidates, whose contexts carry all of it
-WORD_BITS = np.uint64((1 << 56) - 1)  # of a word's hash, sent for each word of a context
+LONG_WORD = 64  # bytes; a longer word is hashed on its own
 PLACE = np.uint64((1 << 24) - 1)
 STRETCH = 1 << 20  # symbols of a long row that are hashed together; their places fit PLACE
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -112,10 +113,30 @@ def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return start, stop, np.searchsorted(start, offsets)
 
 
+def word_digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit digests of words: eight bytes at a time are mixed into what the bytes before them gave, and no step is linear.
+    Words of one length and of up to eight bytes never share one; longer than LONG_WORD bytes they have a keyed digest."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = stop - start
+    out = _mix(size.astype(np.uint64) * MIX + np.uint64(77))
+    long = size > LONG_WORD
+    rows = np.flatnonzero(~long)
+    at, left = start[rows], size[rows]
+    while len(rows):
+        block = eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64)))
+        out[rows] = _mix(_mix(out[rows] ^ block))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(long).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : stop[i]].tobytes(), digest_size=8, key=b"word").digest(), "little")
+    return out
+
+
 def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, stop, at = word_places(data, offsets)
-    values = ROLLER.hashes(value_of, data, start, stop) + (stop - start).astype(np.uint64)
-    return values, values & WORD_BITS, at
+    values = word_digests(data, start, stop)
+    return values, values, at
 
 
 def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:

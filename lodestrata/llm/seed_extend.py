@@ -92,8 +92,8 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     """One row per row of df: doc_id, n_words, n_removed, kept_sha256 (the words that stay, joined by one space).
 
     Words are runs of anything but space and 0x09 to 0x0D. A word goes if `window` consecutive words that cover it also start
-    in a row with a smaller doc_id; windows are judged on the input. Words count as equal when 56-bit digests of their bytes
-    and lengths are. Texts count whole, however long; a null text has no words. Rows that share a doc_id do not remove
+    in a row with a smaller doc_id; windows are judged on the input. Words count as equal when the 64-bit
+    digests of anchors.word_digests are, a window when those of all its words are. Texts count whole, however long; a null text has no words. Rows that share a doc_id do not remove
     from each other; a row without one neither loses words nor takes any. Other columns are ignored, and an empty table
     gives no rows."""
     units = anchors.Units(window, gram, "<u8", anchors.cut_words)

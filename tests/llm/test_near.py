@@ -159,3 +159,12 @@ def test_empty_blocks_count_nothing(spark, copies, monkeypatch):
     found = jaccard_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(tuple(r)[:4] for r in found) == brute(rows)
     assert {r.n_links for r in found} == {copies - 1}
+
+
+@pytest.mark.parametrize("size", [8, 64, 1024, 4096])
+def test_words_that_defeat_polynomials_are_different(spark, size):
+    bits = [bin(i).count("1") % 2 for i in range(size)]
+    one, other = ("".join(x[b] for b in bits) for x in ("ab", "ba"))
+    rows = [(1, " ".join([one] * 5)), (2, " ".join([other] * 5)), (3, " ".join([one] * 5))]
+    found = {r.doc_id: (r.class_id, r.copy_of, r.n_links) for r in jaccard_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: (1, 1, 1), 2: (2, 2, 0), 3: (1, 1, 1)}

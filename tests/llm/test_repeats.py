@@ -156,3 +156,30 @@ def test_wide_windows(spark):
     rows = [(0, "x" * 300 + "abc" * 200), (1, "abc" * 200 + "y" * 10), (2, "abc" * 100)]
     got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=400).collect()}
     assert got == {d: sum(g) for d, g in brute([(i, t.encode()) for i, t in rows], 400, None)}
+
+
+def thue_morse(size):
+    """Two words of so many letters whose hashes are one under any polynomial modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("size", [8, 9, 64, 65, 1024, 4096])
+def test_words_that_defeat_polynomials_stay(spark, size):
+    lead = " ".join(f"w{i}" for i in range(12))
+    one, other = thue_morse(size)
+    rows = [(1, f"{lead} {one}"), (2, f"{lead} {other}"), (3, f"{lead} {one}")]
+    found = {r.doc_id: r.n_removed for r in seed_extend.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 0, 2: 0, 3: 13}
+
+
+def test_digests_of_words_are_of_their_bytes_only():
+    draw = random.Random(3)
+    said = [bytes(draw.choices(b"abc", k=draw.choice([1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200]))) for _ in range(4000)]
+    for gap in (b" ", b"\n\t "):
+        data = np.frombuffer(gap + gap.join(said), np.uint8)
+        values = anchors.cut_words(data, np.array([0, len(data)]))[0].tolist()
+        assert len(values) == len(said) and len(set(values)) == len(set(said)) == len(set(zip(said, values, strict=True)))
+        if gap == b" ":
+            first = values
+    assert first == values

@@ -132,9 +132,11 @@ def search(df: DataFrame, every: int = 50, k: int = 5, recall: float = RECALL) -
         return empty
     size, rows = lengths[0]["size"], lengths[0]["count"]
     held = held.where(F.size("embedding") == size)
-    place = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 30))
-    few = held.where(place < F.lit(min(1 << 30, int((1 << 30) * 1.2 * SAMPLE / rows))))  # so that few rows go to the task of the limit
-    sample = few.orderBy(place, "vec_id").limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
+    drawn = held.withColumn("place", F.pmod(F.xxhash64("vec_id", "embedding", F.monotonically_increasing_id()), F.lit(1 << 30)))  # rows that repeat are drawn apart
+    few = drawn.where(F.col("place") < F.lit(min(1 << 30, int((1 << 30) * 1.2 * SAMPLE / rows))))  # so that few rows go to the task of the limit
+    sample = few.orderBy("place", "vec_id").limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
+    if not len(sample):
+        sample = held.limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
 
     def scaled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Vectors whose largest component is near one, and at unit length."""

@@ -76,7 +76,9 @@ def reduce_instance(counts: Counter, capacity: int) -> list[tuple[tuple[int, ...
                 take((length,), counts[length])
             elif partner is not None and (partner == room or two or pair_dominated):
                 repeats = counts[length] // 2 if partner == length else min(counts[length], counts[partner])
-                take((length, partner), repeats if partner == room else 1 if pair_dominated and not two else repeats)
+                if partner != room and pair_dominated and not two:  # as long as three of each are left, nothing that was asked changes
+                    repeats = max(1, (counts[length] - 2) // 2 if partner == length else min(counts[length] - 3, counts[partner] - 2))
+                take((length, partner), repeats)
             else:
                 break
     return fixed
@@ -200,8 +202,10 @@ def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     """One row per piece of each row of df: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and then end_id; a null or empty text is end_id alone. Longer ones are cut into pieces of
-    capacity, the first of which may be shorter. Pieces fill sequences from offset 0 without gaps. Other columns are
-    ignored, rows that repeat are packed as often, and an empty table gives no rows.
+    capacity, the first of which may be shorter. Pieces fill sequences from offset 0 without gaps. Pieces of one length go to
+    their places by doc_id, piece and digest: those that tie are alike but for where they are put, which any run may change.
+    Rows that repeat are packed as often as they are there, and so are rows without a doc_id, which no other row is taken
+    for. Other columns are ignored, and an empty table gives no rows.
     """
     pieces = common.documents(df).mapInArrow(_pieces(path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
     return pack_lengths(common.staged(pieces, "pieces"), capacity)

@@ -130,3 +130,16 @@ def test_sequences(spark, reference):
             at += length
         assert at <= 1024
     assert packing.pack_documents(cases.empty(spark), PATH).count() == 0
+
+
+def test_patterns_follow_the_lengths_not_the_pieces():
+    assert len(packing.plan({600: 100_000, 420: 100_000, 205: 100_000}, 1024)) < 20
+    draw = np.random.default_rng(4)
+    for pieces in (draw.integers(1, 1025, 10_000_000), np.minimum(draw.geometric(1 / 300, 10_000_000), 1024), draw.choice([600, 420, 205, 400, 212, 101], 10_000_000)):
+        lengths = {int(k): int(n) for k, n in zip(*np.unique(pieces, return_counts=True), strict=True)}
+        patterns = packing.plan(lengths, 1024)
+        assert len(patterns) < 8 * 1024
+        used = Counter()
+        for content, n in patterns:
+            used.update({k: times * n for k, times in Counter(content).items()})
+        assert used == lengths

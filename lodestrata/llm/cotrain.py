@@ -341,13 +341,15 @@ def _teaching(rows: DataFrame, tasks: int) -> Callable[[dict[str, View]], Taught
 
 def fit(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> CoTrained:
     """rows: what `features` makes. labels: doc_id and quality (0 or 1; rows with a null go, several of one document are
-    averaged). Of the labelled rows those with the smallest digests of their ids are taken, at most `labelled`."""
+    averaged). Of the labelled rows those with the smallest digests of their ids are taken, at most `labelled`, and of rows that
+    share one of these ids the one with the least features; the others neither teach nor are held out."""
     digest = F.xxhash64(F.lit("quality"), "doc_id")
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("quality"))
     number = known.count()
     few = known.where(F.pmod(digest, F.lit(1 << 30)) < F.lit(min(1 << 30, int((1 << 30) * 1.2 * labelled / max(number, 1)))))  # so that few rows go to the task of the limit
     few = few.orderBy(F.pmod(digest, F.lit(1 << 30)), "doc_id").limit(labelled)
-    found = rows.join(F.broadcast(few), "doc_id").orderBy("doc_id", "text", "meta").toArrow()  # at most `labelled` rows of two numbers are broadcast
+    found = rows.join(F.broadcast(few), "doc_id")  # at most `labelled` rows of two numbers are broadcast
+    found = found.groupBy("doc_id").agg(F.min(F.struct("text", "meta", "quality")).alias("one")).select("doc_id", "one.*").orderBy("doc_id").toArrow()  # and come back
     if not found.num_rows:
         return CoTrained(0.5)
     ids, y = found["doc_id"].to_pylist(), found["quality"].to_numpy()

@@ -285,3 +285,25 @@ def test_every_query_finds_k_neighbours_among_lonely_clusters(spark):
     rows = spark.createDataFrame([(25 * i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
     found = ivfpq.search(rows).groupBy("query_id").count().collect()
     assert len(found) == 480 and all(r["count"] == 5 for r in found)
+
+
+@pytest.mark.parametrize("rows", [3, 30_000])
+def test_rows_that_repeat_do_not_empty_the_sample(spark, rows):
+    df = spark.range(rows).selectExpr("100300L AS vec_id", "array(1f, 2f) AS embedding")
+    assert ivfpq.search(df).count() == 0  # rows of the query's own vec_id are no neighbours
+    more = df.unionByName(spark.createDataFrame([(7, [2.0, 1.0])], "vec_id long, embedding array<float>"))
+    assert [(r.query_id, r.rank, r.vec_id) for r in ivfpq.search(more).collect()] == [(100300, 1, 7)]
+
+
+def test_a_labelled_document_that_repeats_comes_to_the_driver_once(spark):
+    rows = [(i % 60, ("good words here " if i % 2 else "BAD!!! 111 ") * (3 + i % 5)) for i in range(60)] + [(1, "good words here " * 9)] * 3000
+    docs = spark.createDataFrame([(i, t, "de", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    own = cotrain.co_train
+    try:
+        cotrain.co_train = lambda views, y, *rest: seen.append(len(y)) or own(views, y, *rest)
+        found = cotrain.classify(docs, labels).collect()
+    finally:
+        cotrain.co_train = own
+    assert seen == [60] and len(found) == len(rows)

@@ -1,8 +1,9 @@
 """A keyword index of one generation of documents: postings, dictionary and statistics as Parquet.
 
-Documents are tokenised once, when the index is built. Postings are partitioned by a hash of the token and sorted by it, so
-a query's join on (bucket, token) reads only its tokens' files (partition pruning) and row groups. The dictionary holds
-every token's stem and document frequency: statistics of stems come from it without a look at the postings.
+Documents are tokenised once, when the index is built. Postings are partitioned by a hash of the token and sorted by it. A
+query set's tokens, as long as they are at most MOST_ASKED, become filters on bucket and token: only their files
+(partition filters) and row groups (pushed filters) are read. More tokens are joined. The dictionary holds every token's
+stem and document frequency: statistics of stems come from it without a look at the postings.
 
 An index is named by what it was built from: the table's files with their lengths and times, the tokeniser and the columns.
 The same generation is built once and read from then on; another one is another folder. A folder is complete when its
@@ -14,7 +15,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
@@ -22,7 +23,10 @@ from lodestrata.functions import text as T
 from . import lexical
 from .staging import shared_folder
 
-BUCKET_BYTES = 64 << 20  # of text
+BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 32  # of text
+SPREAD = 4  # files of a bucket, at most
+MOST_ASKED = 4096  # tokens that come to the driver and become filters
+MOST_ROWS = 50_000  # of a query set's words that are broadcast
 TOKENISERS = {"full": T.tokens, "plain": T.plain_tokens}
 
 
@@ -38,6 +42,28 @@ def _files(df: DataFrame) -> str:
     return "\n".join(out)
 
 
+@dataclass
+class Words:
+    """A query set's words: a DataFrame, to be broadcast where there are at most MOST_ROWS; these rows, else None."""
+
+    df: DataFrame
+    rows: list[Row] | None
+
+    @staticmethod
+    def of(df: DataFrame) -> Words:
+        rows = df.limit(MOST_ROWS + 1).coalesce(1).collect()  # a stated query set's words, in one job
+        if len(rows) > MOST_ROWS:
+            return Words(df, None)
+        return Words(F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows)
+
+    def some(self, column: str) -> list | None:
+        """The different values of a column, if they are at most MOST_ASKED."""
+        if self.rows is None:
+            return None
+        found = sorted({r[column] for r in self.rows})
+        return found if len(found) <= MOST_ASKED else None
+
+
 @dataclass
 class KeywordIndex:
     """postings: bucket, token, key, tf, dl. dictionary: bucket, token, stem, df. stats: n_docs, avgdl (one row)."""
@@ -58,41 +84,68 @@ class KeywordIndex:
         found = queries.select(query_key, F.explode(tokens).alias("token")).groupBy(query_key, "token").agg(F.count("*").alias("times"))
         return found.withColumn("bucket", self.bucket("token"))
 
+    def of_tokens(self, table: DataFrame, words: Words) -> DataFrame:
+        """The rows of postings or dictionary whose token is in words (bucket, token)."""
+        tokens = words.some("token")
+        if tokens is None:
+            return table.join(words.df.select("bucket", "token").distinct(), ["bucket", "token"], "left_semi")
+        return table.where(F.col("bucket").isin(words.some("bucket")) & F.col("token").isin(tokens))
+
+    def _weighed(self, queries: DataFrame, query_key: str, query_text: str) -> tuple[DataFrame, DataFrame]:
+        """The postings of the queries' tokens; and query_key, bucket, token, times, df with the statistics."""
+        asked = Words.of(self.asked(queries, query_key, query_text))
+        words = self.of_tokens(self.dictionary, asked).select("bucket", "token", "df")
+        weighed = words.join(asked.df, ["bucket", "token"]).crossJoin(F.broadcast(self.stats))  # one row
+        return self.of_tokens(self.postings, asked), weighed if asked.rows is None else F.broadcast(weighed)  # no more rows than asked
+
     def bm25(self, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
         """Rows (query_key, key, score) with a positive score."""
-        weighed = self.asked(queries, query_key, query_text).join(self.dictionary.select("bucket", "token", "df"), ["bucket", "token"]).crossJoin(F.broadcast(self.stats))  # one row
+        posted, weighed = self._weighed(queries, query_key, query_text)
         weighed = weighed.withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
         long = 1 - lexical.B + lexical.B * F.col("dl") / F.col("avgdl")
         gain = F.col("times") * F.col("idf") * F.col("tf") * (lexical.K1 + 1) / (F.col("tf") + lexical.K1 * long)
-        return self.postings.join(weighed, ["bucket", "token"]).groupBy(query_key, self.key).agg(F.sum(gain).alias("score")).where("score > 0")
+        return posted.join(weighed, ["bucket", "token"]).groupBy(query_key, self.key).agg(F.sum(gain).alias("score")).where("score > 0")
 
     def tf_idf(self, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
         """(tf / dl) * (ln((N + 1) / (df + 1)) + 1), summed over a query's tokens."""
-        weighed = self.asked(queries, query_key, query_text).join(self.dictionary.select("bucket", "token", "df"), ["bucket", "token"]).crossJoin(F.broadcast(self.stats))  # one row
+        posted, weighed = self._weighed(queries, query_key, query_text)
         weighed = weighed.withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)
         gain = F.col("times") * F.col("tf") / F.col("dl") * F.col("idf")
-        return self.postings.join(weighed, ["bucket", "token"]).groupBy(query_key, self.key).agg(F.sum(gain).alias("score"))
+        return posted.join(weighed, ["bucket", "token"]).groupBy(query_key, self.key).agg(F.sum(gain).alias("score"))
 
     def stem_freq(self) -> DataFrame:
         """stem, df: the sum of the document frequencies of the tokens with this stem; may exceed the number of documents."""
         return self.dictionary.groupBy("stem").agg(F.sum("df").alias("df"))
 
+    def forms(self, terms: Words) -> DataFrame:
+        """term, bucket, token, df: the tokens with a stem of terms (with a column term)."""
+        words, found = self.dictionary.withColumnRenamed("stem", "term"), terms.some("term")
+        return words.join(terms.df.select("term").distinct(), "term", "left_semi") if found is None else words.where(F.col("term").isin(found))
+
     def weights(self, terms: DataFrame) -> DataFrame:
         """terms (with a column term, a stem) with their weights."""
+        asked = Words.of(terms)
+        df = self.forms(asked).groupBy("term").agg(F.sum("df").alias("df"))
         total = F.broadcast(self.stats.select("n_docs"))  # one row
-        df = self.dictionary.withColumnRenamed("stem", "term").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-        return terms.join(df, "term", "left").crossJoin(total).select(*terms.columns, lexical.idf_weight(F.col("df"), F.col("n_docs")).alias("weight"))
+        return asked.df.join(df, "term", "left").crossJoin(total).select(*terms.columns, lexical.idf_weight(F.col("df"), F.col("n_docs")).alias("weight"))
+
+    def _met(self, terms: DataFrame) -> DataFrame:
+        """The columns of terms with the keys of the documents that hold a token of their stem; once for each such token."""
+        asked = Words.of(terms)
+        forms = Words.of(self.forms(asked).select("bucket", "token", "term").join(asked.df, "term"))
+        return self.of_tokens(self.postings, forms).join(forms.df, ["bucket", "token"]).select(self.key, *terms.columns)
 
     def holders(self, terms: DataFrame) -> DataFrame:
         """key, term: which documents hold a stem of terms, once each."""
-        forms = self.dictionary.select("bucket", "token", F.col("stem").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-        return self.postings.join(forms, ["bucket", "token"]).select(self.key, "term").distinct()
+        return self._met(terms.select("term").distinct()).distinct()
 
     def coverage(self, weighted: DataFrame, query: str) -> DataFrame:
         """query, key, coverage, n_present for documents that hold a term: the weight of its terms over the weight of all."""
+        weighted = Words.of(weighted.select(query, "term", "weight")).df
         total = weighted.groupBy(query).agg(F.sum("weight").alias("total"))
-        present = self.holders(weighted).join(weighted, "term").groupBy(query, self.key).agg(F.sum("weight").alias("held"), F.count("*").alias("n_present"))
-        return present.join(total, query).select(query, self.key, F.when(F.col("total") > 0, F.col("held") / F.col("total")).otherwise(F.lit(0.0)).alias("coverage"), "n_present")
+        held = self._met(weighted).groupBy(query, self.key).agg(F.collect_set(F.struct("term", "weight")).alias("held"))  # at most the query's terms
+        share = F.aggregate("held", F.lit(0.0), lambda a, x: a + x["weight"]) / F.col("total")
+        return held.join(total, query).select(query, self.key, F.when(F.col("total") > 0, share).otherwise(F.lit(0.0)).alias("coverage"), F.size("held").cast("long").alias("n_present"))
 
     def guarded(self, covered: DataFrame, required: DataFrame, query: str) -> DataFrame:
         """coverage, but 0 where a required term (query, term) is not in the document."""
@@ -121,12 +174,15 @@ def _read(docs: DataFrame, folder: str, key: str, buckets: int, tokeniser: str)
 
 
 def build(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokeniser: str = "full", buckets: int = 8) -> KeywordIndex:
-    """Writes the index of docs into a folder: one tokenisation, one shuffle of pre-aggregated postings. A token that very
-    many documents hold is dealt over several files of its bucket."""
+    """Writes the index of docs into a folder: one tokenisation and one shuffle, of a row for each document and token. A
+    token that very many documents hold is dealt over several files of its bucket."""
     at = KeywordIndex(key, docs, docs, docs, buckets, tokeniser)
     listed = docs.select(key, F.array_sort(TOKENISERS[tokeniser](F.coalesce(F.col(text), F.lit("")))).alias("tokens")).withColumn("dl", F.size("tokens"))
-    counted = listed.select(key, "dl", F.explode("tokens").alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    dealt = counted.withColumn("bucket", at.bucket("token")).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "token")
+    first = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
+    listed = listed.where("dl > 0").withColumn("first", first)  # equal tokens stand together: they are counted within the document
+    count = lambda i, n: F.struct(F.get("tokens", i).alias("token"), (F.coalesce(F.get("first", n + 1), F.col("dl")) - i).cast("long").alias("tf"))
+    counted = listed.select(key, "dl", F.explode(F.transform("first", count)).alias("x")).select(key, "x.token", "x.tf", "dl")
+    dealt = counted.withColumn("bucket", at.bucket("token")).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(SPREAD))).sortWithinPartitions("bucket", "token")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
     posted = _table(docs, folder, key, "postings")
     words = posted.groupBy("bucket", "token").agg(F.count("*").alias("df")).withColumn("stem", T.stem("token"))
@@ -144,7 +200,7 @@ def of_generation(docs: DataFrame, key: str = "doc_id", text: str = "text", toke
     name = hashlib.sha256("\x1e".join((_files(docs), key, text, tokeniser)).encode()).hexdigest()[:32]
     folder = f"{shared_folder(spark).rsplit('/', 1)[0]}/lodestrata-index-{name}"
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = max(8, -(-size // BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/stats/_SUCCESS")
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return _read(docs, folder, key, buckets, tokeniser)

@@ -167,6 +167,33 @@ def test_index_is_the_scan(spark, tmp_path):
     assert none.bm25(asked, "q", "text").count() == 0
 
 
+def test_a_query_reads_its_tokens_files_only(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    built = index.build(docs, str(tmp_path / "i"), buckets=32)
+    asked = spark.createDataFrame([(1, "hand reheat")], "q int, text string")
+    words = index.Words.of(built.asked(asked, "q", "text"))
+    for table in (built.postings, built.dictionary):
+        own = built.of_tokens(table, words)
+        files = lambda df: {r[0] for r in df.select("_metadata.file_path").distinct().collect()}
+        assert 0 < len(own.select("bucket").distinct().collect()) <= 2 and files(own) < files(table)
+        plan = own._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [bucket#" in plan and " IN (" in plan.split("PartitionFilters")[1] and "In(token, [hand,reheat])" in plan
+    scans = built.bm25(asked, "q", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in scans and "In(token, [hand,reheat])" in scans
+
+
+def test_more_words_than_filters_hold_are_joined(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    built = index.build(docs, str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, "of hand reheat hand"), (2, "the onation ring")], "q int, text string")
+    terms = spark.createDataFrame([(1, "hand", 0.5), (1, "onation", 1.0), (2, "hand", 0.75)], "q int, term string, weight double")
+    rows = lambda df: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect())
+    want = [rows(built.bm25(asked, "q", "text")), rows(built.coverage(terms, "q")), rows(built.holders(terms)), rows(built.weights(terms.select("q", "term")))]
+    for name, most in (("MOST_ASKED", 1), ("MOST_ROWS", 1)):
+        monkeypatch.setattr(index, name, most)
+        assert [rows(built.bm25(asked, "q", "text")), rows(built.coverage(terms, "q")), rows(built.holders(terms)), rows(built.weights(terms.select("q", "term")))] == want
+
+
 def test_an_index_is_built_once_a_generation(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
     docs.write.parquet(str(tmp_path / "docs"))

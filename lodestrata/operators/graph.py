@@ -115,6 +115,35 @@ def reexports(entries: DataFrame) -> DataFrame:
     return explicit.unionByName(bare)
 
 
+def stub_pairs(entries: DataFrame, paired: DataFrame | None = None) -> DataFrame:
+    """shell, definition, basis: entries without members and the one entry that each stands for; two rules, in this order.
+
+    package: a stub of an __init__.py file goes with the only entry of its name, below its package, that has members.
+    name: a class or enum of a .py file goes with the only entry of its name and kind in .py files that has members.
+    No entry of a test is a definition, nor is a shell, nor one that another name replaces (shadowed); a stub that replaces
+    another (shadows) is no shell. entries: id, name, kind, import_path, file, members (their number), is_test, and shadows
+    and shadowed where there are any; paired: shells and definitions that are known before.
+
+    A package is a prefix of its entries' paths: these are exploded and joined by equality."""
+    for flag in ("shadows", "shadowed"):
+        if flag not in entries.columns:
+            entries = entries.withColumn(flag, F.lit(False))
+    known = paired.select(F.col("shell").alias("id")) if paired is not None else entries.limit(0).select("id")
+    free = entries.join(known, "id", "left_anti")
+    full = free.where("members > 0 AND NOT coalesce(is_test, false) AND NOT coalesce(shadowed, false)")
+    stubs = free.where("members = 0 AND NOT coalesce(shadows, false)")
+    package = F.regexp_replace("import_path", r"\.?[^.]*$", "")
+    parts = F.split("import_path", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    below = full.where(F.size(parts) > 1).select("name", F.col("id").alias("definition"), F.explode(above).alias("package"))
+    alone = below.groupBy("package", "name").agg(F.count("*").alias("n"), F.min("definition").alias("definition")).where("n = 1")
+    first = stubs.where(F.col("file").endswith("__init__.py")).select(F.col("id").alias("shell"), "name", package.alias("package")).where("package <> ''").join(alone, ["package", "name"]).select("shell", "definition", F.lit("package").alias("basis"))
+    first = cut(first)
+    only = full.where(F.col("file").endswith(".py")).groupBy("name", "kind").agg(F.count("*").alias("n"), F.min("id").alias("definition")).where("n = 1")
+    rest = stubs.where(F.col("file").endswith(".py") & F.col("kind").isin("class", "enum")).select(F.col("id").alias("shell"), "name", "kind").join(first, "shell", "left_anti")
+    return first.unionByName(rest.join(only, ["name", "kind"]).select("shell", "definition", F.lit("name").alias("basis")))
+
+
 def identities(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     """name, canonical_id, aliases, is_definition from re-export pairs: aliases are the shells of a definition."""
     shells = pairs.groupBy("definition").agg(F.array_sort(F.collect_set("shell")).alias("aliases"))

@@ -298,9 +298,10 @@ def test_page_candidates(spark):
 
     long = "It cannot do this. " * 12
     body = f"Intro.\n## What is not supported\n{long}\n### Details\nmore\n## Usage\n```\n## Installation\n```\n## Installation\n{long}"
-    assert pages.carved("Guide", body) == [("Guide", "Intro.\n## Usage\n```\n## Installation\n```"), ("Scope and Limitations: What is not supported", f"{long}\n**Details**\nmore"), ("Installation", long)]
-    assert pages.carved("Limitations", body)[1:] == [("Installation", long)] and pages.carved("x", "no heading") == [("x", "no heading")]
-    assert pages.carved("Guide", "## Known issues\nshort") == [("Guide", "## Known issues\nshort")]
+    carve = lambda t, b: [tuple(x) for x in spark.createDataFrame([(t, b)], "t string, b string").select(pages.carved(F.col("t"), F.col("b")).alias("x")).first()[0]]
+    assert carve("Guide", body) == [("Guide", "Intro.\n## Usage\n```\n## Installation\n```"), ("Scope and Limitations: What is not supported", f"{long}\n**Details**\nmore"), ("Installation", long)]
+    assert carve("Limitations", body)[1:] == [("Installation", long)] and carve("x", "no heading") == [("x", "no heading")]
+    assert carve("Guide", "## Known issues\nshort") == [("Guide", "## Known issues\nshort")]
     side = "struct<title_left:string,content_left:string,title_right:string,content_right:string>"
     schema = f"page string, overview struct<enable:boolean,title:string,content:string>, content struct<enable:boolean,block:array<{side}>>, faq struct<enable:boolean,list:array<struct<question:string,answer:string>>>"
     rows = [("p", (True, "About", "text"), (True, [("Guide", body, None, "lost"), ("L", "l", "R", "r")]), (True, [("Why?", "So."), (None, "x")])), ("q", (False, "a", "b"), None, None), ("r", None, (True, None), (True, None))]

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
+from .binding import let
 
 #: Queries that are nothing but the name of a documentation category, and words beside them that say nothing.
 CATEGORY_PHRASES = {
@@ -61,6 +62,22 @@ CUE = r"(?i)\balways\b|\bfollow\b|\bmust\b|\bbefore doing anything\b"
 REMOVED = '[a line instructing an AI agent to "follow a skill" was removed - a prompt-injection-shaped embedded instruction, not information about this library]'
 
 
+#: Stems that stand for each other, on the query's side; stems that name what most examples do; verbs that say what
+#: is done and verbs that say what kind of request it is; words of a task that name nothing.
+SYNONYMS = (("convert", "conversion"), ("colour", "color"), ("tab", "sheet", "worksheet"), ("export", "save"))
+GENERIC_TITLE = ("save", "open", "create", "page", "add", "text", "document", "load")
+ACTIONS = (
+    "check", "compile", "convert", "display", "download", "export", "fetch", "find", "generate", "handle", "import", "inspect",
+    "list", "load", "open", "output", "parse", "print", "read", "render", "retrieve", "save", "search", "show", "store", "view",
+    "write",
+)
+WEAK = (
+    "add", "apply", "build", "call", "change", "create", "edit", "generate", "get", "give", "insert", "make", "modify", "new",
+    "perform", "put", "run", "set", "update", "use",
+)
+FILLER = ("disk", "scratch")
+
+
 def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -94,9 +111,27 @@ def naming_tokens(query: Column | str, excluded: Column) -> Column:
     return F.filter(raw, fit)
 
 
+def stands_for(term: Column | str, key=lambda word: word) -> Column:
+    """The other members of a term's group of synonyms; key: what words are compared by."""
+    groups = {key(w): sorted({key(x) for x in group} - {key(w)}) for group in SYNONYMS for w in group}
+    others = F.create_map(*[x for w, rest in groups.items() for x in (F.lit(w), F.array(*map(F.lit, rest)))])
+    return F.coalesce(F.try_element_at(others, _col(term)), F.array().cast("array<string>"))
+
+
+def with_synonyms(term: Column | str) -> Column:
+    """A term, and what stands for it."""
+    return F.array_distinct(F.concat(F.array(_col(term)), stands_for(term)))
+
+
 def title_anchored(terms: Column, title: Column | str) -> Column:
-    """Whether one of a query's distinctive terms is a word of the title; more than ANCHOR_TERMS terms need none."""
-    return (F.size(terms) > ANCHOR_TERMS) | F.arrays_overlap(terms, F.transform(T.tokens(title), T.stem))
+    """Whether one of a query's distinctive terms, or a synonym, is a word of the title; more than ANCHOR_TERMS terms need none.
+    Of several terms none is anchored by a synonym that names what most examples do."""
+
+    def anchored(words: Column) -> Column:
+        generic = F.when(F.size(terms) > 1, F.array(*map(F.lit, GENERIC_TITLE))).otherwise(F.array().cast("array<string>"))
+        return F.exists(terms, lambda t: F.array_contains(words, t) | (F.size(F.array_except(F.array_intersect(stands_for(t), words), generic)) > 0))
+
+    return (F.size(terms) > ANCHOR_TERMS) | let(F.transform(T.tokens(title), T.stem), anchored)
 
 
 def title_prefix_anchored(terms: Column, title: Column | str) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions import grammar
+from lodestrata.functions import grammar, relevance
 from lodestrata.functions import text as T
 
 PREFIX_LEAST = 3
@@ -105,6 +105,44 @@ def suggestions(queries: DataFrame, names: DataFrame, query: str = "query", name
     return queries.select(query).join(listed, query, "left").select(query, F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))
 
 
+def evidence_terms(queries: DataFrame, family: str, synonyms: DataFrame | None = None, key: str = "query_id", text: str = "query", conversational: tuple[str, ...] = ()) -> DataFrame:
+    """key, place, concept, word, forms, light, family_stem: the words by which a task's types are found, in order, each concept
+    once. A concept is a word's canonical key; forms are all keys that count as the same word.
+
+    Runs of letters and digits are words, and so are the parts of mixed ones. Single letters, function words, conversational
+    words and filler are none. Light ones help and need not be shown: verbs of requests, and words that only stem like the
+    family's. The family's own and the generic words come in only where nothing else is left; where all that is left is
+    light, the family's stems are not. synonyms: word, value, from a user's word to the words of an interface, one way; those
+    of relevance.SYNONYMS go both ways."""
+    runs = F.regexp_extract_all(T.plain_forms(T.strip_zero_width(F.coalesce(F.col(text), F.lit("")))), F.lit("[A-Za-z0-9]+"), F.lit(0))
+    whole = lambda r: F.when(F.size(T.case_parts(r)) > 1, F.concat(F.array(r), T.case_parts(r))).otherwise(F.array(r))
+    said = queries.select(key, F.posexplode(F.flatten(F.transform(runs, whole))).alias("place", "word")).withColumn("word", F.lower("word"))
+    said = said.where(~F.regexp_like("word", F.lit("^[a-z]$")) & ~F.col("word").isin(*T.STOPWORDS, *conversational, *relevance.FILLER))
+    once = said.withColumn("concept", T.canon("word")).groupBy(key, "concept").agg(F.min(F.struct("place", "word")).alias("first")).select(key, "concept", "first.*")
+    held = once.withColumn("forms", F.array_union(F.array("concept"), relevance.stands_for("concept", _canonical)))
+    if synonyms is not None:
+        values = synonyms.where("word IS NOT NULL AND value IS NOT NULL").select(F.lower("word").alias("own"), T.canon("word").alias("same"), T.canon("value").alias("value"))
+        by = lambda c: values.groupBy(F.col(c).alias("k")).agg(F.collect_set("value").alias("more"))
+        for mine, theirs in (("concept", "same"), ("word", "own")):
+            held = held.join(by(theirs), F.col(mine) == F.col("k"), "left").withColumn("forms", F.array_union("forms", F.coalesce("more", F.array().cast("array<string>")))).drop("k", "more")
+    verbs = sorted({_canonical(w) for w in (*relevance.ACTIONS, *relevance.WEAK)})
+    own = F.array_contains(T.tokens(F.lit(family)), F.col("word")) | (F.col("word") == family.lower())
+    stems = F.transform(F.array(*map(F.lit, T.GENERIC)), T.stem)
+    named = F.array_contains(T.excluded_terms(family), T.stem("word"))
+    generic = own | (named & F.array_contains(stems, T.stem("word")))
+    held = held.withColumn("common", generic).withColumn("family_stem", named & ~generic).withColumn("light", F.col("concept").isin(verbs) | F.col("family_stem"))
+    of = Window.partitionBy(key)
+    rest = held.withColumn("kept", F.sum((~F.col("common")).cast("int")).over(of)).where(~F.col("common") | (F.col("kept") == 0))
+    strong = F.max(~F.col("light")).over(of)
+    rest = rest.withColumn("light", F.col("light") & (strong | (F.col("kept") == 0) | ~F.col("family_stem")))
+    return rest.select(key, "place", "concept", "word", F.array_sort("forms").alias("forms"), "light", "family_stem")
+
+
+def _canonical(word: str) -> str:
+    """text.canon for the words of the fixed lists, none of which has an irregular stem or one of text.stem's endings."""
+    return word[:-1] if len(word) > 3 and word.endswith("e") else word
+
+
 def evidence(entries: DataFrame, concepts: DataFrame) -> DataFrame:
     """Ranks entries (entry, word, place: type or member) by the concepts (concept, word, weight, light) that they show.
 

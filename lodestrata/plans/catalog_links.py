@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import exports, graph
+from lodestrata.functions import relevance
+from lodestrata.operators import exports, graph, symbols
 
-from .catalog_text import read
+from . import oracle as O
+from .catalog_text import parts, read
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -92,3 +94,50 @@ def stub_pairs(spark, d):
         (F.col("p_size") % 13 == 0).alias("is_test"),
     )
     return graph.stub_pairs(entries)
+
+
+FAMILY = "hands"
+VERBS = O.strings(sorted({symbols._canonical(w) for w in (*relevance.ACTIONS, *relevance.WEAK)}))
+GROUPS = "CASE concept " + " ".join(f"WHEN '{symbols._canonical(w)}' THEN [{O.strings(symbols._canonical(x) for x in g if x != w)}]" for g in relevance.SYNONYMS for w in g) + " ELSE [] END"
+
+
+@query(f"""
+    WITH a AS (SELECT item_id AS q, 'convert ' || text || ' hands hand save' AS text FROM benchmark),
+    c AS (SELECT q, flatten(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda r: CASE WHEN len({O.case_parts('r')}) > 1 THEN list_concat([r], {O.case_parts('r')}) ELSE [r] END)) AS ws FROM a),
+    w AS (SELECT q, lower(unnest(ws)) AS word, generate_subscripts(ws, 1) - 1 AS place FROM c),
+    p AS (SELECT DISTINCT lower(x[1]) AS one, lower(x[2]) AS two FROM (SELECT regexp_extract_all(text, '[A-Za-z0-9]+') AS x FROM benchmark) WHERE len(x) > 1),
+    u AS (SELECT word, {O.stem('word')} AS s FROM (SELECT word FROM w UNION SELECT one FROM p UNION SELECT two FROM p)),
+    l AS (SELECT word, s, CASE WHEN length(s) > 5 AND s LIKE '%ly' THEN left(s, -2) ELSE s END AS t FROM u),
+    k AS (SELECT word, s, CASE WHEN length(t) > 3 AND t LIKE '%e' THEN left(t, -1) ELSE t END AS concept FROM l),
+    f AS (SELECT q, concept, min({{'place': place, 'word': w.word}}) AS x FROM w JOIN k USING (word) WHERE NOT regexp_matches(w.word, '^[a-z]$') AND w.word NOT IN ({O.STOP}, 'disk', 'scratch') GROUP BY q, concept),
+    v AS (SELECT p.one, i.concept AS same, j.concept AS value FROM p JOIN k i ON i.word = p.one JOIN k j ON j.word = p.two),
+    m AS (SELECT same, list(DISTINCT value) AS vs FROM v GROUP BY same), o AS (SELECT one, list(DISTINCT value) AS vs FROM v GROUP BY one),
+    g AS (SELECT q, f.concept, x.place, x.word, k.s, list_sort(list_distinct(list_concat([f.concept], {GROUPS.replace('concept', 'f.concept')}, coalesce(m.vs, []), coalesce(o.vs, [])))) AS forms
+          FROM f JOIN k ON k.word = f.x.word LEFT JOIN m ON m.same = f.concept LEFT JOIN o ON o.one = f.x.word),
+    h AS (SELECT *, word = '{FAMILY}' OR s IN ('library', 'api', 'example', 'sample', 'use', 'how') AS common, s = 'hand' AND word <> '{FAMILY}' AS family_stem FROM g),
+    z AS (SELECT *, concept IN ({VERBS}) OR family_stem AS light, sum((NOT common)::INT) OVER (PARTITION BY q) AS kept FROM h),
+    y AS (SELECT *, max((NOT light)::INT) OVER (PARTITION BY q) AS strong FROM z WHERE NOT common OR kept = 0)
+    SELECT q AS query_id, place, concept, word, array_to_string(forms, ' ') AS forms, light AND (strong = 1 OR kept = 0 OR NOT family_stem) AS light, family_stem FROM y
+""")
+def evidence_terms(spark, d):
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("convert "), "text", F.lit(" hands hand save")).alias("query"))
+    runs = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))
+    pairs = read(spark, d, "benchmark").select(F.get(runs, 0).alias("word"), F.get(runs, 1).alias("value")).where("value IS NOT NULL").distinct()
+    return symbols.evidence_terms(asked, FAMILY, pairs).withColumn("forms", F.array_join("forms", " "))
+
+
+#: Each part's name against a task that holds a term and the synonyms of what the name says.
+ANCHORED = ("color", "worksheet", "export", "conversion", "large")
+
+
+@query(f"""
+    WITH p AS (SELECT p_partkey, {O.PART_NAME} || CASE p_size % 6 WHEN 0 THEN ' Colour' WHEN 1 THEN ' Save' WHEN 2 THEN ' Sheets' WHEN 3 THEN ' Convert Tab' ELSE '' END AS name FROM part),
+    t AS (SELECT p_partkey, list_slice({list(ANCHORED)}, p_partkey % 3 + 1, p_partkey % 3 + 1 + p_partkey % 2) AS terms, list_transform({O.tokens('name')}, lambda x: {O.stem('x')}) AS ws FROM p),
+    s AS (SELECT * FROM (VALUES ('color', 'colour'), ('worksheet', 'tab'), ('worksheet', 'sheet'), ('export', 'save'), ('conversion', 'convert')) s(term, other)),
+    u AS (SELECT p_partkey, unnest(terms) AS term, len(terms) AS n, ws FROM t)
+    SELECT p_partkey, bool_or(list_contains(ws, term) OR EXISTS (SELECT 1 FROM s WHERE s.term = u.term AND list_contains(ws, other) AND (n = 1 OR other <> 'save'))) AS anchored FROM u GROUP BY p_partkey
+""")
+def synonym_anchors(spark, d):
+    named = parts(spark, d).withColumn("name", F.concat("name", F.when(F.col("p_size") % 6 == 0, " Colour").when(F.col("p_size") % 6 == 1, " Save").when(F.col("p_size") % 6 == 2, " Sheets").when(F.col("p_size") % 6 == 3, " Convert Tab").otherwise("")))
+    terms = F.slice(F.array(*map(F.lit, ANCHORED)), (F.col("p_partkey") % 3 + 1).cast("int"), (F.col("p_partkey") % 2 + 1).cast("int"))
+    return named.select("p_partkey", relevance.title_anchored(terms, "name").alias("anchored"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodestrata.operators import exports, graph
+from lodestrata.functions import relevance
+from lodestrata.operators import exports, graph, symbols
 
 
 def plain_names(modules, items, uses):
@@ -110,3 +112,25 @@ def test_stubs_go_with_the_only_definition(spark):
     assert found() == {(1, 2, "package"), (5, 6, "name"), (19, 18, "name")}
     known = spark.createDataFrame([(4, 2), (5, 7)], "shell int, definition int")
     assert found(known) == {(1, 2, "package"), (3, 2, "name"), (19, 18, "name")}
+
+
+def test_terms_of_a_task(spark):
+    queries = spark.createDataFrame([(1, "How do I merge two Workbooks' cells to disk?"), (2, "cell"), (3, "cells"), (4, "add a cell"), (5, "use the API"), (6, ""), (7, None), (8, "convert AddPDFPage2 to a sheet")], "query_id int, query string")
+    pairs = spark.createDataFrame([("merge", "concat"), ("Merge", "appending"), ("merging", "append"), (None, "x"), ("sheets", "grid")], "word string, value string")
+    found: dict = {}
+    for r in symbols.evidence_terms(queries, "cells", pairs).orderBy("query_id", "place").collect():
+        found.setdefault(r.query_id, []).append((r.concept, r.forms, r.light, r.family_stem))
+    assert found[1] == [("merg", ["append", "concat", "merg"], False, False), ("two", ["two"], False, False), ("workbook", ["workbook"], False, False)]
+    assert found[2] == [("cell", ["cell"], False, True)] and found[3] == [("cell", ["cell"], False, False)]
+    assert found[4] == [("add", ["add"], True, False), ("cell", ["cell"], False, True)]
+    assert [x[0] for x in found[5]] == ["us", "api"] or [x[0] for x in found[5]] == ["use", "api"]
+    assert 6 not in found and 7 not in found
+    assert [x[0] for x in found[8]] == ["convert", "addpdfpage2", "add", "pdf", "pag", "2", "sheet"]
+    assert found[8][0][1:3] == (["conversion", "convert"], True) and found[8][-1][1] == ["grid", "sheet", "tab", "worksheet"]
+
+
+def test_titles_are_anchored_by_synonyms_but_not_by_what_all_do(spark):
+    cases = [(["export"], "Save a file", True), (["export", "deck"], "Save a file", False), (["colour", "deck"], "Color of cells", True), (["save", "deck"], "Save a file", True), (["deck"], "x", False), ([], "x", False), (list("abcde"), "x", True)]
+    rows = spark.createDataFrame([(i, t, x) for i, (t, x, _) in enumerate(cases)], "i int, terms array<string>, title string")
+    found = {r.i: r.a for r in rows.select("i", relevance.title_anchored(F.col("terms"), "title").alias("a")).collect()}
+    assert [found[i] for i in range(len(cases))] == [w for *_, w in cases]

@@ -46,6 +46,15 @@ def chunk_kind(text: Column | str) -> Column:
     return F.when(name.isNull() | name.startswith("Doc: "), "documentation").when(name.startswith("Example: "), "example").otherwise("symbol")
 
 
+def verified_example(text: Column | str) -> Column:
+    """Whether a chunk is an example that was verified: by its FQN line, its own line of its kind and the marker line; an
+    authored one must also say that its verification passed."""
+    t = _col(text)
+    line = lambda said: F.regexp_like(t, F.lit(rf"(?m)^{said}\r?$"))
+    of_kind = F.coalesce(grammar.fqn(text).startswith("Example: "), F.lit(False))
+    return of_kind & line("Kind: verified_example") & line("Example:") & (~line("Provenance: authored") | line("Verification: passed"))
+
+
 def category(text: Column | str) -> Column:
     """A documentation chunk's category: by its title, or by its own words where it has none."""
     t = _col(text)

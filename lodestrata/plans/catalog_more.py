@@ -32,7 +32,7 @@ def engine(spark, d) -> Engine:
     docs = read(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
     symbol = F.concat(F.lit("FQN: "), "name", F.lit(".P"), F.col("p_partkey").cast("string"), F.lit("\nKind: class\nMethods:\n  - open_"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit("(path: str)\n  - size() [inherited from Base]\nSource-Commit: "), F.lower(F.md5("p_brand")))
     parts_ = parts(spark, d).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("chunk_id"), (F.col("p_partkey") + 1_000_000).alias("ord"), symbol.alias("text"))
-    examples = read(spark, d, "benchmark").select(F.concat(F.lit("e"), F.col("item_id").cast("string")).alias("chunk_id"), (F.col("item_id") + 2_000_000).alias("ord"), F.concat(F.lit("FQN: Example: "), F.substring_index("text", " ", 4), F.lit("\nRuntime-Status: ran\n"), "text", F.lit("\nExample:\nrun("), F.col("item_id").cast("string"), F.lit(")\n")).alias("text"))
+    examples = read(spark, d, "benchmark").select(F.concat(F.lit("e"), F.col("item_id").cast("string")).alias("chunk_id"), (F.col("item_id") + 2_000_000).alias("ord"), F.concat(F.lit("FQN: Example: "), F.substring_index("text", " ", 4), F.lit("\nKind: verified_example\nRuntime-Status: ran\n"), "text", F.lit("\nExample:\nrun("), F.col("item_id").cast("string"), F.lit(")\n")).alias("text"))
     return Engine(spark, "goods", "python", docs.unionByName(parts_).unionByName(examples))
 
 
@@ -57,6 +57,26 @@ def tool_index_freshness(spark, d):
     return engine(spark, d).report_index_freshness().select("found", "indexed_commit", "n_chunks", "fresh", "basis")
 
 
+@query("""
+    WITH e AS (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') AS title FROM benchmark),
+    a AS (SELECT title FROM e WHERE item_id = (SELECT min(item_id) FROM e))
+    SELECT true AS found, 'title' AS basis, 'confident' AS confidence, 'e' || item_id AS chunk_id, 'run(' || item_id || ')' AS code FROM e
+    WHERE lower(trim(title)) = (SELECT lower(trim(title)) FROM a) ORDER BY 4 LIMIT 5
+""")
+def tool_find_examples(spark, d):
+    """Examples by the title of the first one."""
+    first = read(spark, d, "benchmark").orderBy("item_id").first()["text"]
+    return engine(spark, d).find_examples(" ".join(first.split(" ")[:4])).select("found", "basis", "confidence", "chunk_id", "code")
+
+
+@query(f"""
+    SELECT true AS found, {O.PART_NAME} || '.P' || p_partkey AS fqn, 1 AS tier FROM part WHERE p_partkey = 7
+""")
+def tool_lookup(spark, d):
+    """A bare name: its symbol first."""
+    return engine(spark, d).lookup("P7", top_k=1).select("found", F.col("name").alias("fqn"), F.lit(1).alias("tier"))
+
+
 @query("""
     SELECT true AS found, 'v1.' || p_partkey AS tag_name, CASE WHEN p_size % 2 = 0 THEN 'detailed' ELSE 'templated' END AS richness, p_partkey <= 150 AS in_index
     FROM part ORDER BY p_partkey DESC LIMIT 10

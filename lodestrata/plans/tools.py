@@ -1,20 +1,25 @@
 """The nine query tools over one scope's chunks. Each returns a DataFrame with `found` and `reason`: a miss is a row that says
 why, and is never widened to another scope.
 
-chunks: chunk_id, ord, text (in the chunk grammar). Stages are DataFrame plans; the driver runs the next one only where the
-one before it found nothing.
+chunks: chunk_id, ord, text (in the chunk grammar). Keyword stages read an index of the chunks of one kind, which is built by
+the first call that needs it. Stages are DataFrame plans; the driver runs the next one only where the one before it found
+nothing.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import grammar, predicates, relevance, versions
 from lodestrata.functions import text as T
-from lodestrata.operators import lexical, symbols, vectors
+from lodestrata.operators import index, lexical, symbols, vectors
+from lodestrata.operators.staging import shared_folder
+
+from . import reference
 
 RELEVANT, PARTIAL, PARTIAL_TERMS, PARTIAL_ROWS = 0.6, 0.41, 6, 3
 DOC_FLOOR, EXAMPLE_FLOOR = 0.55, 0.45
@@ -42,8 +47,17 @@ class Engine:
     def __init__(self, spark: SparkSession, family: str, platform: str, chunks: DataFrame):
         self.spark, self.family, self.platform = spark, family, platform
         self._held: list[DataFrame] = []
+        self._indexes: dict[tuple[str, str | None], index.KeywordIndex] = {}
         self.chunks = chunks.select("chunk_id", "ord", "text", predicates.chunk_kind("text").alias("kind"), grammar.fqn("text").alias("fqn"), predicates.category("text").alias("category")).cache()  # read by every stage
 
+    def _index(self, kind: str, category: str | None = None) -> index.KeywordIndex:
+        """The keyword index of the chunks of one kind, or of one category of it."""
+        if (kind, category) not in self._indexes:
+            pool = self.chunks.where(F.col("kind") == kind)
+            pool = pool.where(F.col("category") == category) if category else pool
+            self._indexes[kind, category] = index.build(pool, f"{shared_folder(self.spark)}/scope-{uuid.uuid4().hex}", "chunk_id")
+        return self._indexes[kind, category]
+
     def _hold(self, df: DataFrame) -> DataFrame:
         """df, kept for the stages of this call and let go by the next one."""
         self._held.append(df.cache())
@@ -61,17 +75,20 @@ class Engine:
     def _miss(self, reason: str, schema: str) -> DataFrame:
         return self.spark.createDataFrame([(False, reason)], "found boolean, reason string").selectExpr("found", "reason", *(f"cast(null as {kind}) as {name}" for name, kind in (x.split(" ", 1) for x in schema.split(", "))))
 
-    def _terms(self, query: str, pool: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-        """Weighted and required terms of one query, and how many."""
+    def _terms(self, query: str, held: index.KeywordIndex) -> tuple[DataFrame, DataFrame, list[str]]:
+        """Weighted and required terms of one query, and its distinctive terms."""
         asked = self.spark.createDataFrame([(query,)], "query string")
-        said = asked.select(T.stemmed_terms("query").alias("terms"), T.required_terms("query").alias("required")).first()  # one query's words
-        excluded = set(asked.select(T.excluded_terms(self.family, self.platform).alias("x")).first()["x"])
-        kept = [t for t in said["terms"] if t not in excluded] or said["terms"]
+        excluded = T.excluded_terms(self.family, self.platform)
+        said = asked.select(T.query_terms("query", excluded).alias("terms"), T.required_terms("query").alias("required"), T.distinctive_terms("query", excluded).alias("distinctive")).first()  # one query's words
         frame = lambda words: self.spark.createDataFrame([(0, w) for w in words], "q int, term string")
-        return self._hold(lexical.weighted_terms(pool, frame(kept), "chunk_id")), frame(said["required"]), len(kept)
+        return self._hold(held.weights(frame(said["terms"]))), frame(said["required"]), said["distinctive"]
+
+    def _asked(self, query: str) -> DataFrame:
+        return self.spark.createDataFrame([(0, query)], "q int, query string")
 
     def search_docs(self, query: str, content_type: str | None = None, top_k: int = 10) -> DataFrame:
-        """found, reason, match_quality, chunk_id, category, coverage, score: confident, else partial, else nearest vectors."""
+        """found, reason, match_quality, chunk_id, category, coverage, score: confident, else partial, else nearest vectors. A query
+        that only names a category gets that category's documents, whatever words they use."""
         checked(query), checked_page(top_k)
         self._release()
         columns = "match_quality string, chunk_id string, category string, coverage double, score double"
@@ -82,12 +99,19 @@ class Engine:
             pool = pool.where(F.col("category") == content_type)
         if not self.spark.createDataFrame([(query,)], "q string").select(T.has_minimum_evidence("q")).first()[0]:
             return self._miss("too_little_evidence", columns)
-        weighted, required, n = self._terms(query, pool)
-        covered = lexical.guarded(lexical.coverage(pool, weighted, "q", "chunk_id"), pool, required, "q", "chunk_id")
+        held = self._index("documentation", content_type)
+        bm = held.bm25(self._asked(query), "q", "query").select("chunk_id", "score")
+        intent = None if content_type else self._asked(query).select(relevance.category_intent("query")).first()[0]
+        if intent:
+            named = pool.where(F.col("category") == intent).join(bm, "chunk_id", "left").withColumn("score", F.coalesce(F.round("score", 6), F.lit(0.0))).orderBy(F.desc("score"), "chunk_id").limit(top_k)
+            if not named.isEmpty():
+                return named.select(F.lit(True).alias("found"), F.lit(None).cast("string").alias("reason"), F.lit("category").alias("match_quality"), "chunk_id", "category", F.lit(None).cast("double").alias("coverage"), "score")
+        weighted, required, _ = self._terms(query, held)
+        n = weighted.count()
+        covered = held.guarded(held.coverage(weighted, "q"), required, "q")
         listed = weighted.agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
         passage = lexical.best_passage(F.col("lines"), F.col("terms"), F.col("weights"))
         scored = covered.where(F.col("coverage") >= PARTIAL).join(pool, "chunk_id").withColumn("lines", lexical.passage_lines(F.col("text"))).crossJoin(F.broadcast(listed)).where(~predicates.table_dominated("text") | (F.col("n_present") >= 2)).withColumn("passage", passage)
-        bm = lexical.bm25(pool, self.spark.createDataFrame([(0, query)], "q int, query string"), "q", "query", "chunk_id").select("chunk_id", "score")
         scored = self._hold(scored.join(bm, "chunk_id", "left").select("chunk_id", "category", F.round("coverage", 6).alias("coverage"), "passage", "n_present", F.coalesce(F.round("score", 6), F.lit(0.0)).alias("score")))
         order = (F.desc("coverage"), F.desc("score"), "chunk_id")
         confident = scored.where((F.col("coverage") >= RELEVANT) & (F.col("passage") >= RELEVANT)).orderBy(*order).limit(top_k)
@@ -105,12 +129,13 @@ class Engine:
         return vectors.cosine_top_k(vectors.embedded(pool), asked, top_k, "chunk_id", "vector", floor)
 
     def search_symbols(self, query: str, top_k: int = 10, offset: int = 0) -> DataFrame:
-        """found, reason, fqn, tier, score, total_matches, next_offset: by tiers, else close names as suggestions."""
+        """found, reason, fqn, tier, score, total_matches, next_offset: by tiers; else, for a task in words, by what types show of its
+        terms (tier 5) or by its naming words (tier 6); else close names as suggestions."""
         checked(query), checked_page(top_k, offset)
         columns = "fqn string, tier int, score double, total_matches bigint, next_offset int, suggestions array<string>"
         pool = self.chunks.where("kind = 'symbol'")
-        asked = self.spark.createDataFrame([(0, query)], "q int, query string")
-        bm = lexical.bm25(pool, asked, "q", "query", "chunk_id").select("chunk_id", "score")
+        asked = self._asked(query)
+        bm = self._index("symbol").bm25(asked, "q", "query").select("chunk_id", "score")
         members = F.transform(grammar.declared_members("text"), lambda m: F.lower(m["name"]))
         tier = symbols.match_tier(F.lit(query), F.col("fqn"))
         own = F.array_contains(members, query.strip().split(".")[-1].lower()) & (F.lit("." not in query) | F.lower("fqn").endswith(query.rsplit(".", 1)[0].lower()))
@@ -128,9 +153,32 @@ class Engine:
             return found.orderBy("rank").drop("rank")
         if offset and not hits.isEmpty():
             return self._miss("past_the_end", columns)
+        task = self._by_words(query, pool, top_k, offset) if re.search(r"\s", query.strip()) else None
+        if task is not None:
+            return task
         close = symbols.suggestions(asked, pool.select("fqn")).first()["suggestions"]
         return self._miss("no_symbol", columns).withColumn("suggestions", F.lit(close).cast("array<string>"))
 
+    def _by_words(self, query: str, pool: DataFrame, top_k: int, offset: int) -> DataFrame | None:
+        """The symbols that show a task's terms, or whose names and members are its naming words."""
+        last = F.element_at(F.split("fqn", r"\.|::"), -1)
+        words = lambda name: F.transform(T.symbol_words(name), T.canon)
+        shown = pool.select("fqn", F.explode(F.array(F.struct(F.lit("type").alias("place"), words(last).alias("words")), F.struct(F.lit("member").alias("place"), F.flatten(F.transform(grammar.declared_members("text"), lambda m: words(m["name"]))).alias("words")))).alias("x"))
+        entries = shown.select(F.col("fqn").alias("entry"), "x.place", F.explode("x.words").alias("word"))
+        terms = symbols.evidence_terms(self._asked(query), self.family, key="q").select("concept", F.explode("forms").alias("word"), F.lit(1.0).alias("weight"), "light")
+        by_terms = symbols.evidence(entries, terms).select(F.col("entry").alias("fqn"), F.lit(5).alias("tier"), "score")
+        tokens = self._asked(query).select(relevance.naming_tokens("query", T.excluded_terms(self.family, self.platform))).first()[0]
+        named = reference.token_fallback(pool.select("fqn", F.transform(grammar.declared_members("text"), lambda m: m["name"]).alias("members")), F.array(*map(F.lit, tokens)).cast("array<string>"))
+        by_names = named.select("fqn", F.lit(6).alias("tier"), (F.col("matched") + F.col("named") / 1000).cast("double").alias("score"))
+        for found in (by_terms, by_names):
+            order = (F.desc("score"), "fqn")
+            page = found.orderBy(*order).limit(offset + top_k).withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") > offset)  # so few rows are numbered in one task
+            page = page.crossJoin(F.broadcast(found.agg(F.count("*").alias("total_matches"))))  # one row
+            out = page.select(F.lit(True).alias("found"), F.lit(None).cast("string").alias("reason"), "fqn", "tier", "score", "total_matches", F.when(F.col("total_matches") > offset + top_k, F.lit(offset + top_k)).alias("next_offset"), F.lit(None).cast("array<string>").alias("suggestions"), "rank")
+            if not out.isEmpty():
+                return out.orderBy("rank").drop("rank")
+        return None
+
     def get_symbol(self, fqn: str) -> DataFrame:
         """found, reason, fqn, text, signature: the exact name, the only one that ends with it, or the owner of a member;
         a re-export's definition is followed."""
@@ -167,24 +215,31 @@ class Engine:
         return symbol.select("found", "reason", F.posexplode(grammar.declared_members("text")).alias("place", "m")).select("found", "reason", "place", "m.header", "m.name", "m.line")
 
     def find_examples(self, query: str, top_k: int = 5) -> DataFrame:
-        """found, reason, basis, chunk_id, title, code, status, score: by title, by words, by vectors."""
+        """found, reason, basis, confidence, chunk_id, title, code, status, score of verified examples: by title, by words, by
+        vectors. Words that cover an example find it if its title holds one of them, or the beginning of a longer word, or its
+        code an identifier of the query: that alone is a loose match."""
         checked(query), checked_page(top_k)
-        columns = "basis string, chunk_id string, title string, code string, status string, score double"
-        pool = self.chunks.where("kind = 'example'").withColumn("title", F.substring("fqn", 10, 1 << 30)).withColumn("code", grammar.example_code("text")).where("code is not null").withColumn("run", grammar.runtime("text"))
-        out = lambda rows, basis: rows.select(F.lit(True).alias("found"), F.lit(None).cast("string").alias("reason"), F.lit(basis).alias("basis"), "chunk_id", "title", "code", "run.status", "score")
+        self._release()
+        columns = "basis string, confidence string, chunk_id string, title string, code string, status string, score double"
+        pool = self.chunks.where(predicates.verified_example("text")).withColumn("title", F.substring("fqn", 10, 1 << 30)).withColumn("code", grammar.example_code("text")).where("code is not null").withColumn("run", grammar.runtime("text"))
+        out = lambda rows, basis, confidence: rows.select(F.lit(True).alias("found"), F.lit(None).cast("string").alias("reason"), F.lit(basis).alias("basis"), confidence.alias("confidence"), "chunk_id", "title", "code", "run.status", "score")
         exact = pool.where(F.lower(F.trim("title")) == query.strip().lower()).withColumn("score", F.lit(1.0))
         if not exact.isEmpty():
-            return out(exact.orderBy("run.rank", "chunk_id").limit(top_k), "title")
-        weighted, required, _ = self._terms(query, pool)
-        covered = lexical.guarded(lexical.coverage(pool, weighted, "q", "chunk_id"), pool, required, "q", "chunk_id").where(F.col("coverage") >= RELEVANT)
-        anchored = covered.join(pool, "chunk_id").withColumn("score", F.round("coverage", 6)).where(F.arrays_overlap(F.transform(T.tokens("title"), T.stem), T.stemmed_terms(F.lit(query))))
+            return out(exact.orderBy("run.rank", "chunk_id").limit(top_k), "title", relevance.lexical_confidence(F.lit("exact_title")))
+        held = self._index("example")
+        weighted, required, distinctive = self._terms(query, held)
+        covered = held.guarded(held.coverage(weighted, "q"), required, "q").where(F.col("coverage") >= RELEVANT)
+        listed = lambda found: F.array(*map(F.lit, found)).cast("array<string>")
+        of_title = relevance.title_anchored(listed(distinctive), "title") | relevance.title_prefix_anchored(listed(distinctive), "title")
+        of_code = relevance.code_anchored(listed([r["term"] for r in required.collect()]), "code")  # one query's words
+        anchored = covered.join(pool, "chunk_id").withColumn("score", F.round("coverage", 6)).withColumn("by_title", of_title).where(F.col("by_title") | of_code)
         best = Window.partitionBy(F.lower("title")).orderBy("run.rank", F.desc("score"), "chunk_id")
         anchored = anchored.withColumn("n", F.row_number().over(best)).where("n = 1").orderBy("run.rank", F.desc("score"), "chunk_id").limit(top_k)
         if not anchored.isEmpty():
-            return out(anchored, "words")
+            return out(anchored, "words", relevance.lexical_confidence(F.when(F.col("by_title"), "title_word_and_example_text")))
         near = self._nearest(pool, query, EXAMPLE_FLOOR, top_k)
         if not near.isEmpty():
-            return out(near.join(pool, "chunk_id").orderBy("run.rank", F.desc("score"), "chunk_id"), "vector")
+            return out(near.join(pool, "chunk_id").orderBy("run.rank", F.desc("score"), "chunk_id"), "vector", F.lit(None).cast("string"))
         return self._miss("no_example", columns)
 
     def lookup(self, query: str, content_type: str | None = None, top_k: int = 10) -> DataFrame:
@@ -193,7 +248,7 @@ class Engine:
         task = self.spark.createDataFrame([(query,)], "q string").select(predicates.task_question("q")).first()[0]
         part = lambda rows, kind, name: rows.where("found").select("found", "reason", F.lit(kind).alias("kind"), F.col(name).alias("name"), "score")
         docs = lambda: part(self.search_docs(query, content_type, top_k), "documentation", "chunk_id")
-        if content_type:
+        if content_type or self._asked(query).select(relevance.category_intent("query")).first()[0]:
             answer = docs()
         elif task:
             answer = docs().unionByName(part(self.find_examples(query, 1), "example", "chunk_id")).unionByName(part(self.search_symbols(query, 3), "symbol", "fqn"))

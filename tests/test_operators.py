@@ -182,7 +182,7 @@ def test_readers(spark, tmp_path):
 
 
 def chunk_rows(n=6):
-    return [(f"c{i}", i, CHUNK.replace("Thing", f"Thing{i}")) for i in range(n)] + [("d1", 90, "FQN: Doc: Setup\nInstall the parser with the tool."), ("d2", 91, "FQN: Doc: Streams\nRead a stream of events from a socket."), ("e1", 92, "FQN: Example: Open a stream\nRuntime-Status: ran\nExample:\nopen_stream('x')\n")]
+    return [(f"c{i}", i, CHUNK.replace("Thing", f"Thing{i}")) for i in range(n)] + [("d1", 90, "FQN: Doc: Setup\nInstall the parser with the tool."), ("d2", 91, "FQN: Doc: Streams\nRead a stream of events from a socket."), ("e1", 92, "FQN: Example: Open a stream\nKind: verified_example\nRuntime-Status: ran\nExample:\nopen_stream('x')\n")]
 
 
 CHUNKS = "chunk_id string, ord int, text string"
@@ -224,6 +224,11 @@ def test_tools(spark):
     assert e.get_symbol("Thing3.nope").first().reason == "not_found"
     assert [r.name for r in e.list_members("Thing1").collect()] == ["open", "close", "go", "size"]
     assert e.find_examples("open a stream").first().basis == "title" and e.find_examples("stream open").first().basis == "words"
+    assert e.find_examples("stream open").first().confidence == "confident"
+    task = e.search_symbols("closing a size").collect()
+    assert [(r.fqn, r.tier) for r in task][:1] == [("A.B.Thing0", 5)]
+    assert {r.chunk_id for r in e.search_docs("installation guide").collect()} == {"d1"} and e.search_docs("installation guide").first().match_quality == "category"
+    assert len(e._indexes) == 3
     assert {r.kind for r in e.lookup("read a stream of events").collect()} >= {"documentation"}
     assert e.lookup("Thing4").first().name == "A.B.Thing4"
     fresh = e.report_index_freshness("abc1234ff").first()
@@ -237,6 +242,13 @@ def test_tools(spark):
             bad()
 
 
+def test_verified_examples(spark):
+    kind, marker = "Kind: verified_example", "Example:"
+    lines = [["FQN: Example: a", kind, marker, "x"], ["FQN: Example: a", marker, "x"], ["FQN: Example: a", kind, "Example: x"], ["FQN: a.B", kind, marker], ["FQN: Example: a", kind, "Provenance: authored", marker], ["FQN: Example: a", kind, "Provenance: authored", "Verification: passed", marker], [" " + kind], [""]]
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(lines)] + [(99, None)], "i int, t string")
+    assert sorted(r.i for r in df.where(predicates.verified_example("t")).collect()) == [0, 5]
+
+
 def test_streams(spark, tmp_path):
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     events = lambda: telemetry.stream(spark, SF, schema, "events.parquet")

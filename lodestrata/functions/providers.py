@@ -20,6 +20,10 @@ class Provider(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class Transient(Exception):
+    """A provider's failure that may pass: it may be asked again."""
+
+
 class Hashing:
     """Token counts by digest, at unit length; needs no model."""
 

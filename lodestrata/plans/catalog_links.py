@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestrata.functions import relevance
+from lodestrata.functions.providers import Hashing
 from lodestrata.operators import exports, graph, symbols
+from lodestrata.operators.staging import cut, shared_folder
+from lodestrata.sources.embedding_cache import EmbeddingCache
 
 from . import oracle as O
 from .catalog_text import parts, read
@@ -141,3 +146,20 @@ def synonym_anchors(spark, d):
     named = parts(spark, d).withColumn("name", F.concat("name", F.when(F.col("p_size") % 6 == 0, " Colour").when(F.col("p_size") % 6 == 1, " Save").when(F.col("p_size") % 6 == 2, " Sheets").when(F.col("p_size") % 6 == 3, " Convert Tab").otherwise("")))
     terms = F.slice(F.array(*map(F.lit, ANCHORED)), (F.col("p_partkey") % 3 + 1).cast("int"), (F.col("p_partkey") % 2 + 1).cast("int"))
     return named.select("p_partkey", relevance.title_anchored(terms, "name").alias("anchored"))
+
+
+@query("""
+    WITH e AS (SELECT DISTINCT coalesce(text, '') AS text FROM benchmark WHERE item_id % 2 = 0)
+    SELECT item_id, coalesce(text, '') IN (SELECT text FROM e) AS was_there, (SELECT count(*) FROM (SELECT DISTINCT coalesce(text, '') AS text FROM benchmark) t WHERE text NOT IN (SELECT text FROM e)) AS written,
+      0::BIGINT AS written_again, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) > 0 AS has_length FROM benchmark
+""")
+def embedding_write_back(spark, d):
+    """Every second text first, then all of them, then all once more."""
+    texts = read(spark, d, "benchmark").select("item_id", "text")
+    cache = EmbeddingCache(spark, f"{shared_folder(spark)}/embeddings-{uuid.uuid4().hex}")
+    cache.fill(texts.where("item_id % 2 = 0"), Hashing())
+    there = cut(cache.entries().select("text_sha", F.lit(True).alias("was")))
+    written = cache.fill(texts, Hashing())
+    again = cache.fill(texts, Hashing())
+    known = cache.embedded(texts, Hashing()).withColumn("text_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).join(there, "text_sha", "left")
+    return known.select("item_id", F.coalesce("was", F.lit(False)).alias("was_there"), F.lit(written).cast("long").alias("written"), F.lit(again).cast("long").alias("written_again"), F.exists("vector", lambda x: x > 0).alias("has_length"))

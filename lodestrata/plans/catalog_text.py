@@ -166,10 +166,12 @@ def weighted_coverage(spark, d):
     return held.coverage(w, "query_id").withColumn("coverage", F.round("coverage", 6)).where("coverage >= 0.5")
 
 
-@query(COVERED + " SELECT query_id, doc_id, coverage, n_present FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, doc_id) AS r FROM c WHERE coverage >= 0.41 AND coverage < 0.6 AND n_present >= 6) WHERE r <= 3")
+@query(COVERED + " SELECT query_id, doc_id, coverage, n_present FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, doc_id) AS r FROM c WHERE coverage >= 0.41 AND coverage < 0.6 AND n_present >= 2 AND query_id IN (SELECT query_id FROM w GROUP BY query_id HAVING count(*) >= 6)) WHERE r <= 3")
 def partial_tier(spark, d):
     held, w = weighted(spark, d)
-    c = held.coverage(w, "query_id").withColumn("coverage", F.round("coverage", 6)).where("coverage >= 0.41 and coverage < 0.6 and n_present >= 6")
+    """Of queries of six terms or more, what holds two or more of them, but not enough to be relevant."""
+    long = w.groupBy("query_id").agg(F.count("*").alias("n")).where("n >= 6")
+    c = held.coverage(w, "query_id").withColumn("coverage", F.round("coverage", 6)).where("coverage >= 0.41 and coverage < 0.6 and n_present >= 2").join(long, "query_id", "left_semi")
     best = Window.partitionBy("query_id").orderBy(F.desc("coverage"), "doc_id")
     return c.withColumn("r", F.row_number().over(best)).where("r <= 3").drop("r")
 

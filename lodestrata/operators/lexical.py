@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
+from lodestrata.functions.binding import let
 
 K1, B = 1.5, 0.75
 FLOOR, KNOWN_CEILING, CEILING = 0.5, 1.0, 2.0
@@ -122,13 +123,23 @@ def passage_lines(text: Column) -> Column:
 
 
 def best_passage(own: Column, terms: Column, weights: Column, title_terms: Column | None = None, lines: int = PASSAGE_LINES) -> Column:
-    """The best coverage of terms (with their weights) over all runs of `lines` of the passage lines; title terms count in each."""
+    """The best coverage of terms (with their weights) over all runs of `lines` of the passage lines; title terms count in each.
+
+    One walk over the lines: each term keeps the last line that holds it, and counts as long as that is within the run that
+    ends at the present line. Runs at the start that are shorter hold no more than the first whole one."""
     title = title_terms if title_terms is not None else F.array().cast("array<string>")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(own) - lines, F.lit(0)))
+    never = -(1 << 30)
+
+    def step(state: Column, line: Column) -> Column:
+        last = F.transform(terms, lambda t, k: F.when(F.array_contains(line, t), state["at"]).otherwise(F.get(state["last"], k)))
+
+        def scored(now: Column) -> Column:
+            held = F.transform(terms, lambda t, k: F.when((F.get(now, k) > state["at"] - lines) | F.array_contains(title, t), F.get(weights, k)).otherwise(F.lit(0.0)))
+            score = F.aggregate(held, F.lit(0.0), lambda a, b: a + b)
+            return F.struct(now.alias("last"), (state["at"] + 1).alias("at"), F.greatest(state["best"], score).alias("best"))
 
-    def score(i: Column) -> Column:
-        held = F.concat(F.flatten(F.slice(own, i + 1, F.lit(lines))), title)
-        return F.aggregate(F.transform(terms, lambda t, k: F.when(F.array_contains(held, t), F.get(weights, k)).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
+        return let(last, scored)
 
+    first = F.struct(F.transform(terms, lambda t: F.lit(never)).alias("last"), F.lit(0).alias("at"), F.lit(0.0).alias("best"))
     total = F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)
-    return F.when(total > 0, F.array_max(F.transform(starts, score)) / total).otherwise(F.lit(0.0))
+    return F.when(total > 0, F.aggregate(own, first, step)["best"] / total).otherwise(F.lit(0.0))

@@ -12,23 +12,28 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import grammar, relevance
 from lodestrata.functions import text as T
+from lodestrata.functions.binding import let
 
 PREFIX_LEAST = 3
 ASKED_MOST = 1000
 
 
-def match_tier(query: Column, name: Column) -> Column:
+def match_tier(query: Column, name: Column, words: Column | None = None) -> Column:
     """0: the whole name; 1: its last segment; 2: a run of its words; 3: a run in which words of three letters or more may be
-    prefixes, or a start of the last segment; null: no match."""
+    prefixes, or a start of the last segment; null: no match. words: the name's words, where they are worked out already."""
     needle, full = F.lower(F.trim(query)), F.lower(F.trim(name))
-    wanted, words = T.symbol_words(query), T.symbol_words(name)
-    starts = F.sequence(F.lit(1), F.size(words) - F.size(wanted) + 1)
-    fits = (F.size(wanted) > 0) & (F.size(words) >= F.size(wanted))
-    run = fits & F.exists(starts, lambda i: F.slice(words, i, F.size(wanted)) == wanted)
     alike = lambda q, w: (q == w) | ((F.length(q) >= PREFIX_LEAST) & F.startswith(w, q))
-    prefix = fits & F.exists(starts, lambda i: F.forall(F.zip_with(wanted, F.slice(words, i, F.size(wanted)), alike), lambda ok: ok))
+
+    def by_words(wanted: Column, own: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(own) - F.size(wanted) + 1)
+        fits = (F.size(wanted) > 0) & (F.size(own) >= F.size(wanted))
+        run = F.exists(starts, lambda i: F.slice(own, i, F.size(wanted)) == wanted)
+        prefix = F.exists(starts, lambda i: F.forall(F.zip_with(wanted, F.slice(own, i, F.size(wanted)), alike), lambda ok: ok))
+        return F.when(fits, F.when(run, 2).when(prefix, 3))
+
     stub = (F.length(needle) >= PREFIX_LEAST) & ~F.regexp_like(needle, F.lit(r"\s")) & F.startswith(grammar.last_segment(full), needle)
-    return F.when(name.isNull() | (needle == ""), None).when(needle == full, 0).when(needle == grammar.last_segment(full), 1).when(run, 2).when(prefix | stub, 3)
+    found = let(T.symbol_words(query), lambda wanted: let(T.symbol_words(name) if words is None else words, lambda own: by_words(wanted, own)))
+    return F.when(name.isNull() | (needle == ""), None).when(needle == full, 0).when(needle == grammar.last_segment(full), 1).otherwise(F.coalesce(found, F.when(stub, 3)))
 
 
 def resolve(names: DataFrame, asked: DataFrame, name: str = "fqn", query: str = "query") -> DataFrame:

@@ -49,7 +49,8 @@ TIER = """CASE WHEN lower(q) = lower(name) THEN 0 WHEN lower(q) = lower(regexp_e
 """)
 def match_tier(spark, d):
     asked = spark.createDataFrame([(q,) for q in ("Economy.SmallRing.B2", "b17", "small ring", "RedWidget")], "query string")
-    tiers = parts(spark, d).select("p_partkey", "name").crossJoin(F.broadcast(asked)).withColumn("tier", symbols.match_tier(F.col("query"), F.col("name")))
+    named = parts(spark, d).select("p_partkey", "name", T.symbol_words("name").alias("words"))  # each name is cut once
+    tiers = named.crossJoin(F.broadcast(asked)).withColumn("tier", symbols.match_tier(F.col("query"), F.col("name"), F.col("words")))
     return tiers.where("tier <= 2").select("p_partkey", "query", "tier")
 
 

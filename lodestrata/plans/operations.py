@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,22 +71,32 @@ def rate_limited(events: DataFrame, by: str, interval: float = 10.0, burst: int
     """The events (by, at in seconds, message) that a log lets through, with how many it held back before each window's first:
     a window opens with the first event after the one before it has passed, and holds `burst` events.
 
-    Windows follow from one another, so each key's times are folded in order; a key's events are to fit one row."""
-    ordered = F.array_sort(F.collect_list(F.struct("at", "message")))
-    first = F.struct(F.lit(None).cast("double").alias("start"), F.lit(0).alias("sent"), F.lit(0).alias("held"), F.lit(None).cast("struct<at:double,message:string,suppressed:int>").alias("row"))
-
-    def step(state, x):
-        opens = state["start"].isNull() | (x["at"] - state["start"] >= interval)
-        sent, held = F.when(opens, 0).otherwise(state["sent"]), F.when(opens, 0).otherwise(state["held"])
-        passes = sent < burst
-        row = F.when(passes, F.struct(x["at"].alias("at"), x["message"].alias("message"), F.when(opens, state["held"]).otherwise(0).alias("suppressed")))
-        return F.struct(F.when(opens, x["at"]).otherwise(state["start"]).alias("start"), F.when(passes, sent + 1).otherwise(sent).alias("sent"), F.when(passes, held).otherwise(held + 1).alias("held"), row.alias("row"))
-
-    both = F.struct(first.alias("state"), F.array().cast("array<struct<at:double,message:string,suppressed:int>>").alias("out"))
-    walked = F.aggregate(
-        ordered, both, lambda acc, x: F.transform(F.array(step(acc["state"], x)), lambda now: F.struct(now.alias("state"), F.when(now["row"].isNotNull(), F.array_append(acc["out"], now["row"])).otherwise(acc["out"]).alias("out")))[0]
-    )
-    return events.select(by, F.col("at").cast("double").alias("at"), "message").groupBy(by).agg(walked["out"].alias("out")).select(by, F.inline("out"))
+    Windows follow from one another, so a key's events are walked in order, as a stream of batches: what is kept of a key is a
+    window's start and two counts, however many events it has. Events without a time are left out."""
+    columns = [by, "at", "message"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, start, sent, held = False, None, 0, 0
+        key = None
+        for batch in batches:
+            out: list[tuple] = []
+            for own, at, message in zip(*(batch[c].to_pylist() for c in columns), strict=True):
+                if not known or own != key:
+                    known, key, start, sent, held = True, own, None, 0, 0
+                before = 0
+                if start is None or at - start >= interval:
+                    start, sent, held, before = at, 0, 0, held
+                if sent < burst:
+                    sent += 1
+                    out.append((own, at, message, before))
+                else:
+                    held += 1
+            if out:
+                kinds = [batch.schema.field(c).type for c in columns] + [pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=[*columns, "suppressed"])
+
+    ordered = events.select(by, F.col("at").cast("double").alias("at"), "message").where("at IS NOT NULL").repartition(by).sortWithinPartitions(*columns)
+    return ordered.mapInArrow(walk, f"{by} {events.schema[by].dataType.simpleString()}, at double, message string, suppressed int")
 
 
 class Sidecar:

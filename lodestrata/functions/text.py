@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: English function words that are no index terms.
 STOPWORDS = (
     "a about above after again against all am an and any are aren't as at be because been before being below between both but by can can't cannot could couldn't did didn't do does doesn't doing don't down during each few for from further "
@@ -76,8 +78,9 @@ def canon(word: Column | str) -> Column:
     base = stem(word)
     for irregular, stem_of in IRREGULAR.items():
         base = F.when(w == irregular, F.lit(stem_of)).otherwise(base)
-    base = F.when((F.length(base) > 5) & base.endswith("ly"), F.substring(base, F.lit(1), F.length(base) - 2)).otherwise(base)
-    return F.when((F.length(base) > 3) & base.endswith("e"), F.substring(base, F.lit(1), F.length(base) - 1)).otherwise(base)
+    cut = lambda x, n: F.substring(x, F.lit(1), F.length(x) - n)
+    plain = let(base, lambda x: F.when((F.length(x) > 5) & x.endswith("ly"), cut(x, 2)).otherwise(x))
+    return let(plain, lambda x: F.when((F.length(x) > 3) & x.endswith("e"), cut(x, 1)).otherwise(x))
 
 
 def strip_zero_width(text: Column | str) -> Column:

@@ -161,7 +161,7 @@ def symbol_words(name: Column | str) -> Column:
 
 def code_hash(code: Column | str) -> Column:
     """sha256 of code with its white space normalised: no blanks at line ends, no blank lines at the edges."""
-    lines = F.transform(F.split(F.regexp_replace(_col(code), "\r\n?", "\n"), "\n"), lambda x: F.rtrim(x))
+    lines = F.transform(F.split(F.regexp_replace(_col(code), "\r\n?", "\n"), "\n"), lambda x: F.rtrim(x, F.lit(" \t\x0b\x0c")))
     return F.sha2(F.regexp_replace(F.array_join(lines, "\n"), "^\n+|\n+$", ""), 256)
 
 

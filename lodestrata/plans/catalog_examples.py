@@ -29,7 +29,7 @@ LINES = """
     w AS (SELECT doc_id, i, i // 4 AS block, i // 4 % 2 AS side, 'use ' || line AS used, 'import ' || regexp_extract(line, '[A-Za-z]+') AS one, 'from ' || regexp_extract(line, '[A-Za-z]+') || ' import x' AS two, regexp_extract(line, '[A-Za-z]+') AS word FROM l),
     c AS (SELECT *, CASE i % 5 WHEN 0 THEN concat(one, chr(10), used) WHEN 1 THEN used WHEN 2 THEN concat(used, chr(10), two) WHEN 3 THEN concat('# x', chr(10), one) ELSE word END AS raw,
           CASE WHEN word <> '' AND i % 5 IN (0, 2, 3) THEN word END AS key, CASE WHEN i % 5 = 2 THEN two ELSE one END AS unit FROM w WHERE i % 7 <> 6 AND i % 11 <> 10),
-    n AS (SELECT *, regexp_replace(raw, '[ \t]+$', '') AS code, row_number() OVER (PARTITION BY doc_id, block ORDER BY i) AS part FROM c),
+    n AS (SELECT *, regexp_replace(raw, '[ \t]+(\n|$)', '\\1', 'g') AS code, row_number() OVER (PARTITION BY doc_id, block ORDER BY i) AS part FROM c),
     d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, code ORDER BY side, i) AS copy FROM n) WHERE copy = 1),
     t AS (SELECT *, 'Block' || block % 3 || CASE WHEN part > 1 THEN ' (part ' || part || ')' ELSE '' END AS title, key IS NOT NULL AND i % 5 <> 2 AS starts,
           CASE WHEN side = 0 THEN -1 ELSE block END AS chain FROM d),

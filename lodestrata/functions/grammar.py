@@ -50,7 +50,7 @@ def member_name(line: Column) -> Column:
 
 def declared_members(text: Column | str) -> Column:
     """Structs (header, line, name, declares): lines marked as inherited or promoted do not declare."""
-    one = lambda block: F.transform(bullets(text, block), lambda line: F.struct(F.lit(block.lower()).alias("header"), line.alias("line"), member_name(line).alias("name"), (~F.regexp_like(line, F.lit(r"\[(?:inherited|promoted) from"))).alias("declares")))
+    one = lambda block: F.transform(bullets(text, block), lambda line: F.struct(F.lit(block.lower()).alias("header"), line.alias("line"), member_name(line).alias("name"), (~F.regexp_like(line, F.lit(r"[\[(](?:inherited|promoted) from"))).alias("declares")))
     return F.concat(*(one(b) for b in BLOCKS[1:]))
 
 
@@ -109,24 +109,3 @@ def runtime(text: Column | str) -> Column:
     status = F.lower(F.coalesce(header(text, "Runtime-Status"), F.lit("unknown")))
     rank = F.when(F.regexp_like(status, F.lit("^ran")), 0).when(F.regexp_like(status, F.lit("^compiled")), 1).when(status == "unknown", 2).otherwise(3)
     return F.struct(status.alias("status"), header(text, "Verification-Level").alias("level"), rank.alias("rank"))
-
-
-def render_symbol(entry: Column | str) -> Column:
-    """The chunk text of an API entry (name, kind, methods, properties; lines repeat once, inherited constructors go)."""
-    e = _col(entry)
-    param = lambda p: F.concat_ws(": ", p["name"], p["type"])
-    method = lambda m: F.concat(
-        m["name"], F.lit("("), F.array_join(F.transform(m["params"], param), ", "), F.lit(")"),
-        F.when(F.coalesce(m["return_type"], F.lit("")) != "", F.concat(F.lit(" -> "), m["return_type"])).otherwise(""),
-        F.when(m["deprecated"], F.lit(" [deprecated]")).otherwise(""),
-        F.when(m["inherited_from"].isNotNull(), F.concat(F.lit(" [inherited from "), m["inherited_from"], F.lit("]"))).otherwise(""),
-    )
-    prop = lambda p: F.concat(
-        p["name"], F.when(F.coalesce(p["type"], F.lit("")) != "", F.concat(F.lit(": "), p["type"])).otherwise(""),
-        F.when(p["writable"].isNull(), "").when(p["writable"], " [writable]").otherwise(" [readonly]"),
-    )
-    methods = F.array_distinct(F.transform(F.filter(e["methods"], lambda m: ~(F.coalesce(m["is_constructor"], F.lit(False)) & m["inherited_from"].isNotNull())), method))
-    properties = F.transform(F.filter(e["properties"], lambda p, i: F.array_position(F.transform(e["properties"], lambda q: q["name"]), p["name"]) == i + 1), prop)
-    block = lambda name, lines: F.when(F.size(lines) > 0, F.concat(F.lit(f"{name}:\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("  - "), x)), "\n")))
-    name = F.when(F.coalesce(e["canonical_namespace"], F.lit("")) != "", F.concat_ws(".", e["canonical_namespace"], e["name"])).otherwise(e["name"])
-    return F.concat_ws("\n", F.concat(F.lit("FQN: "), name), F.concat(F.lit("Kind: "), e["kind"]), F.when(e["deprecated"], F.lit("Deprecated: yes")), block("Bases", e["bases"]), block("Methods", methods), block("Properties", properties))

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ANCHOR = r"\A[A-Za-z_](?:[A-Za-z0-9_.]|::)*+\z"
 SEVERITY = ("supported", "insufficient_evidence", "partially_supported", "unsupported", "contradicted")
 
 
 def anchors(text: Column | str) -> Column:
-    """The inline code spans that look like names, without a call's parentheses."""
+    """The inline code spans that look like names, without a call's parentheses. Digits may follow a dot: versions are cited too."""
     t = F.col(text) if isinstance(text, str) else text
-    spans = F.transform(F.regexp_extract_all(t, F.lit(r"`([^`\n]+)`"), F.lit(1)), lambda s: F.regexp_replace(F.trim(s), r"\(.*\)$", ""))
-    return F.filter(spans, lambda s: F.regexp_like(s, F.lit(r"^[A-Za-z_]\w*(?:(?:\.|::)[A-Za-z_]\w*)*$")))
+    spans = F.transform(F.regexp_extract_all(t, F.lit(r"`([^`\n]+)`"), F.lit(1)), called)
+    return F.filter(spans, lambda s: F.regexp_like(s, F.lit(ANCHOR)))
+
+
+def called(span: Column) -> Column:
+    """What a code span calls: without its last parentheses."""
+    return F.btrim(F.regexp_replace(F.btrim(span), r"\(.*\)\z", ""))
 
 
 def resolved(asked: DataFrame, declared: DataFrame, anchor: str = "anchor") -> DataFrame:
@@ -78,3 +84,22 @@ def support_clauses(text: Column | str, formats: tuple[str, ...]) -> Column:
     clauses = F.filter(F.transform(F.split(t, r"[.;\n]|,\s*but\b"), lambda x: F.trim(x)), lambda c: c != "")
     claims = lambda c: F.regexp_like(c, F.lit(r"(?i)\b(?:supports?|reads?|writes?|loads?|saves?|converts?|exports?|imports?)\b")) & ~F.regexp_like(c, F.lit(r"(?i)\b(?:not|no|never|cannot|without)\b|n't\b")) & F.regexp_like(c, F.lit(rf"(?i)\b(?:{'|'.join(formats)})\b"))
     return F.filter(clauses, claims)
+
+
+def unmarked(text: Column, unresolved: Column) -> Column:
+    """text and n (a struct): code spans outside ``` fences whose anchor is in `unresolved` lose their backticks, and how many do."""
+    piece = lambda x: F.when(F.length(x) > 2, F.when(F.array_contains(unresolved, called(F.btrim(x, F.lit("`")))) & x.startswith("`"), F.struct(F.btrim(x, F.lit("`")).alias("text"), F.lit(1).alias("n")))).otherwise(F.lit(None))
+    kept = lambda x: F.coalesce(piece(x), F.struct(x.alias("text"), F.lit(0).alias("n")))
+    cut = lambda line: F.transform(F.regexp_extract_all(line, F.lit(r"`[^`]+`|`|[^`]+"), F.lit(0)), kept)
+
+    def step(state: Column, line: Column) -> Column:
+        fence = F.regexp_like(line, F.lit(r"\A\s*```"))
+        as_is = fence | state["inside"]
+        return F.struct(
+            (state["inside"] != fence).alias("inside"),
+            F.array_append(state["lines"], F.when(as_is, line).otherwise(F.array_join(F.transform(cut(line), lambda x: x["text"]), ""))).alias("lines"),
+            (state["n"] + F.when(as_is, 0).otherwise(F.aggregate(cut(line), F.lit(0), lambda n, x: n + x["n"]))).alias("n"),
+        )
+
+    first = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("lines"), F.lit(0).alias("n"))
+    return F.aggregate(F.split(text, "\n", -1), first, step, lambda s: F.struct(F.array_join(s["lines"], "\n").alias("text"), s["n"].alias("n")))

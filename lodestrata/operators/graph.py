@@ -43,6 +43,25 @@ def definitions(shells: DataFrame, hops: int = 8) -> DataFrame:
     return now.join(open_, "definition", "left").select("name", F.when(F.col("open").isNull(), F.col("definition")).alias("definition"))
 
 
+def chain_ends(links: DataFrame) -> DataFrame:
+    """node, end for links (node, next; one next for each node): where a chain stops, whatever its length. Chains that run in a
+    circle, or into one, have no end. Each step doubles the way that is known, so a chain of n links takes log n of them."""
+    now = cut(links.select("node", F.col("next").alias("at")).where("node <> next"))
+    most = now.count()
+    own = links.where("node = next").select(F.col("node").alias("at"))
+    now = now.join(own, "at", "left_anti")
+    done = 1
+    while done <= most:
+        ahead = now.select(F.col("node").alias("at"), F.col("at").alias("further"))
+        after = now.join(ahead, "at", "left").select("node", F.coalesce("further", "at").alias("at"), F.col("further").isNotNull().alias("moved"))
+        now, done = cut(after), done * 2
+        if not now.where("moved").limit(1).count():
+            break
+        now = now.drop("moved")
+    ends = now.select("node", F.col("at").alias("end"))
+    return ends.join(links.select(F.col("node").alias("end")), "end", "left_anti").select("node", "end")
+
+
 def inherited(members: DataFrame, ancestry: DataFrame) -> DataFrame:
     """owner, member, inherited_from: members of ancestors that the owner does not declare, each from the nearest one."""
     reach = ancestry.join(members.select(F.col("owner").alias("ancestor"), "member"), "ancestor").select(F.col("child").alias("owner"), "member", "ancestor", "depth")

@@ -1,10 +1,13 @@
-"""Queries of what a repository holds: examples of its READMEs."""
+"""Queries of what a repository holds: examples of its READMEs, its API surface and what cites it."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lodestrata.operators import examples
+from lodestrata.operators import claims, examples, surface_chunks
+from lodestrata.operators.staging import shared_folder
 
 from .catalog_text import read
 
@@ -62,3 +65,100 @@ def readme_examples(spark, d):
     pages = lined.select("doc_id", examples.fields(single, content).alias("fields"))
     rows = examples.candidates(pages, "python", key="doc_id")
     return rows.select("doc_id", "place", "title", "description", "code_sha256", "starts_example", "imports_only", F.array_join("import_prefix", "\n").alias("import_prefix"))
+
+
+#: Parts as the surfaces of five libraries: a quarter are stubs of a package, the others have the words of their names
+#: as methods and their size as a property; two of three parts share a name.
+SURFACE = """
+    e AS (SELECT 'M' || p_partkey % 5 AS scope, p_partkey AS ord, 'N' || (p_partkey // 12) AS name, CASE WHEN p_size % 2 = 0 THEN 'class' ELSE 'enum' END AS kind, p_size % 4 = 0 AS stub,
+        'pkg.' || lower(split_part(p_type, ' ', 1)) || CASE WHEN p_size % 4 = 0 THEN '' ELSE '.' || lower(split_part(p_type, ' ', 2)) END AS space, p_name, p_size, p_brand, p_size % 10 = 9 AS old,
+        CASE WHEN p_size % 4 = 0 THEN 'pkg/__init__.py' ELSE 'pkg/part' || p_size % 3 || '.py' END AS file FROM part WHERE p_size % 13 <> 0),
+    c AS (SELECT *, space || '.' || name AS path, NOT stub AS whole FROM e),
+    u AS (SELECT s.scope, s.ord, min(d.ord) AS definition FROM c s JOIN c d ON d.scope = s.scope AND d.name = s.name AND d.whole AND starts_with(d.path, s.space || '.') WHERE s.stub GROUP BY ALL HAVING count(*) = 1),
+    f AS (SELECT scope, name, kind, min(ord) AS definition FROM c WHERE whole GROUP BY ALL HAVING count(*) = 1),
+    p AS (SELECT scope, ord, definition FROM u UNION ALL SELECT c.scope, c.ord, f.definition FROM c JOIN f USING (scope, name, kind) WHERE c.stub AND (c.scope, c.ord) NOT IN (SELECT (scope, ord) FROM u)),
+    g AS (SELECT c.*, p.definition, coalesce(p.definition, c.ord) AS head FROM c LEFT JOIN p USING (scope, ord)),
+    h AS (SELECT *, min(ord) OVER (PARTITION BY scope, head) AS unit FROM g),
+    k AS (SELECT h.* FROM h JOIN (SELECT scope, unit, row_number() OVER (PARTITION BY scope ORDER BY unit) AS n FROM (SELECT DISTINCT scope, unit FROM h)) USING (scope, unit) WHERE n <= {most}),
+    m AS (SELECT scope, count(*) FILTER (definition IS NULL) AS total FROM h GROUP BY scope), o AS (SELECT scope, count(*) FILTER (definition IS NULL) AS kept FROM k GROUP BY scope),
+    q1 AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY ord) - 1 AS place, CASE WHEN count(*) OVER (PARTITION BY scope, path) > 1 THEN regexp_extract(file, '([^/]*)[.]py$', 1) || '.' || name ELSE path END AS one FROM k),
+    q2 AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY scope, one) > 1 THEN one || '@' || coalesce(CASE WHEN p_size % 5 > 0 THEN p_size END, place) ELSE one END AS two FROM q1),
+    q3 AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY scope, two ORDER BY ord) > 1 THEN two || '#' || row_number() OVER (PARTITION BY scope, two ORDER BY ord) ELSE two END AS fqn FROM q2)
+"""
+
+
+def surface(spark, d):
+    part = read(spark, d, "part")
+    word = lambda n: F.lower(F.split_part("p_type", F.lit(" "), F.lit(n)))
+    size = F.col("p_size")
+    name = F.concat(F.lit("N"), F.floor(F.col("p_partkey") / 12).cast("string"))
+    space = F.concat(F.lit("pkg."), word(1), F.when(size % 4 == 0, "").otherwise(F.concat(F.lit("."), word(2))))
+    method = lambda w: F.struct(w.alias("name"), F.array(F.struct(F.lit("n").alias("name"), F.lit("int").alias("type"))).alias("params"), F.lit("str").alias("return_type"))
+    file = F.when(size % 13 == 0, "tests/test_part.py").when(size % 4 == 0, "pkg/__init__.py").otherwise(F.concat(F.lit("pkg/part"), (size % 3).cast("string"), F.lit(".py")))
+    whole = lambda x: F.when(size % 4 != 0, x)
+    return part.select(
+        F.concat(F.lit("M"), (F.col("p_partkey") % 5).cast("string")).alias("scope"), F.col("p_partkey").alias("ord"), name.alias("name"), F.when(size % 2 == 0, "class").otherwise("enum").alias("kind"), file.alias("file"), F.when(size % 5 > 0, size).alias("line"),
+        F.concat_ws(".", space, name).alias("class_import"), space.alias("canonical_namespace"), whole(F.transform(F.split("p_name", " "), method)).alias("methods"),
+        whole(F.array(F.struct(F.lit("size").alias("name"), F.lit("int").alias("type"), size.cast("string").alias("value")))).alias("properties"), (size % 10 == 9).alias("deprecated"), F.col("p_brand").alias("deprecated_reason"),
+    )
+
+
+@query(f"""
+    WITH {SURFACE.format(most=surface_chunks.FIRST_TYPES)},
+    w AS (SELECT scope, ord, string_agg('  - ' || word || '(n: int) -> str', chr(10) ORDER BY i) AS lines FROM (SELECT scope, ord, word, min(i) AS i FROM (SELECT scope, ord, unnest(x) AS word, generate_subscripts(x, 1) AS i FROM (SELECT scope, ord, string_split(p_name, ' ') AS x FROM q3 WHERE whole)) GROUP BY ALL) GROUP BY ALL),
+    s AS (SELECT scope, definition AS ord, string_agg('Exported-As: ' || fqn, chr(10) ORDER BY ord) AS shown FROM q3 WHERE definition IS NOT NULL GROUP BY ALL)
+    SELECT q3.scope, q3.ord, q3.fqn, q3.fqn || CASE WHEN q3.old THEN ' (deprecated: ' || q3.p_brand || ')' ELSE '' END AS section_title, t.fqn AS definition,
+      concat_ws(chr(10), 'FQN: ' || q3.fqn, 'Kind: ' || q3.kind, CASE WHEN q3.old THEN 'Deprecated: ' || q3.p_brand END, 'Defined-In: ' || t.fqn, shown,
+        CASE WHEN q3.whole THEN concat(chr(10), 'Methods:', chr(10), lines, chr(10), chr(10), 'Properties:', chr(10), '  - size: int = ', q3.p_size) END, concat(chr(10), 'API-Coverage: ', o.kept, ' of ', m.total, ' types')) AS text
+    FROM q3 LEFT JOIN q3 t ON t.scope = q3.scope AND t.ord = q3.definition LEFT JOIN w ON w.scope = q3.scope AND w.ord = q3.ord LEFT JOIN s ON s.scope = q3.scope AND s.ord = q3.ord JOIN m ON m.scope = q3.scope JOIN o ON o.scope = q3.scope
+""")
+def symbol_chunks(spark, d):
+    return surface_chunks.symbol_chunks(surface(spark, d), ["scope"])
+
+
+#: What each part cites: types, members, namespaces, words, files, versions and what is not there.
+CITED = """
+    x AS (SELECT scope, ord, space, name, path, CASE WHEN whole THEN list_concat([''], list_transform(list_distinct(list_concat(string_split(p_name, ' '), ['size'])), lambda y: '.' || y)) ELSE [''] END AS ends FROM (
+            SELECT *, p_size % 4 <> 0 AS whole, 'N' || (p_partkey // 12) AS name, space || '.N' || (p_partkey // 12) AS path, 'M' || p_partkey % 5 AS scope, p_partkey AS ord FROM (SELECT *, 'pkg.' || lower(split_part(p_type, ' ', 1)) || CASE WHEN p_size % 4 = 0 THEN '' ELSE '.' || lower(split_part(p_type, ' ', 2)) END AS space FROM part))),
+    y AS (SELECT scope, ord, space, name, path, unnest(ends) AS tail FROM x),
+    f AS (SELECT scope, name || tail AS anchor, ord FROM y UNION SELECT scope, path || tail, ord FROM y),
+    n AS (SELECT DISTINCT scope, unnest([split_part(space, '.', 1), split_part(space, '.', 1) || '.' || split_part(space, '.', 2), space]) AS anchor FROM x),
+    a AS (SELECT scope, anchor, count(*) AS n FROM f GROUP BY ALL),
+    b AS (SELECT scope, regexp_extract(anchor, '[^.]*$') AS last, count(DISTINCT anchor) AS ends FROM f WHERE anchor LIKE '%.%' GROUP BY ALL),
+    c0 AS (SELECT p_partkey, 'M' || p_partkey % 5 AS scope, unnest(spans) AS span, generate_subscripts(spans, 1) AS i FROM (SELECT p_partkey, ['N' || (p_partkey // 12), 'N' || (p_partkey // 12) || '.size()', 'pkg.' || lower(split_part(p_type, ' ', 1)),
+        split_part(p_name, ' ', 1), split_part(p_name, ' ', 1) || '.py', 'v' || p_size || '.0', 'net' || p_size || '.0', 'N' || p_partkey || '.none(x)'] AS spans FROM part)),
+    c1 AS (SELECT *, regexp_replace(span, '[(].*[)]$', '') AS anchor FROM c0),
+    c AS (SELECT DISTINCT scope, anchor FROM c1),
+    r AS (SELECT c.scope, c.anchor, coalesce(a.n, 0) AS n, CASE WHEN a.n IS NOT NULL OR (c.scope, c.anchor) IN (SELECT (scope, anchor) FROM n) OR (c.anchor NOT LIKE '%.%' AND ends = 1) THEN 'symbol'
+      WHEN c.anchor LIKE '%.py' OR regexp_matches(c.anchor, '^(v|net)[0-9]') THEN 'non_symbol' ELSE 'unresolved' END AS class
+      FROM c LEFT JOIN a USING (scope, anchor) LEFT JOIN b ON b.scope = c.scope AND b.last = c.anchor)
+"""
+
+
+def anchor_index(spark, d):
+    return surface_chunks.AnchorIndex.build(surface_chunks.anchor_forms(surface(spark, d), ["scope"]), f"{shared_folder(spark)}/anchors-{uuid.uuid4().hex}", ["scope"])
+
+
+def prose(spark, d):
+    key, size, first = F.col("p_partkey"), F.col("p_size").cast("string"), F.split_part("p_name", F.lit(" "), F.lit(1))
+    name = F.concat(F.lit("N"), F.floor(key / 12).cast("string"))
+    span = lambda *x: F.concat(F.lit(" `"), *(F.lit(y) if isinstance(y, str) else y for y in x), F.lit("`"))
+    said = F.concat(F.lit("See"), span(name), span(name, ".size()"), span("pkg.", F.lower(F.split_part("p_type", F.lit(" "), F.lit(1)))), span(first), span(first, ".py"), span("v", size, ".0"), span("net", size, ".0"), span("N", key.cast("string"), ".none(x)"))
+    fenced = F.concat(F.lit(" `not one`\n```\n"), span("N", key.cast("string"), ".none(x)"), F.lit("\n```"))
+    return read(spark, d, "part").select("p_partkey", F.concat(F.lit("M"), (key % 5).cast("string")).alias("scope"), F.concat(said, fenced).alias("text"))
+
+
+@query(f"WITH {CITED} SELECT * FROM r")
+def cited_anchors(spark, d):
+    cited = prose(spark, d).select("scope", F.explode(claims.anchors("text")).alias("anchor"))
+    return anchor_index(spark, d).classified(cited)
+
+
+@query(f"""
+    WITH {CITED}
+    SELECT c1.p_partkey, count(*) FILTER (class = 'unresolved') AS neutralised,
+      md5(concat('See', string_agg(CASE WHEN class = 'unresolved' THEN ' ' || span ELSE ' `' || span || '`' END, '' ORDER BY i), ' `not one`', chr(10), '```', chr(10), ' `N', c1.p_partkey, '.none(x)`', chr(10), '```')) AS text_md5
+    FROM c1 JOIN r USING (scope, anchor) GROUP BY c1.p_partkey
+""")
+def neutralised_prose(spark, d):
+    return anchor_index(spark, d).neutralised(prose(spark, d), "p_partkey").select("p_partkey", F.col("neutralised").cast("long").alias("neutralised"), F.md5("text").alias("text_md5"))

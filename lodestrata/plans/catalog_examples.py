@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import claims, examples, surface_chunks
+from lodestrata.operators import claims, examples, manifests, surface_chunks
 from lodestrata.operators.staging import shared_folder
 
 from .catalog_text import read
@@ -162,3 +162,42 @@ def cited_anchors(spark, d):
 """)
 def neutralised_prose(spark, d):
     return anchor_index(spark, d).neutralised(prose(spark, d), "p_partkey").select("p_partkey", F.col("neutralised").cast("long").alias("neutralised"), F.md5("text").alias("text_md5"))
+
+
+#: Each part as a source file of its brand's repository; every seventh size adds a project in one of the folders above it.
+TREE = """
+    s AS (SELECT p_brand AS repository, lower(replace(p_type, ' ', '/')) AS folder, p_partkey, p_size, lower(replace(p_type, ' ', '/')) || '/f' || p_partkey || '.cs' AS path FROM part),
+    m AS (SELECT repository, p_size, CASE WHEN p_size % 4 = 0 THEN '' ELSE array_to_string(list_slice(string_split(folder, '/'), 1, CASE p_size % 4 WHEN 3 THEN 9 ELSE p_size % 4 END), '/') || '/' END AS under, 'lib' || p_partkey || '.csproj' AS file FROM s WHERE p_size % 7 = 0),
+    g AS (SELECT repository, under, min(under || file) AS manifest FROM m GROUP BY ALL)
+"""
+
+
+def tree(spark, d):
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    part = read(spark, d, "part").select(F.col("p_brand").alias("repository"), F.lower(F.replace("p_type", F.lit(" "), F.lit("/"))).alias("folder"), key.alias("key"), size.alias("size"))
+    under = F.when(F.col("size") % 4 == 3, F.col("folder")).otherwise(F.array_join(F.slice(F.split("folder", "/"), F.lit(1), F.col("size") % 4), "/"))
+    sources = part.select("repository", F.concat("folder", F.lit("/f"), "key", F.lit(".cs")).alias("path"), "size")
+    projects = part.where("size % 7 = 0").select("repository", F.concat_ws("/", F.nullif(under, F.lit("")), F.concat(F.lit("lib"), "key", F.lit(".csproj"))).alias("path"), "size")
+    return sources, projects
+
+
+@query(f"""
+    WITH {TREE}, a AS (SELECT repository, path, unnest(list_transform(range(0, len(string_split(folder, '/')) + 1), lambda k: CASE WHEN k = 0 THEN '' ELSE array_to_string(list_slice(string_split(folder, '/'), 1, k), '/') || '/' END)) AS under FROM s)
+    SELECT s.repository, s.path, max_by(manifest, length(g.under)) AS manifest FROM s JOIN a USING (repository, path) LEFT JOIN g USING (repository, under) GROUP BY ALL
+""")
+def nearest_manifests(spark, d):
+    sources, projects = tree(spark, d)
+    return manifests.of_sources(sources.select("repository", "path"), projects, platform="dotnet")
+
+
+@query(f"""
+    WITH {TREE},
+    b AS (SELECT repository, min({{'depth': length(under) - length(replace(under, '/', '')), 'path': under || file, 'size': p_size}}) AS x FROM m GROUP BY ALL)
+    SELECT repository, 'dotnet' AS platform, x.path AS path, CASE x.size % 3 WHEN 0 THEN 'netstandard2.0' WHEN 1 THEN 'net' || x.size % 5 + 5 || '.0' ELSE 'net48' END AS lowest FROM b
+""")
+def repository_manifests(spark, d):
+    _, projects = tree(spark, d)
+    size = F.col("size")
+    several = F.when(size % 3 == 0, "net8.0; netstandard2.0;net48").when(size % 3 == 1, F.concat(F.lit("net48;net"), (size % 5 + 5).cast("string"), F.lit(".0"))).otherwise("net48;net472")
+    texts = projects.select("repository", "path", F.concat(F.lit("<Project><TargetFrameworks>"), several, F.lit("</TargetFrameworks></Project>")).alias("text"))
+    return manifests.of_repository(projects).join(texts, ["repository", "path"]).select("repository", "platform", "path", manifests.frameworks("text")["lowest"].alias("lowest"))

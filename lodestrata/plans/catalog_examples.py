@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import claims, examples, manifests, surface_chunks
 from lodestrata.operators.staging import shared_folder
+from lodestrata.streaming import telemetry
 
 from .catalog_text import read
 
@@ -201,3 +202,18 @@ def repository_manifests(spark, d):
     several = F.when(size % 3 == 0, "net8.0; netstandard2.0;net48").when(size % 3 == 1, F.concat(F.lit("net48;net"), (size % 5 + 5).cast("string"), F.lit(".0"))).otherwise("net48;net472")
     texts = projects.select("repository", "path", F.concat(F.lit("<Project><TargetFrameworks>"), several, F.lit("</TargetFrameworks></Project>")).alias("text"))
     return manifests.of_repository(projects).join(texts, ["repository", "path"]).select("repository", "platform", "path", manifests.frameworks("text")["lowest"].alias("lowest"))
+
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+@query("""
+    SELECT e.user_id, epoch_us(e.ts) AS asked_at, epoch_us(p.ts) AS answered_at FROM events e JOIN events p
+      ON p.user_id = e.user_id AND e.event_type = 'error' AND p.event_type = 'purchase' AND p.ts BETWEEN e.ts AND e.ts + INTERVAL 6 HOUR
+""")
+def stream_join(spark, d):
+    """Purchases in the six hours after a user's error, as a join of two streams into a table that holds each batch once."""
+    side = lambda kind: telemetry.stream(spark, d, EVENTS, "events.parquet").where(F.col("event_type") == kind)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    table = telemetry.exactly_once(telemetry.matched(side("error"), side("purchase"), "user_id", "6 HOURS"), f"{folder}/table", f"{folder}/checkpoint")
+    return table.select("user_id", F.unix_micros("asked_at").alias("asked_at"), F.unix_micros("answered_at").alias("answered_at"))

@@ -41,6 +41,31 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def matched(asked: DataFrame, answered: DataFrame, by: str, within: str, late: str = "10 minutes", how: str = "inner") -> DataFrame:
+    """by, asked_at, answered_at: what happens to the same key within a time after it was asked, both ends included (asked and
+    answered: by, ts). Of two streams each side is held only as long as the watermarks say that a partner may still come; with
+    how = "left_outer" what was never answered comes once that time is over. Null keys match nothing."""
+    late_by = lambda rows: rows.withWatermark("ts", late) if rows.isStreaming else rows
+    one = late_by(asked.select(by, "ts")).alias("q")
+    two = late_by(answered.select(by, "ts")).alias("a")
+    near = F.expr(f"q.`{by}` = a.`{by}` AND a.ts >= q.ts AND a.ts <= q.ts + INTERVAL {within}")
+    return one.join(two, near, how).select(F.col(f"q.{by}").alias(by), F.col("q.ts").alias("asked_at"), F.col("a.ts").alias("answered_at"))
+
+
+def exactly_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there into a table that holds each batch's rows once. A batch is a folder of its number, which
+    is written anew when the batch is run again: after a failure between the write and the commit nothing is there twice. Both
+    folders are shared; a table belongs to one checkpoint. Gives the table, with the column batch."""
+    schema = df.schema
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    query = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(schema.add("batch", "long")).parquet(path)
+
+
 def breaker_states(events: DataFrame, by: str = "user_id", failed: str = "error", failures: int = 3, open_for: float = 60.0) -> DataFrame:
     """by, ts, opened: where a breaker opens, after so many failures in a row while it is closed. A stateful walk for each key;
     the state is two numbers, carried from batch to batch when `events` is a stream."""

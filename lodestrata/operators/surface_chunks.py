@@ -131,7 +131,8 @@ def anchor_forms(surface: DataFrame, by: Sequence[str] = ("source_repository", "
 @dataclass
 class AnchorIndex:
     """Anchors by their last segment, as Parquet: partitioned by its hash and sorted by it. The segments of a stated set of
-    anchors, up to MOST_ASKED of them, become filters: only their partitions and row groups are read; more are joined."""
+    anchors, up to MOST_ASKED of them, become filters: only their partitions and row groups are read; more are joined. Joins say
+    `merge`: what is exploded is planned by the size of the narrow table under it, and would be broadcast."""
 
     by: list[str]
     forms: DataFrame
@@ -158,7 +159,7 @@ class AnchorIndex:
         lasts = asked.select("last").distinct()
         rows: list[Row] = lasts.select("last", F.pmod(F.xxhash64("last"), F.lit(self.buckets)).cast("int").alias("bucket")).limit(self.MOST_ASKED + 1).collect()  # bounded
         if len(rows) > self.MOST_ASKED:
-            return self.forms.join(lasts, "last", "left_semi")
+            return self.forms.join(lasts.hint("merge"), "last", "left_semi")
         return self.forms.where(F.col("bucket").isin(sorted({r.bucket for r in rows})) & F.col("last").isin(sorted(r.last for r in rows)))
 
     def classified(self, cited: DataFrame) -> DataFrame:
@@ -169,7 +170,7 @@ class AnchorIndex:
         exact = found.groupBy(*self.by, "anchor").agg(F.count("entry").alias("n"), F.lit(True).alias("known"))
         ends = found.where(F.col("entry").isNotNull() & (F.col("anchor") != F.col("last"))).groupBy(*self.by, "last").agg(F.countDistinct("anchor").alias("ends"))
         same = lambda a, b, key: [*(F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in self.by), F.col(f"{a}.{key}") == F.col(f"{b}.{key}")]
-        joined = asked.alias("a").join(exact.alias("x"), same("a", "x", "anchor"), "left").join(ends.alias("e"), same("a", "e", "last"), "left")
+        joined = asked.alias("a").join(exact.hint("merge").alias("x"), same("a", "x", "anchor"), "left").join(ends.hint("merge").alias("e"), same("a", "e", "last"), "left")
         joined = joined.select("a.*", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("ends", F.lit(0)).alias("ends"))
         bare = ~F.col("anchor").contains(".") & (F.col("ends") == 1)
         other = F.regexp_like("anchor", F.lit(FRAMEWORK)) | F.regexp_like("anchor", F.lit(VERSION)) | F.regexp_like("anchor", F.lit(FILE)) | (F.upper("last") == PRODUCT_LINE)
@@ -181,7 +182,7 @@ class AnchorIndex:
         cited = prose.select(*self.by, key, F.explode(F.array_distinct(claims.anchors(F.coalesce(F.col(text), F.lit(""))))).alias("anchor"))
         gone = self.classified(cited).where(F.col("class") == "unresolved")
         same = [*(F.col(f"p.{c}").eqNullSafe(F.col(f"g.{c}")) for c in self.by), F.col("p.anchor") == F.col("g.anchor")]
-        wrong = cited.alias("p").join(gone.alias("g"), same).groupBy(F.col(f"p.{key}").alias("_key")).agg(F.collect_set("p.anchor").alias("_gone"))  # of one text
-        held = prose.join(wrong, F.col(key).eqNullSafe(F.col("_key")), "left")
+        wrong = cited.alias("p").join(gone.hint("merge").alias("g"), same).groupBy(F.col(f"p.{key}").alias("_key")).agg(F.collect_set("p.anchor").alias("_gone"))  # of one text
+        held = prose.join(wrong.hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left")
         made = held.withColumn("_made", claims.unmarked(F.col(text), F.coalesce("_gone", F.array().cast("array<string>"))))
         return made.withColumn(text, F.col("_made.text")).withColumn("neutralised", F.coalesce("_made.n", F.lit(0))).drop("_made", "_key", "_gone")

@@ -30,12 +30,15 @@ def merge_newer_tags(releases: DataFrame, tags: DataFrame, tag: str = "tag_name"
 
 
 def pad_with_older_tags(releases: DataFrame, tags: DataFrame, limit: int, tag: str = "tag_name") -> DataFrame:
-    """The releases, then tags of versions that are not among them, one a version, newest first, up to the limit."""
+    """All releases, then tags of versions that are not among them, one a version, newest first, as many as the limit leaves room
+    for. The limit cuts no release."""
     known = releases.select(trimmed(tag).alias("v")).where("v is not null")
     older = tags.withColumn("v", trimmed(tag)).where("v is not null").join(known, "v", "left_anti")
-    one = older.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("ord"))).where("n = 1").select(tag, F.lit("tag").alias("source"), F.lit(1).alias("part"), F.row_number().over(Window.orderBy(F.desc("v"))).alias("ord"))
+    newest = older.groupBy("v").agg(F.min_by(tag, "ord").alias(tag)).orderBy(F.desc("v")).limit(limit)  # so few rows are numbered in one task
+    room = F.broadcast(releases.agg((F.lit(limit) - F.count("*")).alias("room")))  # one row
+    one = newest.select(tag, F.lit("tag").alias("source"), F.lit(1).alias("part"), F.row_number().over(Window.orderBy(F.desc("v"))).alias("ord")).crossJoin(room).where(F.col("ord") <= F.col("room")).drop("room")
     own = releases.select(tag, F.lit("release").alias("source"), F.lit(0).alias("part"), F.col("ord").cast("int").alias("ord"))
-    return own.unionByName(one).orderBy("part", "ord").limit(limit).select(tag, "source")
+    return own.unionByName(one).orderBy("part", "ord").select(tag, "source")
 
 
 def align(releases: DataFrame, indexed_commit: str, indexed_version: str, tag: str = "tag_name") -> DataFrame:

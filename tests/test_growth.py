@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import selection, surface_chunks
+from lodestrata.operators import releases, selection, surface_chunks
 
 
 
@@ -40,3 +40,11 @@ def test_members_of_one_group_take_linear_work(spark):
     assert time.time() - began < 20
     few = spark.createDataFrame([([("b", 1), ("a", 2), (None, 3), ("b", 4), ("a", 5)],), ([],), (None,)], "ps array<struct<name:string,i:int>>")
     assert [None if r.x is None else [p.i for p in r.x] for r in few.select(selection.first_of_name(F.col("ps")).alias("x")).collect()] == [[1, 2], [], None]
+
+
+def test_the_limit_cuts_no_release(spark):
+    own = spark.createDataFrame([("v3.0", 0), ("v2.0", 1), ("v1.0", 2)], "tag_name string, ord int")
+    tags = spark.createDataFrame([("9.0", 0), ("v1.0.0", 1), ("8.0", 2), ("v9.0.0", 3)], "tag_name string, ord int")
+    padded = lambda n: [r.tag_name for r in releases.pad_with_older_tags(own, tags, n).collect()]
+    assert padded(2) == ["v3.0", "v2.0", "v1.0"] == padded(3)
+    assert padded(4) == ["v3.0", "v2.0", "v1.0", "9.0"] and padded(9) == ["v3.0", "v2.0", "v1.0", "9.0", "8.0"]

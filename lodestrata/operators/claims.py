@@ -61,10 +61,16 @@ def unmatched_claims(claims: DataFrame, enums: DataFrame) -> DataFrame:
 
 def applicable_defects(symbols: DataFrame, defects: DataFrame) -> DataFrame:
     """name, defect_id: defects (defect_id, refs, indexed_commit) that name a symbol (name, aliases, commit) or an alias of it;
-    those of one commit only where it is the symbol's."""
+    those of one commit only where it is the symbol's. A name is met by the set of a reference's defects, not by each of them:
+    no more than the answer's rows come to be."""
     named = symbols.select("name", "commit", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("ref"))
     refs = defects.select("defect_id", "indexed_commit", F.explode("refs").alias("ref"))
-    return named.join(refs, "ref").where("indexed_commit is null or indexed_commit = commit").select("name", "defect_id").distinct()
+    every = refs.where("indexed_commit is null").groupBy("ref").agg(F.collect_set(F.struct("defect_id")).alias("every"))
+    some = refs.where("indexed_commit is not null").groupBy("ref", F.col("indexed_commit").alias("commit")).agg(F.collect_set(F.struct("defect_id")).alias("some"))
+    none = F.array().cast(every.schema["every"].dataType)
+    met = named.join(every, "ref", "left").join(some, ["ref", "commit"], "left").where("every is not null or some is not null")
+    held = met.groupBy("name").agg(F.array_distinct(F.flatten(F.collect_list(F.concat(F.coalesce("every", none), F.coalesce("some", none))))).alias("ids"))
+    return held.select("name", F.explode("ids").alias("x")).select("name", "x.defect_id")
 
 
 def format_contradictions(statements: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import time
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import releases, selection, surface_chunks
+from lodestrata.operators import claims, releases, selection, surface_chunks
 
 
 
@@ -48,3 +49,11 @@ def test_the_limit_cuts_no_release(spark):
     padded = lambda n: [r.tag_name for r in releases.pad_with_older_tags(own, tags, n).collect()]
     assert padded(2) == ["v3.0", "v2.0", "v1.0"] == padded(3)
     assert padded(4) == ["v3.0", "v2.0", "v1.0", "9.0"] and padded(9) == ["v3.0", "v2.0", "v1.0", "9.0", "8.0"]
+
+
+def test_defects_are_met_as_sets(spark):
+    symbols = spark.createDataFrame([("A", "c1", ["x", "y"]), ("B", "c2", ["x"]), ("B", "c1", None), ("C", None, [])], "name string, commit string, aliases array<string>")
+    defects = spark.createDataFrame([(1, ["x", "A"], None), (1, ["x"], None), (2, ["y", "B"], "c1"), (3, ["x"], "c2"), (4, ["C"], "c1"), (5, ["C"], None)], "defect_id int, refs array<string>, indexed_commit string")
+    found = claims.applicable_defects(symbols, defects)
+    assert sorted((r.name, r.defect_id) for r in found.collect()) == [("A", 1), ("A", 2), ("B", 1), ("B", 2), ("B", 3), ("C", 5)]
+    assert "keys=[name" in plan(found) and not re.search(r"keys=\[name#\d+, defect_id", plan(found))  # no state of the answer's rows

@@ -8,7 +8,9 @@ import time
 from pyspark.sql import functions as F
 
 from lodestrata.operators import claims, releases, selection, surface_chunks
+from lodestrata.plans import catalog
 
+from .conftest import SF
 
 
 def plan(df) -> str:
@@ -57,3 +59,10 @@ def test_defects_are_met_as_sets(spark):
     found = claims.applicable_defects(symbols, defects)
     assert sorted((r.name, r.defect_id) for r in found.collect()) == [("A", 1), ("A", 2), ("B", 1), ("B", 2), ("B", 3), ("C", 5)]
     assert "keys=[name" in plan(found) and not re.search(r"keys=\[name#\d+, defect_id", plan(found))  # no state of the answer's rows
+
+
+def test_the_sketch_is_kept_once_a_group(spark):
+    """Next to a distinct count it was kept for each pair of group and key."""
+    found = plan(catalog.QUERIES["approximate_distinct"](spark, SF))
+    sketches = [x for x in found.split("\n") if "approx_count_distinct" in x]
+    assert sketches and not any(re.search(r"keys=\[[^\]]*p_partkey", x) for x in sketches)

@@ -104,14 +104,14 @@ class KeywordIndex:
         weighed = weighed.withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
         long = 1 - lexical.B + lexical.B * F.col("dl") / F.col("avgdl")
         gain = F.col("times") * F.col("idf") * F.col("tf") * (lexical.K1 + 1) / (F.col("tf") + lexical.K1 * long)
-        return posted.join(weighed, ["bucket", "token"]).groupBy(query_key, self.key).agg(F.sum(gain).alias("score")).where("score > 0")
+        return self._dealt(posted).join(weighed, ["bucket", "token"]).groupBy(query_key, self.key).agg(F.sum(gain).alias("score")).where("score > 0")
 
     def tf_idf(self, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
         """(tf / dl) * (ln((N + 1) / (df + 1)) + 1), summed over a query's tokens."""
         posted, weighed = self._weighed(queries, query_key, query_text)
         weighed = weighed.withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)
         gain = F.col("times") * F.col("tf") / F.col("dl") * F.col("idf")
-        return posted.join(weighed, ["bucket", "token"]).groupBy(query_key, self.key).agg(F.sum(gain).alias("score"))
+        return self._dealt(posted).join(weighed, ["bucket", "token"]).groupBy(query_key, self.key).agg(F.sum(gain).alias("score"))
 
     def stem_freq(self) -> DataFrame:
         """stem, df: the sum of the document frequencies of the tokens with this stem; may exceed the number of documents."""
@@ -129,23 +129,31 @@ class KeywordIndex:
         total = F.broadcast(self.stats.select("n_docs"))  # one row
         return asked.df.join(df, "term", "left").crossJoin(total).select(*terms.columns, lexical.idf_weight(F.col("df"), F.col("n_docs")).alias("weight"))
 
+    def _dealt(self, posted: DataFrame) -> DataFrame:
+        """Rows of documents, dealt by document in as many parts as the generation has buckets: what then meets or adds up within a
+        document stays in its part, whose size does not grow with the table."""
+        return posted.repartition(self.buckets, self.key)
+
     def _met(self, terms: DataFrame) -> DataFrame:
-        """The columns of terms with the keys of the documents that hold a token of their stem; once for each such token."""
-        asked = Words.of(terms)
-        forms = Words.of(self.forms(asked).select("bucket", "token", "term").join(asked.df, "term"))
-        return self.of_tokens(self.postings, forms).join(forms.df, ["bucket", "token"]).select(self.key, *terms.columns)
+        """The columns of terms with the keys of the documents that hold a token of their stem, once each; dealt by document.
+        Postings travel once, under their stem, and meet the queries where their document is."""
+        asked = Words.of(terms.distinct())
+        stems = asked.df.select("term").distinct()
+        forms = Words.of(self.forms(asked).select("bucket", "token", "term").join(stems, "term"))
+        held = self.of_tokens(self.postings, forms).join(forms.df, ["bucket", "token"]).select(self.key, "term")
+        return self._dealt(held).distinct().join(asked.df, "term").select(self.key, *terms.columns)
 
     def holders(self, terms: DataFrame) -> DataFrame:
         """key, term: which documents hold a stem of terms, once each."""
-        return self._met(terms.select("term").distinct()).distinct()
+        return self._met(terms.select("term"))
 
     def coverage(self, weighted: DataFrame, query: str) -> DataFrame:
         """query, key, coverage, n_present for documents that hold a term: the weight of its terms over the weight of all."""
         weighted = Words.of(weighted.select(query, "term", "weight")).df
         total = weighted.groupBy(query).agg(F.sum("weight").alias("total"))
-        held = self._met(weighted).groupBy(query, self.key).agg(F.collect_set(F.struct("term", "weight")).alias("held"))  # at most the query's terms
-        share = F.aggregate("held", F.lit(0.0), lambda a, x: a + x["weight"]) / F.col("total")
-        return held.join(total, query).select(query, self.key, F.when(F.col("total") > 0, share).otherwise(F.lit(0.0)).alias("coverage"), F.size("held").cast("long").alias("n_present"))
+        held = self._met(weighted).groupBy(query, self.key).agg(F.sum("weight").alias("held"), F.count("*").alias("n_present"))
+        share = F.col("held") / F.col("total")
+        return held.join(total, query).select(query, self.key, F.when(F.col("total") > 0, share).otherwise(F.lit(0.0)).alias("coverage"), "n_present")
 
     def guarded(self, covered: DataFrame, required: DataFrame, query: str) -> DataFrame:
         """coverage, but 0 where a required term (query, term) is not in the document."""

@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import claims, releases, selection, surface_chunks
+from lodestrata.operators import claims, index, releases, selection, surface_chunks
 from lodestrata.plans import catalog
 
 from .conftest import SF
@@ -66,3 +66,16 @@ def test_the_sketch_is_kept_once_a_group(spark):
     found = plan(catalog.QUERIES["approximate_distinct"](spark, SF))
     sketches = [x for x in found.split("\n") if "approx_count_distinct" in x]
     assert sketches and not any(re.search(r"keys=\[[^\]]*p_partkey", x) for x in sketches)
+
+
+def test_scores_add_up_where_their_document_is(spark, tmp_path):
+    """Postings travel, once each; pairs of query and document do not."""
+    docs = spark.createDataFrame([(i, f"red widget w{i % 3} reds") for i in range(12)], "doc_id long, text string")
+    held = index.build(docs, str(tmp_path / "index"), buckets=4)
+    asked = spark.createDataFrame([(q, "red w1 widget") for q in range(5)], "q int, query string")
+    terms = held.weights(spark.createDataFrame([(q, t) for q in range(5) for t in ("red", "w1")], "q int, term string"))
+    scored, covered = held.bm25(asked, "q", "query"), held.coverage(terms, "q")
+    for out in (scored, held.tf_idf(asked, "q", "query"), covered):
+        assert not re.search(r"Exchange hashpartitioning\(q#\d+, doc_id", plan(out)) and "Exchange hashpartitioning(doc_id" in plan(out)
+    assert scored.count() == 60
+    assert {(r.doc_id % 3 == 1, r.n_present) for r in covered.collect()} == {(True, 2), (False, 1)} and covered.count() == 60

@@ -10,10 +10,12 @@ from .staging import cut
 
 
 def centrality(references: DataFrame, names: DataFrame, owner: str = "owner", text: str = "text", name: str = "name") -> DataFrame:
-    """name, score: how many other owners' reference texts hold the name as a whole word. Texts are cut into words once and
-    joined by equality; no pattern runs over all pairs."""
+    """name, score: how many other owners' reference texts hold the name as a whole word; an owner may have many texts. Texts are
+    cut into words once and joined by equality; no pattern runs over all pairs. Pairs of word and owner are dealt by both, so
+    no task holds all of a common word, and the names are not broadcast."""
     words = references.select(owner, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\w+"), F.lit(0)))).alias("word"))
-    hits = words.join(names.select(F.col(name).alias("word")).distinct(), "word").where(F.col("word") != F.col(owner)).groupBy("word").agg(F.countDistinct(owner).alias("n"))
+    met = words.where(F.col("word") != F.col(owner)).repartition("word", owner).distinct()
+    hits = met.groupBy("word").agg(F.count("*").alias("n"))
     return names.select(name).distinct().join(hits.withColumnRenamed("word", name), name, "left").select(name, F.coalesce("n", F.lit(0)).alias("score"))
 
 

@@ -174,8 +174,7 @@ def reduce_priority(spark, d):
 @query("SELECT p_partkey, count(DISTINCT l_orderkey) AS score FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey")
 def centrality(spark, d):
     lines = read(spark, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("owner"), F.concat(F.lit("uses part "), F.col("l_partkey").cast("string")).alias("text"))
-    refs = lines.groupBy("owner").agg(F.concat_ws(" ", F.collect_set("text")).alias("text"))
-    scores = graph.centrality(refs, read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("name")))
+    scores = graph.centrality(lines, read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("name")))
     return scores.select(F.col("name").cast("long").alias("p_partkey"), "score")
 
 

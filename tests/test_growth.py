@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import claims, index, releases, selection, surface_chunks
+from lodestrata.operators import claims, graph, index, releases, selection, surface_chunks
 from lodestrata.plans import catalog
 
 from .conftest import SF
@@ -79,3 +79,10 @@ def test_scores_add_up_where_their_document_is(spark, tmp_path):
         assert not re.search(r"Exchange hashpartitioning\(q#\d+, doc_id", plan(out)) and "Exchange hashpartitioning(doc_id" in plan(out)
     assert scored.count() == 60
     assert {(r.doc_id % 3 == 1, r.n_present) for r in covered.collect()} == {(True, 2), (False, 1)} and covered.count() == 60
+
+
+def test_no_task_holds_all_of_a_common_word(spark):
+    refs = spark.createDataFrame([("a", "uses x x"), ("a", "x again"), ("b", "uses x"), ("x", "x of its own"), ("c", None)], "owner string, text string")
+    found = graph.centrality(refs, spark.createDataFrame([("x",), ("uses",), ("none",), ("x",)], "name string"))
+    assert {r.name: r.score for r in found.collect()} == {"x": 2, "uses": 2, "none": 0}
+    assert re.search(r"Exchange hashpartitioning\(word#\d+, owner#\d+", plan(found))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST, TARGET, MOST = 400, 2000, 7600
+PIECE_CHARS = 1 << 20  # of parts that Python holds before it gives them out
 FENCE = r"^[ \t]{0,3}(`{3,}|~{3,})"
 HEADING = r"^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$"
 
@@ -107,15 +108,29 @@ def split_oversize(text: str, most: int = MOST) -> list[str]:
     return [*parts, "\n".join(now)] if fresh else parts
 
 
-def oversize_parts(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
-    """key, part, parts, text. A line-by-line walk with state: an Arrow batch at a time."""
+def _oversize_batches(batches: Iterator[pa.RecordBatch], key: str, most: int, chars: int = PIECE_CHARS) -> Iterator[pa.RecordBatch]:
+    """key, part, parts, text of batches (key, text), given out as soon as there are `chars` of them."""
+
+    def given(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (kind, pa.int32(), pa.int32(), pa.string()), strict=True)], names=[key, "part", "parts", "text"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, i, len(parts), p) for k, t in zip(batch[key], batch[text], strict=True) for parts in [split_oversize(t or "", most)] for i, p in enumerate(parts)]
-            yield pd.DataFrame(rows, columns=[key, "part", "parts", "text"])
+    for batch in batches:
+        kind, rows, size = batch.schema.field(0).type, [], 0
+        for k, t in zip(batch.column(0), batch.column(1), strict=True):
+            parts = split_oversize(t.as_py() or "", most)
+            rows += [(k.as_py(), i, len(parts), p) for i, p in enumerate(parts)]
+            size += sum(map(len, parts))
+            if size >= chars:
+                yield given(rows)
+                rows, size = [], 0
+        if rows:
+            yield given(rows)
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, part int, parts int, text string")
+
+def oversize_parts(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
+    """key, part, parts, text. A line-by-line walk with state over Arrow batches; a row at a time is Python's."""
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(lambda batches: _oversize_batches(batches, key, most), f"{key} {kind}, part int, parts int, text string")
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

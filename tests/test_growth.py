@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestrata.operators import claims, graph, index, releases, selection, surface_chunks
+from lodestrata.operators import chunking, claims, graph, index, releases, selection, surface_chunks
 from lodestrata.plans import catalog
 
 from .conftest import SF
@@ -86,3 +87,12 @@ def test_no_task_holds_all_of_a_common_word(spark):
     found = graph.centrality(refs, spark.createDataFrame([("x",), ("uses",), ("none",), ("x",)], "name string"))
     assert {r.name: r.score for r in found.collect()} == {"x": 2, "uses": 2, "none": 0}
     assert re.search(r"Exchange hashpartitioning\(word#\d+, owner#\d+", plan(found))
+
+
+def test_parts_are_given_out_before_a_batch_is_through():
+    texts = ["a\n" * 500, None, "b" * 3000, ""] * 50
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": texts})
+    out = list(chunking._oversize_batches(iter([batch]), "doc_id", 400, 10_000))
+    assert len(out) > 10 and max(sum(map(len, x.column(3).to_pylist())) for x in out) < 14_000
+    found = [(r["doc_id"], r["part"], r["parts"], r["text"]) for x in out for r in x.to_pylist()]
+    assert found == [(k, i, len(p), x) for k, t in enumerate(texts) for p in [chunking.split_oversize(t or "", 400)] for i, x in enumerate(p)]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import glob
 import re
 import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestrata.operators import chunking, claims, graph, index, releases, selection, surface_chunks
+from lodestrata.operators import chunking, claims, exports, graph, index, releases, selection, surface_chunks
+from lodestrata.operators.staging import shared_folder
 from lodestrata.plans import catalog
 
 from .conftest import SF
@@ -96,3 +98,17 @@ def test_parts_are_given_out_before_a_batch_is_through():
     assert len(out) > 10 and max(sum(map(len, x.column(3).to_pylist())) for x in out) < 14_000
     found = [(r["doc_id"], r["part"], r["parts"], r["text"]) for x in out for r in x.to_pylist()]
     assert found == [(k, i, len(p), x) for k, t in enumerate(texts) for p in [chunking.split_oversize(t or "", 400)] for i, x in enumerate(p)]
+
+
+def test_wildcards_carry_pairs_of_modules(spark):
+    """Each of a chain takes all of the next one: pairs of modules grow, not the names of all, and what is known is not shuffled again."""
+    n, names = 5, 40
+    modules = spark.createDataFrame([("s", "0", None, "", True), *(("s", f"m{i}", "0", f"m{i}", False) for i in range(n))], "scope string, module string, parent string, name string, public boolean")
+    items = spark.createDataFrame([("s", f"m{n - 1}", f"T{i}", i > 0) for i in range(names)], "scope string, module string, name string, public boolean")
+    uses = spark.createDataFrame([("s", f"m{i}", ["super", f"m{i + 1}"], None, True) for i in range(n - 1)], "scope string, module string, path array<string>, bound string, public boolean")
+    pattern = f"{shared_folder(spark).removeprefix('file:')}/exports-*/links/*"
+    before = set(glob.glob(pattern))
+    found = exports.resolved_names(modules, items, uses)
+    assert found.count() == n + names + (n - 1) * (names - 1)
+    written = sorted(set(glob.glob(pattern)) - before)
+    assert {tuple(r) for r in spark.read.schema(exports.LINK).parquet(*written).collect()} == {("s", f"m{i}", f"m{n - 1}", True) for i in range(n - 1)}

@@ -24,7 +24,7 @@ from . import lexical
 from .staging import shared_folder
 
 BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 32  # of text
-SPREAD = 4  # files of a bucket, at most
+SPREAD = 4  # files of a bucket, at least where its words are that frequent; twice as many parts as buckets are dealt out
 MOST_ASKED = 4096  # tokens that come to the driver and become filters
 MOST_ROWS = 50_000  # of a query set's words that are broadcast
 TOKENISERS = {"full": T.tokens, "plain": T.plain_tokens}
@@ -182,15 +182,28 @@ def _read(docs: DataFrame, folder: str, key: str, buckets: int, tokeniser: str)
 
 
 def build(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokeniser: str = "full", buckets: int = 8) -> KeywordIndex:
-    """Writes the index of docs into a folder: one tokenisation and one shuffle, of a row for each document and token. A
-    token that very many documents hold is dealt over several files of its bucket."""
+    """Writes the index of docs into a folder: one tokenisation and one shuffle. What travels is a row for each document and
+    group of buckets, with the words that the document holds there and how often, so a posting costs little more than its
+    letters. A word that very many documents hold is dealt over several files of its bucket. The parts grow in number with
+    the buckets, not in size."""
     at = KeywordIndex(key, docs, docs, docs, buckets, tokeniser)
-    listed = docs.select(key, F.array_sort(TOKENISERS[tokeniser](F.coalesce(F.col(text), F.lit("")))).alias("tokens")).withColumn("dl", F.size("tokens"))
-    first = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
-    listed = listed.where("dl > 0").withColumn("first", first)  # equal tokens stand together: they are counted within the document
-    count = lambda i, n: F.struct(F.get("tokens", i).alias("token"), (F.coalesce(F.get("first", n + 1), F.col("dl")) - i).cast("long").alias("tf"))
-    counted = listed.select(key, "dl", F.explode(F.transform("first", count)).alias("x")).select(key, "x.token", "x.tf", "dl")
-    dealt = counted.withColumn("bucket", at.bucket("token")).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(SPREAD))).sortWithinPartitions("bucket", "token")
+    groups = min(buckets, LEAST_BUCKETS)
+    spread = max(SPREAD, -(-2 * buckets // groups))
+    marked = F.transform(TOKENISERS[tokeniser](F.coalesce(F.col(text), F.lit(""))), lambda t: F.concat(F.chr(at.bucket(t) % groups + 48), t))
+    begins = lambda xs, n, same: F.when(F.col(n) > 0, F.filter(F.sequence(F.lit(0), F.col(n) - 1), lambda i: (i == 0) | (same(F.get(xs, i)) != same(F.get(xs, i - 1)))))
+    listed = docs.select(key, F.sort_array(marked).alias("tokens")).withColumn("dl", F.size("tokens"))  # a filter on dl would work the tokens out twice
+    listed = listed.withColumn("first", begins("tokens", "dl", lambda t: t))  # equal tokens stand together: they are counted within the document
+    times = lambda i, n: F.coalesce(F.get("first", n + 1), F.col("dl")) - i
+    word = lambda i, n: F.concat(F.get("tokens", i), F.when(times(i, n) > 1, F.concat(F.lit(":"), times(i, n).cast("string"))).otherwise(""))
+    listed = listed.select(key, "dl", F.transform("first", word).alias("words")).withColumn("n", F.size("words"))
+    listed = listed.withColumn("start", begins("words", "n", lambda w: F.substring(w, 1, 1)))  # and those of a group
+    own = lambda i, n: F.transform(F.slice("words", i + 1, F.coalesce(F.get("start", n + 1), F.col("n")) - i), lambda w: F.substring(w, 2, 1 << 30))
+    packed = F.transform("start", lambda i, n: F.struct((F.ascii(F.get("words", i)) - 48).alias("g"), F.array_join(own(i, n), " ").alias("words")))
+    moved = listed.select(key, "dl", F.explode(packed).alias("x")).select(key, "dl", "x.g", "x.words")
+    moved = moved.repartitionById(groups * spread, (F.col("g") * spread + F.pmod(F.xxhash64(key), F.lit(spread))).cast("int"))
+    said = moved.select(key, "dl", F.explode(F.split("words", " ")).alias("word")).withColumn("token", F.substring_index("word", ":", 1))
+    tf = F.when(F.length("word") > F.length("token"), F.substring_index("word", ":", -1).cast("long")).otherwise(F.lit(1).cast("long"))
+    dealt = said.select(key, "token", tf.alias("tf"), "dl").withColumn("bucket", at.bucket("token")).sortWithinPartitions("bucket", "token")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
     posted = _table(docs, folder, key, "postings")
     words = posted.groupBy("bucket", "token").agg(F.count("*").alias("df")).withColumn("stem", T.stem("token"))

@@ -112,3 +112,15 @@ def test_wildcards_carry_pairs_of_modules(spark):
     assert found.count() == n + names + (n - 1) * (names - 1)
     written = sorted(set(glob.glob(pattern)) - before)
     assert {tuple(r) for r in spark.read.schema(exports.LINK).parquet(*written).collect()} == {("s", f"m{i}", f"m{n - 1}", True) for i in range(n - 1)}
+
+
+def test_words_travel_by_document_and_group_of_buckets(spark, tmp_path, monkeypatch):
+    """The index's one shuffle carried a row for each posting."""
+    kind, moved = type(spark.range(0)), []
+    deal = kind.repartitionById
+    monkeypatch.setattr(kind, "repartitionById", lambda self, *a: deal(moved.append(self.count()) or self, *a))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j} w{j // 2}x" for j in range(300))) for i in range(20)] + [(90, ""), (91, None), (92, "of the")], "doc_id long, text string")
+    held = index.build(docs, str(tmp_path / "index"), buckets=4, tokeniser="plain")
+    assert moved == [20 * 4 + 2] and held.postings.count() == 20 * 450 + 2
+    assert {(r.token, r.tf, r.dl) for r in held.postings.where("doc_id = 7").collect()} == {(f"w{j}", 1, 600) for j in range(300)} | {(f"w{j}x", 2, 600) for j in range(150)}
+    assert held.stats.first().n_docs == 23

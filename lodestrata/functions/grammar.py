@@ -15,8 +15,9 @@ def _col(x: Column | str) -> Column:
 
 
 def header(text: Column | str, name: str) -> Column:
-    """The first `name:` line's value, or null."""
-    return F.nullif(F.regexp_extract(_col(text), rf"(?m)^{name}:[ \t]*(\S.*?)[ \t]*$", 1), F.lit(""))
+    """The first `name:` line's value, or null. Texts without `name:`, which most long ones are, are not matched."""
+    found = F.nullif(F.regexp_extract(_col(text), rf"(?m)^{name}:[ \t]*(\S.*?)[ \t]*$", 1), F.lit(""))
+    return F.when(_col(text).contains(f"{name}:"), found)
 
 
 def headers(text: Column | str, name: str) -> Column:

@@ -42,8 +42,8 @@ def _col(x: Column | str) -> Column:
 
 def chunk_kind(text: Column | str) -> Column:
     """symbol, example or documentation, by the FQN line; documentation without one."""
-    name = grammar.fqn(text)
-    return F.when(name.isNull() | name.startswith("Doc: "), "documentation").when(name.startswith("Example: "), "example").otherwise("symbol")
+    kind = lambda name: F.when(name.isNull() | name.startswith("Doc: "), "documentation").when(name.startswith("Example: "), "example").otherwise("symbol")
+    return let(grammar.fqn(text), kind)
 
 
 def verified_example(text: Column | str) -> Column:

@@ -98,9 +98,10 @@ class KeywordIndex:
         weighed = words.join(asked.df, ["bucket", "token"]).crossJoin(F.broadcast(self.stats))  # one row
         return self.of_tokens(self.postings, asked), weighed if asked.rows is None else F.broadcast(weighed)  # no more rows than asked
 
-    def bm25(self, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
-        """Rows (query_key, key, score) with a positive score."""
+    def bm25(self, queries: DataFrame, query_key: str, query_text: str, among: DataFrame | None = None) -> DataFrame:
+        """Rows (query_key, key, score) with a positive score; of the documents whose key is in among, where that is given."""
         posted, weighed = self._weighed(queries, query_key, query_text)
+        posted = posted if among is None else posted.join(among, self.key, "left_semi")
         weighed = weighed.withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
         long = 1 - lexical.B + lexical.B * F.col("dl") / F.col("avgdl")
         gain = F.col("times") * F.col("idf") * F.col("tf") * (lexical.K1 + 1) / (F.col("tf") + lexical.K1 * long)

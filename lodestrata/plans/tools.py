@@ -1,9 +1,9 @@
 """The nine query tools over one scope's chunks. Each returns a DataFrame with `found` and `reason`: a miss is a row that says
 why, and is never widened to another scope.
 
-chunks: chunk_id, ord, text (in the chunk grammar). Keyword stages read an index of the chunks of one kind, which is built by
-the first call that needs it. Stages are DataFrame plans; the driver runs the next one only where the one before it found
-nothing.
+chunks: chunk_id, ord, text (in the chunk grammar). The first call that needs a kind of chunks holds those, and no others, and
+builds the index of them that keyword stages read. Stages are DataFrame plans; the driver runs the next one only where the
+one before it found nothing.
 """
 
 from __future__ import annotations
@@ -47,15 +47,28 @@ class Engine:
     def __init__(self, spark: SparkSession, family: str, platform: str, chunks: DataFrame):
         self.spark, self.family, self.platform = spark, family, platform
         self._held: list[DataFrame] = []
+        self._within = False
+        self._pools: dict[str, DataFrame] = {}
         self._indexes: dict[tuple[str, str | None], index.KeywordIndex] = {}
-        self.chunks = chunks.select("chunk_id", "ord", "text", predicates.chunk_kind("text").alias("kind"), grammar.fqn("text").alias("fqn"), predicates.category("text").alias("category")).cache()  # read by every stage
+        self.chunks = chunks.select("chunk_id", "ord", "text", predicates.chunk_kind("text").alias("kind"), grammar.fqn("text").alias("fqn"))
+
+    def _of(self, kind: str) -> DataFrame:
+        """The chunks of one kind, held for all stages and calls. Symbols and examples are short, so few files hold very many:
+        they are dealt out before they are worked on. Documents have their category."""
+        if kind not in self._pools:
+            pool = self.chunks.where(F.col("kind") == kind)
+            pool = pool.withColumn("category", predicates.category("text")) if kind == "documentation" else pool.repartition("chunk_id")
+            self._pools[kind] = pool.cache()
+        return self._pools[kind]
 
     def _index(self, kind: str, category: str | None = None) -> index.KeywordIndex:
-        """The keyword index of the chunks of one kind, or of one category of it."""
+        """The keyword index of the chunks of one kind, or of one category of it; its buckets grow in number with the text."""
         if (kind, category) not in self._indexes:
-            pool = self.chunks.where(F.col("kind") == kind)
+            pool = self._of(kind)
             pool = pool.where(F.col("category") == category) if category else pool
-            self._indexes[kind, category] = index.build(pool, f"{shared_folder(self.spark)}/scope-{uuid.uuid4().hex}", "chunk_id")
+            size = pool.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+            buckets = max(8, -(-size // index.BUCKET_BYTES))
+            self._indexes[kind, category] = index.build(pool, f"{shared_folder(self.spark)}/scope-{uuid.uuid4().hex}", "chunk_id", buckets=buckets)
         return self._indexes[kind, category]
 
     def _hold(self, df: DataFrame) -> DataFrame:
@@ -64,27 +77,29 @@ class Engine:
         return self._held[-1]
 
     def _release(self) -> None:
-        while self._held:
+        """At the start of a call; not of one that another call makes."""
+        while self._held and not self._within:
             self._held.pop().unpersist()
 
     def close(self) -> None:
         """Lets go of all that is held for the next stage or call."""
         self._release()
-        self.chunks.unpersist()
+        while self._pools:
+            self._pools.popitem()[1].unpersist()
 
     def _miss(self, reason: str, schema: str) -> DataFrame:
         return self.spark.createDataFrame([(False, reason)], "found boolean, reason string").selectExpr("found", "reason", *(f"cast(null as {kind}) as {name}" for name, kind in (x.split(" ", 1) for x in schema.split(", "))))
 
     def _terms(self, query: str, held: index.KeywordIndex) -> tuple[DataFrame, DataFrame, list[str]]:
         """Weighted and required terms of one query, and its distinctive terms."""
-        asked = self.spark.createDataFrame([(query,)], "query string")
+        asked = self._asked(query)
         excluded = T.excluded_terms(self.family, self.platform)
         said = asked.select(T.query_terms("query", excluded).alias("terms"), T.required_terms("query").alias("required"), T.distinctive_terms("query", excluded).alias("distinctive")).first()  # one query's words
         frame = lambda words: self.spark.createDataFrame([(0, w) for w in words], "q int, term string")
         return self._hold(held.weights(frame(said["terms"]))), frame(said["required"]), said["distinctive"]
 
     def _asked(self, query: str) -> DataFrame:
-        return self.spark.createDataFrame([(0, query)], "q int, query string")
+        return self.spark.range(1, numPartitions=1).select(F.lit(0).alias("q"), F.lit(query).alias("query"))  # without Python's workers
 
     def search_docs(self, query: str, content_type: str | None = None, top_k: int = 10) -> DataFrame:
         """found, reason, match_quality, chunk_id, category, coverage, score: confident, else partial, else nearest vectors. A query
@@ -94,10 +109,10 @@ class Engine:
         columns = "match_quality string, chunk_id string, category string, coverage double, score double"
         if content_type is not None and content_type not in predicates.CATEGORIES:
             raise ValueError(f"content_type is one of {', '.join(predicates.CATEGORIES)}")
-        pool = self.chunks.where("kind = 'documentation'")
+        pool = self._of("documentation")
         if content_type:
             pool = pool.where(F.col("category") == content_type)
-        if not self.spark.createDataFrame([(query,)], "q string").select(T.has_minimum_evidence("q")).first()[0]:
+        if not self._asked(query).select(T.has_minimum_evidence("query")).first()[0]:
             return self._miss("too_little_evidence", columns)
         held = self._index("documentation", content_type)
         bm = held.bm25(self._asked(query), "q", "query").select("chunk_id", "score")
@@ -125,33 +140,35 @@ class Engine:
         return self._miss("nothing_relevant", columns)
 
     def _nearest(self, pool: DataFrame, query: str, floor: float, top_k: int) -> DataFrame:
-        asked = self.spark.createDataFrame([(query,)], "q string").select(vectors.hash_embedding(T.plain_tokens("q"))).first()[0]
+        asked = self._asked(query).select(vectors.hash_embedding(T.plain_tokens("query"))).first()[0]
         return vectors.cosine_top_k(vectors.embedded(pool), asked, top_k, "chunk_id", "vector", floor)
 
     def search_symbols(self, query: str, top_k: int = 10, offset: int = 0) -> DataFrame:
         """found, reason, fqn, tier, score, total_matches, next_offset: by tiers; else, for a task in words, by what types show of its
         terms (tier 5) or by its naming words (tier 6); else close names as suggestions."""
         checked(query), checked_page(top_k, offset)
+        self._release()
         columns = "fqn string, tier int, score double, total_matches bigint, next_offset int, suggestions array<string>"
-        pool = self.chunks.where("kind = 'symbol'")
+        pool = self._of("symbol")
         asked = self._asked(query)
-        bm = self._index("symbol").bm25(asked, "q", "query").select("chunk_id", "score")
         members = F.transform(grammar.declared_members("text"), lambda m: F.lower(m["name"]))
         tier = symbols.match_tier(F.lit(query), F.col("fqn"))
         own = F.array_contains(members, query.strip().split(".")[-1].lower()) & (F.lit("." not in query) | F.lower("fqn").endswith(query.rsplit(".", 1)[0].lower()))
-        hits = pool.withColumn("tier", F.when(tier <= 1, tier).when(own, 2).when(tier.isNotNull(), tier + 1)).where("tier is not null").join(bm, "chunk_id", "left")
-        hits = hits.withColumn("empty", F.size(members) == 0).withColumn("score", F.coalesce("score", F.lit(0.0)))
-        order = ("tier", "empty", F.desc(F.round("score", 6)), "ord")
-        first = hits.orderBy(*order).limit(offset + top_k)  # so few rows are numbered in one task
-        page = first.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") > offset)
-        page = page.crossJoin(F.broadcast(hits.agg(F.count("*").alias("total_matches"))))  # one row
-        found = page.select(
-            F.lit(True).alias("found"), F.lit(None).cast("string").alias("reason"), "fqn", "tier", "score", "total_matches", F.when(F.col("total_matches") > offset + top_k, F.lit(offset + top_k)).alias("next_offset"),
-            F.lit(None).cast("array<string>").alias("suggestions"), "rank",
-        )
-        if not found.isEmpty():
-            return found.orderBy("rank").drop("rank")
-        if offset and not hits.isEmpty():
+        ranked = F.when(tier <= 1, tier).when(own, 2).when(tier.isNotNull(), tier + 1)
+        hits = self._hold(pool.withColumn("tier", ranked).where("tier is not null").select("chunk_id", "ord", "fqn", "tier", (F.size(members) == 0).alias("empty")))
+        total = hits.count()  # works them out, once; what follows looks at them only
+        if total > offset:
+            bm = self._index("symbol").bm25(asked, "q", "query", hits.select("chunk_id")).select("chunk_id", "score")
+            order = ("tier", "empty", F.desc(F.round("score", 6)), "ord")
+            scored = hits.join(bm, "chunk_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+            first = scored.orderBy(*order).limit(offset + top_k)  # so few rows are numbered in one task
+            page = first.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") > offset)
+            found = page.select(
+                F.lit(True).alias("found"), F.lit(None).cast("string").alias("reason"), "fqn", "tier", "score", F.lit(total).cast("bigint").alias("total_matches"), F.lit(offset + top_k if total > offset + top_k else None).cast("int").alias("next_offset"),
+                F.lit(None).cast("array<string>").alias("suggestions"), "rank",
+            )
+            return self._hold(found).orderBy("rank").drop("rank")
+        if total:
             return self._miss("past_the_end", columns)
         task = self._by_words(query, pool, top_k, offset) if re.search(r"\s", query.strip()) else None
         if task is not None:
@@ -184,7 +201,7 @@ class Engine:
         a re-export's definition is followed."""
         checked(fqn, 512)
         columns = "fqn string, text string"
-        pool = self.chunks.where("kind = 'symbol'")
+        pool = self._of("symbol")
         asked = self.spark.createDataFrame([(fqn,)] + ([(re.split(r"::|\.", fqn)[-2],)] if re.search(r"::|\.", fqn) else []), "query string")
         found = {r["query"]: r for r in symbols.resolve(pool.select("fqn").distinct(), asked).collect()}
         hit, member = found[fqn], None
@@ -221,7 +238,7 @@ class Engine:
         checked(query), checked_page(top_k)
         self._release()
         columns = "basis string, confidence string, chunk_id string, title string, code string, status string, score double"
-        pool = self.chunks.where(predicates.verified_example("text")).withColumn("title", F.substring("fqn", 10, 1 << 30)).withColumn("code", grammar.example_code("text")).where("code is not null").withColumn("run", grammar.runtime("text"))
+        pool = self._of("example").where(predicates.verified_example("text")).withColumn("title", F.substring("fqn", 10, 1 << 30)).withColumn("code", grammar.example_code("text")).where("code is not null").withColumn("run", grammar.runtime("text"))
         out = lambda rows, basis, confidence: rows.select(F.lit(True).alias("found"), F.lit(None).cast("string").alias("reason"), F.lit(basis).alias("basis"), confidence.alias("confidence"), "chunk_id", "title", "code", "run.status", "score")
         exact = pool.where(F.lower(F.trim("title")) == query.strip().lower()).withColumn("score", F.lit(1.0))
         if not exact.isEmpty():
@@ -245,17 +262,26 @@ class Engine:
     def lookup(self, query: str, content_type: str | None = None, top_k: int = 10) -> DataFrame:
         """found, reason, kind, name, score: documents, an example and symbols for a task; symbols first for a bare name."""
         checked(query), checked_page(top_k)
-        task = self.spark.createDataFrame([(query,)], "q string").select(predicates.task_question("q")).first()[0]
+        self._release()
+        self._within = True
+        try:
+            return self._looked_up(query, content_type, top_k)
+        finally:
+            self._within = False
+
+    def _looked_up(self, query: str, content_type: str | None, top_k: int) -> DataFrame:
+        """The answer of lookup, whose few rows are held."""
+        task = self._asked(query).select(predicates.task_question("query")).first()[0]
         part = lambda rows, kind, name: rows.where("found").select("found", "reason", F.lit(kind).alias("kind"), F.col(name).alias("name"), "score")
         docs = lambda: part(self.search_docs(query, content_type, top_k), "documentation", "chunk_id")
         if content_type or self._asked(query).select(relevance.category_intent("query")).first()[0]:
-            answer = docs()
+            answer = self._hold(docs())
         elif task:
-            answer = docs().unionByName(part(self.find_examples(query, 1), "example", "chunk_id")).unionByName(part(self.search_symbols(query, 3), "symbol", "fqn"))
+            answer = self._hold(docs().unionByName(part(self.find_examples(query, 1), "example", "chunk_id")).unionByName(part(self.search_symbols(query, 3), "symbol", "fqn")))
         else:
-            answer = part(self.search_symbols(query, top_k), "symbol", "fqn")
+            answer = self._hold(part(self.search_symbols(query, top_k), "symbol", "fqn"))
             if answer.isEmpty():
-                answer = docs()
+                answer = self._hold(docs())
         return answer if not answer.isEmpty() else self._miss("nothing_found", "kind string, name string, score double")
 
     def get_product_reference(self, section: str, inputs: dict[str, str | None]) -> DataFrame:
@@ -283,8 +309,9 @@ class Engine:
         """found, reason, indexed_commit, n_chunks, fresh, basis: by the caller's commit, else by ancestry, else unknown."""
         if current_commit is not None and not re.fullmatch(r"[0-9a-fA-F]{7,64}", current_commit):
             raise ValueError("a commit is 7 to 64 hexadecimal digits")
+        self._release()
         commits = self.chunks.select(grammar.header("text", "Source-Commit").alias("commit"), "kind").where("commit is not null").groupBy("commit").agg(F.count("*").alias("n_chunks"), F.sum((F.col("kind") == "symbol").cast("int")).alias("n_symbols"))
-        best = commits.orderBy(F.desc("n_symbols"), "commit").limit(1)
+        best = self._hold(commits.orderBy(F.desc("n_symbols"), "commit").limit(1))
         if best.isEmpty():
             return self._miss("no_commit", "indexed_commit string, n_chunks bigint, fresh boolean, basis string")
         same = F.startswith(F.lower("commit"), F.lit((current_commit or "").lower())) | F.startswith(F.lit((current_commit or "").lower()), F.lower("commit"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import chunking, claims, exports, graph, index, releases, selection, surface_chunks
 from lodestrata.operators.staging import shared_folder
-from lodestrata.plans import catalog
+from lodestrata.plans import catalog, tools
 
 from .conftest import SF
 
@@ -124,3 +124,20 @@ def test_words_travel_by_document_and_group_of_buckets(spark, tmp_path, monkeypa
     assert moved == [20 * 4 + 2] and held.postings.count() == 20 * 450 + 2
     assert {(r.token, r.tf, r.dl) for r in held.postings.where("doc_id = 7").collect()} == {(f"w{j}", 1, 600) for j in range(300)} | {(f"w{j}x", 2, 600) for j in range(150)}
     assert held.stats.first().n_docs == 23
+
+
+def test_a_bare_name_ranks_symbols_once_and_holds_nothing_else(spark):
+    """All chunks were held with their category, and all symbols were ranked twice for each look at the answer."""
+    rows = [(f"s{i}", i, f"FQN: Goods.P{i}\nKind: class\nMethods:\n  - open()") for i in range(12)] + [("d", 90, "about P7"), ("n", 91, None), ("e", 92, "FQN: Example: P7\nKind: verified_example\nExample:\nrun()")]
+    e = tools.Engine(spark, "goods", "python", spark.createDataFrame(rows, "chunk_id string, ord long, text string"))
+    answer = e.lookup("P7", top_k=1)
+    assert "frequently asked" not in plan(answer)  # no document was classified
+    spark.sparkContext.setJobGroup("again", "the answer is there")
+    assert [(r.kind, r.name) for r in answer.collect()] == [("symbol", "Goods.P7")]
+    spark.sparkContext.setJobGroup("", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("again")) == 1
+    held = e._index("symbol")
+    whole, few = (held.bm25(e._asked("P7"), "q", "query", *x) for x in ((), (spark.createDataFrame([("s7",), ("s3",), ("d",)], "chunk_id string"),)))
+    scores = {r.chunk_id: r.score for r in whole.collect()}
+    assert len(scores) == 12 and {r.chunk_id: r.score for r in few.collect()} == {k: scores[k] for k in ("s3", "s7")}
+    e.close()
